@@ -1,7 +1,7 @@
 """All registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from quarry.llm import fmindex, mixing, quality, simhash, suffixes
+from quarry.llm import fmindex, mixing, quality, sharding, simhash, suffixes
 
-MODULES = (fmindex, quality, mixing, simhash, suffixes)
+MODULES = (fmindex, quality, sharding, mixing, simhash, suffixes)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
