@@ -1,7 +1,7 @@
 """All registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from quarry.llm import decontaminate, fmindex, mixing, quality, secrets, sharding, simhash, suffixes
+from quarry.llm import decontaminate, fmindex, lines, mixing, quality, secrets, sharding, simhash, suffixes
 
-MODULES = (fmindex, secrets, quality, decontaminate, sharding, mixing, simhash, suffixes)
+MODULES = (fmindex, secrets, quality, decontaminate, sharding, mixing, simhash, lines, suffixes)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
