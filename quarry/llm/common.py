@@ -65,10 +65,10 @@ def doc_blocks(batches: Iterable[pa.RecordBatch], size: int = 1 << 21) -> Iterat
 
 
 class WordHashes(dict):
-    """word bytes -> 64-bit hash; forgets everything at a million words, so memory is bounded."""
+    """word bytes -> 64-bit hash; forgets everything at a quarter of a million words, so memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

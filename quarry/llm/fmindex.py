@@ -180,7 +180,7 @@ def repeats_removed(docs: DataFrame, cut: passages.Cut = WORDS) -> DataFrame:
     Rows that repeat a doc_id are the same document, each reported; a row without doc_id keeps all its words
     and removes none elsewhere. Other columns are not read.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = passages.plain(docs)
     known = base.where("doc_id is not null")
     found = passages.marks(known, cut, lambda t: earlier_windows(t, cut.width), keep_first=True)
 

@@ -26,7 +26,7 @@ from quarry.llm.common import Rolling, WordHashes, mixed, settle, spread, text_b
 
 HOT_PARTS, HOT_LEAST = 20_000, 8192
 #: Symbols of text handled at once while cutting, and while searching a shard.
-PIECE, SHARD = 1 << 20, 1 << 22
+PIECE, SHARD = 1 << 18, 1 << 21
 _LOW = np.uint64((1 << 24) - 1)
 BYTE_HASH = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -93,10 +93,16 @@ def segments(symbols: np.ndarray, room: np.ndarray, cut: Cut, hot: np.ndarray) -
     return {"start": first, "n": count, "at": anchor[first] - first, "key": key, "route": route, "h": h}
 
 
+def _texts(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple[int, bytes]]:
+    for i in range(0, batch.num_rows, step):
+        part = batch.slice(i, step)
+        yield from zip(part.column(0).to_pylist(), text_bytes(part.column(1)), strict=True)
+
+
 def _pieces(batch: pa.RecordBatch, cut: Cut, memo: WordHashes) -> Iterator[tuple]:
     """(doc ids, offsets of pieces in their documents, symbols, bounds): whole texts, long ones in overlapping pieces."""
     ids, offsets, parts, size = [], [], [], 0
-    for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+    for doc, text in _texts(batch):
         symbols = np.frombuffer(text, np.uint8) if cut.unit == "byte" else memo.array(text.split())
         for at in range(0, max(1, len(symbols) - cut.width + 1), PIECE):
             part = symbols[at : at + PIECE + cut.width - 1]
@@ -129,15 +135,16 @@ def _cut(batches: Iterator[pa.RecordBatch], cut: Cut, hot: np.ndarray) -> Iterat
 
 
 def rows(docs: DataFrame, cut: Cut, hot: np.ndarray) -> DataFrame:
-    """(key, route, h, doc_id, start, n, at) of every segment of every whole text."""
+    """(key, finer, h, doc_id, start, n, at) of every segment of every whole text; ``finer`` is 0 but for hot keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _cut(batches, cut, hot):
-            columns = [pa.array(x[k].view(np.int64)) for k in ("key", "route", "h", "doc_id", "start")]
-            columns += [pa.array(x[k].astype(np.int32)) for k in ("n", "at")]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "route", "h", "doc_id", "start", "n", "at"])
+            x["finer"] = x["route"] ^ x["key"]
+            columns = [pa.array(x[k].view(np.int64)) for k in ("key", "finer", "h", "doc_id")]
+            columns += [pa.array(x[k].astype(np.int32)) for k in ("start", "n", "at")]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "finer", "h", "doc_id", "start", "n", "at"])
 
-    return docs.mapInArrow(run, "key long, route long, h long, doc_id long, start long, n int, at int")
+    return docs.mapInArrow(run, "key long, finer long, h long, doc_id long, start int, n int, at int")
 
 
 def _keys(docs: DataFrame, cut: Cut) -> DataFrame:
@@ -155,8 +162,8 @@ def candidates(docs: DataFrame, cut: Cut) -> DataFrame:
     # by their share of all rows there are HOT_PARTS of these at most
     hot = [r.key for r in twice.where(F.col("times") > max(HOT_LEAST, total // HOT_PARTS)).select("key").collect()]
     hot = np.sort(np.array(hot, np.int64).view(np.uint64))
-    found = rows(docs, cut, hot).join(twice.select("key"), "key", "left_semi").drop("key")
-    return settle(found, "segments")
+    found = rows(docs, cut, hot).join(twice.select("key"), "key", "left_semi")
+    return settle(found.select(F.col("key").bitwiseXOR(F.col("finer")).alias("route"), "h", "doc_id", "start", "n", "at"), "segments")
 
 
 def shards(batches: Iterable[pa.RecordBatch], route: int, text: int) -> Iterator[pa.Table]:
@@ -213,7 +220,7 @@ def masks(docs: DataFrame, found: DataFrame, cut: Cut, search: Callable[[pa.Tabl
                 columns = [flat.field("route"), flat.field("h"), pa.array(docs_of), flat.field("start"), flat.field("times"), flat.field("n"), flat.field("at"), pa.array(out, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["route", "h", "doc_id", "start", "times", "n", "at", "seg"])
 
-    fetched = docs.join(wanted, "doc_id").select("doc_id", "text", "parts").mapInArrow(fetch, "route long, h long, doc_id long, start long, times long, n int, at int, seg binary")
+    fetched = docs.join(wanted, "doc_id").select("doc_id", "text", "parts").mapInArrow(fetch, "route long, h long, doc_id long, start int, times long, n int, at int, seg binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shards(batches, 0, 7):
@@ -223,7 +230,7 @@ def masks(docs: DataFrame, found: DataFrame, cut: Cut, search: Callable[[pa.Tabl
             yield from out.filter(matter).to_batches()
 
     sorted_in = spread(fetched, "route").sortWithinPartitions("route", "doc_id", "start")
-    return sorted_in.mapInArrow(run, "route long, h long, first_doc long, first_start long, mask binary")
+    return sorted_in.mapInArrow(run, "route long, h long, first_doc long, first_start int, mask binary")
 
 
 def marks(docs: DataFrame, cut: Cut, search: Callable[[pa.Table], list[bytes]], keep_first: bool) -> DataFrame:
@@ -259,6 +266,14 @@ def covered(size: int, width: int, spans: list[dict] | None) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) as long and string; written so that all uses share one exchange of the documents."""
+    kinds = {"doc_id": "bigint", "text": "string"}
+    if all(docs.schema[c].dataType.simpleString() == k for c, k in kinds.items()):
+        return docs.select("doc_id", "text")
+    return docs.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+
+
 def marked(docs: DataFrame, found: DataFrame, judge: Callable[[bytes, list | None], tuple], schema: str) -> DataFrame:
     """doc_id and what ``judge`` makes of every text and its spans; rows without doc_id have no spans."""
     types = [t.split()[1] for t in schema.split(", ")]

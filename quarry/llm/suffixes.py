@@ -139,7 +139,7 @@ def repeats_removed(docs: DataFrame, cut: passages.Cut = BYTES) -> DataFrame:
     text is empty. Rows that repeat a document are copies of each other, like any others;
     a row without doc_id keeps all its bytes and removes none elsewhere. Other columns are not read.
     """
-    base = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
+    base = passages.plain(docs)
     known = base.where("doc_id is not null")
     found = passages.marks(known, cut, lambda t: repeated_windows(t, cut.width), keep_first=False)
 
