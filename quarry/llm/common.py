@@ -91,7 +91,7 @@ class Rolling:
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
         if len(Rolling._up) <= n:
-            size = 1 << (n + 1).bit_length()
+            size = (n // (1 << 16) + 1) << 16
             for name, base in (("_up", self.BASE), ("_down", inverse(self.BASE))):
                 powers = np.full(size, base, np.uint64)
                 powers[0] = 1

@@ -26,7 +26,7 @@ from quarry.llm.common import Rolling, WordHashes, mixed, settle, spread, text_b
 
 HOT_PARTS, HOT_LEAST = 20_000, 8192
 #: Symbols of text handled at once while cutting, and while searching a shard.
-PIECE, SHARD = 1 << 18, 1 << 21
+PIECE, SHARD = 1 << 18, 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 BYTE_HASH = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -170,9 +170,7 @@ def shards(batches: Iterable[pa.RecordBatch], route: int, text: int) -> Iterator
     """Tables of about SHARD bytes of text that end where a route ends; the input is sorted by route."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
         held.append(batch)
         size += batch.column(text).nbytes
         if size < SHARD:
@@ -282,8 +280,8 @@ def marked(docs: DataFrame, found: DataFrame, judge: Callable[[bytes, list | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
                 out = [judge(t, s) for t, s in zip(text_bytes(part.column(1)), part.column(2).to_pylist(), strict=True)]
                 columns = [pa.array(c, arrow[t]) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *names])

@@ -120,9 +120,9 @@ def _repeated(table: pa.Table, width: int, seed: int) -> list[bytes]:
         if (text[anchor[a] - o] != text[anchor[b] - o]).any():
             raise Collision
         fresh_a, fresh_b = anchor[a[~known]] - o, anchor[b[~known]] - o
-        for i in range(0, len(fresh_a), 1 << 14):
-            span = np.arange(width)
-            if (text[fresh_a[i : i + (1 << 14), None] + span] != text[fresh_b[i : i + (1 << 14), None] + span]).any():
+        span = np.arange(width)
+        for i in range(0, len(fresh_a), 2048):
+            if (text[fresh_a[i : i + 2048, None] + span] != text[fresh_b[i : i + 2048, None] + span]).any():
                 raise Collision
         partner[valid] = -1
         partner[a] = b
