@@ -100,6 +100,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     salts = several.groupBy("text_key", "salt").agg(F.count(F.lit(1)).alias("own"))
     earlier = Window.partitionBy("text_key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     salts = salts.select("text_key", "salt", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("ahead"))
+    # a hot group's rows are dealt out by salt before they are numbered
+    several = several.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text_key", "salt")
     number = F.row_number().over(Window.partitionBy("text_key", "salt").orderBy("doc_id")) - 1
     several = several.withColumn("number", number).join(salts, ["text_key", "salt"]).withColumn("rank", F.col("number") + F.col("ahead"))
     columns = ["doc_id", "size", "text_crc32", "shard", (F.col("before") - start + F.col("rank")).cast("long").alias("slot")]
