@@ -1,0 +1 @@
+"""A retrieval and text-analytics engine on PySpark."""
