@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Mapping
@@ -91,3 +92,17 @@ def project_title(stems: Column) -> Column:
         stems, F.lit(""), lambda a, s: F.when(F.octet_length(a) > 12, a).when(a == "", s).otherwise(F.concat(a, F.lit("/"), s))
     )
     return F.when(joined == "", "Unnamed Project").otherwise(joined)
+
+
+def load(path: str) -> dict[str, Any]:
+    """A configuration file; a missing one is empty."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+    except FileNotFoundError:
+        return {}
+
+
+def save(document: Mapping[str, Any], path: str) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(document, f, indent=2)
