@@ -1,7 +1,8 @@
-"""The store: chunks, tracked files and vectors in versioned folders that are swapped as one.
+"""The store: chunks, tracked files and vectors, changed in commits that count as one.
 
-A change writes the new tables beside the old and then moves one small pointer file, so readers see all of
-a change or nothing, rows and vectors alike.
+A commit writes the rows that it adds and the paths whose older rows go, then one line that names its
+folder; readers see all of it or nothing, rows and vectors alike. So a change costs what it changes.
+Reading takes the commits since the last compaction and leaves out what later commits removed.
 """
 
 from __future__ import annotations
@@ -9,17 +10,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schemas
 from quarry.operators import changes, stats, vectors
 from quarry.operators.chunking import Limits, chunk_documents
+from quarry.operators.numbering import numbered
 from quarry.operators.prompts import labelled
 from quarry.functions.paths import filename
 from quarry.sources.scan import file_rows
 
-TABLES = {"chunks": schemas.CHUNKS, "files": schemas.FILES, "vectors": schemas.VECTORS}
+TABLES = {"chunks": schemas.CHUNKS, "files": schemas.FILES, "vectors": schemas.VECTORS + ", source_id string"}
+#: The column that a table's rows are removed by.
+KEYS = {"chunks": "source_id", "files": "path", "vectors": "source_id"}
 Encoder = Callable[[Column], Column]
 
 
@@ -29,47 +34,50 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, encoder: Encoder, dim: int, metric: str = "cosine", limits: Limits = Limits()):
         self.spark, self.path, self.encoder, self.dim, self.metric, self.limits = spark, path.rstrip("/"), encoder, dim, metric, limits
 
-    def _version(self) -> str | None:
-        """Folder of the newest whole version; only one-line pointers are read."""
+    def _commits(self) -> list[tuple[int, str]]:
+        """(number, folder) of the commits since the last compaction; only one-line files are read."""
         try:
-            row = self.spark.read.schema("number long, folder string").json(f"{self.path}/versions").orderBy(F.desc("number")).first()
-        except Exception as e:
+            lines = self.spark.read.schema("number long, folder string, base boolean").json(f"{self.path}/commits").collect()
+        except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
-                return None
+                return []
             raise
-        return (row.number, row.folder) if row else None
+        start = max((r.number for r in lines if r.base), default=0)
+        return sorted((r.number, r.folder) for r in lines if r.number >= start)
 
     def table(self, name: str) -> DataFrame:
-        version = self._version()
-        if version is None:
+        """The live rows of a table."""
+        commits = self._commits()
+        if not commits:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{version[1]}/{name}")
-
-    def commit(self, **tables: DataFrame) -> None:
-        """Write the given tables (the others are carried over) and move the pointer."""
-        version = self._version()
-        number, folder = (version[0] + 1 if version else 1), f"data-{uuid.uuid4().hex}"
-        for name, schema in TABLES.items():
+        read = lambda n, s: self.spark.read.schema(f"{s}, commit long").parquet(*[f"{self.path}/{f}/{n}" for _, f in commits])
+        gone = read("gone", "path string").groupBy("path").agg(F.max("commit").alias("gone_at"))
+        rows, key = read(name, TABLES[name]), KEYS[name]
+        live = rows.join(gone, rows[key] == gone["path"], "left").where(F.col("gone_at").isNull() | (F.col("commit") >= F.col("gone_at")))
+        return live.select(*[rows[c] for c in schemas.names(TABLES[name])])
+
+    def commit(self, gone: DataFrame | None = None, base: bool = False, **tables: DataFrame) -> None:
+        """Add rows and remove the older rows of the paths in ``gone``; with ``base`` nothing older counts."""
+        commits = self._commits()
+        number, folder = (commits[-1][0] + 1 if commits else 1), f"data-{uuid.uuid4().hex}"
+        tables["gone"] = self.spark.createDataFrame([], "path string") if gone is None else gone.select("path").distinct()
+        for name, schema in (TABLES | {"gone": "path string"}).items():
             df = tables.get(name)
-            (self.table(name) if df is None else df.select(*schemas.names(schema))).write.parquet(f"{self.path}/{folder}/{name}")
-        self.spark.createDataFrame([(number, folder)], "number long, folder string").coalesce(1).write.mode("append").json(f"{self.path}/versions")
+            df = self.spark.createDataFrame([], schema) if df is None else df.select(*schemas.names(schema))
+            df.withColumn("commit", F.lit(number).cast("long")).write.parquet(f"{self.path}/{folder}/{name}")
+        self.spark.createDataFrame([(number, folder, base)], "number long, folder string, base boolean").coalesce(1).write.mode("append").json(f"{self.path}/commits")
 
     def _embedded(self, sources: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
-        made = chunk_documents(sources.select("source", "content"), self.limits)
         place = F.regexp_extract("chunk_id", r"_(\d+)\z", 1).cast("int")
-        # ids follow (source, place): counts by source give each source its first id
-        per = made.groupBy("doc_uri").agg(F.count(F.lit(1)).alias("n"))
-        before = F.sum("n").over(Window.orderBy("doc_uri").rowsBetween(Window.unboundedPreceding, -1))
-        offsets = per.select("doc_uri", F.coalesce(before, F.lit(0)).alias("ahead"))
-        inside = Window.partitionBy("doc_uri").orderBy("place")
-        numbered = made.withColumn("place", place).join(offsets, "doc_uri")
-        numbered = numbered.withColumn("id", (F.lit(first_id) + F.col("ahead") + F.row_number().over(inside)).cast("long"))
+        made = chunk_documents(sources.select("source", "content"), self.limits).withColumn("place", place)
+        # ids follow (source, place); the chunks are written once on the way
+        rows = numbered(made, "doc_uri", "place").withColumn("id", F.lit(first_id).cast("long") + 1 + F.col("row"))
         m = F.col("metadata")
-        rows = numbered.select(
+        rows = rows.select(
             "id", F.col("text").alias("content"), F.col("doc_uri").alias("source_id"), m["unit"].alias("unit"), m["type"].alias("type"), m["start"].alias("start_pos"),
             m["end"].alias("end_pos"), m["token_count"].alias("token_count"), F.current_timestamp().alias("created_at"),
         )
-        vec = rows.select("id", self.encoder(labelled(F.col("content"), filename(F.col("source_id")))).alias("embedding"))
+        vec = rows.select("id", self.encoder(labelled(F.col("content"), filename(F.col("source_id")))).alias("embedding"), "source_id")
         return rows, vectors.checked(vec, self.dim)
 
     def _top_id(self) -> int:
@@ -80,7 +88,7 @@ class Store:
         files = self.table("files")
         fresh = changes.new_only(sources.dropDuplicates(["source"]), files.select(F.col("path").alias("source")), "source")
         rows, vec = self._embedded(fresh, self._top_id())
-        self.commit(chunks=self.table("chunks").unionByName(rows), files=files.unionByName(file_rows(fresh)), vectors=self.table("vectors").unionByName(vec))
+        self.commit(chunks=rows, files=file_rows(fresh), vectors=vec)
 
     def update(self, sources: DataFrame, ignored: DataFrame | None = None) -> dict[str, int]:
         """Bring the store to the state of ``sources`` in one step; returns what changed."""
@@ -91,28 +99,22 @@ class Store:
             gone = found.where("change_type in ('modified', 'deleted')").select("path")
             fresh = current.join(found.where("change_type in ('new', 'modified')").select(F.col("path").alias("source")), "source", "left_semi")
             rows, vec = self._embedded(fresh, self._top_id())
-            chunks = changes.delete_keys(self.table("chunks"), gone.select(F.col("path").alias("source_id")), "source_id")
-            kept = self.table("vectors").join(chunks.select("id"), "id", "left_semi")
-            files = changes.delete_keys(self.table("files"), gone, "path")
-            self.commit(chunks=chunks.unionByName(rows), vectors=kept.unionByName(vec), files=files.unionByName(file_rows(fresh)))
+            self.commit(gone, chunks=rows, vectors=vec, files=file_rows(fresh))
         found.unpersist()
         return summary
 
     def delete_source(self, source_id: str) -> int:
         """Remove a source with its chunks and vectors; returns the number of chunks."""
-        chunks = self.table("chunks")
-        n = chunks.where(F.col("source_id") == source_id).count()
-        left = chunks.where(F.col("source_id") != source_id)
-        self.commit(chunks=left, vectors=self.table("vectors").join(left.select("id"), "id", "left_semi"), files=self.table("files").where(F.col("path") != source_id))
+        n = self.table("chunks").where(F.col("source_id") == source_id).count()
+        self.commit(self.spark.createDataFrame([(source_id,)], "path string"))
         return n
 
     def clear(self) -> None:
-        self.commit(**{n: self.spark.createDataFrame([], s) for n, s in TABLES.items()})
+        self.commit(base=True)
 
     def compact(self) -> None:
-        """Rewrite from live rows in few files."""
-        chunks = self.table("chunks")
-        self.commit(chunks=chunks.repartitionByRange("source_id"), vectors=self.table("vectors").join(chunks.select("id"), "id", "left_semi"))
+        """Rewrite the live rows, chunks and vectors ordered by source; older commits don't count any more."""
+        self.commit(base=True, chunks=self.table("chunks").repartitionByRange("source_id"), vectors=self.table("vectors").repartitionByRange("source_id"), files=self.table("files"))
 
     def search(self, query: Sequence[float], k: int = 10) -> DataFrame:
         """The k best chunks, best first; hits whose chunk is gone are dropped."""
@@ -124,7 +126,7 @@ class Store:
         )
 
     def search_with_filter(self, query: Sequence[float], source: str = "", kind: str = "", k: int = 10) -> DataFrame:
-        rows = self.table("vectors").join(self.table("chunks").select("id", "source_id", "type"), "id")
+        rows = self.table("vectors").join(self.table("chunks").select("id", "type"), "id")
         return vectors.search_with_filter(rows, list(query), k, source, kind, self.metric)
 
     def chunk(self, chunk_id: int) -> DataFrame:
