@@ -18,11 +18,14 @@ EVERY, LEAST = 4, 2
 
 
 def borders(lines: Column, every: int) -> Column:
-    """Numbers (from 0) of the lines that begin a chunk."""
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice(hashes, F.lit(1), F.size(lines) - 1))
-    rolled = F.zip_with(before, hashes, lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(every)))
-    chosen = F.transform(rolled, lambda r, i: F.when((i == 0) | (r == 0), i))
+    """Numbers (from 0) of the lines that begin a chunk.
+
+    The rolling hash is MD5 over the MD5s of two neighbouring lines, so that any engine can repeat it.
+    """
+    hashes = F.transform(lines, lambda x: F.md5(x.cast("binary")))
+    before = F.concat(F.array(F.lit("")), F.slice(hashes, F.lit(1), F.size(lines) - 1))
+    rolled = F.zip_with(before, hashes, lambda a, b: F.conv(F.substring(F.md5(F.concat(a, b).cast("binary")), 1, 8), 16, 10).cast("long"))
+    chosen = F.transform(rolled, lambda r, i: F.when((i == 0) | (F.pmod(r, F.lit(every)) == 0), i))
     return F.filter(chosen, lambda i: i.isNotNull())
 
 
@@ -46,7 +49,9 @@ def repeated_chunks(docs: DataFrame, every: int = EVERY, least: int = LEAST) ->
     twice = settle(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash"), "chunk-hashes")
     found = settle(hashed.join(twice, "hash", "left_semi").select("doc_id", "chunk", "hash", "text"), "chunks")
     # the bytes decide: chunks are one only if their texts are equal
-    first = found.groupBy("hash", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", F.col("text").alias("same"), "first")
+    first = found.groupBy("hash", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    # written, so that both sides of the join are dealt anew and a hot chunk's rows can be split
+    first = settle(first.select("hash", F.col("text").alias("same"), "first"), "first-chunks")
     later = found.join(first, (found.hash == first.hash) & (F.col("text") == F.col("same"))).where(place > F.col("first"))
     return later.select("doc_id", "chunk")
 
@@ -84,4 +89,19 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_lines": op9_lines}
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_lines": f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+h AS (SELECT *, lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM l),
+b AS (SELECT *, CASE WHEN i = 0 OR CAST('0x' || substr(md5(prev || md5(line)), 1, 8) AS BIGINT) % {EVERY} = 0 THEN 1 ELSE 0 END AS begins FROM h),
+c AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk FROM b),
+g AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, chunk),
+r AS (SELECT *, n >= {LEAST} AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM g),
+t AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed, count(*) FILTER (gone) AS n_chunks_removed,
+    string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_chunks_removed, 0) AS n_chunks_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+}

@@ -1,25 +1,18 @@
+import hashlib
 import random
 
-import xxhash
-
 from quarry.llm import lines
 
 SCHEMA = "doc_id long, text string, gone string, lines string"
 
 
-def spark_hash(values):
-    """xxhash64 of strings or longs, chained as the engine does: each hash seeds the next."""
-    h = 42
-    for v in values:
-        data = v.encode() if isinstance(v, str) else (v % (1 << 64)).to_bytes(8, "little")
-        h = xxhash.xxh64_intdigest(data, h)
-    return h - (1 << 64) if h >> 63 else h
+def md5(s):
+    return hashlib.md5(s.encode()).hexdigest()
 
 
 def cut(text, every=4):
     ls = text.split("\n")
-    hs = [spark_hash([x]) for x in ls]
-    at = [i for i in range(len(ls)) if i == 0 or spark_hash([hs[i - 1], hs[i]]) % every == 0]
+    at = [i for i in range(len(ls)) if i == 0 or int(md5(md5(ls[i - 1]) + md5(ls[i]))[:8], 16) % every == 0]
     return [ls[a:b] for a, b in zip(at, [*at[1:], len(ls)], strict=True)]
 
 
