@@ -272,7 +272,9 @@ def scores(docs: DataFrame) -> DataFrame:
     tokens, kinds = row[0] or 0, row[1] or 0
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches = -(-size // BATCH) + 1
-    batched = spread(base.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")), "batch")
+    # a partition for each batch at least, however many there are
+    n_parts = max(n_batches, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    batched = base.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")).repartition(n_parts, "batch")
 
     def ask(table: pa.Table) -> pa.Table:
         memo, found, size = WordHashes(), [], 0
