@@ -159,4 +159,19 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffixes": op10_suffixes}
-SQL: dict[str, str] = {}
+SQL = {
+    "op10_suffixes": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS j FROM d),
+w AS (SELECT doc_id, j, substr(h, CAST(2 * j + 1 AS BIGINT), 2) AS byte, CASE WHEN 2 * j + 400 <= length(h) THEN md5(substr(h, CAST(2 * j + 1 AS BIGINT), 400)) END AS win FROM b),
+f AS (SELECT doc_id, j, byte, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS twice FROM w),
+l AS (SELECT doc_id, j, byte, max(CASE WHEN twice THEN j END) OVER (PARTITION BY doc_id ORDER BY j) AS last FROM f),
+g AS (SELECT doc_id, j, byte, coalesce(j - last < 200, false) AS gone FROM l),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS starts FROM g),
+r AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans,
+    string_agg(byte, '' ORDER BY j) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+}
