@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, settle
+from quarry.llm.common import documents, settle, spread
 
 SHARDS = 16
 #: Capacities tried at once; rows numbered by one window.
-TRIED, NUMBERED = 24, 4096
+TRIED, NUMBERED = 24, 256
 
 
 def ordered_groups(base: DataFrame) -> DataFrame:
@@ -96,12 +96,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     salt = F.when(F.col("members") > NUMBERED, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / NUMBERED))).otherwise(F.lit(0)).cast("long")
     rows = base.join(placed, "text_key").withColumn("salt", salt)
     single = rows.where("members = 1").withColumn("rank", F.lit(0).cast("long"))
-    several = rows.where("members > 1")
+    # a hot group's rows are dealt out by salt before they are counted and numbered
+    several = spread(rows.where("members > 1"), "text_key", "salt")
     salts = several.groupBy("text_key", "salt").agg(F.count(F.lit(1)).alias("own"))
     earlier = Window.partitionBy("text_key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     salts = salts.select("text_key", "salt", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("ahead"))
-    # a hot group's rows are dealt out by salt before they are numbered
-    several = several.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text_key", "salt")
     number = F.row_number().over(Window.partitionBy("text_key", "salt").orderBy("doc_id")) - 1
     several = several.withColumn("number", number).join(salts, ["text_key", "salt"]).withColumn("rank", F.col("number") + F.col("ahead"))
     columns = ["doc_id", "size", "text_crc32", "shard", (F.col("before") - start + F.col("rank")).cast("long").alias("slot")]
