@@ -110,10 +110,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Documents of no words have no part in the budget and follow their source's threshold as the others.
     """
-    copies = mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct()
+    mixed = mix(docs).select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("copies").alias("__mix_copies")).distinct()
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & source.eqNullSafe(F.col("_source")))
-    repeated = joined.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    joined = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & source.eqNullSafe(F.col("__mix_source")))
+    repeated = joined.where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
     return repeated.select(*docs.columns)
 
 

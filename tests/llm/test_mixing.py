@@ -1,4 +1,3 @@
-import hashlib
 import re
 
 import duckdb
@@ -7,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import mixing
 
-SCHEMA = "doc_id long, text string, source string, size string, hash string"
+SCHEMA = "doc_id long, text string, source string, size string, copies string"
 
 
 def water(sizes, weights, share, most):
