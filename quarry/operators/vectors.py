@@ -41,6 +41,13 @@ def checked(vectors: DataFrame, dim: int, column: str = "embedding") -> DataFram
     return vectors.where(F.coalesce(F.assert_true(F.size(column) == dim, message).cast("string"), F.lit("")) == "")
 
 
+def paired(texts: Column, embeddings: Column) -> Column:
+    """array<struct<text, embedding>> of two arrays by place; unequal lengths fail the query."""
+    checked_ = F.assert_true(F.size(texts) == F.size(embeddings), "a text and a vector for each place are due")
+    pairs = F.zip_with(texts, embeddings, lambda t, e: F.struct(t.alias("text"), e.alias("embedding")))
+    return F.when(checked_.isNull(), pairs)
+
+
 def distance_of(metric: str):
     """cosine: 1 - inner product, similarity the product; any other: squared L2, similarity 1 / (1 + d)."""
     return "dot" if metric == "cosine" else "l2"

@@ -9,7 +9,7 @@ from quarry.functions import content_type as ct
 from quarry.functions import hashing, paths, text, tokens
 from quarry.operators import changes, chunking, config, packing, prompts, registry, stats, vectors
 from quarry.plans import tables as t
-from quarry.sources.scan import related_sources
+from quarry.sources.scan import last_entries, related_sources, shared_folders_removed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -542,6 +542,38 @@ def chat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.chat_export(t.read(spark, sf_dir, "conversations"))
 
 
+@query("""
+SELECT conv_id, turn, string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS history FROM conversations""")
+def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.with_history(t.read(spark, sf_dir, "conversations"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN strlen(text) > 200 THEN left(text, list_max(list_filter(range(0, 201), lambda n: strlen(left(text, n)) <= 200))) || '...' ELSE text END AS preview FROM documents""")
+def result_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.read(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT n_nationkey AS id, n_name AS short FROM nation")
+def shared_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/n/"), "n_name")
+    rows = t.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), "n_regionkey", path.alias("path"))
+    return shared_folders_removed(rows, "n_regionkey").select("id", "short")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def last_log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_entries(t.read(spark, sf_dir, "events"), ["ts", "event_id"]).select("event_id", "event_type")
+
+
+@query("""
+SELECT s_suppkey AS id, CASE WHEN b = 0 THEN '0 Byte' ELSE CAST(CAST(floor(b / pow(1024, e) + 0.5) AS BIGINT) AS VARCHAR) || ' ' || ['Bytes', 'KB', 'MB', 'GB', 'TB'][e + 1] END AS size
+FROM (SELECT s_suppkey, s_suppkey * s_suppkey * 997 AS b, CAST(floor(log2(greatest(s_suppkey * s_suppkey * 997, 1)::DOUBLE) / 10) AS INT) AS e FROM supplier)""")
+def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return t.read(spark, sf_dir, "supplier").select(k.alias("id"), text.bytes_to_size(k * k * 997).alias("size"))
+
+
 @query(_BEATS)
 def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heartbeats read as a file stream to its end, kept as the latest beat of each instance."""

@@ -123,3 +123,22 @@ def project_list(spark: SparkSession, folder: str, refs: Sequence[str] = ()) ->
     for r in refs:
         df = df.unionByName(read(r))
     return df.where(F.try_parse_json("document").isNotNull() & F.rlike("document", F.lit(r"\A\s*\{")))
+
+
+def shared_folders_removed(rows: DataFrame, group: str, path: str = "path") -> DataFrame:
+    """``rows`` with ``short``: the path without the leading folders that all of its group share.
+
+    What all share is what the least and the greatest share, so a group is never gathered; one segment stays.
+    """
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    ends = rows.groupBy(group).agg(F.min(parts).alias("_low"), F.max(parts).alias("_high"), F.min(F.size(parts)).alias("_least"))
+    differs = F.filter(F.sequence(F.lit(1), F.col("_least")), lambda i: F.element_at("_low", i) != F.element_at("_high", i))
+    shared = F.coalesce(F.array_min(differs) - 1, F.col("_least"))
+    cut = F.when(shared == F.col("_least"), shared - 1).otherwise(shared)
+    short = F.when(cut > 0, F.array_join(F.slice(parts, cut + 1, F.size(parts)), "/")).otherwise(F.col(path))
+    return rows.join(ends, group).withColumn("short", short).drop("_low", "_high", "_least")
+
+
+def last_entries(log: DataFrame, order: list[str], n: int = 100) -> DataFrame:
+    """The last ``n`` entries of a log."""
+    return log.orderBy(*[F.desc(c) for c in order]).limit(n)

@@ -161,3 +161,15 @@ def test_stats(spark):
     assert (row.total_files, row.total_lines, row.total_size_bytes) == (3, 5, 15)
     assert row.by_language == {"Python": 1, "Markdown": 1} and row.by_directory == {"d": 2}
     assert [(x.path, x.chunks) for x in row.top_files] == [("d/b.md", 2), ("d/a.py", 0)]
+
+
+def test_paired_and_shared_folders(spark):
+    pair = lambda t, e: spark.range(1).select(vectors.paired(F.lit(t), F.lit(e)).alias("p")).first().p
+    assert [(x.text, x.embedding) for x in pair(["a", "b"], [1, 2])] == [("a", 1), ("b", 2)]
+    with pytest.raises(Exception, match="are due"):
+        pair(["a"], [1, 2])
+    rows = [(1, "a/b/c"), (1, "a/b/d/e"), (2, "x"), (3, "p/q"), (3, "r/q"), (4, "m\\n"), (4, "m/n/o")]
+    from quarry.sources.scan import shared_folders_removed
+
+    got = shared_folders_removed(spark.createDataFrame(rows, "g long, path string"), "g")
+    assert sorted((r.g, r.short) for r in got.collect()) == [(1, "c"), (1, "d/e"), (2, "x"), (3, "p/q"), (3, "r/q"), (4, "n"), (4, "n/o")]
