@@ -101,6 +101,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+BYTE_HASH = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_places(data: np.ndarray, no_word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of UTF-8 bytes; bytes marked in ``no_word`` belong to none."""
+    word = ~SPACE[data]
+    if no_word is not None:
+        word &= ~no_word
+    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return mixed(Rolling(BYTE_HASH[data]).ranges(starts, ends) + mixed((ends - starts).astype(np.uint64)))
+
+
+def hashed_words(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the words of each text."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    starts, ends = word_places(data)
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    return np.split(word_hashes(data, starts, ends), np.searchsorted(starts, bounds[:-1])) if texts else []
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partition by ``cols`` into the session's number of shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(c) for c in cols])

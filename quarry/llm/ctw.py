@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, documents, mixed, settle, spread, text_bytes
+from quarry.llm.common import SPACE, blocks, documents, settle, spread, text_bytes, word_hashes, word_places
 
 DEPTH, BATCH, BLOCK = 4, 24 << 20, 1 << 20
 END_OF_TEXT, PAD = b"\xff", b"\x00" * DEPTH
@@ -37,44 +37,50 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-def _strings(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(packed strings of DEPTH + 1 bytes that end at each coded byte, how many each text has)."""
-    coded = [b" ".join(words) for words in texts]
-    data = np.frombuffer(b"".join(PAD + c + END_OF_TEXT for c in coded), np.uint8).astype(np.uint64)
-    sizes = np.array([len(c) + 1 for c in coded], np.int64)
-    packed = np.zeros(max(0, len(data) - DEPTH), np.uint64)
-    for k in range(DEPTH + 1):
-        packed = (packed << np.uint64(8)) | data[k : k + len(packed)]
-    ends = np.cumsum(sizes + DEPTH)
-    # place i of packed codes byte i + DEPTH; a text's padding is not coded
-    keep = np.ones(len(packed) + DEPTH, bool)
-    keep[((ends - sizes - DEPTH)[:, None] + np.arange(DEPTH)).ravel()] = False
-    return packed[keep[DEPTH:]], sizes
-
-
-def _blocks(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Ids and lower-cased words in blocks of about BLOCK bytes."""
-    held, own, size = [], [], 0
-    for i, t in zip(ids, texts, strict=True):
-        held.append(i)
-        own.append(t.lower().split())
-        size += len(t) + 1
-        if size >= BLOCK:
-            yield held, own
-            held, own, size = [], [], 0
-    if held:
-        yield held, own
-
-
-def _words(texts: list[list[bytes]], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of the words and ends of all texts, tokens of each text)."""
-    sizes = np.array([len(w) + 1 for w in texts], np.int64)
-    keys = np.full(int(sizes.sum()), END_WORD, np.uint64)
-    place = np.ones(len(keys), bool)
-    place[np.cumsum(sizes) - 1] = False
-    own = memo.array([w for words in texts for w in words]) | WORD_BIT
-    keys[place] = np.where(own == END_WORD, END_WORD - np.uint64(1), own)
-    return keys, sizes
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+LOWER[SPACE] = 0x20
+
+
+def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(packed strings, how many each text has, keys of tokens, how many each text has).
+
+    Texts are lower-cased, words stand one space apart; a packed string is DEPTH + 1 bytes that end at a
+    coded byte; every text ends in a byte and a token of their own.
+    """
+    data = np.frombuffer(b"".join([PAD + t + END_OF_TEXT for t in texts]), np.uint8)
+    lengths = np.array([len(t) + DEPTH + 1 for t in texts], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    frame = np.zeros(len(data), bool)
+    frame[(begins[:, None] + np.arange(DEPTH)).ravel()] = True
+    frame[begins + lengths - 1] = True
+    starts, ends = word_places(data, frame)
+    low = LOWER[data]
+    first = np.searchsorted(starts, begins)
+    n_words = np.diff(np.r_[first, len(starts)])
+    # tokens: the words of each text and an end
+    keys = np.full(len(starts) + len(texts), END_WORD, np.uint64)
+    own = word_hashes(low, starts, ends) | WORD_BIT
+    keys[np.arange(len(starts)) + np.repeat(np.arange(len(texts)), n_words)] = np.where(own == END_WORD, END_WORD - np.uint64(1), own)
+    # bytes: words, one space before each word but the first, padding and end
+    keep = ~SPACE[data] | frame
+    spaced = np.ones(len(starts), bool)
+    spaced[first[n_words > 0]] = False
+    keep[starts[spaced] - 1] = True
+    text = low[keep]
+    sizes = np.add.reduceat(keep.astype(np.int64), begins)
+    two = (text[:-1].astype(np.uint16) << np.uint16(8)) | text[1:]
+    four = (two[:-2].astype(np.uint32) << np.uint32(16)) | two[2:]
+    packed = (four[:-1].astype(np.uint64) << np.uint64(8)) | text[DEPTH:]
+    real = np.ones(len(text), bool)
+    real[((np.cumsum(sizes) - sizes)[:, None] + np.arange(DEPTH)).ravel()] = False
+    return packed[real[DEPTH:]], sizes - DEPTH, keys, n_words + 1
+
+
+def _blocks(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts in blocks of about BLOCK bytes."""
+    for part in blocks(zip(ids, texts, strict=True), BLOCK):
+        yield [i for i, _ in part], [t for _, t in part]
 
 
 class Counts:
@@ -109,14 +115,15 @@ def counted(docs: DataFrame) -> DataFrame:
     """(key, n): every word and byte string of the corpus, and its count in the training documents (0 is kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, memo = Counts(), WordHashes()
+        counts = Counts()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 for ids, texts in _blocks(part.column(0).to_pylist(), text_bytes(part.column(1))):
                     train = np.array([not held_out(d) for d in ids])
-                    for keys, sizes in (_strings(texts), _words(texts, memo)):
-                        counts.add(keys, np.repeat(train, sizes))
+                    strings, n_strings, words, n_words = coded(texts)
+                    counts.add(strings, np.repeat(train, n_strings))
+                    counts.add(words, np.repeat(train, n_words))
         yield _rows(counts.merge())
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "key long, n long")
@@ -233,30 +240,34 @@ def string_scores(counts: DataFrame) -> DataFrame:
 class Table:
     """Open-addressed lookup of 64-bit keys, built and asked in whole arrays."""
 
+    SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.keys, self.values = keys, values
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        mask = (1 << self.bits) - 1
+        used, self.keys, self.values = np.full(1 << self.bits, -1, np.int32), np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits)
         todo, at = np.arange(len(keys), dtype=np.int32), self._place(keys)
         while len(todo):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = todo[free]
-            lost = self.slots[at] != todo
-            todo, at = todo[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+            free = used[at] < 0
+            used[at[free]] = todo[free]
+            lost = used[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) & mask
+        taken = np.flatnonzero(used >= 0)
+        self.keys[taken], self.values[taken] = keys[used[taken]], values[used[taken]]
+        # an empty place must not look like a key
+        self.keys[used < 0] = ~np.uint64(0) - np.uint64(2)
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((keys * self.SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values of keys, all of which must be there."""
         at = self._place(keys)
-        found = self.slots[at]
-        wrong = np.flatnonzero(self.keys[found] != keys)
+        wrong = np.flatnonzero(self.keys[at] != keys)
         while len(wrong):
             at[wrong] = (at[wrong] + 1) & ((1 << self.bits) - 1)
-            found[wrong] = self.slots[at[wrong]]
-            wrong = wrong[self.keys[found[wrong]] != keys[wrong]]
-        return self.values[found]
+            wrong = wrong[self.keys[at[wrong]] != keys[wrong]]
+        return self.values[at]
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -277,9 +288,9 @@ def scores(docs: DataFrame) -> DataFrame:
     batched = base.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")).repartition(n_parts, "batch")
 
     def ask(table: pa.Table) -> pa.Table:
-        memo, found, size = WordHashes(), [], 0
+        found, size = [], 0
         for _, texts in _blocks(table.column("doc_id").to_pylist(), [t for c in table.column("text").chunks for t in text_bytes(c)]):
-            for keys in (_strings(texts)[0], _words(texts, memo)[0]):
+            for keys in coded(texts)[::2]:
                 found.append(np.unique(keys))
                 size += len(found[-1])
             if size > 4_000_000:
@@ -288,12 +299,11 @@ def scores(docs: DataFrame) -> DataFrame:
         return pa.table({"batch": pa.array(np.full(len(keys), table.column("batch")[0].as_py(), np.int32)), "key": keys.view(np.int64)})
 
     def add(docs_: pa.Table, answers: pa.Table) -> pa.Table:
-        table, memo = Table(answers.column("key").to_numpy().view(np.uint64), answers.column("value").to_numpy()), WordHashes()
+        table = Table(answers.column("key").to_numpy().view(np.uint64), answers.column("value").to_numpy())
         out = []
         log_base = math.log10(tokens + ALPHA * (kinds + 1))
         for ids, texts in _blocks(docs_.column("doc_id").to_pylist(), [t for c in docs_.column("text").chunks for t in text_bytes(c)]):
-            strings, n_bytes = _strings(texts)
-            words, n_words = _words(texts, memo)
+            strings, n_bytes, words, n_words = coded(texts)
             count = table.get(words)
             starts = np.cumsum(n_words) - n_words
             known = np.add.reduceat((count > 0).astype(np.int64), starts)
