@@ -8,8 +8,9 @@ bits) are collapsed to their first occurrence before any text moves. What a shar
 given by the caller (an FM-index, a suffix sort), on the segments' own text.
 
 Hot minimizers (a passage in a third of all documents) would gather all its surroundings in one shard.
-Minimizers that hold more than 1/HOT_PARTS of the candidate rows, so at most HOT_PARTS of them, are
-dealt further: their windows are grouped by offset in steps, under the hash of what a step shares.
+Those with more rows than a quarter of an even partition, or than HOT_MOST, are dealt further: their
+windows are grouped by offset in steps, under the hash of what a step shares. They hold more than
+1/HOT_PARTS of the candidate rows each, so there are at most HOT_PARTS of them to tell the tasks.
 """
 
 from __future__ import annotations
@@ -22,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Rolling, WordHashes, mixed, settle, spread, text_bytes
+from quarry.llm.common import BYTE_HASH, Rolling, blocks, hashed_words, mixed, settle, spread, text_bytes
 
-HOT_PARTS, HOT_LEAST = 20_000, 8192
+HOT_PARTS, HOT_MOST, HOT_LEAST = 20_000, 8192, 512
 #: Symbols of text handled at once while cutting, and while searching a shard.
 PIECE, SHARD = 1 << 18, 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
-BYTE_HASH = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -99,28 +99,29 @@ def _texts(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple[int, bytes]
         yield from zip(part.column(0).to_pylist(), text_bytes(part.column(1)), strict=True)
 
 
-def _pieces(batch: pa.RecordBatch, cut: Cut, memo: WordHashes) -> Iterator[tuple]:
-    """(doc ids, offsets of pieces in their documents, symbols, bounds): whole texts, long ones in overlapping pieces."""
+def _pieces(batch: pa.RecordBatch, cut: Cut) -> Iterator[tuple[list, list, list]]:
+    """(doc ids, offsets of pieces in their documents, symbols): whole texts, long ones in overlapping pieces."""
     ids, offsets, parts, size = [], [], [], 0
-    for doc, text in _texts(batch):
-        symbols = np.frombuffer(text, np.uint8) if cut.unit == "byte" else memo.array(text.split())
-        for at in range(0, max(1, len(symbols) - cut.width + 1), PIECE):
-            part = symbols[at : at + PIECE + cut.width - 1]
-            ids.append(doc)
-            offsets.append(at)
-            parts.append(part)
-            size += len(part)
-            if size >= PIECE:
-                yield ids, offsets, parts
-                ids, offsets, parts, size = [], [], [], 0
+    for block in blocks(_texts(batch), PIECE):
+        texts = [t for _, t in block]
+        symbols_of = [np.frombuffer(t, np.uint8) for t in texts] if cut.unit == "byte" else hashed_words(texts)
+        for (doc, _), symbols in zip(block, symbols_of, strict=True):
+            for at in range(0, max(1, len(symbols) - cut.width + 1), PIECE):
+                part = symbols[at : at + PIECE + cut.width - 1]
+                ids.append(doc)
+                offsets.append(at)
+                parts.append(part)
+                size += len(part)
+                if size >= PIECE:
+                    yield ids, offsets, parts
+                    ids, offsets, parts, size = [], [], [], 0
     if ids:
         yield ids, offsets, parts
 
 
 def _cut(batches: Iterator[pa.RecordBatch], cut: Cut, hot: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
-    memo = WordHashes()
     for batch in batches:
-        for ids, offsets, parts in _pieces(batch, cut, memo):
+        for ids, offsets, parts in _pieces(batch, cut):
             sizes = np.array([len(p) for p in parts])
             symbols = np.concatenate(parts)
             symbols = BYTE_HASH[symbols] if cut.unit == "byte" else symbols
@@ -159,8 +160,10 @@ def candidates(docs: DataFrame, cut: Cut) -> DataFrame:
     """The segments whose minimizer occurs twice or more in the corpus."""
     twice = settle(_keys(docs, cut).groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "keys")
     total = twice.agg(F.sum("times")).first()[0] or 0
-    # by their share of all rows there are HOT_PARTS of these at most
-    hot = [r.key for r in twice.where(F.col("times") > max(HOT_LEAST, total // HOT_PARTS)).select("key").collect()]
+    even = total // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # over a quarter of an even partition, or HOT_MOST rows; by their share of all rows there are HOT_PARTS of these at most
+    limit = max(total // HOT_PARTS, min(HOT_MOST, max(HOT_LEAST, even)))
+    hot = [r.key for r in twice.where(F.col("times") > limit).select("key").collect()]
     hot = np.sort(np.array(hot, np.int64).view(np.uint64))
     found = rows(docs, cut, hot).join(twice.select("key"), "key", "left_semi")
     return settle(found.select(F.col("key").bitwiseXOR(F.col("finer")).alias("route"), "h", "doc_id", "start", "n", "at"), "segments")
@@ -207,16 +210,19 @@ def masks(docs: DataFrame, found: DataFrame, cut: Cut, search: Callable[[pa.Tabl
                 counts = np.diff(lists.offsets.to_numpy())
                 flat = lists.flatten()
                 start, n = (flat.field(k).to_numpy() for k in ("start", "n"))
-                out, at = [], 0
+                out, whole, at = [], [], 0
                 for text, c in zip(text_bytes(part.column(1)), counts.tolist(), strict=True):
                     symbols = text if cut.unit == "byte" else text.split()
                     for s, k in zip(start[at : at + c].tolist(), n[at : at + c].tolist(), strict=True):
                         own = symbols[s : s + k + cut.width - 1]
+                        # a row that shares the doc_id but not the text may end before
+                        whole.append(len(own) == k + cut.width - 1)
                         out.append(own if cut.unit == "byte" else b" ".join(own))
                     at += c
                 docs_of = np.repeat(part.column(0).to_numpy(), counts)
                 columns = [flat.field("route"), flat.field("h"), pa.array(docs_of), flat.field("start"), flat.field("times"), flat.field("n"), flat.field("at"), pa.array(out, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["route", "h", "doc_id", "start", "times", "n", "at", "seg"])
+                found_ = pa.RecordBatch.from_arrays(columns, ["route", "h", "doc_id", "start", "times", "n", "at", "seg"])
+                yield found_.filter(pa.array(whole, pa.bool_()))
 
     fetched = docs.join(wanted, "doc_id").select("doc_id", "text", "parts").mapInArrow(fetch, "route long, h long, doc_id long, start int, times long, n int, at int, seg binary")
 
@@ -244,7 +250,7 @@ def marks(docs: DataFrame, cut: Cut, search: Callable[[pa.Table], list[bytes]],
         own = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
         joined = joined.withColumn("mask", F.when(own, F.col("mask")))
     joined = joined.where("mask is null or octet_length(mask) > 0")
-    return joined.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "mask")).alias("spans"))
+    return joined.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "mask")).alias("spans"))
 
 
 def covered(size: int, width: int, spans: list[dict] | None) -> np.ndarray:

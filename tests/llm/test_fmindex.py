@@ -40,6 +40,7 @@ def corpus(seed, n=60):
 def test_against_brute_force(spark, monkeypatch, hot):
     if hot:
         monkeypatch.setattr(passages, "HOT_LEAST", 3)
+        monkeypatch.setattr(passages, "HOT_MOST", 3)
         monkeypatch.setattr(passages, "HOT_PARTS", 10_000)
     monkeypatch.setattr(passages, "PIECE", 50)
     rows = corpus(3 + hot)
@@ -79,3 +80,10 @@ def test_sql_agrees(spark):
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
     got = fmindex.repeats_removed(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id", "n_words", "n_removed", "sha2(cast(kept as binary), 256)")
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(fmindex.SQL["op1_substrings"]).fetchall())
+
+
+def test_one_id_with_two_texts_does_not_break(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (1, "short one"), (2, text)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in fmindex.repeats_removed(docs).collect())
+    assert got == [(1, 2, 0), (1, 60, 0), (2, 60, 60)]

@@ -38,6 +38,7 @@ def corpus(seed, n=40):
 def test_against_brute_force(spark, monkeypatch, hot):
     if hot:
         monkeypatch.setattr(passages, "HOT_LEAST", 3)
+        monkeypatch.setattr(passages, "HOT_MOST", 3)
         monkeypatch.setattr(passages, "HOT_PARTS", 10_000)
     monkeypatch.setattr(passages, "PIECE", 90)
     rows = corpus(3 + hot)
