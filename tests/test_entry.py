@@ -17,3 +17,15 @@ def test_numbered(spark):
     got = {r.k: r.row for r in numbered(rows, "k").collect()}
     assert got == {k: k for k in range(500)}
     assert numbered(rows.limit(0), "k").count() == 0
+
+
+def test_ship(spark, monkeypatch, tmp_path):
+    from quarry import ship
+
+    assert ship.found_by_workers(spark.sparkContext.master) and not ship.found_by_workers("yarn")
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.delenv("PYTHONPATH", raising=False)
+    assert not ship.found_by_workers("local[2]")
+    ship.ship(spark)
+    ship.ship(spark)
+    assert spark.sparkContext.applicationId in ship._done
