@@ -10,30 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, mixing, quality, queries, sharding, simhash
 from quarry.llm.common import documents, settle
+from quarry.ship import ship
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that fail the rules or lose too much text."""
+    ship(spark)
     return quality.clean_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    ship(spark)
     return decontaminate.clean_of_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: no, one or two rows."""
+    ship(spark)
     return mixing.mixed_documents(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row of the mix."""
+    ship(spark)
     return sharding.shard_documents(docs)
 
 
