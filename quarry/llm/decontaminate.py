@@ -40,21 +40,40 @@ _CODES = {NUM: 0x9E3779B97F4A7C15, UNIT: 0xC2B2AE3D27D4EB4F, NAME: 0x165667B19E3
 
 
 class Canon(dict):
-    """word -> (hash at a sentence's start, hash elsewhere, type at start, type elsewhere, ends a sentence)."""
+    """word -> number of its row in the arrays: template hash at a sentence's start and elsewhere, types there, ends a sentence."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int, int, int, bool]:
-        if len(self) > 250_000:
-            self.clear()
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[tuple[int, int, int, int, bool]] = []
+        self.hashes, self.types, self.stops = np.zeros((2, 0), np.uint64), np.zeros((2, 0), np.int8), np.zeros(0, bool)
+
+    def __missing__(self, word: bytes) -> int:
         core = word.strip(EDGE) or word
         low = core.lower()
-        if low in NUMBER_WORDS or NUMBER.fullmatch(core) or QUANTITY.fullmatch(core):
+        start = other = WORD_TYPE
+        if core[0] in b"+-$0123456789" and (NUMBER.fullmatch(core) or QUANTITY.fullmatch(core)) or low in NUMBER_WORDS:
             start = other = NUM
         elif low in UNITS:
             start = other = UNIT
-        else:
-            start, other = WORD_TYPE, NAME if core[:1].isupper() and len(core) > 1 and not core.isupper() else WORD_TYPE
+        elif core[:1].isupper() and len(core) > 1 and not core.isupper():
+            other = NAME
         plain = xxhash.xxh64_intdigest(low, 5)
-        self[word] = out = (_CODES.get(start, plain), _CODES.get(other, plain), start, other, word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?"))
+        self.fresh.append((_CODES.get(start, plain), _CODES.get(other, plain), start, other, word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?")))
+        self[word] = n = len(self)
+        return n
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Rows of the words; what is known is forgotten between calls at half a million words."""
+        if len(self) > 500_000:
+            self.clear()
+            self.__init__()
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            h0, h1, t0, t1, stop = zip(*self.fresh, strict=True)
+            self.hashes = np.hstack([self.hashes, np.array([h0, h1], np.uint64)])
+            self.types = np.hstack([self.types, np.array([t0, t1], np.int8)])
+            self.stops = np.hstack([self.stops, np.array(stop, bool)])
+            self.fresh = []
         return out
 
 
@@ -65,15 +84,11 @@ def canonical(texts: list[bytes], memo: Canon) -> tuple[list[bytes], np.ndarray,
         own = t.split()
         words += own
         sizes[i] = len(own)
-    if not words:
-        return [], sizes, np.zeros(0, np.uint64), np.zeros(0, np.int8)
-    h0, h1, t0, t1, stop = zip(*map(memo.__getitem__, words), strict=True)
-    first = np.r_[True, np.array(stop, bool)[:-1]]
+    n = memo.numbers(words)
+    first = np.r_[True, memo.stops[n]][:-1]
     starts = np.cumsum(sizes) - sizes
     first[starts[sizes > 0]] = True
-    hashes = np.where(first, np.array(h0, np.uint64), np.array(h1, np.uint64))
-    types = np.where(first, np.array(t0, np.int8), np.array(t1, np.int8))
-    return words, sizes, hashes, types
+    return words, sizes, np.where(first, memo.hashes[0, n], memo.hashes[1, n]), np.where(first, memo.types[0, n], memo.types[1, n])
 
 
 def windows(sizes: np.ndarray, hashes: np.ndarray, types: np.ndarray, width: int, plain: int) -> tuple[np.ndarray, np.ndarray]:

@@ -56,8 +56,9 @@ def test_against_brute_force(spark):
         memo, words = dec.Canon(), t.encode().split()
         out, start = [], True
         for w in words:
-            out.append((memo[w][0] if start else memo[w][1], memo[w][2] if start else memo[w][3], w.strip(dec.EDGE).lower().decode()))
-            start = memo[w][4]
+            n, k = int(memo.numbers([w])[0]), 0 if start else 1
+            out.append((int(memo.hashes[k, n]), int(memo.types[k, n]), w.strip(dec.EDGE).lower().decode()))
+            start = memo.stops[n]
         return [(i, tuple(x[0] for x in out[i : i + width]), [x[2] for x in out[i : i + width] if x[1]]) for i in range(len(out) - width + 1) if sum(x[1] == 0 for x in out[i : i + width]) >= plain]
 
     want = set()
