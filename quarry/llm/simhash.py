@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import copies
 from quarry.llm.common import documents, settle, spread, text_bytes
 from quarry.llm.components import components
 
@@ -200,9 +201,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, the one with the least doc_id; columns unchanged.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows without a doc_id stay.
+    Near copies are those of ``copies``: five-word shingles alike to 0.8 or more, besides op7's three bits. Rows that repeat a doc_id are one document, of which one row stays. Rows without a doc_id stay.
     """
-    kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
+    kept = copies.near_copies(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
     known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.select(*docs.columns).union(docs.where("doc_id is null"))
 
