@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units and names are replaced with typed placeholders, other words with their plain form. All
-windows of WIDTH such tokens with enough plain words are hashed, and the windows of the documents are
-hash-joined with those of the benchmark. A Bloom filter of fixed size keeps windows that no
+windows of WIDTH such tokens with enough plain words are hashed, windows with fewer by their exact words,
+and the windows of the documents are hash-joined with those of the benchmark. A Bloom filter of fixed size keeps windows that no
 benchmark item has from being shuffled; the join decides. On each alignment of a document with an item
 the placeholders' contents must map one to one (a name always to the same name, a number to the same
 number), so a re-parameterised question is caught and a chance likeness of form is not.
@@ -36,16 +36,19 @@ UNITS = frozenset(
     b"percent % usd eur dollar dollars euro euros cent cents pound pounds watt watts volt volts degree degrees".split()
 )
 WORD_TYPE, NUM, UNIT, NAME = 0, 1, 2, 3
+#: Kinds of windows: of template tokens; a whole item amid a sentence, its first word plain; of exact words.
+TEMPLATE, WHOLE, EXACT = 0, 1, 2
 _CODES = {NUM: 0x9E3779B97F4A7C15, UNIT: 0xC2B2AE3D27D4EB4F, NAME: 0x165667B19E3779F9}
 
 
 class Canon(dict):
-    """word -> number of its row in the arrays: template hash at a sentence's start and elsewhere, types there, ends a sentence."""
+    """word -> number of its row in the arrays: template hash at a sentence's start and elsewhere, types there, ends a sentence, hash of the plain word."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.fresh: list[tuple[int, int, int, int, bool]] = []
+        self.fresh: list[tuple[int, int, int, int, bool, int]] = []
         self.hashes, self.types, self.stops = np.zeros((2, 0), np.uint64), np.zeros((2, 0), np.int8), np.zeros(0, bool)
+        self.plain = np.zeros(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         core = word.strip(EDGE) or word
@@ -58,7 +61,7 @@ class Canon(dict):
         elif core[:1].isupper() and len(core) > 1 and not core.isupper():
             other = NAME
         plain = xxhash.xxh64_intdigest(low, 5)
-        self.fresh.append((_CODES.get(start, plain), _CODES.get(other, plain), start, other, word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?")))
+        self.fresh.append((_CODES.get(start, plain), _CODES.get(other, plain), start, other, word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?"), plain))
         self[word] = n = len(self)
         return n
 
@@ -69,16 +72,17 @@ class Canon(dict):
             self.__init__()
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.fresh:
-            h0, h1, t0, t1, stop = zip(*self.fresh, strict=True)
+            h0, h1, t0, t1, stop, plain = zip(*self.fresh, strict=True)
             self.hashes = np.hstack([self.hashes, np.array([h0, h1], np.uint64)])
             self.types = np.hstack([self.types, np.array([t0, t1], np.int8)])
             self.stops = np.hstack([self.stops, np.array(stop, bool)])
+            self.plain = np.hstack([self.plain, np.array(plain, np.uint64)])
             self.fresh = []
         return out
 
 
-def canonical(texts: list[bytes], memo: Canon) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts, their sizes by text, template hashes and types."""
+def canonical(texts: list[bytes], memo: Canon) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, their sizes by text, template hashes and types, rows of the memo."""
     words, sizes = [], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         own = t.split()
@@ -88,29 +92,61 @@ def canonical(texts: list[bytes], memo: Canon) -> tuple[list[bytes], np.ndarray,
     first = np.r_[True, memo.stops[n]][:-1]
     starts = np.cumsum(sizes) - sizes
     first[starts[sizes > 0]] = True
-    return words, sizes, np.where(first, memo.hashes[0, n], memo.hashes[1, n]), np.where(first, memo.types[0, n], memo.types[1, n])
+    return words, sizes, np.where(first, memo.hashes[0, n], memo.hashes[1, n]), np.where(first, memo.types[0, n], memo.types[1, n]), n
+
+
+def _keys(rolled: np.ndarray, width: int, kind: int) -> np.ndarray:
+    return mixed(rolled + np.uint64(width + (kind << 8)))
+
+
+def _inside(sizes: np.ndarray, types: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a window lies inside one text, and its plain words, by its start."""
+    n = len(types) - width + 1
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(types))
+    words = np.r_[0, np.cumsum(types == WORD_TYPE)]
+    return room[:n] >= width, words[width:] - words[:n]
 
 
 def windows(sizes: np.ndarray, hashes: np.ndarray, types: np.ndarray, width: int, plain: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start) of the windows inside one text that have ``plain`` plain words or more."""
     if len(hashes) < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ends = np.cumsum(sizes)
-    room = np.repeat(ends, sizes) - np.arange(len(hashes))
-    words = np.r_[0, np.cumsum(types == WORD_TYPE)]
-    n = len(hashes) - width + 1
-    ok = (room[:n] >= width) & (words[width:] - words[:n] >= plain)
-    at = np.flatnonzero(ok)
-    return mixed(Rolling(hashes).windows(width)[at] + np.uint64(width)), at
+    inside, words = _inside(sizes, types, width)
+    at = np.flatnonzero(inside & (words >= plain))
+    return _keys(Rolling(hashes).windows(width)[at], width, TEMPLATE), at
+
+
+def whole_windows(sizes: np.ndarray, hashes: np.ndarray, types: np.ndarray, width: int, plain: int, at_start: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the windows whose first word counts as a name only amid its sentence, that word taken as plain.
+
+    ``at_start``: hashes and types that the words have at a sentence's start.
+    """
+    if len(hashes) < width:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside, words = _inside(sizes, types, width)
+    n = len(inside)
+    at = np.flatnonzero(inside & (types != at_start[1])[:n] & (words + 1 >= plain))
+    return _keys(Rolling(hashes).windows(width)[at] - hashes[at] + at_start[0][at], width, WHOLE), at
+
+
+def exact_windows(sizes: np.ndarray, plain_hashes: np.ndarray, types: np.ndarray, width: int, under: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the exact words of the windows inside one text that have fewer than ``under`` plain words."""
+    if len(types) < width:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside, words = _inside(sizes, types, width)
+    at = np.flatnonzero(inside & (words < under))
+    return _keys(Rolling(plain_hashes).windows(width)[at], width, EXACT), at
 
 
-def _slots(words: list[bytes], types: np.ndarray, at: np.ndarray, width: int) -> list[list[str]]:
-    """Contents of the placeholders of each window, in order."""
+def _slots(words: list[bytes], types: np.ndarray, at: np.ndarray, width: int, kind: int = TEMPLATE) -> list[list[str]]:
+    """Contents of the placeholders of each window, in order; exact windows have none."""
+    if kind == EXACT:
+        return [[] for _ in at]
     cores = {}
     out = []
     for a in at.tolist():
         own = []
-        for k in range(a, a + width):
+        for k in range(a + (kind == WHOLE), a + width):
             if types[k]:
                 if k not in cores:
                     cores[k] = words[k].strip(EDGE).lower().decode(errors="replace")
@@ -124,7 +160,7 @@ def _bits(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(hash, width, item_id, item_start, item_words, item_slots); items shorter than WIDTH are one window, however plain."""
+    """(hash, width, kind, item_id, item_start, item_words, item_slots); items shorter than WIDTH are one window, however plain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Canon()
@@ -132,20 +168,26 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
             for part in blocks(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True), 1 << 20):
                 rows = []
                 for item, text in part:
-                    words, sizes, hashes, types = canonical([text], memo)
+                    words, sizes, hashes, types, row = canonical([text], memo)
                     n = len(words)
                     width = min(WIDTH, n)
                     if not width:
                         continue
-                    found, at = windows(sizes, hashes, types, width, PLAIN if n >= WIDTH else 0)
-                    rows += [(h, width, item, a, n, s) for h, a, s in zip(found.view(np.int64).tolist(), at.tolist(), _slots(words, types, at, width), strict=True)]
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                types_ = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-                names = ["hash", "width", "item_id", "item_start", "item_words", "item_slots"]
+                    plain = PLAIN if n >= WIDTH else 0
+                    found, at = windows(sizes, hashes, types, width, plain)
+                    kinds = [(TEMPLATE, found, at), (EXACT, *exact_windows(sizes, memo.plain[row], types, width, plain))]
+                    if n == width:  # an item starts like a sentence
+                        kinds.append((WHOLE, _keys(Rolling(hashes).windows(width)[at], width, WHOLE), at))
+                    for kind, found, at in kinds:
+                        slots = _slots(words, types, at, width, kind)
+                        rows += [(h, width, kind, item, a, n, s) for h, a, s in zip(found.view(np.int64).tolist(), at.tolist(), slots, strict=True)]
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                types_ = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+                names = ["hash", "width", "kind", "item_id", "item_start", "item_words", "item_slots"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types_, strict=True)], names)
 
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "hash long, width int, item_id long, item_start int, item_words int, item_slots array<string>")
+    return rows.mapInArrow(run, "hash long, width int, kind int, item_id long, item_start int, item_words int, item_slots array<string>")
 
 
 def _bloom(items: DataFrame) -> np.ndarray:
@@ -158,27 +200,33 @@ def _bloom(items: DataFrame) -> np.ndarray:
     return np.unpackbits(filled.view(np.uint8), bitorder="little").astype(bool)
 
 
-def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[int]) -> DataFrame:
-    """(hash, width, doc_id, start, slots) of the windows that pass the filter."""
+def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[tuple[int, int]]) -> DataFrame:
+    """(hash, width, kind, doc_id, start, slots) of the windows, of the widths and kinds given, that pass the filter."""
     packed = np.packbits(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, filled = Canon(), np.unpackbits(packed).astype(bool)
         for batch in batches:
             for part in blocks(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True), 1 << 20):
-                words, sizes, hashes, types = canonical([t for _, t in part], memo)
+                words, sizes, hashes, types, row = canonical([t for _, t in part], memo)
                 ids, starts = np.array([d for d, _ in part], np.int64), np.cumsum(sizes) - sizes
-                for width in widths:
-                    found, at = windows(sizes, hashes, types, width, PLAIN if width == WIDTH else 0)
+                for width, kind in widths:
+                    plain = PLAIN if width == WIDTH else 0
+                    if kind == TEMPLATE:
+                        found, at = windows(sizes, hashes, types, width, plain)
+                    elif kind == WHOLE:
+                        found, at = whole_windows(sizes, hashes, types, width, plain, (memo.hashes[0, row], memo.types[0, row]))
+                    else:  # however many are plain here: the item decides
+                        found, at = exact_windows(sizes, memo.plain[row], types, width, width + 1)
                     a, b = _bits(found, len(filled))
                     keep = filled[a] & filled[b]
                     found, at = found[keep], at[keep]
                     doc = np.searchsorted(starts + sizes, at, side="right")
-                    columns = [pa.array(found.view(np.int64)), pa.array(np.full(len(at), width, np.int32)), pa.array(ids[doc]), pa.array((at - starts[doc]).astype(np.int32)), pa.array(_slots(words, types, at, width), pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["hash", "width", "doc_id", "start", "slots"])
+                    columns = [pa.array(found.view(np.int64)), pa.array(np.full(len(at), width, np.int32)), pa.array(np.full(len(at), kind, np.int32)), pa.array(ids[doc]), pa.array((at - starts[doc]).astype(np.int32)), pa.array(_slots(words, types, at, width, kind), pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["hash", "width", "kind", "doc_id", "start", "slots"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "hash long, width int, doc_id long, start int, slots array<string>")
+    return rows.mapInArrow(run, "hash long, width int, kind int, doc_id long, start int, slots array<string>")
 
 
 def consistent(hits: list[dict]) -> tuple[int, int, bool]:
@@ -211,10 +259,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = COVERED)
     repeated rows count once. Other columns are not read.
     """
     items = benchmark_windows(benchmark)
-    widths = sorted(r.width for r in items.select("width").distinct().collect())
+    widths = sorted((r.width, r.kind) for r in items.select("width", "kind").distinct().collect())
     found = document_windows(docs, _bloom(items), widths)
     hit = F.struct("start", "slots", "item_start", "item_slots", "width")
-    pairs = found.join(items, ["hash", "width"]).groupBy("doc_id", "item_id").agg(F.first("item_words").alias("item_words"), F.collect_set(hit).alias("hits"))
+    pairs = found.join(items, ["hash", "width", "kind"]).groupBy("doc_id", "item_id").agg(F.first("item_words").alias("item_words"), F.collect_set(hit).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

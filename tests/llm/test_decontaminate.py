@@ -72,3 +72,18 @@ def test_against_brute_force(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in dec.contamination(docs, bench).collect()} == want and want
     assert dec.contamination(docs.limit(0), bench).count() == 0 and dec.contamination(docs, bench.limit(0)).count() == 0
+
+
+def test_placeholder_heavy_items_and_starts_amid_sentences(spark):
+    table = "12 kg 40 cm 7 days 3 km 15 g 80 mm 9 hours 22 m 5 years"
+    mostly = "Add 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 to the sum"
+    items = [(1, table), (2, mostly), (3, "What is the capital of France?"), (4, "Name the largest lake of the old Canton Bern"[:-5])]
+    rows = [
+        (1, f"{pad(1)} {table} {pad(2)}"), (2, f"{pad(3)}\n{mostly}\n{pad(4)}"), (3, f"{pad(5)}, Question: What is the capital of France? {pad(6)}"),
+        (4, f"{pad(7)}\nWhat is the capital of Spain?"), (5, f"{pad(8)}\nName the largest lake of the old Canton {pad(9)}"),
+        (6, pad(1) + " " + table.replace("40", "41").replace("15", "16").replace("22", "23") + " " + pad(2)), (7, f"{pad(5)}, Question: Which is the capital of France? {pad(6)}"),
+    ]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in dec.contamination(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 4)}
+    assert got[1, 1].coverage == got[3, 3].coverage == 1 and got[4, 3].reparameterised and not got[3, 3].reparameterised
