@@ -4,13 +4,14 @@ Numbers, units and names are replaced with typed placeholders, other words with
 windows of WIDTH such tokens with enough plain words are hashed, windows with fewer by their exact words,
 and the windows of the documents are hash-joined with those of the benchmark. A Bloom filter of fixed size keeps windows that no
 benchmark item has from being shuffled; the join decides. On each alignment of a document with an item
-the placeholders' contents must map one to one (a name always to the same name, a number to the same
-number), so a re-parameterised question is caught and a chance likeness of form is not.
+a content of the item must map to one content (a name always to the same name, a number to the same
+number), windows that disagree being left out, so a re-parameterised question is caught and a chance likeness of form is not.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,23 +231,30 @@ def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[tuple[int,
 
 
 def consistent(hits: list[dict]) -> tuple[int, int, bool]:
-    """(words of the item covered, windows, whether any content differs) over the alignments whose contents map one to one."""
-    lines: dict[int, list[dict]] = {}
+    """(words of the item covered, windows, whether any content differs) over the windows whose contents map to one each.
+
+    On each alignment a content of the item maps to the one that most windows give it. Windows that
+    disagree are left out, unless they are verbatim. An alignment that gives a content several others,
+    never itself, is no copy.
+    """
+    lines: dict[int, list[tuple[dict, set[tuple[str, str]]]]] = {}
     for h in hits:
-        lines.setdefault(h["start"] - h["item_start"], []).append(h)
+        lines.setdefault(h["start"] - h["item_start"], []).append((h, set(zip(h["item_slots"], h["slots"], strict=False))))
     covered: set[int] = set()
     used, differs = 0, False
     for own in lines.values():
-        ahead: dict[str, str] = {}
-        back: dict[str, str] = {}
-        good = True
-        for h in own:
-            for a, b in zip(h["item_slots"], h["slots"], strict=False):
-                good &= ahead.setdefault(a, b) == b and back.setdefault(b, a) == a
-        if good:
-            used += len(own)
-            differs |= any(a != b for a, b in ahead.items())
-            for h in own:
+        votes: dict[str, Counter[str]] = {}
+        for _, pairs in own:
+            for a, b in pairs:
+                votes.setdefault(a, Counter())[b] += 1
+        if any(len(v) > 1 and a not in v for a, v in votes.items()):
+            continue
+        chosen = {a: max(v, key=lambda b: (v[b], b == a, b)) for a, v in votes.items()}
+        for h, pairs in own:
+            verbatim = all(a == b for a, b in pairs)
+            if verbatim or all(chosen[a] == b for a, b in pairs):
+                used += 1
+                differs |= not verbatim
                 covered.update(range(h["item_start"], h["item_start"] + h["width"]))
     return len(covered), used, differs
 
@@ -254,7 +262,7 @@ def consistent(hits: list[dict]) -> tuple[int, int, bool]:
 def contamination(docs: DataFrame, benchmark: DataFrame, share: float = COVERED) -> DataFrame:
     """(doc_id, item_id, coverage, n_windows, reparameterised) of the documents that hold a benchmark item.
 
-    An item is held if windows that agree with it, contents mapping one to one, cover ``share`` of its
+    An item is held if windows that agree with it, each of its contents mapping to one, cover ``share`` of its
     words or more. Null and empty texts hold nothing and are nowhere held; rows without an id are left out;
     repeated rows count once. Other columns are not read.
     """

@@ -87,3 +87,13 @@ def test_placeholder_heavy_items_and_starts_amid_sentences(spark):
     got = {(r.doc_id, r.item_id): r for r in dec.contamination(docs, bench).collect()}
     assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 4)}
     assert got[1, 1].coverage == got[3, 3].coverage == 1 and got[4, 3].reparameterised and not got[3, 3].reparameterised
+
+
+def test_contents_that_become_equal_or_are_altered_once(spark):
+    equal = ITEM.replace("12 loaves", "6 loaves").replace("4 loaves", "6 loaves")
+    once = ITEM.replace("then Anna", "then Petra")
+    rows = [(1, f"{pad(1)} {equal} {pad(2)}"), (2, f"{pad(3)} {once} {pad(4)}"), (3, f"{pad(5)} {once.replace('Anna', 'Omar')} {pad(6)}")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r for r in dec.contamination(docs, bench).collect()}
+    assert set(got) == {1, 2}  # a name that becomes two others is no copy
+    assert got[1].coverage == 0.96 and got[1].reparameterised and got[2].coverage > 0.9
