@@ -271,11 +271,11 @@ class Table:
 
 
 def scores(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Training documents are those whose CRC-32 of the id as text is not divisible by ten (no id: held
     out). Texts are lower-cased (A-Z) and read as words with one space between, a null text as an empty
-    one; the model codes their bytes and an end. Every row counts by itself, repeated ones too.
+    one; the model codes their bytes and an end, n_bytes in all, at bits_per_byte. Every row counts by itself, repeated ones too.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = settle(counted(base), "counts")
@@ -309,18 +309,19 @@ def scores(docs: DataFrame) -> DataFrame:
             known = np.add.reduceat((count > 0).astype(np.int64), starts)
             base_ = np.add.reduceat(np.log10(count + ALPHA) - log_base, starts)
             score = np.add.reduceat(table.get(strings), np.cumsum(n_bytes) - n_bytes)
-            out.append((ids, [held_out(d) for d in ids], n_words, known, base_, score))
-        flat = [np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in zip(*out, strict=True)] if out else [[]] * 6
-        ids, held, n, known, base_, score = flat
+            out.append((ids, [held_out(d) for d in ids], n_words, known, base_, score, n_bytes, -score / math.log10(2) / n_bytes))
+        flat = [np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in zip(*out, strict=True)] if out else [[]] * 8
+        ids, held, n, known, base_, score, coded_bytes, bits = flat
         return pa.table([
             pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
             pa.array(np.full(len(ids), tokens), pa.int64()), pa.array(base_, pa.float64()), pa.array(score, pa.float64()),
-        ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            pa.array(coded_bytes, pa.int64()), pa.array(bits, pa.float64()),
+        ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
 
     asked = batched.groupBy("batch").applyInArrow(ask, "batch int, key long")
     values = counts.where("key < 0").select("key", F.col("n").cast("double").alias("value")).unionByName(string_scores(counts))
     answers = asked.join(values, "key").select("batch", "key", "value")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(add, schema)
 
 

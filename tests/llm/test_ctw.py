@@ -99,6 +99,13 @@ def test_batches_do_not_matter(spark, monkeypatch):
     assert sorted(map(str, ctw.scores(docs).selectExpr("doc_id", "n_known", "round(base_score, 9)", "round(score, 9)").collect())) == one
 
 
+def test_bits_per_byte(spark):
+    texts = {1: "Abc  abc\n", 2: "", 3: None, 4: "é"}
+    for r in ctw.scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        assert r.n_bytes == len(b" ".join(lower(texts[r.doc_id]))) + 1
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / r.n_bytes)
+
+
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 7.5, 1e3, 1e9])
     assert ctw.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-11, abs=1e-11)
