@@ -60,16 +60,26 @@ def test_wordpiece(spark, tmp_path):
     assert column(spark, ["unaffable un", None], wp.udf()(F.col("a"))) == [4, None]
 
 
-@pytest.mark.parametrize(
-    ("given", "expected"),
-    [
-        ("abc", "abc"), ("`` code ```", "`` code ```"), ("```code```", "code"), ("```cpp\nint x = 1;\n```", "int x = 1;"), ("```\nline\n```", "line"),
-        ("```py\nprint(1)\n```   \n", "print(1)"), ("```js\nvar a = 2;\n```\nEXTRA", "```js\nvar a = 2;\n```\nEXTRA"), ("```cpp\nint a = 0;\n", "```cpp\nint a = 0;\n"),
-        ("```\n```", "```\n```"), ("```  cpp  \nvoid f();\n\n```", "void f();\n"), ("``````", ""), ("", ""), ("```\na\n```\nb\n```", "a\n```\nb"),
-    ],
-)
-def test_strip_code_fence(spark, given, expected):
-    assert column(spark, [given], text.strip_code_fence(F.col("a"))) == [expected]
+QUERY = "SELECT a\n  FROM t"
+
+
+@pytest.mark.parametrize("head", ["```", "```sql", "``` sql\t"])
+@pytest.mark.parametrize("tail", ["", "\n", " \t\n\n"])
+def test_fence_around_the_whole_text_goes(spark, head, tail):
+    assert column(spark, [f"{head}\n{QUERY}\n```{tail}", f"{head}\n{QUERY}\n\n```{tail}"], text.strip_code_fence(F.col("a"))) == [QUERY, QUERY + "\n"]
+
+
+def test_fence_on_one_line_goes(spark):
+    assert column(spark, ["```ls -l```", "``````", "```x y ```"], text.strip_code_fence(F.col("a"))) == ["ls -l", "", "x y "]
+
+
+def test_inner_fences_stay(spark):
+    assert column(spark, [f"```\n{QUERY}\n```\nthen\n```"], text.strip_code_fence(F.col("a"))) == [f"{QUERY}\n```\nthen"]
+
+
+@pytest.mark.parametrize("kept", ["", "a = 1", "'' x ''", f"see ```{QUERY}```", f"```sql\n{QUERY}", f"```sql\n{QUERY}\n``` and so on", "```md\n```", QUERY])
+def test_other_texts_stay(spark, kept):
+    assert column(spark, [kept], text.strip_code_fence(F.col("a"))) == [kept]
 
 
 def test_comment_lines(spark):
