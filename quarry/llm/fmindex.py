@@ -1,11 +1,16 @@
-"""Substring deduplication with an FM-index per shard.
-
-A shard's distinct segments are indexed: suffix order by doubling, Burrows-Wheeler transform in a
-wavelet matrix of packed bits with rank counts. Documents' segments are streamed backwards against
-it, all in step: each symbol extends the match to the left, matches at the full length are first
-widened to one symbol less, so every position carries its matching statistic up to the threshold and
-the interval of suffixes that share it. Where the statistic reaches the window, the least position
-in the interval tells whether the window starts earlier.
+"""Substring deduplication with a compressed FM-index per shard.
+
+A shard holds the distinct segments of its minimizers in order of place. Segment r of a minimizer is
+streamed backwards against an index of segments before it, in levels: at level k the index has the segments whose
+rank has bit k clear, and those that have it set are streamed, so each pair meets in the level of the
+highest bit in which the ranks differ, and most segments, being one of two, are indexed or streamed once.
+Each symbol extends the match to the left; matches at the full length are first widened to one symbol less, so every
+position carries its matching statistic up to the threshold, and the interval of suffixes that share it.
+Where the statistic reaches the window, the least place in the interval tells whether the window starts earlier.
+
+Of an index these are kept: the Burrows-Wheeler transform as a wavelet matrix (1.5 bits for each bit of a symbol), the
+common prefix of neighbouring suffixes (a byte a symbol), the least place of each full-length interval, and the
+borders of intervals (4 bytes each) of the lengths that were asked for. Text, ranks and suffix array are not.
 """
 
 from __future__ import annotations
@@ -21,53 +26,62 @@ from quarry.llm.common import documents
 WORDS = passages.Cut("word", width=20, gram=4, step=1)
 
 
+def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in order of their first ``depth`` symbols or more, by doubling."""
+    n = len(text)
+    rank, h = text.astype(np.int64), 1
+    sigma = int(rank.max(initial=0)) + 1
+    while True:
+        wide = np.zeros(n, np.int64)
+        wide[: max(0, n - h)] = rank[h:] + (h > 1)
+        key = rank * (int(rank.max(initial=0)) + 2) + wide
+        if h == 1 and sigma < 1 << 20:  # three symbols at once
+            third = np.zeros(n, np.int64)
+            third[: max(0, n - 2)] = rank[2:]
+            key = (key << 20) | third
+            h = 3
+        else:
+            h *= 2
+        order = np.argsort(key)
+        if h >= depth:
+            return order
+        ordered = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]) if n else 0
+
+
 class FMIndex:
-    """Index of symbols 1..sigma-1, with 0 as the separator, for patterns of up to ``depth`` symbols."""
-
-    def __init__(self, text: np.ndarray, depth: int):
-        self.text, self.size, self.depth = text.astype(np.int64), len(text), depth
-        self.sigma = int(self.text.max(initial=0)) + 1
-        self._sort()
-        self.bits = max(1, int(self.sigma - 1).bit_length())
-        self._wavelet(self.text[self.sa - 1])
-        self._classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _sort(self) -> None:
-        n = self.size
-        self.ranks = {1: self.text.astype(np.int32)}
-        rank, h = self.text, 1
-        while True:
-            wide = np.zeros(n, np.int64)
-            wide[: max(0, n - h)] = rank[h:] + 1 if h > 1 else rank[h:]
-            key = rank * (int(rank.max(initial=0)) + 2) + wide
-            if h == 1 and self.sigma < 1 << 20:  # three symbols at once
-                third = np.zeros(n, np.int64)
-                third[: max(0, n - 2)] = self.text[2:]
-                key = (key << 20) | third
-                h = 3
-            else:
-                h *= 2
-            order = np.argsort(key)
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]) if n else 0
-            self.ranks[h] = rank.astype(np.int32)
-            if h >= self.depth:
-                self.sa = order
-                return
-
-    def _wavelet(self, symbols: np.ndarray) -> None:
-        counts = np.bincount(self.text, minlength=self.sigma)
+    """Index of symbols 1..sigma-1, with 0 as the separator, for patterns of up to ``depth`` symbols; ``places`` are of suffixes."""
+
+    def __init__(self, text: np.ndarray, depth: int, places: np.ndarray):
+        self.size, self.depth = len(text), depth
+        self.sigma = int(text.max(initial=0)) + 1
+        order = suffix_order(text, depth)
+        self._wavelet(text[order - 1], np.bincount(text, minlength=self.sigma))
+        self._borders: dict[int, np.ndarray] = {}
+        self._common(text, order)
+        self.least = np.minimum.reduceat(places[order], self.borders(depth)[:-1])
+
+    def _common(self, text: np.ndarray, order: np.ndarray) -> None:
+        """The common prefix of each suffix with the one before it, up to ``depth``."""
+        self.common = np.zeros(self.size, np.uint8)
+        padded = np.r_[text, np.full(self.depth, -1)]
+        live = np.arange(1, self.size)
+        for k in range(self.depth):
+            live = live[padded[order[live] + k] == padded[order[live - 1] + k]]
+            self.common[live] += 1
+
+    def _wavelet(self, symbols: np.ndarray, counts: np.ndarray) -> None:
         self.levels = []
         base = np.zeros(self.sigma, np.int64)
         alphabet = np.arange(self.sigma)
-        for level in range(self.bits - 1, -1, -1):
+        for level in range(max(1, int(self.sigma - 1).bit_length()) - 1, -1, -1):
             bit = (symbols >> level) & 1
             packed = np.zeros((self.size // 64 + 2) * 8, np.uint8)
             raw = np.packbits(bit.astype(np.uint8), bitorder="little")
             packed[: len(raw)] = raw
             words = packed.view("<u8")
-            ones = np.r_[0, np.cumsum(np.bitwise_count(words))].astype(np.int64)
+            ones = np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int32)].astype(np.int32)
             zeros = self.size - int(bit.sum())
             self.levels.append((level, words, ones, zeros))
             r = self._rank1(words, ones, base)
@@ -79,7 +93,7 @@ class FMIndex:
     def _rank1(words: np.ndarray, ones: np.ndarray, i: np.ndarray) -> np.ndarray:
         w = i >> 6
         below = words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
-        return ones[w] + np.bitwise_count(below)
+        return ones[w] + np.bitwise_count(below).astype(np.int64)
 
     def step(self, symbols: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Where the suffixes before place i that follow ``symbols`` end."""
@@ -88,25 +102,22 @@ class FMIndex:
             i = np.where((symbols >> level) & 1, zeros + r, i - r)
         return i + self.shift[symbols]
 
-    def classes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each place in suffix order by its first ``depth`` symbols, and the places where classes start."""
-        if depth not in self._classes:
-            differs = np.zeros(self.size, bool)
-            differs[:1] = True
-            if depth:
-                h = max(k for k in self.ranks if k <= depth)
-                for shift in {0, depth - h}:
-                    rank = self.ranks[h]
-                    moved = self.sa + shift
-                    value = np.where(moved < self.size, rank[np.minimum(moved, self.size - 1)], -1)
-                    differs[1:] |= value[1:] != value[:-1]
-            self._classes[depth] = np.cumsum(differs) - 1, np.r_[np.flatnonzero(differs), self.size]
-        return self._classes[depth]
+    def borders(self, depth: int) -> np.ndarray:
+        """Where the intervals of suffixes alike in ``depth`` symbols begin, and the end of the last."""
+        if depth not in self._borders:
+            self._borders[depth] = np.r_[np.flatnonzero(self.common < depth) if depth else 0, self.size].astype(np.int32)
+        return self._borders[depth]
+
+    def interval(self, place: np.ndarray, depth: int) -> np.ndarray:
+        return np.searchsorted(self.borders(depth), place, side="right") - 1
 
     def _widen(self, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        own, starts = self.classes(depth)
-        c = own[left]
-        return starts[c], starts[c + 1]
+        borders, i = self.borders(depth), self.interval(left, depth)
+        return borders[i], borders[i + 1]
+
+    def earliest(self, place: np.ndarray) -> np.ndarray:
+        """The least place that a full-length match at ``place`` has."""
+        return self.least[self.interval(place, self.depth)]
 
     def statistics(self, symbols: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics: at each symbol of each streamed piece, the longest match up to ``depth`` and a place in its interval.
@@ -145,48 +156,65 @@ class FMIndex:
         return length, place
 
 
+def _runs(symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of some pieces, each followed by a separator; the piece of each symbol, and its offset there."""
+    piece = np.repeat(np.arange(len(sizes)), sizes + 1)
+    offset = np.arange(len(piece)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+    inside = offset < sizes[piece]
+    out = np.zeros(len(piece), np.int32)
+    out[inside] = symbols[(begins[piece] + offset)[inside]]
+    return out, piece, offset
+
+
 def earlier_windows(table: pa.Table, width: int = WORDS.width) -> list[bytes]:
     """For each segment of a shard, packed bits of the windows that start earlier than in its first occurrence."""
-    doc, start, n = (table.column(k).to_numpy() for k in ("doc_id", "start", "n"))
-    sizes = n.astype(np.int64) + width - 1
+    route, doc, same, start, n = (table.column(k).to_numpy() for k in ("route", "doc", "same", "start", "n"))
+    n = n.astype(np.int64)
+    sizes = n + width - 1
     words = b" ".join(table.column("seg").to_pylist()).split()
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(words), 1)}
-    symbols = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
-    # one separator behind each segment
-    ends = np.cumsum(sizes + 1) - 1
-    text = np.zeros(len(symbols) + len(sizes), np.int64)
-    piece = np.repeat(np.arange(len(sizes)), sizes)
-    offset = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    where = np.repeat(ends - sizes, sizes) + offset
-    text[where] = symbols
-    index = FMIndex(text, width)
-    position = np.full(len(text), np.iinfo(np.int64).max)
-    _, rank = np.unique(doc, return_inverse=True)
-    position[where] = (rank[piece].astype(np.int64) << 40) | (start[piece] + offset)
-    own, starts = index.classes(width)
-    least = np.minimum.reduceat(position[index.sa], starts[:-1])
-    length, place = index.statistics(text, ends, sizes)
-    at = where[offset < n[piece]]
-    earlier = (length[at] == width) & (least[own[place[at]]] < position[at])
-    cuts = np.cumsum(n)[:-1]
-    return [np.packbits(bits).tobytes() if bits.any() else b"" for bits in np.split(earlier, cuts)]
+    symbols = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
+    begins, windows = np.cumsum(sizes) - sizes, np.cumsum(n) - n
+    order = np.lexsort((same, doc))
+    document = np.empty(len(doc), np.int64)
+    document[order] = np.cumsum(np.r_[False, (doc[order][1:] != doc[order][:-1]) | (same[order][1:] != same[order][:-1])]) if len(doc) else 0
+    place = (document << 32) | start
+    fresh = np.flatnonzero(np.r_[True, route[1:] != route[:-1]])
+    members = np.diff(np.r_[fresh, len(route)])
+    rank, members = np.arange(len(route)) - np.repeat(fresh, members), np.repeat(members, members)
+    earlier = np.zeros(int(n.sum()), bool)
+    for level in range(int(members.max(initial=1) - 1).bit_length()):
+        several = members > 1 << level
+        below, above = (np.flatnonzero(several & ((rank >> level) & 1 == bit)) for bit in (0, 1))
+        text, piece, offset = _runs(symbols, begins[below], sizes[below])
+        known = np.unique(text[text > 0])
+        code = np.zeros(len(vocabulary) + 1, np.int32)
+        code[known] = np.arange(1, len(known) + 1)
+        index = FMIndex(code[text], width, np.where(offset < n[below][piece], place[below][piece] + offset, np.iinfo(np.int64).max))
+        asked, piece, offset = _runs(symbols, begins[above], sizes[above])
+        length, at = index.statistics(code[asked], np.cumsum(sizes[above] + 1) - 1, sizes[above])
+        hit = np.flatnonzero(length == width)
+        piece, offset = above[piece[hit]], offset[hit]
+        first = index.earliest(at[hit]) < place[piece] + offset
+        earlier[(windows[piece] + offset)[first]] = True
+    return [np.packbits(bits).tobytes() if bits.any() else b"" for bits in np.split(earlier, windows[1:])]
 
 
 def repeats_removed(docs: DataFrame, cut: passages.Cut = WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
     A word goes if a window of ``cut.width`` words that covers it starts earlier (in a smaller doc_id,
-    or in the same document further left); windows are judged on the input. A null text has no words.
-    Rows that repeat a doc_id are the same document, each reported; a row without doc_id keeps all its words
-    and removes none elsewhere. Other columns are not read.
+    or in the same document further left); windows are judged on the input. A null text has no words, like an empty one;
+    long texts are cut in overlapping pieces, whole; an empty table gives no rows. Rows equal in doc_id and text are the same document, each
+    reported alike. Different texts of one doc_id are documents of their own, in the order of their hashes; rows without a
+    doc_id come after all others, likewise. Other columns are not read, whatever their names.
     """
-    base = passages.plain(docs)
-    known = base.where("doc_id is not null")
-    found = passages.marks(known, cut, lambda t: earlier_windows(t, cut.width), keep_first=True)
+    base = passages.placed(docs)
+    found = passages.marks(base, cut, lambda t: earlier_windows(t, cut.width), keep_first=True)
 
     def judge(text: bytes, spans: list | None) -> tuple:
         words = text.split()
-        gone = passages.covered(len(words), cut.width, spans)
+        gone = passages.covered(len(words), cut.width, spans, lambda a, b: b" ".join(words[a:b]))
         kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if spans else words
         return len(words), int(gone.sum()), b" ".join(kept).decode()
 

@@ -5,7 +5,8 @@ Two suffixes are compared by their longest common extension, found by binary sea
 polynomial hashes (logarithmic in the extension), then by the next byte. Suffixes that start left of a
 minimizer follow by stable passes on one preceding byte each, so the order of every window start is
 known. Equal windows are neighbours in it. Equality told by hashes is verified on the bytes; on a
-collision the shard is sorted anew under another base.
+collision the shard is sorted anew under another base. Segments that were collapsed before are told by the
+BLAKE2b digest of their own bytes at the end.
 """
 
 from __future__ import annotations
@@ -136,17 +137,16 @@ def repeats_removed(docs: DataFrame, cut: passages.Cut = BYTES) -> DataFrame:
 
     A byte goes if a string of ``cut.width`` bytes that covers it starts anywhere else in the corpus too,
     in the same document included; strings are judged on the input and never cross documents. A null
-    text is empty. Rows that repeat a document are copies of each other, like any others;
-    a row without doc_id keeps all its bytes and removes none elsewhere. Other columns are not read.
+    text is empty; long texts are cut in overlapping pieces, whole; an empty table gives no rows. Every row counts, also those that repeat a
+    doc_id (with the same text or another) or have none. Other columns are not read, whatever their names.
     """
-    base = passages.plain(docs)
-    known = base.where("doc_id is not null")
-    found = passages.marks(known, cut, lambda t: repeated_windows(t, cut.width), keep_first=False)
+    base = passages.placed(docs)
+    found = passages.marks(base, cut, lambda t: repeated_windows(t, cut.width), keep_first=False)
 
     def judge(text: bytes, spans: list | None) -> tuple:
         if not spans:
             return len(text), 0, 0, text
-        gone = passages.covered(len(text), cut.width, spans)
+        gone = passages.covered(len(text), cut.width, spans, lambda a, b: text[a:b])
         runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
         return len(text), int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
