@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field decoded by Viterbi.
 
 The field tags every word of a text as O (outside), B (a secret begins) or I (inside one). Emissions
-come from the word's shape, the neighbouring words and features of the whole file. It is trained here,
-by maximum likelihood, on seeded generated lines (``TRAINING_LINES`` of them, no corpus rows), so all
-sessions have the same model.
+come from the word's shape, the neighbouring words and features of the whole file. Its weights, in
+``secrets.json`` beside this module, are what ``python -m quarry.llm.secrets`` fits by maximum likelihood to
+seeded generated lines (``TRAINING_LINES`` of them, no corpus rows); a test fits them again.
 
 Scores of a word depend on its shape class alone, so they are looked up. A word at which O wins by more
 than any transition could ever make good is O on the best path; the chain falls apart there, and
@@ -12,9 +12,11 @@ Viterbi runs on the short stretches between, which gives the same path as on the
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -229,9 +231,20 @@ def fit(lines: list[tuple[list[bytes], list[int]]], rounds: int = 200, penalty:
     return theta[: width * 3].reshape(width, 3), theta[width * 3 :].reshape(3, 3)
 
 
+WEIGHTS = Path(__file__).with_name("secrets.json")
+
+
 @lru_cache(1)
 def model() -> tuple[np.ndarray, np.ndarray]:
-    return fit(_training())
+    """(weights, transitions) as shipped; read on the driver and sent with the tasks."""
+    held = json.loads(WEIGHTS.read_text())
+    return np.array(held["weights"]), np.array(held["transitions"])
+
+
+def refit() -> None:
+    weights, transitions = fit(_training())
+    rows = lambda x: "[\n" + ",\n".join(json.dumps([round(v, 6) for v in row]) for row in x.tolist()) + "\n]"
+    WEIGHTS.write_text(f'{{"weights": {rows(weights)},\n"transitions": {rows(transitions)}}}\n')
 
 
 def viterbi(e: np.ndarray, t: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -351,8 +364,9 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base (joined spans), spans (the field's added).
 
-    Spans are kind:start:end in code points. A null text is empty and has none. Each row is scanned by
-    itself, whole; spans of the field that overlap fixed ones are left out. Other columns are not read.
+    Spans are kind:start:end in code points, by start, then kind, the field's (crf) last; those of the field are all
+    there, also where they overlap fixed ones. A null or empty text has none, an empty table gives no rows. Each row is
+    scanned by itself, whole however long, so ids that are null or repeat need no rule. Other columns are not read.
     """
     weights, transitions = model()
 
@@ -366,7 +380,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 for (i, text), found in zip(part, tagger.tag([t for _, t in part]), strict=True):
                     kinds = tuple(k for k, h in zip(KINDS, hints, strict=False) if h[i])
                     base = base_spans(text.decode(), kinds) if kinds else []
-                    extra = [(s, "crf", e) for s, e in word_spans(text, found) if all(e <= a or s >= b for a, _, b in base)] if found else []
+                    extra = [(s, "crf", e) for s, e in word_spans(text, found)] if found else []
                     rows.append((*(sum(k == x[1] for x in base) for k in KINDS[:3]), joined(base), joined(base + extra)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(c, pa.string()) for c in columns[3:]]
@@ -381,3 +395,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op2_secrets": op2_secrets}
 SQL: dict[str, str] = {}
+
+
+if __name__ == "__main__":
+    refit()
