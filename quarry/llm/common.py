@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.scratch import scratch
@@ -27,6 +27,23 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The place of rows without a doc_id: behind all others.
+LAST = (1 << 63) - 1
+#: Rows of two long columns that are broadcast at most; beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def row_key(docs: DataFrame, doc: str = "doc", same: str = "same") -> list[Column]:
+    """Columns that tell rows: the doc_id (LAST if there is none), and 64 bits of a hash of the text."""
+    known = F.col("doc_id").cast("bigint")
+    return [F.coalesce(known, F.lit(LAST)).alias(doc), F.xxhash64(known.isNull(), F.col("text").cast("string")).alias(same)]
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, nulls as empty texts."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units and names are replaced with typed placeholders, other words with their plain form. All
-windows of WIDTH such tokens with enough plain words are hashed, windows with fewer by their exact words,
-and the windows of the documents are hash-joined with those of the benchmark. A Bloom filter of fixed size keeps windows that no
+windows of WIDTH such tokens with PLAIN plain words or more are hashed, windows with fewer by their exact words,
+and the windows of the documents are hash-joined with those of the benchmark. An item of fewer tokens is one window;
+one of fewer than PLAIN tokens (a bare number, a name) says nothing amid a text, and counts only where it is a whole line, by its exact words.
+A Bloom filter, sized by the count of the benchmark's windows (BLOOM_MOST bits at most), keeps windows that no
 benchmark item has from being shuffled; the join decides. On each alignment of a document with an item
 a content of the item must map to one content (a name always to the same name, a number to the same
 number), windows that disagree being left out, so a re-parameterised question is caught and a chance likeness of form is not.
@@ -12,20 +14,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Rolling, blocks, documents, mixed, text_bytes
+from quarry.llm.common import LAST, Rolling, blocks, documents, mixed, row_key, settle, small, spread, text_bytes
 
 #: Window width, plain words that it needs, and the share of an item's words to be covered.
 WIDTH, PLAIN, COVERED = 8, 4, 0.5
-#: Bits of the Bloom filter, whatever the benchmark's size.
-BLOOM = 1 << 23
+#: Bits of the Bloom filter: 16 for each window of the benchmark, in these bounds (16 MB at most).
+BLOOM_LEAST, BLOOM_MOST = 1 << 16, 1 << 27
 NUMBER = re.compile(rb"[+-]?[$]?\d[\d.,:/%-]*(st|nd|rd|th)?")
 QUANTITY = re.compile(rb"([+-]?\d[\d.,]*)([A-Za-z%]{1,3})")
 EDGE = b".,;:!?\"'()[]{}<>"
@@ -37,8 +39,8 @@ UNITS = frozenset(
     b"percent % usd eur dollar dollars euro euros cent cents pound pounds watt watts volt volts degree degrees".split()
 )
 WORD_TYPE, NUM, UNIT, NAME = 0, 1, 2, 3
-#: Kinds of windows: of template tokens; a whole item amid a sentence, its first word plain; of exact words.
-TEMPLATE, WHOLE, EXACT = 0, 1, 2
+#: Kinds of windows: of template tokens; a whole item amid a sentence, its first word plain; of exact words; of the exact words of a line.
+TEMPLATE, WHOLE, EXACT, LINE = 0, 1, 2, 3
 _CODES = {NUM: 0x9E3779B97F4A7C15, UNIT: 0xC2B2AE3D27D4EB4F, NAME: 0x165667B19E3779F9}
 
 
@@ -141,7 +143,7 @@ def exact_windows(sizes: np.ndarray, plain_hashes: np.ndarray, types: np.ndarray
 
 def _slots(words: list[bytes], types: np.ndarray, at: np.ndarray, width: int, kind: int = TEMPLATE) -> list[list[str]]:
     """Contents of the placeholders of each window, in order; exact windows have none."""
-    if kind == EXACT:
+    if kind in (EXACT, LINE):
         return [[] for _ in at]
     cores = {}
     out = []
@@ -156,147 +158,211 @@ def _slots(words: list[bytes], types: np.ndarray, at: np.ndarray, width: int, ki
     return out
 
 
+def line_windows(texts: list[bytes], plain_hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the lines of ``width`` words, by their exact words."""
+    at, n = [], 0
+    for text in texts:
+        for line in text.split(b"\n"):
+            size = len(line.split(None, width))  # no more than width + 1 parts
+            if size == width:
+                at.append(n)
+            n += size if size <= width else len(line.split())
+    found = Rolling(plain_hashes).windows(width)
+    return _keys(found[at], width, LINE), np.array(at, np.int64)
+
+
 def _bits(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes % np.uint64(size), (hashes >> np.uint64(32)) % np.uint64(size)
 
 
+ITEM = "hash long, width int, kind int, item long, item_id long, item_start int, item_words int, item_slots array<string>"
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(hash, width, kind, item_id, item_start, item_words, item_slots); items shorter than WIDTH are one window, however plain."""
+    """The windows of every item. ``item`` tells items, also those without an item_id or that repeat one; equal rows are one item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Canon()
         for batch in batches:
-            for part in blocks(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True), 1 << 20):
+            for part in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True), 1 << 20):
                 rows = []
-                for item, text in part:
+                for item, item_id, text in part:
                     words, sizes, hashes, types, row = canonical([text], memo)
                     n = len(words)
                     width = min(WIDTH, n)
                     if not width:
                         continue
-                    plain = PLAIN if n >= WIDTH else 0
-                    found, at = windows(sizes, hashes, types, width, plain)
-                    kinds = [(TEMPLATE, found, at), (EXACT, *exact_windows(sizes, memo.plain[row], types, width, plain))]
-                    if n == width:  # an item starts like a sentence
-                        kinds.append((WHOLE, _keys(Rolling(hashes).windows(width)[at], width, WHOLE), at))
+                    if n < PLAIN:
+                        kinds = [(LINE, *line_windows([b" ".join(words)], memo.plain[row], width))]
+                    else:
+                        found, at = windows(sizes, hashes, types, width, PLAIN)
+                        kinds = [(TEMPLATE, found, at), (EXACT, *exact_windows(sizes, memo.plain[row], types, width, PLAIN))]
+                        if n == width:  # an item starts like a sentence
+                            kinds.append((WHOLE, _keys(Rolling(hashes).windows(width)[at], width, WHOLE), at))
                     for kind, found, at in kinds:
                         slots = _slots(words, types, at, width, kind)
-                        rows += [(h, width, kind, item, a, n, s) for h, a, s in zip(found.view(np.int64).tolist(), at.tolist(), slots, strict=True)]
-                columns = list(zip(*rows, strict=True)) or [()] * 7
-                types_ = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-                names = ["hash", "width", "kind", "item_id", "item_start", "item_words", "item_slots"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types_, strict=True)], names)
+                        rows += [(h, width, kind, item, item_id, a, n, s) for h, a, s in zip(found.view(np.int64).tolist(), at.tolist(), slots, strict=True)]
+                columns = list(zip(*rows, strict=True)) or [()] * 8
+                types_ = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types_, strict=True)], [f.split()[0] for f in ITEM.split(", ")])
 
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "hash long, width int, kind int, item_id long, item_start int, item_words int, item_slots array<string>")
+    item_id, text = F.col("item_id").cast("long"), F.col("text").cast("string")
+    rows = benchmark.select(F.xxhash64(item_id.isNull(), item_id, text).alias("item"), item_id.alias("item_id"), text.alias("text"))
+    return rows.mapInArrow(run, ITEM).dropDuplicates(["item", "item_start", "kind"])
 
 
 def _bloom(items: DataFrame) -> np.ndarray:
-    """The filter's bits; at most BLOOM / 64 rows come to the driver."""
-    both = F.explode(F.array(F.pmod(F.col("hash"), F.lit(BLOOM)), F.pmod(F.shiftrightunsigned("hash", 32), F.lit(BLOOM)))).alias("bit")
-    words = items.select(both).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) as int)))").alias("bits"))
-    filled = np.zeros(BLOOM // 64, np.int64)
-    for r in words.collect():
-        filled[r.word] = r.bits
+    """The filter's bits; at most BLOOM_MOST / 64 numbers come to the driver."""
+    size = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (16 * items.count()).bit_length()))
+    both = F.explode(F.array(F.pmod(F.col("hash"), F.lit(size)), F.pmod(F.shiftrightunsigned("hash", 32), F.lit(size)))).alias("bit")
+    words = items.select(both).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) as int)))").alias("bits")).toArrow()
+    filled = np.zeros(size // 64, np.int64)
+    filled[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return np.unpackbits(filled.view(np.uint8), bitorder="little").astype(bool)
 
 
 def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[tuple[int, int]]) -> DataFrame:
-    """(hash, width, kind, doc_id, start, slots) of the windows, of the widths and kinds given, that pass the filter."""
+    """(hash, width, kind, doc, same, start, slots) of the windows, of the widths and kinds given, that pass the filter."""
     packed = np.packbits(bloom)
+    names = ["hash", "width", "kind", "doc", "same", "start", "slots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, filled = Canon(), np.unpackbits(packed).astype(bool)
         for batch in batches:
-            for part in blocks(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True), 1 << 20):
-                words, sizes, hashes, types, row = canonical([t for _, t in part], memo)
-                ids, starts = np.array([d for d, _ in part], np.int64), np.cumsum(sizes) - sizes
+            for part in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True), 1 << 20):
+                texts = [t for *_, t in part]
+                words, sizes, hashes, types, row = canonical(texts, memo)
+                ids, starts = np.array([x[:2] for x in part], np.int64).reshape(-1, 2), np.cumsum(sizes) - sizes
                 for width, kind in widths:
-                    plain = PLAIN if width == WIDTH else 0
                     if kind == TEMPLATE:
-                        found, at = windows(sizes, hashes, types, width, plain)
+                        found, at = windows(sizes, hashes, types, width, PLAIN)
                     elif kind == WHOLE:
-                        found, at = whole_windows(sizes, hashes, types, width, plain, (memo.hashes[0, row], memo.types[0, row]))
+                        found, at = whole_windows(sizes, hashes, types, width, PLAIN, (memo.hashes[0, row], memo.types[0, row]))
+                    elif kind == LINE:
+                        found, at = line_windows(texts, memo.plain[row], width)
                     else:  # however many are plain here: the item decides
                         found, at = exact_windows(sizes, memo.plain[row], types, width, width + 1)
                     a, b = _bits(found, len(filled))
                     keep = filled[a] & filled[b]
                     found, at = found[keep], at[keep]
                     doc = np.searchsorted(starts + sizes, at, side="right")
-                    columns = [pa.array(found.view(np.int64)), pa.array(np.full(len(at), width, np.int32)), pa.array(np.full(len(at), kind, np.int32)), pa.array(ids[doc]), pa.array((at - starts[doc]).astype(np.int32)), pa.array(_slots(words, types, at, width, kind), pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["hash", "width", "kind", "doc_id", "start", "slots"])
+                    columns = [found.view(np.int64), np.full(len(at), width, np.int32), np.full(len(at), kind, np.int32), ids[doc, 0], ids[doc, 1], (at - starts[doc]).astype(np.int32)]
+                    slots = pa.array(_slots(words, types, at, width, kind), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), slots], names)
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "hash long, width int, kind int, doc_id long, start int, slots array<string>")
+    rows = docs.select(*row_key(docs), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "hash long, width int, kind int, doc long, same long, start int, slots array<string>")
 
 
-def consistent(hits: list[dict]) -> tuple[int, int, bool]:
-    """(words of the item covered, windows, whether any content differs) over the windows whose contents map to one each.
+def agreeing(hits: list[tuple[int, int, list[str], list[str]]]) -> tuple[set[int], int, bool]:
+    """(words of the item covered, windows, whether any content differs) on one alignment; hits are item_start, width, the item's slots, the document's.
 
-    On each alignment a content of the item maps to the one that most windows give it. Windows that
-    disagree are left out, unless they are verbatim. An alignment that gives a content several others,
-    never itself, is no copy.
+    A content of the item maps to the one that most windows give it. Windows that disagree are left out,
+    unless they are verbatim. An alignment that gives a content several others, never itself, is no copy.
     """
-    lines: dict[int, list[tuple[dict, set[tuple[str, str]]]]] = {}
-    for h in hits:
-        lines.setdefault(h["start"] - h["item_start"], []).append((h, set(zip(h["item_slots"], h["slots"], strict=False))))
+    votes: dict[str, Counter[str]] = {}
+    pairs = [set(zip(theirs, own, strict=False)) for *_, theirs, own in hits]
+    for a, b in (x for p in pairs for x in p):
+        votes.setdefault(a, Counter())[b] += 1
     covered: set[int] = set()
     used, differs = 0, False
-    for own in lines.values():
-        votes: dict[str, Counter[str]] = {}
-        for _, pairs in own:
-            for a, b in pairs:
-                votes.setdefault(a, Counter())[b] += 1
-        if any(len(v) > 1 and a not in v for a, v in votes.items()):
-            continue
-        chosen = {a: max(v, key=lambda b: (v[b], b == a, b)) for a, v in votes.items()}
-        for h, pairs in own:
-            verbatim = all(a == b for a, b in pairs)
-            if verbatim or all(chosen[a] == b for a, b in pairs):
-                used += 1
-                differs |= not verbatim
-                covered.update(range(h["item_start"], h["item_start"] + h["width"]))
-    return len(covered), used, differs
+    if any(len(v) > 1 and a not in v for a, v in votes.items()):
+        return covered, used, differs
+    chosen = {a: max(v, key=lambda b: (v[b], b == a, b)) for a, v in votes.items()}
+    for (start, width, *_), own in zip(hits, pairs, strict=True):
+        verbatim = all(a == b for a, b in own)
+        if verbatim or all(chosen[a] == b for a, b in own):
+            used += 1
+            differs |= not verbatim
+            covered.update(range(start, start + width))
+    return covered, used, differs
+
+
+def held_items(rows: Iterable[tuple], share: float) -> Iterator[tuple]:
+    """(doc, same, item_id, coverage, windows, reparameterised) of pairs, from hits sorted by pair, alignment and place in the item.
+
+    What is held is one alignment (no more hits than the item has windows) and the words covered of one item.
+    """
+    pair = place = last = None
+    hits: list = []
+    covered: set[int] = set()
+    item_id = n = used = 0
+    differs = False
+    for row in _ended(rows):
+        now = row and row[:3]
+        if hits and (now != pair or row[3] != place):
+            words, windows_, other = agreeing(hits)
+            covered |= words
+            used, differs, hits = used + windows_, differs | other, []
+        if now != pair:
+            if pair and used and len(covered) >= share * n:
+                yield (*pair[:2], item_id, len(covered) / n, used, differs)
+            pair, covered, used, differs, last = now, set(), 0, False, None
+        if row is None:
+            return
+        _, _, _, place, start, kind, width, item_id, n, theirs, own = row
+        if (place, start, kind) != last:  # rows that repeat a document repeat its windows
+            hits.append((start, width, theirs, own))
+        last = place, start, kind
+
+
+def _ended(rows: Iterable[tuple]) -> Iterator[tuple | None]:
+    yield from rows
+    yield None
+
+
+FOUND = "doc long, same long, item_id long, coverage double, n_windows long, reparameterised boolean"
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, share: float) -> DataFrame:
+    items = settle(benchmark_windows(benchmark), "items")
+    widths = sorted((r.width, r.kind) for r in items.select("width", "kind").distinct().collect())
+    hits = document_windows(docs, _bloom(items), widths).join(items, ["hash", "width", "kind"])
+    order = ["doc", "same", "item", "place", "item_start", "kind"]
+    hits = hits.select("doc", "same", "item", (F.col("start") - F.col("item_start")).alias("place"), "item_start", "kind", "width", "item_id", "item_words", "item_slots", "slots")
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True))
+        out = list(held_items(rows, share))
+        columns = list(zip(*out, strict=True)) or [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in FOUND.split(", ")])
+
+    return spread(hits, "doc", "same", "item").sortWithinPartitions(*order).mapInArrow(run, FOUND)
+
+
+def _doc_id() -> Column:
+    return F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: float = COVERED) -> DataFrame:
     """(doc_id, item_id, coverage, n_windows, reparameterised) of the documents that hold a benchmark item.
 
     An item is held if windows that agree with it, each of its contents mapping to one, cover ``share`` of its
-    words or more. Null and empty texts hold nothing and are nowhere held; rows without an id are left out;
-    repeated rows count once. Other columns are not read.
+    words or more. Null and empty texts hold nothing and are nowhere held, in documents and in items; empty tables give no rows. Rows and items
+    without an id take part like others; texts that share a doc_id are documents of their own; rows equal in both
+    count once. Texts are read whole. Other columns are not read, whatever their names.
     """
-    items = benchmark_windows(benchmark)
-    widths = sorted((r.width, r.kind) for r in items.select("width", "kind").distinct().collect())
-    found = document_windows(docs, _bloom(items), widths)
-    hit = F.struct("start", "slots", "item_start", "item_slots", "width")
-    pairs = found.join(items, ["hash", "width", "kind"]).groupBy("doc_id", "item_id").agg(F.first("item_words").alias("item_words"), F.collect_set(hit).alias("hits"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, item, n, hits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                covered, used, differs = consistent(hits)
-                if covered >= share * n:
-                    rows.append((doc, item, covered / n, used, differs))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "coverage", "n_windows", "reparameterised"])
-
-    return pairs.mapInArrow(run, "doc_id long, item_id long, coverage double, n_windows long, reparameterised boolean")
+    return _found(docs, benchmark, share).select(_doc_id(), "item_id", "coverage", "n_windows", "reparameterised")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per contaminated document."""
-    found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.groupBy("doc_id").agg(
+    found = _found(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), COVERED)
+    by = found.groupBy("doc", "same").agg(
         F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"), F.sum("n_windows").alias("n_windows"), F.max("reparameterised").alias("reparameterised")
     )
+    return by.select(_doc_id(), "item_ids", "coverage", "n_windows", "reparameterised")
 
 
 def clean_of_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; columns unchanged."""
-    return docs.join(contamination(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no benchmark item; columns unchanged, rows without a doc_id judged like others.
+
+    Only the keys of the documents that go are joined: broadcast while they are few (``small``), so texts don't move.
+    """
+    gone = settle(_found(docs, benchmark, COVERED).select(F.col("doc").alias("__gone_doc"), F.col("same").alias("__gone_same")).distinct(), "held")
+    keyed = docs.select("*", *row_key(docs, "__row_doc", "__row_same"))
+    return keyed.join(small(gone), (F.col("__row_doc") == F.col("__gone_doc")) & (F.col("__row_same") == F.col("__gone_same")), "left_anti").select(*docs.columns)
 
 
 QUERIES = {"op4_decontamination": op4_decontamination}

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from quarry.llm import common
 from quarry.llm import decontaminate as dec
 
 ITEM = "Every morning the baker Anna sells 12 loaves for 3 dollars each and then Anna gives 4 loaves to the old school near the river."
@@ -22,55 +23,104 @@ def frames(spark):
         (2, pad(3) + " " + ITEM.replace("Anna", "Omar").replace("12", "70").replace("dollars", "euros") + " " + pad(4)),
         (3, pad(5) + " " + ITEM.replace("Anna sells", "Omar sells").replace("then Anna", "then Petra") + pad(6)),
         (4, None), (5, ""), (6, ITEM.split("for")[0] + pad(7)), (7, "short TEXT with five words"), (8, f"x. {ITEM}\n{ITEM}"), (8, f"x. {ITEM}\n{ITEM}"),
-        (9, ITEM.replace("the old school near", "the new school near")), (None, ITEM),
+        (9, ITEM.replace("the old school near", "the new school near")), (None, ITEM), (None, pad(9)), (0, pad(11) + ITEM), (12, pad(12) + " an item without any id at all here now"),
     ]
     return spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA), spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, slots string")
 
 
 def test_exact_short_and_reparameterised(frames):
     docs, items = frames
-    got = {(r.doc_id, r.item_id): r for r in dec.contamination(docs, items).collect()}
-    assert set(got) == {(1, 1), (2, 1), (7, 2), (8, 1), (9, 1)}
+    found = dec.contamination(docs, items).collect()
+    got = {(r.doc_id, r.item_id): r for r in found}
+    assert len(found) == len(got) and set(got) == {(1, 1), (2, 1), (7, 2), (8, 1), (9, 1), (None, 1), (0, 1), (12, None)}
     assert got[1, 1].coverage == 0.96 and not got[1, 1].reparameterised
     assert got[2, 1].coverage == 0.96 and got[2, 1].reparameterised
     kept = dec.clean_of_benchmark(docs, items)
     assert kept.columns == docs.columns
+    # of the two texts under doc_id 0, and of the two rows without one, the clean one stays
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0, 3, 4, 5, 6]
+    assert {r.text for r in kept.where("doc_id is null or doc_id = 0").collect()} == {pad(0), pad(9)}
 
 
 def test_the_filter_only_saves_work(frames, monkeypatch):
     docs, items = frames
-    full = sorted(map(tuple, dec.contamination(docs, items).collect()))
-    monkeypatch.setattr(dec, "BLOOM", 64)
-    assert sorted(map(tuple, dec.contamination(docs, items).collect())) == full
+    full = sorted(map(str, dec.contamination(docs, items).collect()))
+    monkeypatch.setattr(dec, "BLOOM_LEAST", 64)
+    monkeypatch.setattr(dec, "BLOOM_MOST", 64)
+    assert sorted(map(str, dec.contamination(docs, items).collect())) == full
+
+
+def test_keys_are_shuffled_where_they_are_many(frames, monkeypatch):
+    docs, items = frames
+    few = sorted(map(str, dec.clean_of_benchmark(docs, items).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, dec.clean_of_benchmark(docs, items).collect())) == few
+
+
+@pytest.mark.parametrize("item", ["42", "Paris", "12 km", "the", "June 5 1990", "Answer is four"])
+def test_items_of_few_words_count_as_lines(spark, item):
+    other = item.replace("42", "43").replace("Paris", "Rome").replace("12", "13").replace("the", "a").replace("5", "6").replace("four", "five")
+    rows = [(1, f"I have 7 apples and {item} more, {item} {pad(1)}"), (2, f"{pad(2)}\n{item}.\n{pad(3)}"), (3, f"{pad(2)}\n{other}\n{pad(3)}"), (4, item), (5, f"{pad(2)}\n{item} {item}\n"), (6, "7\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dec.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.coverage) for r in got) == [(2, 1.0), (4, 1.0)]
+
+
+@pytest.mark.parametrize(("item", "template"), [("Add 3 and 4", False), ("Name the river of Rome", True), ("How many km to Rome now", True), ("Is 4 plus 17 odd", False), ("What is 4 plus 17 plus", True), ("7 8 9 10 11 12 13", False), ("Who wrote the book on 3 whales", True)])
+def test_items_of_four_to_seven_words(spark, item, template):
+    """With four plain words or more they are found re-parameterised, with fewer by their exact words."""
+    other = item.replace("3", "5").replace("17", "18").replace("Rome", "Bern").replace("11", "14")
+    rows = [(1, f"{pad(1)}. {item} {pad(2)}"), (2, f"{pad(3)}. {other} {pad(4)}"), (3, f"{pad(5)} 1 2 {pad(6)}")]
+    got = dec.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == ([1, 2] if template else [1])
+
+
+def test_a_repetitive_document(spark):
+    """Windows of such texts meet all windows of such items; alignments are judged one by one."""
+    item = "one more step to the left " * 8
+    rows = [(1, "one more step to the left " * 3000), (1, "one more step to the left " * 3000), (2, "one more step to the right " * 3000), (3, "one more step to the left. " * 4)]
+    got = dec.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.coverage) for r in got) == [(1, 1.0), (3, 1.0)]  # alignments may differ by repeats of the item itself
 
 
 def test_against_brute_force(spark):
     rng = random.Random(8)
     words = [w for w in pad(1, 60).split()] + ["Mara", "17", "km", "two"]
     text = lambda n: " ".join(rng.choice(words) + rng.choice(["", "", ".", ","]) for _ in range(n))
-    items = [(i, text(rng.randrange(1, 30))) for i in range(15)]
+    items = [(i, text(rng.randrange(4, 30))) for i in range(15)]
     rows = [(i, " ".join([text(rng.randrange(20)), rng.choice(items)[1] if rng.random() < 0.6 else "", text(rng.randrange(20))])) for i in range(60)]
 
-    def cut(t, width, plain):
-        memo, words = dec.Canon(), t.encode().split()
-        out, start = [], True
-        for w in words:
+    def cut(t, width):
+        """(start, tokens amid the text, tokens if the first begins a sentence, exact words, contents, plain words) of each window."""
+        memo, out, start = dec.Canon(), [], True
+        for w in t.encode().split():
             n, k = int(memo.numbers([w])[0]), 0 if start else 1
-            out.append((int(memo.hashes[k, n]), int(memo.types[k, n]), w.strip(dec.EDGE).lower().decode()))
+            out.append((int(memo.hashes[k, n]), int(memo.types[k, n]), w.strip(dec.EDGE).lower().decode(), int(memo.hashes[0, n]), int(memo.types[0, n])))
             start = memo.stops[n]
-        return [(i, tuple(x[0] for x in out[i : i + width]), [x[2] for x in out[i : i + width] if x[1]]) for i in range(len(out) - width + 1) if sum(x[1] == 0 for x in out[i : i + width]) >= plain]
+        for i in range(len(out) - width + 1):
+            own = out[i : i + width]
+            contents, plain = [x[2] for x in own if x[1]], sum(x[1] == 0 for x in own)
+            yield i, tuple(x[0] for x in own), (own[0][3], *(x[0] for x in own[1:])), tuple(x[2] for x in own), contents, plain, own[0][1] != own[0][4], [x[2] for x in own[1:] if x[1]]
 
     want = set()
     for d, t in rows:
         for i, q in items:
             n = len(q.split())
-            width, plain = (dec.WIDTH, dec.PLAIN) if n >= dec.WIDTH else (n, 0)
-            hits = [{"start": a, "slots": s, "item_start": b, "item_slots": r, "width": width} for a, x, s in cut(t, width, plain) for b, y, r in cut(q, width, plain) if x == y]
-            if hits and dec.consistent(hits)[0] >= 0.5 * n:
+            width = min(dec.WIDTH, n)
+            places = {}
+            for a, x, first, exact, slots, plain, moved, rest in cut(t, width):
+                for b, y, _, theirs, their_slots, their_plain, _, _ in cut(q, width):
+                    if their_plain >= dec.PLAIN and plain >= dec.PLAIN and x == y:
+                        places.setdefault(a - b, []).append((b, width, their_slots, slots))
+                    if their_plain < dec.PLAIN and exact == theirs:
+                        places.setdefault(a - b, []).append((b, width, [], []))
+                    if their_plain >= dec.PLAIN and n == width and moved and plain + 1 >= dec.PLAIN and first == y:
+                        places.setdefault(a - b, []).append((b, width, their_slots, rest))
+            covered = set().union(*(dec.agreeing(h)[0] for h in places.values()))
+            if covered and len(covered) >= 0.5 * n:
                 want.add((d, i))
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in dec.contamination(docs, bench).collect()} == want and want
+    assert {(r.doc_id, r.item_id) for r in dec.contamination(docs, bench).collect()} == want and len(want) > 20
     assert dec.contamination(docs.limit(0), bench).count() == 0 and dec.contamination(docs, bench.limit(0)).count() == 0
 
 
