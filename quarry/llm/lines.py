@@ -1,86 +1,138 @@
 """Line deduplication over content-defined chunks of lines; DataFrame functions only.
 
-A rolling hash over the hashes of each two neighbouring lines chooses the borders: a line begins a
-chunk where the hash of the line before it and itself falls into one of EVERY residues, so borders move
-with the content, not with its position. Chunks of several lines that occur elsewhere in the corpus
-are found by hash, the texts are compared byte by byte, and all but the first occurrence are removed.
+A polynomial rolling hash over the hashes of WINDOW lines chooses the borders: a line begins a chunk where its
+hash is below those of the neighbours on both sides. So borders move with the content, not with its position, no
+chunk between two of them has fewer than LEAST lines, and there is one in three lines on average. Behind MOST
+lines a chunk is cut, counted from its own border. A run of RUN equal lines or more has no lesser hash;
+it begins and ends a chunk by rule, whatever stands around it. Chunks of several lines that occur elsewhere in the
+corpus are found by hash, the texts are compared byte by byte, and all but the first occurrence are removed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, settle
+from quarry.llm.common import documents, row_key, settle
+
+#: Lines under one rolling hash, least lines of a chunk between borders and of one that is removed, most lines, and equal lines that are a run.
+WINDOW, LEAST, MOST, RUN = 2, 2, 16, 3
+#: The rolling hash: base and modulus; line hashes are the first 32 bits of MD5, so that any engine can repeat it.
+BASE, MODULUS = 1_000_003, (1 << 31) - 1
+
+
+def _moved(a: Column, by: int) -> Column:
+    """The array with each element ``by`` places further on (back, if negative), null where there is none."""
+    blank = F.array_repeat(F.lit(None).cast("long"), F.least(F.lit(abs(by)), F.size(a)))
+    keep = F.greatest(F.size(a) - abs(by), F.lit(0))
+    return F.concat(blank, F.slice(a, F.lit(1), keep)) if by > 0 else F.concat(F.slice(a, F.lit(1 + abs(by)), keep), blank)
 
-#: One border in EVERY lines on average; chunks need LEAST lines to be removed.
-EVERY, LEAST = 4, 2
 
 
-def borders(lines: Column, every: int) -> Column:
-    """Numbers (from 0) of the lines that begin a chunk.
+def _adding(factor: Column) -> Callable[[Column, Column], Column]:
+    return lambda r, x: F.pmod(r + F.pmod(x, F.lit(MODULUS)) * factor, F.lit(MODULUS))
 
-    The rolling hash is MD5 over the MD5s of two neighbouring lines, so that any engine can repeat it.
+
+def with_borders(rows: DataFrame, when: Column | None = None) -> DataFrame:
+    """``rows`` with ``lines`` and ``at``: the numbers (from 0) of the lines that begin a chunk, in order; only where ``when`` holds.
+
+    Every step is one pass over an array, whatever the number of lines.
     """
-    hashes = F.transform(lines, lambda x: F.md5(x.cast("binary")))
-    before = F.concat(F.array(F.lit("")), F.slice(hashes, F.lit(1), F.size(lines) - 1))
-    rolled = F.zip_with(before, hashes, lambda a, b: F.conv(F.substring(F.md5(F.concat(a, b).cast("binary")), 1, 8), 16, 10).cast("long"))
-    chosen = F.transform(rolled, lambda r, i: F.when((i == 0) | (F.pmod(r, F.lit(every)) == 0), i))
-    return F.filter(chosen, lambda i: i.isNotNull())
+    lines = F.split("text", "\n")
+    cut = rows.withColumn("lines", lines if when is None else F.when(when, lines))
+    hashed = F.transform("lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
+    cut = cut.withColumn("h", hashed)
+    rolled = F.transform("h", lambda x: F.pmod(x, F.lit(MODULUS)))
+    for k in range(1, WINDOW):  # h[i] + BASE h[i - 1] + ... ; null where the window begins before the text
+        factor = F.lit(pow(BASE, k, MODULUS))
+        rolled = F.zip_with(rolled, _moved(F.col("h"), k), _adding(factor))
+    cut = cut.withColumn("r", rolled)
+    h, r = F.col("h"), F.col("r")
+    places = F.arrays_zip(
+        h, *[_moved(h, k).alias(f"h{k}") for k in range(1, RUN + 1)], *[_moved(h, -k).alias(f"n{k}") for k in range(1, RUN)],
+        r, _moved(r, 1).alias("before"), _moved(r, -1).alias("after"), _moved(h, -(LEAST - 1)).alias("left"),
+    )
+
+    def begins(x: Column, i: Column) -> Column:
+        low = (x["r"] < x["after"]) & (x["before"].isNull() | (x["r"] < x["before"])) & (i >= LEAST) & x["left"].isNotNull()
+        run = ~x["h"].eqNullSafe(x["h1"])
+        for k in range(1, RUN):
+            run &= x["h"].eqNullSafe(x[f"n{k}"])
+        ended = x["h"] != x["h1"]
+        for k in range(2, RUN + 1):
+            ended &= x["h1"] == x[f"h{k}"]
+        return F.when((i == 0) | low | run | F.coalesce(ended, F.lit(False)), i)
 
+    at = F.filter(F.transform(places, begins), lambda i: i.isNotNull())
+    cut = cut.withColumn("at", at)
+    # a chunk of more than MOST lines is cut behind every MOST
+    parts = F.flatten(F.zip_with("at", F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("lines"))), lambda a, b: F.sequence(a, b - 1, F.lit(MOST))))
+    return cut.withColumn("at", parts).drop("h", "r")
 
-def chunks(docs: DataFrame, every: int = EVERY) -> DataFrame:
-    """(doc_id, chunk, n_lines, text): consecutive chunks of every text; joined by line breaks they are the text.
+
+def _ends() -> Column:
+    return F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("lines")))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(docs), F.col("text").cast("string").alias("text"))
+
+
+def chunks(rows: DataFrame) -> DataFrame:
+    """(doc, same, chunk, n_lines, text): consecutive chunks of every text; joined by line breaks they are the text.
 
     A null text has no chunk, an empty one has one chunk of one empty line.
     """
-    lines = docs.where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
-    cut = lines.select("doc_id", "lines", borders(F.col("lines"), every).alias("at"))
-    ends = F.concat(F.slice("at", F.lit(2), F.size("lines")), F.array(F.size("lines")))
-    parts = F.zip_with("at", ends, lambda a, b: F.struct((b - a).cast("long").alias("n_lines"), F.array_join(F.slice(F.col("lines"), a + 1, b - a), "\n").alias("text")))
-    return cut.select("doc_id", F.posexplode(parts).alias("chunk", "part")).select("doc_id", "chunk", "part.n_lines", "part.text")
+    cut = with_borders(rows.where("text is not null"))
+    parts = F.zip_with("at", _ends(), lambda a, b: F.struct((b - a).cast("long").alias("n_lines"), F.array_join(F.slice(F.col("lines"), a + 1, b - a), "\n").alias("text")))
+    return cut.select("doc", "same", F.posexplode(parts).alias("chunk", "part")).select("doc", "same", "chunk", "part.n_lines", "part.text")
 
 
-def repeated_chunks(docs: DataFrame, every: int = EVERY, least: int = LEAST) -> DataFrame:
-    """(doc_id, chunk) of the chunks of ``least`` lines or more whose text occurs earlier (smaller doc_id, then further up)."""
-    hashed = chunks(docs, every).where(F.col("n_lines") >= least).withColumn("hash", F.xxhash64("text"))
-    place = F.struct("doc_id", "chunk")
+def repeated_chunks(rows: DataFrame) -> DataFrame:
+    """(doc, same, chunk) of the chunks of LEAST lines or more whose text occurs earlier (in a document before, or further up)."""
+    hashed = chunks(rows).where(F.col("n_lines") >= LEAST).withColumn("hash", F.xxhash64("text"))
+    place = F.struct("doc", "same", "chunk")
     # narrow rows only: which hashes occur twice; partial counts before the shuffle
     twice = settle(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash"), "chunk-hashes")
-    found = settle(hashed.join(twice, "hash", "left_semi").select("doc_id", "chunk", "hash", "text"), "chunks")
+    found = settle(hashed.join(twice, "hash", "left_semi").select("doc", "same", "chunk", "hash", "text"), "chunks")
     # the bytes decide: chunks are one only if their texts are equal
     first = found.groupBy("hash", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     # written, so that both sides of the join are dealt anew and a hot chunk's rows can be split
-    first = settle(first.select("hash", F.col("text").alias("same"), "first"), "first-chunks")
-    later = found.join(first, (found.hash == first.hash) & (F.col("text") == F.col("same"))).where(place > F.col("first"))
-    return later.select("doc_id", "chunk")
+    first = settle(first.select("hash", F.col("text").alias("body"), "first"), "first-chunks")
+    later = found.join(first, (found.hash == first.hash) & (F.col("text") == F.col("body"))).where(place > F.col("first"))
+    return later.select("doc", "same", "chunk")
+
 
+def _left(gone: Column) -> Column:
+    """The lines of the chunks whose numbers are not in ``gone``, by sorting both together."""
+    own = F.transform(F.arrays_zip(F.col("at"), _ends().alias("end")), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("kind"), x["at"].alias("a"), x["end"].alias("b")))
+    marks = F.transform(gone, lambda i: F.struct(i.alias("i"), F.lit(0).alias("kind"), F.lit(0).alias("a"), F.lit(0).alias("b")))
+    both = F.array_sort(F.concat(own, marks))
+    none = F.struct(F.lit(-1).alias("i"), F.lit(1).alias("kind"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    before = F.concat(F.array(none), F.slice(both, F.lit(1), F.size(both) - 1))
+    kept = F.zip_with(before, both, lambda p, x: F.when((x["kind"] == 1) & ~((p["i"] == x["i"]) & (p["kind"] == 0)), F.slice(F.col("lines"), x["a"] + 1, x["b"] - x["a"])))
+    return F.flatten(F.filter(kept, lambda x: x.isNotNull()))
 
-def lines_removed(docs: DataFrame, every: int = EVERY, least: int = LEAST) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed (lines), n_chunks, text (the lines left).
+
+def lines_removed(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_removed (lines), n_chunks_removed, text (the lines left).
 
     Of equal chunks the first stays: the one in the smallest doc_id, furthest up. A null text stays null
-    and has no line; rows that repeat a doc_id are one document, each reported; a row without doc_id
-    is reported as it is and removes nothing. Other columns are not read.
+    and has no line, an empty one has one; an empty table gives no rows; texts are cut whole, however long. Rows equal in doc_id and
+    text are one document, each reported alike; texts that share a doc_id are documents of their own, in the order of their hashes; rows without a
+    doc_id come after all others. Other columns are not read, whatever their names.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = base.where("doc_id is not null")
-    gone = repeated_chunks(known, every, least).groupBy("doc_id").agg(F.collect_set("chunk").alias("gone"))
-    none = F.array().cast("array<int>")
-    joined = known.join(gone, "doc_id", "left").union(base.where("doc_id is null").withColumn("gone", none))
-    cut = joined.select("doc_id", "text", F.coalesce("gone", none).alias("gone"), F.split("text", "\n").alias("lines"))
-    cut = cut.withColumn("at", F.when(F.size("gone") > 0, borders(F.col("lines"), every)).otherwise(F.array(F.lit(0))))
-    ends = F.concat(F.slice("at", F.lit(2), F.size("lines")), F.array(F.size("lines")))
-    parts = F.filter(F.transform(F.arrays_zip(F.col("at"), ends.alias("end")), lambda x, i: F.struct(i.alias("i"), x["at"].alias("a"), x["end"].alias("b"))), lambda x: ~F.array_contains(F.col("gone"), x.i))
-    kept = F.flatten(F.transform(parts, lambda x: F.slice(F.col("lines"), x.a + 1, x.b - x.a)))
-    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)).cast("long")
-    final = cut.select(
-        "doc_id", n_lines.alias("n_lines"), F.coalesce(F.when(F.col("text").isNotNull(), F.size("at")), F.lit(0)).cast("long").alias("n_chunks"),
-        F.when(F.size("gone") > 0, kept).alias("kept"), "text", F.size("gone").alias("n_gone"),
-    )
+    rows = _rows(docs)
+    gone = repeated_chunks(rows).groupBy("doc", "same").agg(F.collect_set("chunk").alias("gone"))
+    some = F.size(F.coalesce("gone", F.array().cast("array<int>"))) > 0
+    cut = with_borders(rows.join(gone, ["doc", "same"], "left"), some)
+    kept = cut.select("doc_id", "text", F.when(some, _left(F.col("gone"))).alias("kept"), F.when(some, F.size("gone")).otherwise(0).cast("long").alias("n_chunks_removed"))
+    n_lines = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")
+    removed = F.when(F.col("kept").isNotNull(), n_lines - F.size("kept")).otherwise(F.lit(0)).cast("long")
     left = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))
-    removed = F.when(F.col("kept").isNotNull(), F.col("n_lines") - F.size("kept")).otherwise(F.lit(0)).cast("long")
-    return final.select("doc_id", "n_lines", removed.alias("n_removed"), F.col("n_gone").cast("long").alias("n_chunks_removed"), left.alias("text"))
+    return kept.select("doc_id", n_lines.alias("n_lines"), removed.alias("n_removed"), "n_chunks_removed", left.alias("text"))
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,15 +141,23 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_lines": op9_lines}
+_LAGS = ", ".join(f"lag(h, {k}) OVER o AS h{k}" for k in range(1, RUN + 1))
+_LEADS = ", ".join(f"lead(h, {k}) OVER o AS n{k}" for k in range(1, RUN))
+_RUN = " AND ".join(f"h IS NOT DISTINCT FROM n{k}" for k in range(1, RUN))
+_ENDED = " AND ".join(f"h1 = h{k}" for k in range(2, RUN + 1))
 SQL = {
     "op9_lines": f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
-h AS (SELECT *, lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM l),
-b AS (SELECT *, CASE WHEN i = 0 OR CAST('0x' || substr(md5(prev || md5(line)), 1, 8) AS BIGINT) % {EVERY} = 0 THEN 1 ELSE 0 END AS begins FROM h),
-c AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk FROM b),
-g AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, chunk),
-r AS (SELECT *, n >= {LEAST} AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM g),
+l AS (SELECT doc_id, len(ls) AS total, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+m AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
+g AS (SELECT *, {_LAGS}, {_LEADS}, (h % {MODULUS} + (lag(h) OVER o % {MODULUS}) * {BASE}) % {MODULUS} AS r FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT *, lag(r) OVER o AS rb, lead(r) OVER o AS ra FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT doc_id, line, i, CAST(i = 0 OR coalesce(r < ra AND (rb IS NULL OR r < rb) AND i >= {LEAST} AND i <= total - {LEAST}, false)
+  OR (h IS DISTINCT FROM h1 AND {_RUN}) OR coalesce(h <> h1 AND {_ENDED}, false) AS INT) AS begins FROM n),
+c AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS long_chunk FROM b),
+e AS (SELECT *, long_chunk * 1000000 + (i - min(i) OVER (PARTITION BY doc_id, long_chunk)) // {MOST} AS chunk FROM c),
+k AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM e GROUP BY doc_id, chunk),
+r AS (SELECT *, n >= {LEAST} AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM k),
 t AS (
   SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed, count(*) FILTER (gone) AS n_chunks_removed,
     string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
