@@ -3,8 +3,8 @@
 BANDS cells of ROWS min-hashes each propose candidates: a pair at similarity 0.8 shares no cell with
 probability (1 - 0.8**4)**24 = 3e-6, a more similar pair with less. Candidates are linked only if the
 similarity of the whole sets (64-bit hashes of the shingles) reaches SIMILARITY. Equal sets are
-collapsed before; a cell with more members than ``BLOCK`` is cut into blocks, each pair of blocks
-being a task of its own, which yields a spanning forest of its links. The fingerprints of ``simhash``
+collapsed before. Cells of up to LISTED members that have the same members are one task; a larger cell is cut into blocks of BLOCK, each pair of blocks
+being a task of its own. A task yields a spanning forest of its links. The fingerprints of ``simhash``
 also link some less similar texts; each fingerprint stands for the least of its sets.
 """
 
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import simhash
-from quarry.llm.common import Rolling, doc_blocks, hashed_words, mixed, settle
+from quarry.llm.common import LAST, Rolling, blocks, hashed_words, mixed, row_key, settle, small, text_bytes
 from quarry.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, BLOCK = 24, 4, 512
+BANDS, ROWS, BLOCK, LISTED = 24, 4, 512, 64
 _FACTORS = np.random.default_rng(20260511).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -51,33 +51,42 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return cells
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, fp, cells): a hash of the whole shingle set, the text's fingerprint, and the set's cells."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """doc, same and text of rows, in blocks of about a megabyte."""
+    for batch in batches:
+        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True)
+        for part in blocks(rows, 1 << 20):
+            doc, same, texts = zip(*part, strict=True)
+            yield np.array(doc, np.int64), np.array(same, np.int64), list(texts)
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """(doc, same, node, fp, cells): a hash of the whole shingle set, the text's fingerprint, and the set's cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in doc_blocks(batches, 1 << 20):
-            sets = shingle_sets([t for _, t in part])
+        for doc, same, texts in _parts(batches):
+            sets = shingle_sets(texts)
             full = [s for s in sets if len(s)]
             found = bands(full).view(np.int64) if full else np.zeros((0, BANDS), np.int64)
             ends = np.cumsum([0, *(BANDS * bool(len(s)) for s in sets)])
             cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.ravel()))
             nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
-            fp = np.array([simhash.fingerprint(t) for _, t in part], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array(nodes), pa.array(fp), cells], ["doc_id", "node", "fp", "cells"])
+            fp = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (doc, same, nodes, fp)), cells], ["doc", "same", "node", "fp", "cells"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, fp long, cells array<long>")
+    return rows.mapInArrow(run, "doc long, same long, node long, fp long, cells array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame) -> DataFrame:
     """(node, hashes): the shingle sets themselves, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in doc_blocks(batches, 1 << 20):
-            sets = shingle_sets([t for _, t in part])
+        for _, _, texts in _parts(batches):
+            sets = shingle_sets(texts)
             nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
-    return docs.mapInArrow(run, "node long, hashes binary")
+    return rows.mapInArrow(run, "node long, hashes binary")
 
 
 def forest(sets: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple[int, int]]:
@@ -104,22 +113,28 @@ def forest(sets: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple[
     return edges
 
 
-def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v) with u > v: enough links between distinct sets to connect all near copies that share a cell."""
     grid = nodes.select("node", F.explode("cells").alias("cell"))
     crowded = grid.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = settle(grid.join(crowded, "cell"), "copy-cells")
-    asked = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"))
-    texts = docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = settle(_sets(texts).join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "copy-sets")
+    first = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first.doc", "first.same")
+    asked = small(settle(first, "copy-first"))
+    # of each set one document; only its key is joined, so texts don't move while these are few
+    texts = rows.join(asked.select("doc", "same"), ["doc", "same"], "left_semi")
+    sets = settle(_sets(texts).dropDuplicates(["node"]), "copy-sets")
+    listed = shared.where(F.col("members") <= LISTED).groupBy("cell").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
+    few = listed.select(F.xxhash64("nodes").alias("task"), F.lit(False).alias("cross"), F.lit(0).cast("long").alias("block"), F.explode("nodes").alias("node"))
     n_blocks = F.ceil(F.col("members") / BLOCK)
     block = F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("node", F.lit("block")), n_blocks)).otherwise(F.lit(0)).cast("long")
-    dealt = (
-        shared.withColumn("block", block)
+    many = (
+        shared.where(F.col("members") > LISTED)
+        .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (n_blocks - 1).cast("long"))))
         .select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
         .select(F.xxhash64("cell", "i", "j").alias("task"), (F.col("i") != F.col("j")).alias("cross"), "block", "node")
     )
+    dealt = few.union(many)
 
     def run(table: pa.Table) -> pa.Table:
         nodes_ = table.column("node").to_numpy()
@@ -141,17 +156,45 @@ def _fingerprint_links(marked: DataFrame) -> DataFrame:
     return both.where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
 
 
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (doc, same, node), one row per row of ``docs``, and (node, head), head being the first (doc, same) reachable over links."""
+    rows = docs.select(*row_key(docs), F.col("text").cast("string").alias("text"))
+    marked = settle(_marked(rows), "shingles")
+    first = F.min(F.struct("doc", "same")).alias("first")
+    nodes = settle(marked.groupBy("node").agg(first, F.any_value("cells").alias("cells")), "copy-nodes")
+    roots = components(_links(rows, nodes).union(_fingerprint_links(marked)).distinct()).withColumnRenamed("node", "linked")
+    labelled = nodes.join(roots, nodes.node == roots.linked, "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    heads = labelled.groupBy("root").agg(F.min("first").alias("head"))
+    return marked.select("doc", "same", "node"), settle(labelled.join(heads, "root").select("node", "head"), "copy-heads")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id): the smallest doc_id reachable over links of near copies. No doc_id is null.
+    """(doc_id, component_id): the smallest doc_id reachable over links of near copies.
 
     Words are lower-cased (A-Z) and split at white space; a null text is an empty one, and texts without
-    words are copies of each other. Rows that repeat a doc_id keep their own rows.
+    words are copies of each other; long texts are taken whole; an empty table gives no rows. Every row is reported,
+    those that repeat a doc_id too; rows without a doc_id take part, and name a component only among themselves.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = settle(_marked(base), "shingles")
-    nodes = settle(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("cells").alias("cells")), "copy-nodes")
-    roots = components(_links(base, nodes).union(_fingerprint_links(marked)).distinct()).withColumnRenamed("node", "linked")
-    labelled = nodes.join(roots, nodes.node == roots.linked, "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = labelled.join(least, "root").select("node", "component_id")
-    return marked.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+    rows, heads = classes(docs)
+    known = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return rows.join(heads, "node").select(known("doc").alias("doc_id"), known("head.doc").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, the first by doc_id (rows without one come last); columns unchanged.
+
+    Texts that share a doc_id are documents of their own; of rows equal in doc_id and text one stays. Only keys are
+    joined: those of the rows that go, and of those that repeat, are broadcast while they are few (``small``), so texts don't move.
+    """
+    rows, heads = classes(docs)
+    gone = rows.join(heads, "node").where((F.col("doc") != F.col("head.doc")) | (F.col("same") != F.col("head.same"))).select("doc", "same").distinct()
+    gone = small(settle(gone, "copies-gone")).select(F.col("doc").alias("__gone_doc"), F.col("same").alias("__gone_same"))
+    twice = settle(rows.groupBy("doc", "same").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc", "same"), "copies-twice")
+    keyed = docs.select("*", *row_key(docs, "__row_doc", "__row_same"))
+    left = keyed.join(gone, (F.col("__row_doc") == F.col("__gone_doc")) & (F.col("__row_same") == F.col("__gone_same")), "left_anti")
+    if not twice.take(1):
+        return left.select(*docs.columns)
+    on = (F.col("__row_doc") == F.col("__gone_doc")) & (F.col("__row_same") == F.col("__gone_same"))
+    twice = small(twice).select(F.col("doc").alias("__gone_doc"), F.col("same").alias("__gone_same"))
+    one = left.join(twice, on, "left_semi").dropDuplicates(["__row_doc", "__row_same"])
+    return left.join(twice, on, "left_anti").union(one).select(*docs.columns)

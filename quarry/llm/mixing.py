@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, documents, settle
+from quarry.llm.common import WORD, documents, settle, small
+from quarry.operators.numbering import numbered
 
 #: Bits of hash used at each refinement, and the number of refinements; 40 bits in all.
 BITS, LEVELS, HASH_BITS = 10, 4, 40
@@ -35,38 +36,32 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 
     Sources by code point, null last, have ``weights`` in turn. Together the targets are ``share`` of
     all sizes. No target is above ``most`` times its source's size; what is above is shared among the
-    others by weight until none is above (the water level is found in closed form from running sums).
+    others by weight until none is above: each round caps the sources that the level of the others overruns, and
+    two sums of a round come to the driver. No task sees all sources.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    ceiling = F.lit(float(most)) * F.col("source_size")
-    ranked = totals.withColumn("weight", weight).withColumn("ceiling", ceiling)
-    rising = Window.orderBy(F.col("ceiling") / F.col("weight"), "weight", F.col("source").asc_nulls_last())
-    before, whole = rising.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    spare = F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum("ceiling").over(before), F.lit(0.0))
-    open_weight = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    levelled = ranked.withColumn("level", spare / open_weight)
-    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("ceiling"), F.col("level"))).over(whole)
-    target = F.least(F.col("ceiling"), F.coalesce(level * F.col("weight"), F.col("ceiling")))
-    return levelled.select("source", "source_size", target.alias("target"))
-
-
-def mix(
-    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0
-) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
-
-    ``copies`` whole repeats of a document are taken: the source's whole repeats, plus one for hashes
-    below its threshold. ``taken`` is their words. Documents that share a doc_id share a hash. Null
-    texts have size 0; a null source is a source of its own, the last; an empty table gives no rows.
-    """
-    if "source" not in docs.columns:
-        docs = docs.withColumn("source", F.lit(None).cast("string"))
-    base = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash")
-    )
-    base = settle(base, "sizes")
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("absent", F.col("source").isNull())
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("row") % len(weights) + 1).cast("int"))
+    ranked = numbered(totals, "absent", "source").select("source", "source_size", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("ceiling"))
+    ranked = settle(ranked, "sources")
+    size, open_weight = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    capped, level, before = 0.0, None, None
+    while size is not None and open_weight and (capped, open_weight) != before:
+        before, level = (capped, open_weight), (share * size - capped) / open_weight
+        above = F.lit(level) * F.col("weight") > F.col("ceiling")
+        row = ranked.agg(F.sum(F.when(above, F.col("ceiling"))), F.sum(F.when(~above, F.col("weight")))).first()
+        capped, open_weight = row[0] or 0.0, row[1] or 0.0
+    target = F.least(F.col("ceiling"), F.lit(level) * F.col("weight")) if open_weight else F.col("ceiling")
+    return ranked.select("source", "source_size", target.alias("target"))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, hash) of every row; a table without sources has the null source."""
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash"))
+
+
+def thresholds(base: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """(s, whole, target, source_size, limit) of every source: how many times all its documents are taken, and below which hash once more."""
     targets = settle(source_targets(base, weights, share, most), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     budget = targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -96,8 +91,24 @@ def mix(
     # the last bucket is taken if that comes nearer
     nearer = (F.col("got") + F.col("next") - F.col("budget")) < (F.col("budget") - F.col("got"))
     limits = edge.select(F.col("source").alias("s"), "whole", "target", "source_size", (F.col("floor") + F.when(nearer, F.col("step")).otherwise(F.lit(0))).alias("limit"))
-    copies = (F.col("whole") + F.when(F.col("hash") < F.col("limit"), 1).otherwise(0)).cast("long")
-    out = base.join(limits, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies)
+    return settle(limits, "limits")
+
+
+def _copies() -> Column:
+    return (F.col("whole") + F.when(F.col("hash") < F.col("limit"), 1).otherwise(0)).cast("long")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+
+    ``copies`` whole repeats of a document are taken: the source's whole repeats, plus one for hashes
+    below its threshold. ``taken`` is their words. Rows that share a doc_id share a hash, so ties fall together; rows without one do too. Null
+    and empty texts have size 0, long ones are counted whole; a null source is a source of its own, the last; an empty
+    table gives no rows. Other columns are not read, whatever their names.
+    """
+    base = settle(sized(docs), "sizes")
+    limits = small(thresholds(base, weights, share, most))
+    out = base.join(limits, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -105,15 +116,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; columns unchanged.
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The documents of the mix, each as often as it is taken (see ``mix``); columns unchanged.
 
-    Documents of no words have no part in the budget and follow their source's threshold as the others.
+    Only hashes are compared with their source's threshold: thresholds are broadcast while they are few (``small``),
+    so no text moves. Documents of no words have no part in the budget and follow their source's threshold as the others.
     """
-    mixed = mix(docs).select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("copies").alias("__mix_copies")).distinct()
-    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    joined = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & source.eqNullSafe(F.col("__mix_source")))
-    repeated = joined.where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
+    limits = small(thresholds(settle(sized(docs), "sizes"), weights, share, most)).select(*[F.col(c).alias(f"__mix_{c}") for c in ("s", "whole", "limit")])
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    taken = F.col("__mix_whole") + F.when(hash_of(F.col("doc_id")) < F.col("__mix_limit"), 1).otherwise(0)
+    joined = docs.withColumn("__mix_source", source).join(limits, F.col("__mix_source").eqNullSafe(F.col("__mix_s"))).withColumn("__mix_copies", taken.cast("int"))
+    repeated = joined.where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("__mix_copies"))))
     return repeated.select(*docs.columns)
 
 

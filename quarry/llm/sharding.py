@@ -2,87 +2,129 @@
 
 Documents with equal texts form atomic groups, ordered by their least doc_id. Running sums over the
 groups are made in two levels (inside ranges, then over the ranges' totals). The smallest capacity at
-which a greedy pass needs no more than the given number of shards is found by search over capacities;
-each greedy step asks the table of running sums for the last group end within reach, for a whole
-set of capacities at once. The cuts of the smallest capacity are the shards' borders.
+which a greedy pass needs no more than the given number of shards is found by binary search on the driver over a
+sample of the groups' ends, POINTS of them at most. A greedy pass that rounds each cut down to a sampled end tells capacities that
+surely suffice, one that rounds up as far as the next sampled end those that surely don't. What lies between leaves a narrow
+window for each cut, which is sampled anew, more closely, until every end in the windows is known and the two searches meet.
+The cuts of the smallest capacity are the shards' borders.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, settle, spread
 
 SHARDS = 16
-#: Capacities tried at once; rows numbered by one window.
-TRIED, NUMBERED = 24, 256
+#: Ends sampled at once; rows numbered by one window.
+POINTS, NUMBERED = 1 << 16, 256
 
 
 def ordered_groups(base: DataFrame) -> DataFrame:
-    """(text_key, bytes, members, upto, before): atomic groups with running bytes (own included) and running members (own not)."""
+    """(text_key, bytes, members, upto, before, nth): atomic groups with running bytes (own included), running members (own not) and number."""
     groups = base.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("members"))
     n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = groups.repartitionByRange(n, F.col("first").asc_nulls_last(), "text_key")
     ranged = settle(ranged.withColumn("part", F.spark_partition_id()), "groups")
-    totals = ranged.groupBy("part").agg(F.sum("bytes").alias("part_bytes"), F.sum("members").alias("part_members"))
+    totals = ranged.groupBy("part").agg(F.sum("bytes").alias("part_bytes"), F.sum("members").alias("part_members"), F.count(F.lit(1)).alias("part_groups"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", *[F.coalesce(F.sum(f"part_{x}").over(earlier), F.lit(0)).alias(f"{x}_before") for x in ("bytes", "members")])
+    offsets = totals.select("part", *[F.coalesce(F.sum(f"part_{x}").over(earlier), F.lit(0)).alias(f"{x}_before") for x in ("bytes", "members", "groups")])
     inside = Window.partitionBy("part").orderBy(F.col("first").asc_nulls_last(), "text_key")
     upto = F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("bytes_before")
+    nth = F.row_number().over(inside).cast("long") + F.col("groups_before")
     before = F.coalesce(F.sum("members").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("members_before")
-    placed = ranged.join(F.broadcast(offsets), "part").select("text_key", "first", "bytes", "members", upto.alias("upto"), before.alias("before"))
+    placed = ranged.join(F.broadcast(offsets), "part").select("text_key", "first", "bytes", "members", upto.alias("upto"), before.alias("before"), nth.alias("nth"))
     return settle(placed.sortWithinPartitions("upto"), "prefix")
 
 
-def _reach(prefix: DataFrame, places: list[int], capacities: list[int]) -> list[int]:
-    """For each capacity, the last group end that a shard starting at its place can reach."""
-    limits = [p + c for p, c in zip(places, capacities, strict=True)]
-    near = prefix.where((F.col("upto") > min(places)) & (F.col("upto") <= max(limits)))
-    # one aggregate row, whatever the data's size; the filter reaches the sorted table's row groups
-    row = near.agg(*[F.max(F.when(F.col("upto") <= x, F.col("upto"))) for x in limits]).first()
-    return [max(p, row[i] or 0) for i, p in enumerate(places)]
+class Ends:
+    """Known group ends, and between which of them all ends are known."""
+
+    def __init__(self, total: int):
+        self.known = np.array([0, total], np.int64)
+        self.closed: list[tuple[int, int]] = []
+
+    def add(self, ends: np.ndarray, closed: list[tuple[int, int]]) -> None:
+        self.known = np.unique(np.r_[self.known, ends])
+        self.closed += closed
+
+    def down(self, x: int) -> int:
+        """The last known end up to x: no later than the last end."""
+        return int(self.known[np.searchsorted(self.known, x, side="right") - 1])
+
+    def up(self, x: int) -> int:
+        """No earlier than the last end up to x."""
+        i = int(np.searchsorted(self.known, x, side="right"))
+        low = int(self.known[i - 1])
+        if low == x or i == len(self.known) or any(a <= low and x <= b for a, b in self.closed):
+            return low
+        return min(x, int(self.known[i]) - 1)
 
 
-def greedy_cuts(prefix: DataFrame, total: int, shards: int, capacities: list[int]) -> list[list[int] | None]:
-    """The borders that greedy packing gives for each capacity, None where it needs more shards."""
-    paths = [[0] for _ in capacities]
+def _cuts(reach: Callable[[int], int], shards: int, capacity: int) -> list[int]:
+    path = [0]
     for _ in range(shards):
-        places = [p[-1] for p in paths]
-        if min(places) == total:
-            break
-        for path, end in zip(paths, _reach(prefix, places, capacities), strict=True):
-            path.append(end)
-    return [p if p[-1] == total else None for p in paths]
+        path.append(max(path[-1], reach(path[-1] + capacity)))
+    return path[1:]
+
+
+def greedy_cuts(reach: Callable[[int], int], total: int, shards: int, capacity: int) -> list[int] | None:
+    """The borders that greedy packing gives, None where it needs more shards."""
+    path = _cuts(reach, shards, capacity)
+    return path if path[-1] >= total else None
+
+
+def _least(reach: Callable[[int], int], total: int, shards: int, low: int, high: int) -> int:
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if greedy_cuts(reach, total, shards, middle) else (middle + 1, high)
+    return low
 
 
 def smallest_capacity(prefix: DataFrame, shards: int) -> tuple[int, list[int]]:
-    """The least feasible capacity, and the ends of its shards."""
+    """The least feasible capacity, and the ends of its shards; one job for each round of samples."""
     total, largest = prefix.agg(F.max("upto"), F.max("bytes")).first()
     if total is None:
         return 0, [0]
     low, high = max(-(-total // shards), largest), -(-total // shards) + largest
-    best: list[int] | None = None
-    while best is None or low < high:
-        step = max(1, -(-(high - low) // TRIED))
-        tried = sorted({*range(low, high, step), high})
-        paths = greedy_cuts(prefix, total, shards, tried)
-        i = next(i for i, p in enumerate(paths) if p)
-        best, high = paths[i], tried[i]
-        low = tried[i - 1] + 1 if i else high
-    return high, best[1:]
+    ends, windows, every = Ends(total), [(0, total)], None
+    while True:
+        inside = prefix.where(" or ".join(f"(upto >= {a} and upto <= {b})" for a, b in windows))
+        every = max(1, min(-(-inside.count() // POINTS), every // 2 if every else 1 << 62))
+        found = inside.where(F.pmod("nth", F.lit(every)) == 0).select("upto").toArrow().column(0).to_numpy()
+        ends.add(found, windows if every == 1 else [])
+        high = _least(ends.down, total, shards, low, high)
+        low = _least(ends.up, total, shards, low, high)
+        if every == 1 and low == high:
+            return high, greedy_cuts(ends.down, total, shards, high)
+        # between the least cuts of the least capacity in question and the greatest of the greatest
+        first, last = _cuts(ends.down, shards, low), _cuts(ends.up, shards, high)
+        windows = _merged([(min(a, b), max(a, b)) for a, b in zip(first, last, strict=True)])
+
+
+def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(windows):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot.
 
-    Size is the text's UTF-8 bytes plus 1; a null text has no bytes, and null texts are one group apart
-    from empty ones. Equal texts share a shard; a group larger than a fair share sets the capacity.
-    Slots run from 0 in each shard without gaps; repeated rows have slots of their own. Groups without
-    a doc_id come last. Texts are held equal by SHA-256.
+    Size is the text's UTF-8 bytes plus 1, however long; a null text counts as an empty one. Equal texts share a shard; a group larger than a
+    fair share sets the capacity. Slots run from 0 in each shard without gaps; repeated rows have slots of their own. Groups without
+    a doc_id come last, by their hash. Texts are held equal by SHA-256. An empty table gives no rows. Other columns are not read, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.when(F.col("text").isNull(), F.lit(b"")).otherwise(F.unhex(F.sha2(text.cast("binary"), 256)))
+    key = F.unhex(F.sha2(text.cast("binary"), 256))
     base = settle(
         docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("text_key")),
         "sizes",

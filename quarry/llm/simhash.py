@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import copies
 from quarry.llm.common import documents, settle, spread, text_bytes
 from quarry.llm.components import components
 
@@ -181,8 +180,9 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most ``bits`` differing bits.
 
-    A null text is an empty one (fingerprint 0); rows that repeat a doc_id keep their own rows; a null
-    doc_id takes part but never names a component unless nothing else does.
+    A null text is an empty one (fingerprint 0); long texts are taken whole; an empty table gives no rows. Rows that repeat a doc_id keep
+    their own rows; a null doc_id takes part but never names a component unless nothing else does. Other columns are
+    not read, whatever their names.
     """
     marked = settle(fingerprints(docs, shingle), "fps")
     nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
@@ -198,15 +198,5 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, the one with the least doc_id; columns unchanged.
-
-    Near copies are those of ``copies``: five-word shingles alike to 0.8 or more, besides op7's three bits. Rows that repeat a doc_id are one document, of which one row stays. Rows without a doc_id stay.
-    """
-    kept = copies.near_copies(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).union(docs.where("doc_id is null"))
-
-
 QUERIES = {"op7_simhash": op7_simhash}
 SQL: dict[str, str] = {}

@@ -2,13 +2,13 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import corpus_pipeline
-from quarry.llm import decontaminate, quality
-from quarry.llm.common import WordHashes
+from quarry.llm import common, decontaminate, quality
+from tests.llm.test_copies import brute
 from tests.llm.test_mixing import water
 from tests.llm.test_sharding import least_capacity
-from tests.llm.test_simhash import brute, plain
 
 
 def texts():
@@ -36,13 +36,42 @@ def texts():
     return [*rows, (150, None, "en", "s1", 0), (151, "", "en", None, 0)], items
 
 
+def fails(line):
+    """The line rules, written out by hand."""
+    words = line.split()
+    n = len(words)
+    if not n:
+        return False
+    bare = [w.lower().strip(".,:;|/") for w in words]
+    return (
+        2 * sum(c in "#*$%&<>" for c in line) >= n
+        or 3 * line.count("|") >= n
+        or (n <= 12 and 2 * sum(w.encode() in quality.NAVIGATION for w in bare) > n)
+        or (n <= 25 and any(p.decode() in line.lower() for p in quality.BOILERPLATE))
+        or (n >= 3 and 2 * sum(w[-2:] in ("!!", "??") or w.endswith("...") for w in words) >= n)
+    )
+
+
+def cleaned(text):
+    """The text without failing lines, None if the document goes."""
+    words = text.split()
+    n = len(words)
+    grams = [tuple(words[i : i + 5]) for i in range(n - 4)]
+    times = Counter(grams)
+    repeated = {j for i, g in enumerate(grams) if times[g] > 1 for j in range(i, i + 5)}
+    lines = text.split("\n")
+    size = lambda x: len("".join(x.split()).encode())
+    if n < 10 or 100 * len(repeated) > 20 * n or sum(size(x) for x in lines if fails(x)) > 0.5 * size(text):
+        return None
+    return "\n".join(x for x in lines if not fails(x))
+
+
 def by_hand(rows, items):
     kept = {}
     for d, t, _, s, _ in rows:
-        x = quality.judge((t or "").encode(), WordHashes())
-        if x["kept"]:
-            kept[d] = (x["cleaned"].decode(), s)
-    root = brute({d: plain(t) for d, (t, _) in kept.items()})
+        if (x := cleaned(t or "")) is not None:
+            kept[d] = (x, s)
+    root = brute([(d, t) for d, (t, _) in kept.items()])
     kept = {d: x for d, x in kept.items() if root[d] == d}
     held = lambda t: any(re.sub(r"\s+", " ", q) in re.sub(r"\s+", " ", t) for _, q in items)
     kept = {d: x for d, x in kept.items() if not held(x[0])}
@@ -90,3 +119,31 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert decontaminate.COVERED == 0.5
+
+
+def test_ids_that_are_null_or_repeat_and_clashing_columns(spark, tmp_path):
+    """Rows are told apart by doc_id and text at every stage; names that the operators use themselves don't matter."""
+    rows, items = texts()
+    rng = random.Random(5)
+    own = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(40))
+    fresh = [own() for _ in range(4)]
+    more = [(None, fresh[0]), (None, fresh[1]), (None, rows[0][1]), (500, fresh[2]), (500, fresh[3]), (501, fresh[2]), (500, fresh[2]), (None, own() + " " + items[0][1]), (None, None)]
+    extra = "doc long, same long, node string, shard string, size string, hash string, whole string, copies string, gone string, lines string"
+    names = extra.split(", ")
+    table = [(*r, 0, 0, *[str(r[0])] * (len(names) - 2)) for r in [*rows, *[(d, t, "en", "s1", 0) for d, t in more]]]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = common.settle(stage(spark, kept, str(tmp_path)), name)
+        assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    left = [(None, fresh[0]), (None, fresh[1]), (500, fresh[2]), (500, fresh[3])]
+    assert sorted((x for x in found if x[0] is None or x[0] >= 500), key=str) == sorted(left, key=str)
+    assert len(found) == len(set(found))
+    mixed = corpus_pipeline.STAGES[3][1](spark, kept, str(tmp_path))
+    assert mixed.columns == docs.columns
+    out = corpus_pipeline.STAGES[4][1](spark, mixed, str(tmp_path))
+    assert out.count() == mixed.count() > 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()

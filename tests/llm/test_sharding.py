@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -34,12 +35,13 @@ def rows(n, seed):
 @pytest.mark.parametrize("numbered", [4096, 7])
 def test_smallest_capacity_and_slots(spark, monkeypatch, numbered):
     monkeypatch.setattr(sharding, "NUMBERED", numbered)
-    monkeypatch.setattr(sharding, "TRIED", 5)
+    monkeypatch.setattr(sharding, "POINTS", 4096 if numbered == 4096 else 9)
     data = rows(200, 4)
     got = sharding.shard_documents(spark.createDataFrame([(d, t, "x", "y") for d, t in data], SCHEMA)).collect()
     assert len(got) == len(data)
     groups = {}
     for d, t in data:
+        t = t or ""
         first, size = groups.get(t, (float("inf"), 0))
         groups[t] = (min(first, d if d is not None else float("inf")), size + len((t or "").encode()) + 1)
     capacity = least_capacity([s for _, s in sorted(groups.values())], 16)
@@ -53,10 +55,26 @@ def test_smallest_capacity_and_slots(spark, monkeypatch, numbered):
     text = dict(data)
     for r in got:
         assert r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode())
-    assert len({(text[r.doc_id], r.shard) for r in got}) == len({text[r.doc_id] for r in got})
+    assert len({(text[r.doc_id] or "", r.shard) for r in got}) == len({text[r.doc_id] or "" for r in got})
 
 
 def test_empty_and_one_giant(spark):
     assert sharding.shard_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     got = sharding.shard_documents(spark.createDataFrame([(i, "same", "", "") for i in range(50)], SCHEMA)).collect()
     assert {r.shard for r in got} == {0} and sorted(r.slot for r in got) == list(range(50))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_capacity_from_samples(spark, monkeypatch, seed):
+    """Sizes of many kinds, a few ends known at a time."""
+    rng = random.Random(seed)
+    sizes = [rng.choice((1, 2, rng.randrange(1, 50), rng.randrange(1, 5000) if seed % 2 else 3)) for _ in range(rng.randrange(1, 3000))]
+    if seed % 3 == 0:
+        sizes[rng.randrange(len(sizes))] = sum(sizes) // 3 + 1
+    upto = list(itertools.accumulate(sizes))
+    prefix = spark.createDataFrame([(u, s, i) for i, (u, s) in enumerate(zip(upto, sizes, strict=True), 1)], "upto long, bytes long, nth long")
+    monkeypatch.setattr(sharding, "POINTS", 40)
+    shards = rng.choice((2, 5, 16))
+    capacity, ends = sharding.smallest_capacity(prefix, shards)
+    assert capacity == least_capacity(sizes, shards)
+    assert ends[-1] == sum(sizes) and set(ends) <= set(upto) and max(b - a for a, b in zip([0, *ends], ends, strict=False)) == capacity

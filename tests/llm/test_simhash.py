@@ -83,6 +83,3 @@ def test_empty_and_null_ids(spark):
     assert simhash.near_duplicates(empty).count() == 0
     docs = spark.createDataFrame([(None, "a b c d", "x"), (7, "a b c d", "x"), (9, "a b c d", "x"), (9, "a b c d", "x")], SCHEMA)
     assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {7}
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.select(F.col("doc_id")).collect()) == [-1, 7]
