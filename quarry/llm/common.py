@@ -49,6 +49,13 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of some rows, so that what Python makes of one stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def blocks(items: Iterable[tuple], size: int = 1 << 21) -> Iterator[list[tuple]]:
     """Cut (…, bytes) tuples into lists of about ``size`` bytes, so temporaries stay bounded."""
     held, n = [], 0
@@ -62,12 +69,6 @@ def blocks(items: Iterable[tuple], size: int = 1 << 21) -> Iterator[list[tuple]]
         yield held
 
 
-def doc_blocks(batches: Iterable[pa.RecordBatch], size: int = 1 << 21) -> Iterator[list[tuple]]:
-    """(doc_id, bytes) of Arrow batches that start with doc_id and text, in blocks of bounded size."""
-    for batch in batches:
-        yield from blocks(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True), size)
-
-
 class WordHashes(dict):
     """word bytes -> 64-bit hash; forgets everything at a quarter of a million words, so memory is bounded."""
 

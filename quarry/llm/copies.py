@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import simhash
-from quarry.llm.common import LAST, Rolling, blocks, hashed_words, mixed, row_key, settle, small, text_bytes
+from quarry.llm.common import LAST, Rolling, blocks, hashed_words, mixed, row_key, settle, slices, small, text_bytes
 from quarry.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -53,7 +53,7 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """doc, same and text of rows, in blocks of about a megabyte."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True)
         for part in blocks(rows, 1 << 20):
             doc, same, texts = zip(*part, strict=True)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LAST, Rolling, blocks, documents, mixed, row_key, settle, small, spread, text_bytes
+from quarry.llm.common import LAST, Rolling, blocks, documents, mixed, row_key, settle, slices, small, spread, text_bytes
 
 #: Window width, plain words that it needs, and the share of an item's words to be covered.
 WIDTH, PLAIN, COVERED = 8, 4, 0.5
@@ -69,8 +69,8 @@ class Canon(dict):
         return n
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Rows of the words; what is known is forgotten between calls at half a million words."""
-        if len(self) > 500_000:
+        """Rows of the words; what is known is forgotten between calls at a quarter of a million words."""
+        if len(self) > 250_000:
             self.clear()
             self.__init__()
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -228,7 +228,7 @@ def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[tuple[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, filled = Canon(), np.unpackbits(packed).astype(bool)
-        for batch in batches:
+        for batch in slices(batches):
             for part in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True), 1 << 20):
                 texts = [t for *_, t in part]
                 words, sizes, hashes, types, row = canonical(texts, memo)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Rolling, WordHashes, documents, text_bytes
+from quarry.llm.common import Rolling, WordHashes, documents, slices, text_bytes
 
 #: Share of a document's word characters that its failing lines may hold.
 MOST_LOST = 0.5
@@ -108,7 +108,7 @@ def quality(docs: DataFrame, most_lost: float = MOST_LOST, cleaned: bool = True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             found = [judge(t, memo, most_lost) for t in text_bytes(batch.column(1))]
             columns = [pa.array([x[k] for x in found], pa.binary()).cast(pa.string()) if k == "cleaned" else pa.array([x[k] for x in found], _TYPES[t]) for k, t in fields]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *[k for k, _ in fields]])
@@ -132,7 +132,7 @@ def clean_documents(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             found = [judge(t, memo, most_lost) for t in text_bytes(batch.column(place))]
             texts = pa.array([x["cleaned"] for x in found], pa.binary()).cast(pa.string())
             out = batch.set_column(place, "text", texts).filter(pa.array([x["kept"] for x in found], pa.bool_()))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks, documents, text_bytes
+from quarry.llm.common import blocks, documents, slices, text_bytes
 
 #: Fixed patterns; letters of the keywords in either case.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -372,7 +372,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(weights, transitions)
-        for batch in batches:
+        for batch in slices(batches):
             column = pc.fill_null(batch.column(1), "")
             hints = [pc.match_substring_regex(column, HINTS[k]).to_numpy(zero_copy_only=False) for k in KINDS[:3]]
             rows = []
