@@ -5,11 +5,13 @@ with the bits of the present byte so far) has a Krichevsky-Trofimov estimate; a
 probability halves its own estimate and the product over its longer contexts, and a prediction
 mixes the estimates of all depths by the posterior weights that follow.
 
-Nothing that grows with the corpus is broadcast or collected. Counts of byte strings and words are
-summed over the training documents and dealt out by context; the trees below two bytes of context are
-whole in one task, and the two top levels, at most 256 x 255 nodes, are put together on the driver.
-Documents are scored in batches of about BATCH bytes: a batch asks for its distinct strings, the model
-answers by a join, and the batch adds up the answers.
+Counts of byte strings and words are summed over the training documents. Strings are dealt out by their last DEALT bytes of
+context, so a subtree is whole in one task and has 256 ** (DEPTH - DEALT + 1) strings at most, whatever the corpus; trees of some HELD strings are
+weighed at a time. Each passes the sums of its roots up; what is above (65,536 contexts of two bytes, 255 nodes each, at
+12 bytes a node, 200 MB at the very most and a few in practice) is put together on the driver and sent to the tasks.
+
+Documents are packed into batches of BATCH bytes where they lie. A batch asks for its distinct strings, the model
+answers by a join on the string, and each batch, a partition of its own, adds up its answers.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, blocks, documents, settle, spread, text_bytes, word_hashes, word_places
+from quarry.llm.common import SPACE, blocks, documents, settle, slices, small, spread, text_bytes, word_hashes, word_places
+from quarry.operators.numbering import numbered
 
-DEPTH, BATCH, BLOCK = 4, 24 << 20, 1 << 20
+#: Bytes of context; bytes of context by which strings are dealt; strings weighed at a time; bytes of a batch, and of a block handled at once.
+DEPTH, DEALT, HELD, BATCH, BLOCK = 5, 3, 150_000, 24 << 20, 1 << 20
 END_OF_TEXT, PAD = b"\xff", b"\x00" * DEPTH
 #: Keys with the sign bit are words, others are packed byte strings; this word ends every text.
 WORD_BIT, END_WORD = np.uint64(1 << 63), np.uint64((1 << 64) - 1)
@@ -69,20 +75,14 @@ def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     keep[starts[spaced] - 1] = True
     text = low[keep]
     sizes = np.add.reduceat(keep.astype(np.int64), begins)
-    two = (text[:-1].astype(np.uint16) << np.uint16(8)) | text[1:]
-    four = (two[:-2].astype(np.uint32) << np.uint32(16)) | two[2:]
-    packed = (four[:-1].astype(np.uint64) << np.uint64(8)) | text[DEPTH:]
+    packed = np.zeros(len(text) - DEPTH, np.uint64)
+    for k in range(DEPTH + 1):
+        packed = (packed << np.uint64(8)) | text[k : len(text) - DEPTH + k]
     real = np.ones(len(text), bool)
     real[((np.cumsum(sizes) - sizes)[:, None] + np.arange(DEPTH)).ravel()] = False
     return packed[real[DEPTH:]], sizes - DEPTH, keys, n_words + 1
 
 
-def _blocks(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts in blocks of about BLOCK bytes."""
-    for part in blocks(zip(ids, texts, strict=True), BLOCK):
-        yield [i for i, _ in part], [t for _, t in part]
-
-
 class Counts:
     """Sums by key, put together whenever the parts grow large."""
 
@@ -111,27 +111,88 @@ class Counts:
         return keys, n
 
 
-def counted(docs: DataFrame) -> DataFrame:
+PACKED = "batch long, ids array<long>, sizes array<int>, texts binary, bytes long"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents in rows of about BLOCK bytes of compressed text; the rows of one ``batch`` hold about BATCH bytes."""
+    most = BATCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = TaskContext.get().partitionId() << 24
+        size = 0
+        for part in blocks((row for b in slices(batches) for row in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True)), min(BLOCK, most)):
+            texts = [t for _, t in part]
+            whole = b"".join(texts)
+            columns = [[batch], [[d for d, _ in part]], [[len(t) for t in texts]], [pa.compress(whole, "zstd", asbytes=True)], [len(whole)]]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in PACKED.split(", ")])
+            size += len(whole)
+            if size >= most:
+                batch, size = batch + 1, 0
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PACKED)
+
+
+def _unpacked(row: dict) -> tuple[list, list[bytes]]:
+    whole, at, texts = pa.decompress(row["texts"], row["bytes"], "zstd", asbytes=True), 0, []
+    for size in row["sizes"]:
+        texts.append(whole[at : at + size])
+        at += size
+    return row["ids"], texts
+
+
+def _rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in slices(batches, 1):
+        yield from batch.to_pylist()
+
+
+def _sent(columns: dict[str, np.ndarray], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+    yield from slices([whole], rows)
+
+
+def counted(held: DataFrame) -> DataFrame:
     """(key, n): every word and byte string of the corpus, and its count in the training documents (0 is kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                for ids, texts in _blocks(part.column(0).to_pylist(), text_bytes(part.column(1))):
-                    train = np.array([not held_out(d) for d in ids])
-                    strings, n_strings, words, n_words = coded(texts)
-                    counts.add(strings, np.repeat(train, n_strings))
-                    counts.add(words, np.repeat(train, n_words))
-        yield _rows(counts.merge())
+        for row in _rows_of(batches):
+            ids, texts = _unpacked(row)
+            train = np.array([not held_out(d) for d in ids])
+            strings, n_strings, words, n_words = coded(texts)
+            counts.add(strings, np.repeat(train, n_strings))
+            counts.add(words, np.repeat(train, n_words))
+        keys, n = counts.merge()
+        yield from _sent({"key": keys.view(np.int64), "n": n.astype(np.int64)})
+
+    return held.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "key long, n long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+def asked(held: DataFrame) -> DataFrame:
+    """(batch, key): the distinct strings and words of each batch (twice where a batch's rows are read by two tasks)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found, size = None, [], 0
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if found:
+                keys = np.unique(np.concatenate(found))
+                yield from _sent({"batch": np.full(len(keys), now, np.int32), "key": keys.view(np.int64)})
+
+        for row in _rows_of(batches):
+            if row["batch"] != now:
+                yield from ended()
+                now, found, size = row["batch"], [], 0
+            strings, _, words, _ = coded(_unpacked(row)[1])
+            for keys in (strings, words):
+                found.append(np.unique(keys))
+                size += len(found[-1])
+            if size > 4_000_000:
+                found, size = [np.unique(np.concatenate(found))], 0
+        yield from ended()
 
-def _rows(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1].astype(np.int64))], ["key", "n"])
+    return held.mapInArrow(run, "batch int, key long")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -154,7 +215,7 @@ def weigh(own: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """Nodes of depth 2 to DEPTH over packed strings that share whole two-byte contexts."""
+    """Nodes of depth DEALT to DEPTH over packed strings that share whole contexts of DEALT bytes."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray):
         x = keys & np.uint64(0xFF)
@@ -163,7 +224,7 @@ class Tree:
         n = np.broadcast_to(n, self.bit.shape)
         self.node, self.zeros, self.ones, self.own, self.at = {}, {}, {}, {}, {}
         self.total = {}
-        for d in range(DEPTH, 1, -1):
+        for d in range(DEPTH, DEALT - 1, -1):
             context = (keys >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
             self.node[d], at = np.unique((context << np.uint64(8)) | self.prefix, return_inverse=True)
             self.at[d] = at.reshape(self.bit.shape)
@@ -174,15 +235,13 @@ class Tree:
             if d == DEPTH:
                 self.total[d], self.own[d] = estimate, np.ones(size)
             else:
-                deeper = self.node[d + 1]
-                up = (((deeper >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) | (deeper & np.uint64(0xFF))
-                longer = np.bincount(np.searchsorted(self.node[d], up), self.total[d + 1], size)
+                longer = np.bincount(np.searchsorted(self.node[d], _parents(self.node[d + 1], d)), self.total[d + 1], size)
                 self.total[d], self.own[d] = weigh(estimate, longer)
 
     def predict(self) -> np.ndarray:
-        """Probability of each bit of each string, all depths from 2 on mixed."""
+        """Probability of each bit of each string, all depths from DEALT on mixed."""
         p = None
-        for d in range(DEPTH, 1, -1):
+        for d in range(DEPTH, DEALT - 1, -1):
             at = self.at[d]
             hits = np.where(self.bit, self.ones[d][at], self.zeros[d][at])
             kt = (hits + 0.5) / (self.ones[d][at] + self.zeros[d][at] + 1.0)
@@ -190,51 +249,83 @@ class Tree:
         return p
 
 
-def _partition(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray] | None:
-    found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not found:
-        return None
-    keys, n = (np.concatenate(x) for x in zip(*found, strict=True))
-    return keys.view(np.uint64), n
+def _parents(nodes: np.ndarray, depth: int) -> np.ndarray:
+    """The nodes of ``depth`` above nodes one byte deeper."""
+    return (((nodes >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8)) | (nodes & np.uint64(0xFF))
+
+
+def _up(nodes: np.ndarray, depth: int, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Nodes of ``depth`` and the sums over the nodes below each."""
+    found, at = np.unique(_parents(nodes, depth), return_inverse=True)
+    return found, *(np.bincount(at, v, len(found)) for v in sums)
+
+
+TREES = "keys binary, n binary, strings int, node array<long>, zeros array<double>, ones array<double>, total array<double>"
+
+
+def trees(counts: DataFrame) -> DataFrame:
+    """Rows of some HELD strings and their counts, whole subtrees each, and the sums that their roots pass up (node, zeros, ones, total)."""
+    most = HELD
+    code = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * DEALT) - 1))
+    dealt = spread(counts.where("key >= 0").withColumn("code", code), "code").sortWithinPartitions("code", "key").select("key", "n")
+
+    def weighed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        tree = Tree(keys, n)
+        node, *sums = _up(tree.node[DEALT], DEALT - 1, tree.zeros[DEALT], tree.ones[DEALT], tree.total[DEALT])
+        pack = lambda x: pa.compress(x.tobytes(), "zstd", asbytes=True)
+        columns = [[pack(np.diff(keys, prepend=np.uint64(0)))], [pack(n)], [len(keys)], [node.view(np.int64)], *([v] for v in sums)]
+        types = [pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in TREES.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            keys = np.r_[keys, batch.column(0).to_numpy().view(np.uint64)]
+            n = np.r_[n, batch.column(1).to_numpy()]
+            if len(keys) < most:
+                continue
+            own = (keys >> np.uint64(8)) & np.uint64((1 << 8 * DEALT) - 1)
+            if len(before := np.flatnonzero(own != own[-1])):
+                edge = int(before[-1]) + 1
+                yield weighed(keys[:edge], n[:edge])
+                keys, n = keys[edge:], n[edge:]
+        if len(keys):
+            yield weighed(keys, n)
+
+    return dealt.mapInArrow(run, TREES)
 
 
 def string_scores(counts: DataFrame) -> DataFrame:
     """(key, value): log10 of the probability of each string's last byte after the bytes before it."""
-    strings = counts.where("key >= 0").withColumn("context", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
-    dealt = settle(spread(strings, "context").select("key", "n", "context"), "strings")
-    dealt = spread(dealt, "context").select("key", "n")
-
-    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (part := _partition(batches)) is not None:
-            tree = Tree(*part)
-            node = (tree.node[2] & np.uint64(0xFFFF)).astype(np.int64)  # the last byte of context, and the bits
-            found, at = np.unique(node, return_inverse=True)
-            columns = [np.bincount(at, v) for v in (tree.zeros[2], tree.ones[2], tree.total[2])]
-            yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, columns)], ["node", "zeros", "ones", "total"])
-
-    sums = dealt.mapInArrow(tops, "node long, zeros double, ones double, total double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "total")])
-    top = {c: np.zeros((256, 256)) for c in ("zeros", "ones", "total")}
-    for r in sums.collect():  # at most 256 x 255 rows
-        for c in top:
-            top[c][r.node >> 8, r.node & 0xFF] = r[c]
-    total1, own1 = weigh(log_estimate(top["zeros"], top["ones"]), top["total"])
-    zeros0, ones0 = top["zeros"].sum(axis=0), top["ones"].sum(axis=0)
-    _, own0 = weigh(log_estimate(zeros0, ones0), total1.sum(axis=0))
-    zeros1, ones1 = top["zeros"], top["ones"]
+    grown = settle(trees(counts), "trees")
+    sums = grown.select(F.explode(F.arrays_zip("node", "zeros", "ones", "total")).alias("x")).groupBy("x.node").agg(*[F.sum(f"x.{c}").alias(c) for c in ("zeros", "ones", "total")])
+    found = sums.toArrow()  # 65,536 x 255 rows at the very most
+    node = found.column("node").to_numpy().view(np.uint64)
+    zeros, ones, total = (found.column(c).to_numpy() for c in ("zeros", "ones", "total"))
+    above = []  # (node, probability of a one, weight of the own estimate), by depth from DEALT - 1 to 0
+    for d in range(DEALT - 1, -1, -1):
+        if d < DEALT - 1:
+            node, zeros, ones, total = _up(node, d, zeros, ones, total)
+        total, own = weigh(log_estimate(zeros, ones), total)
+        order = np.argsort(node)
+        above.append((node[order].astype(np.uint32), ((ones + 0.5) / (zeros + ones + 1.0))[order].astype(np.float32), own[order].astype(np.float32)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (part := _partition(batches)) is not None:
-            keys, _ = part
-            tree = Tree(*part)
+        for row in _rows_of(batches):
+            keys, n = (np.frombuffer(pa.decompress(row[c], 8 * row["strings"], "zstd", asbytes=True), t) for c, t in (("keys", np.uint64), ("n", np.int64)))
+            keys = np.cumsum(keys, dtype=np.uint64)
+            tree = Tree(keys, n)
             p = tree.predict()
-            last, prefix = ((keys >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64), tree.prefix.astype(np.int64)
-            for z, o, own in ((zeros1[last, prefix], ones1[last, prefix], own1[last, prefix]), (zeros0[prefix], ones0[prefix], own0[prefix])):
-                kt = (np.where(tree.bit, o, z) + 0.5) / (z + o + 1.0)
-                p = own * kt + (1 - own) * p
-            value = np.log10(p).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(value)], ["key", "value"])
+            context = keys >> np.uint64(8)
+            for k, (nodes, one, own) in enumerate(above):
+                d = DEALT - 1 - k
+                here = ((context & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) | tree.prefix
+                at = np.searchsorted(nodes, here.astype(np.uint32))
+                kt = np.where(tree.bit, one[at], 1 - one[at]).astype(np.float64)
+                p = own[at] * kt + (1 - own[at].astype(np.float64)) * p
+            yield from _sent({"key": keys.view(np.int64), "value": np.log10(p).sum(axis=0).astype(np.float32)})
 
-    return dealt.mapInArrow(score, "key long, value double")
+    return grown.select("keys", "n", "strings").mapInArrow(score, "key long, value float")
 
 
 class Table:
@@ -245,7 +336,7 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(2 * len(keys)).bit_length())
         mask = (1 << self.bits) - 1
-        used, self.keys, self.values = np.full(1 << self.bits, -1, np.int32), np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits)
+        used, self.keys, self.values = np.full(1 << self.bits, -1, np.int32), np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, values.dtype)
         todo, at = np.arange(len(keys), dtype=np.int32), self._place(keys)
         while len(todo):
             free = used[at] < 0
@@ -270,59 +361,66 @@ class Table:
         return self.values[at]
 
 
+RESULT = {
+    "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(),
+    "base_score": pa.float64(), "score": pa.float64(), "n_bytes": pa.int64(), "bits_per_byte": pa.float64(),
+}
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Training documents are those whose CRC-32 of the id as text is not divisible by ten (no id: held
-    out). Texts are lower-cased (A-Z) and read as words with one space between, a null text as an empty
-    one; the model codes their bytes and an end, n_bytes in all, at bits_per_byte. Every row counts by itself, repeated ones too.
+    out). Texts are lower-cased (A-Z) and read as words with one space between, whole however long, a null text as an empty
+    one; the model codes their bytes and an end, n_bytes in all, at bits_per_byte. Every row counts by itself, repeated
+    ones too; an empty table gives no rows. Other columns are not read, whatever their names.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = settle(counted(base), "counts")
+    held = settle(packed(docs), "packed")
+    numbers = numbered(held.select("batch").distinct(), "batch")
+    n_batches = max(1, numbers.count())
+    held = held.join(small(settle(numbers, "batches")), "batch").select(F.col("row").cast("int").alias("batch"), "ids", "sizes", "texts", "bytes")
+    counts = settle(counted(held), "counts")
     row = counts.where("key < 0").agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     tokens, kinds = row[0] or 0, row[1] or 0
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_batches = -(-size // BATCH) + 1
-    # a partition for each batch at least, however many there are
-    n_parts = max(n_batches, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    batched = base.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")).repartition(n_parts, "batch")
-
-    def ask(table: pa.Table) -> pa.Table:
-        found, size = [], 0
-        for _, texts in _blocks(table.column("doc_id").to_pylist(), [t for c in table.column("text").chunks for t in text_bytes(c)]):
-            for keys in coded(texts)[::2]:
-                found.append(np.unique(keys))
-                size += len(found[-1])
-            if size > 4_000_000:
-                found, size = [np.unique(np.concatenate(found))], 0
-        keys = np.unique(np.concatenate(found))
-        return pa.table({"batch": pa.array(np.full(len(keys), table.column("batch")[0].as_py(), np.int32)), "key": keys.view(np.int64)})
-
-    def add(docs_: pa.Table, answers: pa.Table) -> pa.Table:
-        table = Table(answers.column("key").to_numpy().view(np.uint64), answers.column("value").to_numpy())
-        out = []
-        log_base = math.log10(tokens + ALPHA * (kinds + 1))
-        for ids, texts in _blocks(docs_.column("doc_id").to_pylist(), [t for c in docs_.column("text").chunks for t in text_bytes(c)]):
-            strings, n_bytes, words, n_words = coded(texts)
-            count = table.get(words)
-            starts = np.cumsum(n_words) - n_words
-            known = np.add.reduceat((count > 0).astype(np.int64), starts)
-            base_ = np.add.reduceat(np.log10(count + ALPHA) - log_base, starts)
-            score = np.add.reduceat(table.get(strings), np.cumsum(n_bytes) - n_bytes)
-            out.append((ids, [held_out(d) for d in ids], n_words, known, base_, score, n_bytes, -score / math.log10(2) / n_bytes))
-        flat = [np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in zip(*out, strict=True)] if out else [[]] * 8
-        ids, held, n, known, base_, score, coded_bytes, bits = flat
-        return pa.table([
-            pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-            pa.array(np.full(len(ids), tokens), pa.int64()), pa.array(base_, pa.float64()), pa.array(score, pa.float64()),
-            pa.array(coded_bytes, pa.int64()), pa.array(bits, pa.float64()),
-        ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
-
-    asked = batched.groupBy("batch").applyInArrow(ask, "batch int, key long")
-    values = counts.where("key < 0").select("key", F.col("n").cast("double").alias("value")).unionByName(string_scores(counts))
-    answers = asked.join(values, "key").select("batch", "key", "value")
+    # a float holds word counts exactly up to 2 ** 24
+    kind = "float" if tokens < 1 << 24 else "double"
+    values = string_scores(counts).select("key", F.col("value").cast(kind).alias("answer")).union(counts.where("key < 0").select("key", F.col("n").cast(kind)))
+    answers = asked(held).join(values, "key")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[int, list[dict]] = {}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            number, key, answer = (batch.column(k) for k in range(3))
+            told = key.is_valid()
+            for b in number.unique().to_pylist():
+                here = pc.equal(number, b)
+                mine = pc.and_(here, told)
+                found.setdefault(b, []).append((key.filter(mine).to_numpy(), answer.filter(mine).to_numpy()))
+                rest = batch.filter(pc.and_(here, pc.invert(told)))
+                if rest.num_rows:
+                    texts.setdefault(b, []).extend(rest.select(["ids", "sizes", "texts", "bytes"]).to_pylist())
+        log_base = math.log10(tokens + ALPHA * (kinds + 1)) if tokens or kinds else math.log10(ALPHA)
+        for b, rows in texts.items():
+            keys, value = (np.concatenate(x) for x in zip(*found.pop(b), strict=True))
+            table = Table(keys.view(np.uint64), value)
+            del keys, value
+            for held_row in rows:
+                ids, own = _unpacked(held_row)
+                strings, n_bytes, words, n_words = coded(own)
+                count = table.get(words).astype(np.float64)
+                starts = np.cumsum(n_words) - n_words
+                known = np.add.reduceat((count > 0).astype(np.int64), starts)
+                base = np.add.reduceat(np.log10(count + ALPHA) - log_base, starts)
+                score = np.add.reduceat(table.get(strings).astype(np.float64), np.cumsum(n_bytes) - n_bytes)
+                columns = [ids, [held_out(d) for d in ids], n_words, known, np.full(len(ids), tokens), base, score, n_bytes, -score / math.log10(2) / n_bytes]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, RESULT.values(), strict=True)], list(RESULT))
+
+    none = lambda name: F.lit(None).cast(held.schema[name].dataType).alias(name)
+    told = answers.select("batch", "key", "answer", none("ids"), none("sizes"), none("texts"), none("bytes"))
+    rows = held.select("batch", F.lit(None).cast("long").alias("key"), F.lit(None).cast(answers.schema["answer"].dataType).alias("answer"), "ids", "sizes", "texts", "bytes")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(add, schema)
+    return told.union(rows).repartitionById(n_batches, F.col("batch")).mapInArrow(add, schema)
 
 
 def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:

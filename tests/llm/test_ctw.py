@@ -96,6 +96,7 @@ def test_batches_do_not_matter(spark, monkeypatch):
     docs = spark.createDataFrame([(d, t) for d, t in corpus()], "doc_id long, text string")
     one = sorted(map(str, ctw.scores(docs).selectExpr("doc_id", "n_known", "round(base_score, 9)", "round(score, 9)").collect()))
     monkeypatch.setattr(ctw, "BATCH", 100)
+    monkeypatch.setattr(ctw, "HELD", 40)
     assert sorted(map(str, ctw.scores(docs).selectExpr("doc_id", "n_known", "round(base_score, 9)", "round(score, 9)").collect())) == one
 
 
