@@ -119,40 +119,44 @@ class FMIndex:
         """The least place that a full-length match at ``place`` has."""
         return self.least[self.interval(place, self.depth)]
 
-    def statistics(self, symbols: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def statistics(self, symbols: np.ndarray, ends: np.ndarray, sizes: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics: at each symbol of each streamed piece, the longest match up to ``depth`` and a place in its interval.
 
-        Piece k is symbols[ends[k] - sizes[k] : ends[k]]; symbols outside the index's alphabet match nothing.
+        Piece k is symbols[ends[k] - sizes[k] : ends[k]]; symbols outside the index's alphabet match nothing. A piece whose
+        remaining symbols can't make a match of ``least`` is given up; what is left of it has statistic 0.
         """
         length, place = np.zeros(len(symbols), np.int32), np.zeros(len(symbols), np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        ends, sizes = ends[order], sizes[order]
         left, right, m = np.zeros(len(ends), np.int64), np.full(len(ends), self.size), np.zeros(len(ends), np.int64)
+        common = np.r_[self.common, np.uint8(0)].astype(np.int64)
+        live = np.arange(len(ends))
         for t in range(int(sizes.max(initial=0))):
-            k = int(np.searchsorted(-sizes, -t, side="left"))
-            at = ends[:k] - 1 - t
+            live = live[(sizes[live] > t) & (m[live] + sizes[live] - t >= least)]
+            if not len(live):
+                break
+            at = ends[live] - 1 - t
             c = symbols[at]
-            l, r, d = left[:k], right[:k], m[:k]
+            l, r, d = left[live], right[live], m[live]
             full = np.flatnonzero(d == self.depth)
             l[full], r[full] = self._widen(l[full], self.depth - 1)
             d[full] -= 1
-            todo = np.flatnonzero((c > 0) & (c < self.sigma))
-            unknown = np.flatnonzero((c <= 0) | (c >= self.sigma))
+            known = (c > 0) & (c < self.sigma)
+            todo, unknown = np.flatnonzero(known), np.flatnonzero(~known)
             l[unknown], r[unknown], d[unknown] = 0, self.size, 0
             while len(todo):
-                a, b = self.step(c[todo], l[todo]), self.step(c[todo], r[todo])
+                a, b = np.split(self.step(np.r_[c[todo], c[todo]], np.r_[l[todo], r[todo]]), 2)
                 found = a < b
                 hit = todo[found]
                 l[hit], r[hit] = a[found], b[found]
                 d[hit] += 1
                 todo = todo[~found]
-                l[todo[d[todo] == 0]], r[todo[d[todo] == 0]] = 0, self.size
                 todo = todo[d[todo] > 0]
-                d[todo] -= 1
+                # the next shorter match that has a larger interval
+                d[todo] = np.maximum(common[l[todo]], common[r[todo]])
                 for depth in np.unique(d[todo]):
                     lane = todo[d[todo] == depth]
                     l[lane], r[lane] = self._widen(l[lane], int(depth))
             length[at], place[at] = d, l
+            left[live], right[live], m[live] = l, r, d
         return length, place
 
 
@@ -192,7 +196,7 @@ def earlier_windows(table: pa.Table, width: int = WORDS.width) -> list[bytes]:
         code[known] = np.arange(1, len(known) + 1)
         index = FMIndex(code[text], width, np.where(offset < n[below][piece], place[below][piece] + offset, np.iinfo(np.int64).max))
         asked, piece, offset = _runs(symbols, begins[above], sizes[above])
-        length, at = index.statistics(code[asked], np.cumsum(sizes[above] + 1) - 1, sizes[above])
+        length, at = index.statistics(code[asked], np.cumsum(sizes[above] + 1) - 1, sizes[above], width)
         hit = np.flatnonzero(length == width)
         piece, offset = above[piece[hit]], offset[hit]
         first = index.earliest(at[hit]) < place[piece] + offset

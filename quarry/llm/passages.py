@@ -35,7 +35,7 @@ from quarry.llm.common import BYTE_HASH, Rolling, blocks, hashed_words, mixed, r
 #: Rows of one minimizer in a shard, and hot minimizers told to the tasks.
 HOT_MOST, HOT_LEAST, HOT_TOLD = 8192, 512, 20_000
 #: Symbols of text handled at once while cutting, and while searching a shard.
-PIECE, SHARD = 1 << 18, 1 << 20
+PIECE, SHARD = 1 << 18, 1 << 21
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -290,7 +290,8 @@ def masks(docs: DataFrame, found: DataFrame, cut: Cut, search: Callable[[pa.Tabl
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(out, pa.binary())], names)
 
     schema = "route long, h long, doc long, same long, start int, times long, n int, at int, seg binary"
-    fetched = docs.join(wanted, ["doc", "same"]).select("doc", "same", "text", "parts").mapInArrow(fetch, schema)
+    # with doc_id, so that the exchange of the documents is the one that ``marked`` uses
+    fetched = docs.join(wanted, ["doc", "same"]).select("doc", "same", "text", "parts", "doc_id").mapInArrow(fetch, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shards(batches, 0, 8):
