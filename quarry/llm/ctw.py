@@ -96,7 +96,7 @@ class Counts:
             self.keys.append(found)
             self.n.append(n * w)
             self.size += len(found)
-        if self.size > 2_000_000:
+        if self.size > 1_000_000:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -111,40 +111,53 @@ class Counts:
         return keys, n
 
 
-PACKED = "batch long, ids array<long>, sizes array<int>, texts binary, bytes long"
+def _body(ids: list, texts: list[bytes]) -> bytes:
+    """Ids and texts as one compressed string, its length in front."""
+    known = np.array([d is not None for d in ids], np.uint8)
+    numbers = np.array([len(ids), *(d or 0 for d in ids), *map(len, texts)], np.int64)
+    whole = b"".join([numbers.tobytes(), known.tobytes(), *texts])
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd", asbytes=True)
+
+
+def _opened(body: bytes) -> tuple[list, list[bytes]]:
+    whole = pa.decompress(memoryview(body)[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True)
+    n = int.from_bytes(whole[:8], "little")
+    ids, sizes = np.frombuffer(whole, np.int64, 2 * n, 8).reshape(2, n).tolist()
+    at = 8 + 16 * n
+    known = whole[at : at + n]
+    at += n
+    texts = []
+    for size in sizes:
+        texts.append(whole[at : at + size])
+        at += size
+    return [d if k else None for d, k in zip(ids, known, strict=True)], texts
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Documents in rows of about BLOCK bytes of compressed text; the rows of one ``batch`` hold about BATCH bytes."""
+    """(batch, body): documents in rows of about BLOCK bytes, compressed; the rows of one ``batch`` hold about BATCH bytes."""
     most = BATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = TaskContext.get().partitionId() << 24
-        size = 0
-        for part in blocks((row for b in slices(batches) for row in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True)), min(BLOCK, most)):
-            texts = [t for _, t in part]
-            whole = b"".join(texts)
-            columns = [[batch], [[d for d, _ in part]], [[len(t) for t in texts]], [pa.compress(whole, "zstd", asbytes=True)], [len(whole)]]
-            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in PACKED.split(", ")])
-            size += len(whole)
+        batch, size = TaskContext.get().partitionId() << 24, 0
+        rows = (row for b in slices(batches) for row in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True))
+        for part in blocks(rows, min(BLOCK, most)):
+            ids, texts = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([_body(ids, texts)], pa.binary())], ["batch", "body"])
+            size += sum(map(len, texts))
             if size >= most:
                 batch, size = batch + 1, 0
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PACKED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "batch long, body binary")
 
 
-def _unpacked(row: dict) -> tuple[list, list[bytes]]:
-    whole, at, texts = pa.decompress(row["texts"], row["bytes"], "zstd", asbytes=True), 0, []
-    for size in row["sizes"]:
-        texts.append(whole[at : at + size])
-        at += size
-    return row["ids"], texts
+def _bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
+    for batch in slices(batches, 1):
+        yield batch.column(0)[0].as_py(), *_opened(batch.column(1)[0].as_py())
 
 
-def _rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in slices(batches, 1):
-        yield from batch.to_pylist()
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
 def _sent(columns: dict[str, np.ndarray], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -157,8 +170,7 @@ def counted(held: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
-        for row in _rows_of(batches):
-            ids, texts = _unpacked(row)
+        for _, ids, texts in _bodies(batches):
             train = np.array([not held_out(d) for d in ids])
             strings, n_strings, words, n_words = coded(texts)
             counts.add(strings, np.repeat(train, n_strings))
@@ -177,19 +189,18 @@ def asked(held: DataFrame) -> DataFrame:
 
         def ended() -> Iterator[pa.RecordBatch]:
             if found:
-                keys = np.unique(np.concatenate(found))
+                keys = _distinct(np.concatenate(found))
                 yield from _sent({"batch": np.full(len(keys), now, np.int32), "key": keys.view(np.int64)})
 
-        for row in _rows_of(batches):
-            if row["batch"] != now:
+        for batch, _, texts in _bodies(batches):
+            if batch != now:
                 yield from ended()
-                now, found, size = row["batch"], [], 0
-            strings, _, words, _ = coded(_unpacked(row)[1])
-            for keys in (strings, words):
-                found.append(np.unique(keys))
-                size += len(found[-1])
-            if size > 4_000_000:
-                found, size = [np.unique(np.concatenate(found))], 0
+                now, found, size = batch, [], 0
+            strings, _, words, _ = coded(texts)
+            found.append(_distinct(np.concatenate([strings, words])))
+            size += len(found[-1])
+            if size > 1_000_000:
+                found, size = [_distinct(np.concatenate(found))], 0
         yield from ended()
 
     return held.mapInArrow(run, "batch int, key long")
@@ -311,7 +322,7 @@ def string_scores(counts: DataFrame) -> DataFrame:
         above.append((node[order].astype(np.uint32), ((ones + 0.5) / (zeros + ones + 1.0))[order].astype(np.float32), own[order].astype(np.float32)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows_of(batches):
+        for row in (row for batch in slices(batches, 1) for row in batch.to_pylist()):
             keys, n = (np.frombuffer(pa.decompress(row[c], 8 * row["strings"], "zstd", asbytes=True), t) for c, t in (("keys", np.uint64), ("n", np.int64)))
             keys = np.cumsum(keys, dtype=np.uint64)
             tree = Tree(keys, n)
@@ -378,7 +389,7 @@ def scores(docs: DataFrame) -> DataFrame:
     held = settle(packed(docs), "packed")
     numbers = numbered(held.select("batch").distinct(), "batch")
     n_batches = max(1, numbers.count())
-    held = held.join(small(settle(numbers, "batches")), "batch").select(F.col("row").cast("int").alias("batch"), "ids", "sizes", "texts", "bytes")
+    held = held.join(small(settle(numbers, "batches")), "batch").select(F.col("row").cast("int").alias("batch"), "body")
     counts = settle(counted(held), "counts")
     row = counts.where("key < 0").agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     tokens, kinds = row[0] or 0, row[1] or 0
@@ -388,26 +399,24 @@ def scores(docs: DataFrame) -> DataFrame:
     answers = asked(held).join(values, "key")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[int, list[dict]] = {}
+        bodies: dict[int, list[bytes]] = {}
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            number, key, answer = (batch.column(k) for k in range(3))
+            number, key, answer, body = (batch.column(k) for k in range(4))
             told = key.is_valid()
-            for b in number.unique().to_pylist():
+            for b in pc.unique(number).to_pylist():
                 here = pc.equal(number, b)
                 mine = pc.and_(here, told)
                 found.setdefault(b, []).append((key.filter(mine).to_numpy(), answer.filter(mine).to_numpy()))
-                rest = batch.filter(pc.and_(here, pc.invert(told)))
-                if rest.num_rows:
-                    texts.setdefault(b, []).extend(rest.select(["ids", "sizes", "texts", "bytes"]).to_pylist())
+                bodies.setdefault(b, []).extend(body.filter(pc.and_(here, pc.invert(told))).to_pylist())
         log_base = math.log10(tokens + ALPHA * (kinds + 1)) if tokens or kinds else math.log10(ALPHA)
-        for b, rows in texts.items():
+        for b, rows in bodies.items():
             keys, value = (np.concatenate(x) for x in zip(*found.pop(b), strict=True))
             table = Table(keys.view(np.uint64), value)
             del keys, value
-            for held_row in rows:
-                ids, own = _unpacked(held_row)
-                strings, n_bytes, words, n_words = coded(own)
+            for row_ in rows:
+                ids, texts = _opened(row_)
+                strings, n_bytes, words, n_words = coded(texts)
                 count = table.get(words).astype(np.float64)
                 starts = np.cumsum(n_words) - n_words
                 known = np.add.reduceat((count > 0).astype(np.int64), starts)
@@ -416,9 +425,8 @@ def scores(docs: DataFrame) -> DataFrame:
                 columns = [ids, [held_out(d) for d in ids], n_words, known, np.full(len(ids), tokens), base, score, n_bytes, -score / math.log10(2) / n_bytes]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, RESULT.values(), strict=True)], list(RESULT))
 
-    none = lambda name: F.lit(None).cast(held.schema[name].dataType).alias(name)
-    told = answers.select("batch", "key", "answer", none("ids"), none("sizes"), none("texts"), none("bytes"))
-    rows = held.select("batch", F.lit(None).cast("long").alias("key"), F.lit(None).cast(answers.schema["answer"].dataType).alias("answer"), "ids", "sizes", "texts", "bytes")
+    told = answers.select("batch", "key", "answer", F.lit(None).cast("binary").alias("body"))
+    rows = held.select("batch", F.lit(None).cast("long").alias("key"), F.lit(None).cast(answers.schema["answer"].dataType).alias("answer"), "body")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return told.union(rows).repartitionById(n_batches, F.col("batch")).mapInArrow(add, schema)
 
