@@ -6,7 +6,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of one Arrow batch. Texts differ in length a millionfold, so batches can't be bounded by rows.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, their session told to end Arrow batches at BATCH_BYTES, unless it has a lower bound."""
+    conf = docs.sparkSession.conf
+    if int(conf.get(_BATCH_SETTING).removesuffix("b")) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return docs
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
@@ -69,19 +81,6 @@ def blocks(items: Iterable[tuple], size: int = 1 << 21) -> Iterator[list[tuple]]
         yield held
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash; forgets everything at a quarter of a million words, so memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def inverse(odd: int) -> int:
     return pow(odd, -1, 1 << 64)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import simhash
-from quarry.llm.common import LAST, Rolling, blocks, hashed_words, mixed, row_key, settle, slices, small, text_bytes
+from quarry.llm.common import LAST, Rolling, blocks, bounded, hashed_words, mixed, row_key, settle, slices, small, text_bytes
 from quarry.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -158,7 +158,7 @@ def _fingerprint_links(marked: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two written tables: (doc, same, node), one row per row of ``docs``, and (node, head), head being the first (doc, same) reachable over links."""
-    rows = docs.select(*row_key(docs), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(*row_key(docs), F.col("text").cast("string").alias("text"))
     marked = settle(_marked(rows), "shingles")
     first = F.min(F.struct("doc", "same")).alias("first")
     nodes = settle(marked.groupBy("node").agg(first, F.any_value("cells").alias("cells")), "copy-nodes")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, blocks, documents, settle, slices, small, spread, text_bytes, word_hashes, word_places
+from quarry.llm.common import SPACE, blocks, bounded, documents, settle, slices, small, spread, text_bytes, word_hashes, word_places
 from quarry.operators.numbering import numbered
 
 #: Bytes of context; bytes of context by which strings are dealt; strings weighed at a time; bytes of a batch, and of a block handled at once.
@@ -147,7 +147,7 @@ def packed(docs: DataFrame) -> DataFrame:
             if size >= most:
                 batch, size = batch + 1, 0
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "batch long, body binary")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "batch long, body binary")
 
 
 def _bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:

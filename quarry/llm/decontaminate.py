@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LAST, Rolling, blocks, documents, mixed, row_key, settle, slices, small, spread, text_bytes
+from quarry.llm.common import LAST, Rolling, blocks, bounded, documents, mixed, row_key, settle, slices, small, spread, text_bytes
 
 #: Window width, plain words that it needs, and the share of an item's words to be covered.
 WIDTH, PLAIN, COVERED = 8, 4, 0.5
@@ -250,7 +250,7 @@ def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[tuple[int,
                     slots = pa.array(_slots(words, types, at, width, kind), pa.list_(pa.string()))
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), slots], names)
 
-    rows = docs.select(*row_key(docs), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(*row_key(docs), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "hash long, width int, kind int, doc long, same long, start int, slots array<string>")
 
 

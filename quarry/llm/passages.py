@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BYTE_HASH, Rolling, blocks, hashed_words, mixed, row_key, settle, spread, text_bytes
+from quarry.llm.common import BYTE_HASH, Rolling, blocks, bounded, hashed_words, mixed, row_key, settle, spread, text_bytes
 
 #: Rows of one minimizer in a shard, and hot minimizers told to the tasks.
 HOT_MOST, HOT_LEAST, HOT_TOLD = 8192, 512, 20_000
@@ -341,7 +341,7 @@ def covered(size: int, width: int, spans: list[dict] | None, part: Callable[[int
 
 def placed(docs: DataFrame) -> DataFrame:
     """(doc_id, doc, same, text): doc is the row's place in order, same tells texts of one doc_id apart. All uses share one exchange."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *row_key(docs), F.col("text").cast("string").alias("text"))
+    return bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), *row_key(docs), F.col("text").cast("string").alias("text"))
 
 
 def marked(docs: DataFrame, found: DataFrame, judge: Callable[[bytes, list | None], tuple], schema: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Rolling, WordHashes, documents, slices, text_bytes
+from quarry.llm.common import Rolling, bounded, documents, hashed_words, slices, text_bytes
 
 #: Share of a document's word characters that its failing lines may hold.
 MOST_LOST = 0.5
@@ -56,8 +56,8 @@ def line_fails(line: bytes) -> str | None:
     return None
 
 
-def judge(text: bytes, memo: WordHashes, most_lost: float = MOST_LOST) -> dict:
-    """Base figures, cleaned text and verdict of one document."""
+def judge(text: bytes, hashes: np.ndarray, most_lost: float = MOST_LOST) -> dict:
+    """Base figures, cleaned text and verdict of one document; ``hashes`` are those of its words."""
     words = text.split()
     data = np.frombuffer(text, np.uint8)
     seen: set[bytes] = set()
@@ -73,7 +73,7 @@ def judge(text: bytes, memo: WordHashes, most_lost: float = MOST_LOST) -> dict:
             lines.append(line)
     n, repeated = len(words), 0
     if n >= WINDOW:
-        _, place, count = np.unique(Rolling(memo.array(words)).windows(WINDOW), return_inverse=True, return_counts=True)
+        _, place, count = np.unique(Rolling(hashes).windows(WINDOW), return_inverse=True, return_counts=True)
         covered = np.zeros(n + 1, np.int32)
         starts = np.flatnonzero(count[place] > 1)
         np.add.at(covered, starts, 1)
@@ -94,6 +94,10 @@ def judge(text: bytes, memo: WordHashes, most_lost: float = MOST_LOST) -> dict:
     }
 
 
+def judged(texts: list[bytes], most_lost: float) -> list[dict]:
+    return [judge(t, h, most_lost) for t, h in zip(texts, hashed_words(texts), strict=True)]
+
+
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_removed long, cleaned string"
 _TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
 
@@ -107,14 +111,13 @@ def quality(docs: DataFrame, most_lost: float = MOST_LOST, cleaned: bool = True)
     fields = [f.split() for f in FIELDS.split(", ") if cleaned or not f.startswith("cleaned")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in slices(batches):
-            found = [judge(t, memo, most_lost) for t in text_bytes(batch.column(1))]
+            found = judged(text_bytes(batch.column(1)), most_lost)
             columns = [pa.array([x[k] for x in found], pa.binary()).cast(pa.string()) if k == "cleaned" else pa.array([x[k] for x in found], _TYPES[t]) for k, t in fields]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *[k for k, _ in fields]])
 
     schema = "doc_id long, " + ", ".join(" ".join(f) for f in fields)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,14 +134,13 @@ def clean_documents(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in slices(batches):
-            found = [judge(t, memo, most_lost) for t in text_bytes(batch.column(place))]
+            found = judged(text_bytes(batch.column(place)), most_lost)
             texts = pa.array([x["cleaned"] for x in found], pa.binary()).cast(pa.string())
             out = batch.set_column(place, "text", texts).filter(pa.array([x["kept"] for x in found], pa.bool_()))
             yield out
 
-    cast = docs.withColumn("text", F.col("text").cast("string"))
+    cast = bounded(docs).withColumn("text", F.col("text").cast("string"))
     kept = cast.mapInArrow(run, cast.schema).withColumn("text", F.col("text").cast(body))
     if "n_chars" in names:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

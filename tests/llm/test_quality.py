@@ -3,13 +3,13 @@ import pandas as pd
 import pytest
 
 from quarry.llm import quality
-from quarry.llm.common import WordHashes
+
 
 PROSE = "the quick brown fox jumps over a lazy dog near some old river bank today."
 
 
 def judge(text):
-    return quality.judge(text.encode(), WordHashes())
+    return quality.judged([text.encode()], 0.5)[0]
 
 
 @pytest.mark.parametrize(
