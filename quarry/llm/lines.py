@@ -15,10 +15,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, row_key, settle
+from quarry.llm.common import documents, row_key, settle, small
 
 #: Lines under one rolling hash, least lines of a chunk between borders and of one that is removed, most lines, and equal lines that are a run.
 WINDOW, LEAST, MOST, RUN = 2, 2, 16, 3
+#: Numbers of chunks that are broadcast at most (4 bytes each, and BROADCAST_ROWS documents at most); beyond, the texts are shuffled to them.
+MOST_TOLD = 1 << 22
 #: The rolling hash: base and modulus; line hashes are the first 32 bits of MD5, so that any engine can repeat it.
 BASE, MODULUS = 1_000_003, (1 << 31) - 1
 
@@ -125,7 +127,9 @@ def lines_removed(docs: DataFrame) -> DataFrame:
     doc_id come after all others. Other columns are not read, whatever their names.
     """
     rows = _rows(docs)
-    gone = repeated_chunks(rows).groupBy("doc", "same").agg(F.collect_set("chunk").alias("gone"))
+    gone = settle(repeated_chunks(rows).groupBy("doc", "same").agg(F.collect_set("chunk").alias("gone")), "chunks-gone")
+    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= MOST_TOLD:
+        gone = small(gone)
     some = F.size(F.coalesce("gone", F.array().cast("array<int>"))) > 0
     cut = with_borders(rows.join(gone, ["doc", "same"], "left"), some)
     kept = cut.select("doc_id", "text", F.when(some, _left(F.col("gone"))).alias("kept"), F.when(some, F.size("gone")).otherwise(0).cast("long").alias("n_chunks_removed"))

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from quarry.llm import lines
 
 SCHEMA = "doc_id long, text string, gone string, lines string"
@@ -52,7 +54,9 @@ def corpus(n=80, seed=2):
     return [*rows, (n, None), (n + 1, ""), (n + 2, "\n\n\n"), (n + 3, "\n\n\n"), (n + 4, "only"), (n + 5, rows[3][1]), (n + 6, "x\r\n" * 40)]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("told", [lines.MOST_TOLD, -1])
+def test_against_brute_force(spark, monkeypatch, told):
+    monkeypatch.setattr(lines, "MOST_TOLD", told)
     rows = corpus()
     # repeated rows, rows without a doc_id, a doc_id of several texts
     rows = [*rows, rows[3], (None, rows[3][1]), (None, rows[9][1] + "\nmore"), (None, None), (7, rows[8][1]), (7, "a\nb\n" + rows[9][1])]
