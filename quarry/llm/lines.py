@@ -82,24 +82,56 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(docs), F.col("text").cast("string").alias("text"))
 
 
+def _parts() -> Column:
+    """The chunks as structs of number, first line and line behind the last."""
+    return F.transform(F.arrays_zip(F.col("at"), _ends().alias("end")), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("kind"), x["at"].alias("a"), x["end"].alias("b")))
+
+
+def _chosen(numbers: Column, inside: bool) -> Column:
+    """The chunks whose numbers are among ``numbers``, or are not; found by sorting both together, so the work is n log n."""
+    blank = [F.lit(0).alias(c) for c in ("kind", "a", "b")]
+    both = F.array_sort(F.concat(_parts(), F.transform(numbers, lambda i: F.struct(i.alias("i"), *blank))))
+    before = F.concat(F.array(F.struct(F.lit(-1).alias("i"), *blank)), F.slice(both, F.lit(1), F.size(both) - 1))
+
+    def pick(p: Column, x: Column) -> Column:
+        named = (p["i"] == x["i"]) & (p["kind"] == 0)
+        return F.when((x["kind"] == 1) & (named if inside else ~named), x)
+
+    return F.filter(F.zip_with(before, both, pick), lambda x: x.isNotNull())
+
+
+def _body(x: Column) -> Column:
+    return F.array_join(F.slice(F.col("lines"), x["a"] + 1, x["b"] - x["a"]), "\n")
+
+
 def chunks(rows: DataFrame) -> DataFrame:
     """(doc, same, chunk, n_lines, text): consecutive chunks of every text; joined by line breaks they are the text.
 
     A null text has no chunk, an empty one has one chunk of one empty line.
     """
-    cut = with_borders(rows.where("text is not null"))
-    parts = F.zip_with("at", _ends(), lambda a, b: F.struct((b - a).cast("long").alias("n_lines"), F.array_join(F.slice(F.col("lines"), a + 1, b - a), "\n").alias("text")))
-    return cut.select("doc", "same", F.posexplode(parts).alias("chunk", "part")).select("doc", "same", "chunk", "part.n_lines", "part.text")
+    parts = F.transform(_parts(), lambda x: F.struct((x["b"] - x["a"]).cast("long").alias("n_lines"), _body(x).alias("text")))
+    cut = with_borders(rows.where("text is not null")).select("doc", "same", F.posexplode(parts).alias("chunk", "part"))
+    return cut.select("doc", "same", "chunk", "part.n_lines", "part.text")
+
+
+def _told(lists: DataFrame, name: str) -> DataFrame:
+    """Written lists of chunk numbers by document, marked for broadcast while they are few."""
+    lists = settle(lists, name)
+    return small(lists) if (lists.agg(F.sum(F.size("numbers"))).first()[0] or 0) <= MOST_TOLD else lists
 
 
 def repeated_chunks(rows: DataFrame) -> DataFrame:
     """(doc, same, chunk) of the chunks of LEAST lines or more whose text occurs earlier (in a document before, or further up)."""
-    hashed = chunks(rows).where(F.col("n_lines") >= LEAST).withColumn("hash", F.xxhash64("text"))
-    place = F.struct("doc", "same", "chunk")
-    # narrow rows only: which hashes occur twice; partial counts before the shuffle
-    twice = settle(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash"), "chunk-hashes")
-    found = settle(hashed.join(twice, "hash", "left_semi").select("doc", "same", "chunk", "hash", "text"), "chunks")
+    hashed = chunks(rows).where(F.col("n_lines") >= LEAST).select("doc", "same", "chunk", F.xxhash64("text").alias("hash"))
+    # narrow rows tell which hashes occur twice; only the chunks that have one are read again, with their texts
+    hashed = settle(hashed, "chunk-hashes")
+    twice = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash")
+    wanted = hashed.join(twice, "hash", "left_semi").groupBy("doc", "same").agg(F.collect_set("chunk").alias("numbers"))
+    cut = with_borders(rows.where("text is not null").join(_told(wanted, "chunks-wanted"), ["doc", "same"]))
+    parts = F.transform(_chosen(F.col("numbers"), True), lambda x: F.struct(x["i"].alias("chunk"), _body(x).alias("text")))
+    found = settle(cut.select("doc", "same", F.explode(parts).alias("part")).select("doc", "same", "part.chunk", F.xxhash64("part.text").alias("hash"), "part.text"), "chunks")
     # the bytes decide: chunks are one only if their texts are equal
+    place = F.struct("doc", "same", "chunk")
     first = found.groupBy("hash", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     # written, so that both sides of the join are dealt anew and a hot chunk's rows can be split
     first = settle(first.select("hash", F.col("text").alias("body"), "first"), "first-chunks")
@@ -107,17 +139,6 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
     return later.select("doc", "same", "chunk")
 
 
-def _left(gone: Column) -> Column:
-    """The lines of the chunks whose numbers are not in ``gone``, by sorting both together."""
-    own = F.transform(F.arrays_zip(F.col("at"), _ends().alias("end")), lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("kind"), x["at"].alias("a"), x["end"].alias("b")))
-    marks = F.transform(gone, lambda i: F.struct(i.alias("i"), F.lit(0).alias("kind"), F.lit(0).alias("a"), F.lit(0).alias("b")))
-    both = F.array_sort(F.concat(own, marks))
-    none = F.struct(F.lit(-1).alias("i"), F.lit(1).alias("kind"), F.lit(0).alias("a"), F.lit(0).alias("b"))
-    before = F.concat(F.array(none), F.slice(both, F.lit(1), F.size(both) - 1))
-    kept = F.zip_with(before, both, lambda p, x: F.when((x["kind"] == 1) & ~((p["i"] == x["i"]) & (p["kind"] == 0)), F.slice(F.col("lines"), x["a"] + 1, x["b"] - x["a"])))
-    return F.flatten(F.filter(kept, lambda x: x.isNotNull()))
-
-
 def lines_removed(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed (lines), n_chunks_removed, text (the lines left).
 
@@ -127,12 +148,11 @@ def lines_removed(docs: DataFrame) -> DataFrame:
     doc_id come after all others. Other columns are not read, whatever their names.
     """
     rows = _rows(docs)
-    gone = settle(repeated_chunks(rows).groupBy("doc", "same").agg(F.collect_set("chunk").alias("gone")), "chunks-gone")
-    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= MOST_TOLD:
-        gone = small(gone)
-    some = F.size(F.coalesce("gone", F.array().cast("array<int>"))) > 0
+    gone = _told(repeated_chunks(rows).groupBy("doc", "same").agg(F.collect_set("chunk").alias("numbers")), "chunks-gone")
+    some = F.size(F.coalesce("numbers", F.array().cast("array<int>"))) > 0
     cut = with_borders(rows.join(gone, ["doc", "same"], "left"), some)
-    kept = cut.select("doc_id", "text", F.when(some, _left(F.col("gone"))).alias("kept"), F.when(some, F.size("gone")).otherwise(0).cast("long").alias("n_chunks_removed"))
+    left = F.flatten(F.transform(_chosen(F.col("numbers"), False), lambda x: F.slice(F.col("lines"), x["a"] + 1, x["b"] - x["a"])))
+    kept = cut.select("doc_id", "text", F.when(some, left).alias("kept"), F.when(some, F.size("numbers")).otherwise(0).cast("long").alias("n_chunks_removed"))
     n_lines = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")
     removed = F.when(F.col("kept").isNotNull(), n_lines - F.size("kept")).otherwise(F.lit(0)).cast("long")
     left = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))
