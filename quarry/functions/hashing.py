@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,29 +14,48 @@ from pyspark.sql import types as T
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-def fnv1a64_hex(data: bytes) -> str:
-    h = OFFSET
-    for b in data:
-        h = (h ^ b) * PRIME & 0xFFFFFFFFFFFFFFFF
-    return f"{h:016x}"
+def _folded(parts: list[np.ndarray], start: np.ndarray, step: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """One hash per array of symbols: position by position, over all arrays that reach it."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    joined = np.concatenate([*parts, start[:0]]).astype(start.dtype)
+    begins, left = (np.cumsum(sizes) - sizes)[order], -sizes[order]
+    h = start.copy()
+    for place in range(int(sizes.max(initial=0))):
+        n = int(np.searchsorted(left, -place, side="left"))
+        h[:n] = step(h[:n], joined[begins[:n] + place])
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def _mapped(texts: pd.Series, hashed: Callable[[list[str]], list]) -> list:
+    known = texts.notna().to_numpy()
+    found = iter(hashed(texts[known].tolist()))
+    return [next(found) if k else None for k in known]
+
+
+def fnv1a64_hex(texts: list[str]) -> list[str]:
+    """64-bit FNV-1a of the UTF-8 bytes, as 16 hexadecimal digits."""
+    parts = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    found = _folded(parts, np.full(len(parts), OFFSET, np.uint64), lambda h, x: (h ^ x) * np.uint64(PRIME))
+    return [f"{h:016x}" for h in found.tolist()]
 
 
 @F.pandas_udf(T.StringType())
 def fnv1a64(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else fnv1a64_hex(t.encode()))
+    return pd.Series(_mapped(texts, fnv1a64_hex), dtype=object)
 
 
-def hash31_int(text: str) -> int:
+def hash31_int(texts: list[str]) -> list[int]:
     """31-hash over UTF-16 units in 32 signed bits."""
-    data, h = text.encode("utf-16-le"), 0
-    for i in range(0, len(data), 2):
-        h = (h * 31 + data[i] + (data[i + 1] << 8)) & 0xFFFFFFFF
-    return h - (1 << 32) if h >> 31 else h
+    parts = [np.frombuffer(t.encode("utf-16-le"), np.uint16) for t in texts]
+    return _folded(parts, np.zeros(len(parts), np.uint32), lambda h, x: h * np.uint32(31) + x).view(np.int32).tolist()
 
 
 @F.pandas_udf(T.IntegerType())
 def hash31(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else hash31_int(t)).astype("Int32")
+    return pd.Series(_mapped(texts, hash31_int), dtype="Int32")
 
 
 def salted_sha256(password: Column, salt: Column) -> Column:

@@ -8,9 +8,11 @@ import re
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.numbering import numbered
+
 
 def enabled(apis: Column) -> Column:
     return F.filter(apis, lambda a: a["enabled"])
@@ -29,10 +31,11 @@ def last_match(apis: Column, api_id: Column) -> Column:
 
 def ranked_options(apis: DataFrame, by_price: bool = True, grouped: bool = True) -> DataFrame:
     """Endpoints in display order: providers (first word of the name) as first seen, inside by price, then place."""
-    provider = F.substring_index("name", " ", 1)
-    rows = apis.withColumn("provider", provider).withColumn("first_seen", F.min("pos").over(Window.partitionBy(provider)))
+    rows = apis.withColumn("provider", F.substring_index("name", " ", 1))
+    seen = rows.groupBy("provider").agg(F.min("pos").alias("first_seen"))
     keys = (["first_seen"] if grouped else []) + (["price"] if by_price else []) + ["pos"]
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*keys)).cast("long")).select("place", "id", "name", "provider", "price")
+    placed = numbered(rows.join(seen, "provider").select("pos", "id", "name", "provider", "price", "first_seen"), *keys)
+    return placed.select((F.col("row") + 1).alias("place"), "id", "name", "provider", "price")
 
 
 def placeholders(document: Column) -> Column:

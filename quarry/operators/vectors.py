@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries scored together; more are taken in turns by the caller.
-MOST_QUERIES = 4096
+#: Queries and vectors scored together.
+MOST_QUERIES, MOST_VECTORS = 4096, 1 << 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -54,11 +54,32 @@ def distance_of(metric: str):
 
 
 def _scores(queries: np.ndarray, block: np.ndarray, kind: str) -> np.ndarray:
-    """Similarities, queries by vectors, in double precision."""
+    """Inner products, or squared distances with the sign turned (by differences, so that near vectors keep their digits); queries by vectors."""
     if kind == "dot":
         return queries @ block.T
-    d = (queries * queries).sum(axis=1)[:, None] - 2 * queries @ block.T + (block * block).sum(axis=1)[None, :]
-    return 1.0 / (1.0 + np.maximum(d, 0.0))
+    return np.array([-np.einsum("ij,ij->i", d, d) for d in (block - q for q in queries)])
+
+
+def _values(lists: pa.Array, dim: int) -> np.ndarray:
+    sizes = np.diff(lists.offsets.to_numpy())
+    if (sizes != dim).any():
+        raise ValueError(f"vector of {sizes[sizes != dim][0]} values where {dim} are due")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of scores, ties by id."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+
+def _ranked(near: DataFrame, k: int, kind: str) -> DataFrame:
+    """(query_id, rank, id, similarity, distance) of the k best (query_id, id, score) of each query."""
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    top = near.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
+    score = F.col("score")
+    similarity, distance = (score, 1 - score) if kind == "dot" else (1 / (1 - score), -score)
+    return top.select("query_id", "rank", "id", similarity.alias("similarity"), distance.alias("distance"))
 
 
 def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, metric: str = "cosine", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -79,24 +100,15 @@ def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, metr
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                lists = part.column(1)
-                sizes = np.diff(lists.offsets.to_numpy())
-                if (sizes != matrix.shape[1]).any():
-                    raise ValueError(f"vector of {sizes[sizes != matrix.shape[1]][0]} values where {matrix.shape[1]} are due")
-                block = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
+                block = _values(part.column(1), matrix.shape[1])
                 own = np.broadcast_to(part.column(0).to_numpy(), (len(ids), len(block)))
-                found_id, found = np.hstack([best_id, own]), np.hstack([best, _scores(matrix, block, kind)])
-                order = np.lexsort((found_id, -found), axis=1)[:, :k]
-                best_id, best = np.take_along_axis(found_id, order, 1), np.take_along_axis(found, order, 1)
+                best_id, best = _best(np.hstack([best_id, own]), np.hstack([best, _scores(matrix, block, kind)]), k)
         if best.shape[1]:
             arrays = [np.repeat(ids, best.shape[1]), best_id.ravel(), best.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["query_id", "id", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["query_id", "id", "score"])
 
-    near = vectors.where("embedding is not null").select(F.col("id").cast("long"), "embedding").mapInArrow(run, "query_id long, id long, similarity double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    top = near.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
-    distance = 1 - F.col("similarity") if kind == "dot" else 1 / F.col("similarity") - 1
-    top = top.select("query_id", "rank", "id", "similarity", distance.alias("distance"))
+    near = vectors.where("embedding is not null").select(F.col("id").cast("long"), "embedding").mapInArrow(run, "query_id long, id long, score double")
+    top = _ranked(near, k, kind)
     return top.join(vectors.select("id", *extra), "id").select(*top.columns, *extra) if extra else top
 
 
@@ -136,19 +148,36 @@ def with_chunks(top: DataFrame, chunks: DataFrame) -> DataFrame:
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(query_id, rank, id, similarity, distance) for every row of ``queries`` (query_id, embedding).
 
-    Queries go out in blocks of MOST_QUERIES, read one block at a time; each block is one scan of the vectors.
+    Up to MOST_QUERIES queries are sent with the tasks, and the vectors stay where they are. More are cut into blocks by id, as
+    are the vectors; each pair of blocks is one task, which sends k rows a query to the merge. No query passes the driver then.
     """
-    block, parts = [], []
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        block.append((row.query_id, row.embedding))
-        if len(block) == MOST_QUERIES:
-            parts.append(knn(vectors, block, k, metric))
-            block = []
-    if block or not parts:
-        if not block:
-            return knn(vectors.limit(0), [(0, [0.0])], k, metric)
-        parts.append(knn(vectors, block, k, metric))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where("embedding is not null")
+    n = asked.count()
+    if n <= MOST_QUERIES:
+        rows = [(r.query_id, r.embedding) for r in asked.collect()]
+        return knn(vectors, rows, k, metric) if rows else knn(vectors.limit(0), [(0, [0.0])], k, metric)
+    kind, n_queries = distance_of(metric), -(-n // MOST_QUERIES)
+    rows = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding")
+    n_blocks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // MOST_VECTORS))
+
+    def dealt(df: DataFrame, key: str, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        return df.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias(names[0]), every.alias(names[1]))
+
+    def scored(q: pa.Table, v: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        if not q.num_rows or not v.num_rows:
+            return empty
+        dim = len(q.column("embedding")[0])
+        matrix, ids = _values(q.column("embedding").combine_chunks(), dim), q.column("query_id").to_numpy()
+        best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for i in range(0, v.num_rows, 2048):
+            part = v.slice(i, 2048)
+            block = _values(part.column("embedding").combine_chunks(), dim)
+            own = np.broadcast_to(part.column("id").to_numpy(), (len(ids), len(block)))
+            best_id, best = _best(np.hstack([best_id, own]), np.hstack([best, _scores(matrix, block, kind)]), k)
+        return pa.table({"query_id": np.repeat(ids, best.shape[1]), "id": best_id.ravel(), "score": best.ravel()})
+
+    left = dealt(asked, "query_id", n_queries, n_blocks, ("q", "v")).groupBy("q", "v")
+    right = dealt(rows, "id", n_blocks, n_queries, ("v", "q")).groupBy("q", "v")
+    return _ranked(left.cogroup(right).applyInArrow(scored, "query_id long, id long, score double"), k, kind)

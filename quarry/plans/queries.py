@@ -9,7 +9,7 @@ from quarry.functions import content_type as ct
 from quarry.functions import hashing, paths, text, tokens
 from quarry.operators import changes, chunking, config, packing, prompts, registry, stats, vectors
 from quarry.plans import tables as t
-from quarry.sources.scan import last_entries, related_sources, shared_folders_removed
+from quarry.sources.scan import distinct_sources, fetch_source, file_rows, last_entries, related_sources, shared_folders_removed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -187,11 +187,46 @@ def salted_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), hashing.salted_sha256(F.col("c_name"), F.concat(F.lit("s"), F.col("c_custkey").cast("string"))).alias("salted"))
 
 
-@query()
+_BYTES = "list_transform(string_split(c_name, ''), lambda c: unicode(c))"  # names are ASCII
+
+
+@query(f"""
+SELECT c_custkey AS id, lpad(lower(to_hex(CAST(list_reduce({_BYTES}, lambda h, c: CAST(xor(CAST(h AS UBIGINT), CAST(c AS UBIGINT)) AS HUGEINT) * {hashing.PRIME} % 18446744073709551616, {hashing.OFFSET}::HUGEINT) AS UBIGINT))), 16, '0') AS fnv,
+  CAST(CASE WHEN r >= 2147483648 THEN r - 4294967296 ELSE r END AS INT) AS hash31
+FROM (SELECT *, list_reduce({_BYTES}, lambda h, c: (h * 31 + c) % 4294967296, 0::BIGINT) AS r FROM customer)""")
 def fnv1a64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), hashing.fnv1a64("c_name").alias("fnv"), hashing.hash31("c_name").alias("hash31"))
 
 
+@query(r"""
+SELECT p_partkey AS id, 'p' || p_name AS trimmed, CAST(p_size AS INT) AS leading_int, CAST(-1 AS INT) AS no_int, p_retailprice AS leading_double,
+  strftime(make_timestamp(p_partkey * 86413 * 1000000), '%Y-%m-%d %H:%M:%S') AS stamp FROM part""")
+def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, stamps and texts read out of decorated strings."""
+    return t.read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), text.trimmed(F.concat(F.lit(" \t\np"), "p_name", F.lit("\r\n \x0b"))).alias("trimmed"),
+        text.leading_int(F.concat(F.lit(" \t"), F.col("p_size").cast("string"), F.lit("px9")), -1).alias("leading_int"), text.leading_int(F.concat(F.lit("x"), F.col("p_size").cast("string")), -1).alias("no_int"),
+        text.leading_double(F.concat(F.lit("\n"), F.col("p_retailprice").cast("string"), F.lit(" EUR"))).alias("leading_double"), text.timestamp_label(F.col("p_partkey") * 86413).alias("stamp"),
+    )
+
+
+@query("""
+WITH x AS (SELECT doc_id, doc_id % 4 AS kind, least(strlen(text), 1024) AS head, CASE doc_id % 4 WHEN 2 THEN 64 WHEN 3 THEN 600 ELSE 0 END AS n FROM documents)
+SELECT doc_id, kind = 1 OR (kind >= 2 AND n > 0.3 * least(n + head, 1024)) AS is_binary FROM x""")
+def binary_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they are, with a NUL behind, and with few or many control characters in front."""
+    kind, body = F.pmod("doc_id", F.lit(4)), F.col("text")
+    odd = F.when(kind == 1, F.concat(body, F.lit("\0"))).when(kind == 2, F.concat(F.lit("\x01" * 64), body)).when(kind == 3, F.concat(F.lit("\x02\x1f" * 300), body)).otherwise(body)
+    return t.read(spark, sf_dir, "documents").select("doc_id", text.is_binary(odd).alias("is_binary"))
+
+
+@query(r"SELECT doc_id, md5('?' || text || '?b??') AS sanitized_md5 FROM documents")
+def sanitized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that are no UTF-8 around the documents' texts."""
+    data = F.concat(F.lit(b"\xff"), F.col("text").cast("binary"), F.lit(b"\xc3b\x80\xfe"))
+    return t.read(spark, sf_dir, "documents").select("doc_id", F.md5(text.sanitize_utf8(data).cast("binary")).alias("sanitized_md5"))
+
+
 def _fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as model answers: fenced with a language, fenced with a tail, one line, or bare, by turn."""
     f = F.col("text")
@@ -273,6 +308,27 @@ def related_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related_sources(rows, rows.where("pmod(pos, 20) = 0").select(F.col("source").alias("base")), 3)
 
 
+@query(f"SELECT DISTINCT source FROM ({_SRC}) UNION SELECT url FROM pages")
+def distinct_source_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages as one list of sources, each once."""
+    docs, pages = t.sources(spark, sf_dir).select("source"), t.read(spark, sf_dir, "pages").select(F.col("url").alias("source"))
+    return distinct_sources(docs.unionByName(pages).unionByName(docs))
+
+
+@query(f"SELECT source, md5(content) AS content_md5 FROM ({_SRC}) WHERE doc_id = 7")
+def fetched_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t.sources(spark, sf_dir)
+    uri = rows.where("doc_id = 7").select("source").first()
+    return fetch_source(rows, uri.source if uri else "").select("source", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(f"SELECT source AS path, doc_id * 7 AS last_modified, CAST(strlen(content) AS BIGINT) AS file_size, CAST(length(content) - length(replace(content, chr(10), '')) AS BIGINT) AS nof_lines FROM ({_SRC})")
+def tracked_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the table of tracked files, but for the moment of indexing."""
+    rows = t.sources(spark, sf_dir).select("source", "content", (F.col("doc_id") * 7).alias("last_modified"), F.octet_length("content").cast("long").alias("file_size"))
+    return file_rows(rows).drop("indexed_at")
+
+
 # --- chunks and store
 
 
@@ -452,9 +508,41 @@ def project_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.with_projects(projects, own).select("project", "path", "instance_id")
 
 
+@query("""
+SELECT s_suppkey AS id, 'c:/Work/' || n_name AS config_path FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey <> 2""")
+def orphaned_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as instances; the nations of one region are the listed projects."""
+    nation, supplier = t.read(spark, sf_dir, "nation"), t.read(spark, sf_dir, "supplier")
+    own = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(F.col("s_suppkey").alias("id"), F.concat(F.lit("c:/Work/"), "n_name").alias("config_path"))
+    return registry.orphans(own, nation.where("n_regionkey = 2").select(F.concat(F.lit("C:\\Work\\"), "n_name").alias("path")))
+
+
+@query(f"""
+WITH b AS ({_BEATS}), n AS (SELECT max(last_heartbeat) AS now FROM b), s AS (SELECT id FROM b, n WHERE id <> 1 AND now - last_heartbeat > 43200)
+SELECT id, 'kept' AS event FROM b WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT id, 'stale' FROM s""")
+def evicted_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cleanup of stale instances leaves, and the audit rows that it writes."""
+    beats = t.beats(spark, sf_dir)
+    now, rows = _now(beats), registry.latest(beats)
+    left, audit = registry.evict(rows, registry.stale(rows, now, 1, 43200), now)
+    return left.select("id", F.lit("kept").alias("event")).union(audit.select(F.col("instance_id").alias("id"), "event"))
+
+
+@query(f"SELECT id, last_heartbeat FROM ({_BEATS}) WHERE id % 3 = 0")
+def dead_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.dead(registry.latest(t.beats(spark, sf_dir)), F.col("id") % 3 != 0)
+
+
 # --- configuration
 
 
+@query("SELECT c_nationkey, max(c_custkey) FILTER (c_mktsegment = 'BUILDING') AS provider FROM customer GROUP BY c_nationkey")
+def provider_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last endpoint of an id, customers of a nation being endpoints."""
+    lists = t.read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.col("c_mktsegment").alias("id")))).alias("apis"))
+    return lists.select("c_nationkey", config.last_match(F.col("apis"), F.lit("BUILDING"))["c_custkey"].alias("provider"))
+
+
 @query("""
 WITH a AS (SELECT p_partkey AS pos, p_name AS id, p_brand || ' ' || p_type AS name, p_retailprice AS price FROM part),
 g AS (SELECT *, split_part(name, ' ', 1) AS provider, min(pos) OVER (PARTITION BY split_part(name, ' ', 1)) AS first_seen FROM a)

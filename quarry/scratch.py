@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 def scratch(spark: SparkSession, label: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quarry-')}")
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/quarry-{label}-{uuid.uuid4().hex}"

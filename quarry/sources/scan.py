@@ -105,13 +105,22 @@ def file_rows(sources: DataFrame) -> DataFrame:
     return sources.select(F.col("source").alias("path"), "last_modified", "file_size", count_lines(F.col("content")).alias("nof_lines"), F.current_timestamp().alias("indexed_at"))
 
 
+#: Characters of a stem by which related sources are joined.
+GRAM = 4
+
+
 def related_sources(sources: DataFrame, base: DataFrame, most: int) -> DataFrame:
     """(base, source, place): for each base path up to ``most`` other sources, in input order (pos), whose stem holds the base's.
 
-    ``base`` is a stated list of paths (base), ``sources`` all paths (source, pos). A place is given inside
-    each task's rows first, so no base gathers more than ``most`` rows a task.
+    ``base`` is a stated list of paths (base), ``sources`` all paths (source, pos). The join's key is a piece of a stem: the
+    first GRAM characters of the base's (the whole, if shorter), any piece of that length of the other's; the whole base stem is compared then.
     """
-    found = sources.join(F.broadcast(base) if base.isLocal() else base, (F.col("base") != F.col("source")) & F.contains(stem(F.col("source")), stem(F.col("base"))))
+    own = stem(F.col("source"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(own), F.lit(1)))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(starts, lambda i: F.substr(own, i, n))))
+    cut = sources.select("source", "pos", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), pieces))).alias("piece"))
+    asked = base.select("base", F.left(stem(F.col("base")), F.lit(GRAM)).alias("piece"))
+    found = cut.join(asked, "piece").where((F.col("base") != F.col("source")) & F.contains(stem(F.col("source")), stem(F.col("base"))))
     by = Window.partitionBy("base").orderBy("pos")
     return found.withColumn("place", F.row_number().over(by).cast("long")).where(F.col("place") <= most).select("base", "source", "place")
 

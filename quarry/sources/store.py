@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schemas
+from quarry.scratch import scratch
 from quarry.operators import changes, stats, vectors
 from quarry.operators.chunking import Limits, chunk_documents
 from quarry.operators.numbering import numbered
@@ -92,7 +93,10 @@ class Store:
 
     def update(self, sources: DataFrame, ignored: DataFrame | None = None) -> dict[str, int]:
         """Bring the store to the state of ``sources`` in one step; returns what changed."""
-        current = sources.dropDuplicates(["source"])
+        # read once: what is compared, cut and tracked is the same content
+        path = scratch(self.spark, "sources")
+        sources.dropDuplicates(["source"]).write.parquet(path)
+        current = self.spark.read.schema(sources.schema).parquet(path)
         found = changes.detect_changes(current.select(F.col("source").alias("path"), "last_modified", "file_size"), self.table("files"), ignored).cache()
         summary = {r.change_type: r.n for r in changes.change_summary(found).collect()}
         if set(summary) - {"unchanged"}:

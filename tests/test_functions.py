@@ -184,7 +184,16 @@ def test_content_type(spark):
 
 
 def test_hashes(spark):
-    assert hashing.fnv1a64_hex(b"") == "cbf29ce484222325" and hashing.fnv1a64_hex(b"a") == "af63dc4c8601ec8c"
+    assert hashing.fnv1a64_hex(["", "a"]) == ["cbf29ce484222325", "af63dc4c8601ec8c"] and hashing.fnv1a64_hex([]) == []
+    texts = ["é" * 7, "", "abc", "x" * 300, "日本", "ab"]
+
+    def plain(data):
+        h = hashing.OFFSET
+        for b in data:
+            h = (h ^ b) * hashing.PRIME % 2**64
+        return f"{h:016x}"
+
+    assert hashing.fnv1a64_hex(texts) == [plain(x.encode()) for x in texts]
     assert column(spark, ["a", None], hashing.fnv1a64(F.col("a"))) == ["af63dc4c8601ec8c", None]
     assert column(spark, ["ab", "x" * 50, ""], hashing.hash31(F.col("a")))[0] == 97 * 31 + 98
     assert column(spark, ["pw"], hashing.verify_salted(F.col("a"), hashing.salted_sha256(F.col("a"), F.lit("s")))) == [True]

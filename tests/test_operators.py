@@ -63,6 +63,13 @@ def test_knn_exact_with_ties(spark):
     assert vectors.knn_join(frame, frame.limit(0).withColumnRenamed("id", "query_id"), 3).count() == 0
 
 
+def test_near_vectors_of_large_norm_keep_their_distance(spark):
+    rows = [(i, [1e6 + i * 1e-3, -1e6]) for i in range(5)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = vectors.knn(frame, [(0, [1e6, -1e6])], 3, "l2").orderBy("rank").collect()
+    assert [r.id for r in got] == [0, 1, 2] and all(r.distance == pytest.approx(((1e6 + r.id * 1e-3) - 1e6) ** 2, rel=0.2) for r in got)
+
+
 def test_knn_join_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "MOST_QUERIES", 4)
     rows = [(i, [float(i), 1.0]) for i in range(20)]
