@@ -125,7 +125,8 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
     hashed = chunks(rows).where(F.col("n_lines") >= LEAST).select("doc", "same", "chunk", F.xxhash64("text").alias("hash"))
     # narrow rows tell which hashes occur twice; only the chunks that have one are read again, with their texts
     hashed = settle(hashed, "chunk-hashes")
-    twice = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash")
+    # written, so that the join is dealt anew and a hot hash's rows can be split
+    twice = settle(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash"), "chunks-twice")
     wanted = hashed.join(twice, "hash", "left_semi").groupBy("doc", "same").agg(F.collect_set("chunk").alias("numbers"))
     cut = with_borders(rows.where("text is not null").join(_told(wanted, "chunks-wanted"), ["doc", "same"]))
     parts = F.transform(_chosen(F.col("numbers"), True), lambda x: F.struct(x["i"].alias("chunk"), _body(x).alias("text")))
