@@ -38,8 +38,9 @@ class Engine:
         self.store.embed(self.sources())
         return self.stats()
 
-    def update(self) -> dict[str, int]:
-        return self.store.update(self.sources())
+    def update(self, ignored: DataFrame | None = None) -> dict[str, int]:
+        """Bring the store up to date; paths in ``ignored`` (path) are left as they are, as those that failed too often."""
+        return self.store.update(self.sources(), ignored)
 
     def watch(self, seconds: int = WATCH_S, rounds: int | None = None, sleep: Callable[[float], None] | None = None) -> int:
         """Update again and again; a failed round is told and the next one follows. Returns the rounds made."""

@@ -38,6 +38,11 @@ def ranked_options(apis: DataFrame, by_price: bool = True, grouped: bool = True)
     return placed.select((F.col("row") + 1).alias("place"), "id", "name", "provider", "price")
 
 
+def persistent(values: Column, key: Column | str, default: str | None = None) -> Column:
+    """The value kept under a key of a map, else ``default``; a null map holds nothing."""
+    return F.coalesce(F.try_element_at(values, F.lit(key) if isinstance(key, str) else key), F.lit(default))
+
+
 def placeholders(document: Column) -> Column:
     """All different string values that begin with _PL_, in order."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(document, F.lit(r'"(_PL_[^"]*)"'), F.lit(1))))

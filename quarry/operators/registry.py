@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.paths import standardize
+from quarry.operators import changes
 
 ACTIVE_S, STALE_S, BEAT_S = 30, 120, 10
 
@@ -15,6 +16,27 @@ def latest(beats: DataFrame) -> DataFrame:
     return beats.groupBy("id").agg(F.max("ts").alias("last_heartbeat"))
 
 
+def registered(instances: DataFrame, rows: DataFrame) -> DataFrame:
+    """The registry with ``rows`` put in, each in place of an older one of its id."""
+    return changes.upsert(instances, rows, "id")
+
+
+def unregistered(instances: DataFrame, ids: DataFrame) -> DataFrame:
+    return changes.delete_keys(instances, ids, "id")
+
+
+def beaten(instances: DataFrame, beats: DataFrame) -> DataFrame:
+    """The registry after heartbeats (id, ts): known instances move on, never back; beats of unknown ones count for nothing."""
+    late = latest(beats).withColumnRenamed("last_heartbeat", "_late")
+    now = F.greatest("last_heartbeat", "_late")
+    return instances.join(late, "id", "left").withColumn("last_heartbeat", now).select(*instances.columns)
+
+
+def with_keys(instances: DataFrame, keys: DataFrame) -> DataFrame:
+    """Instances that have a key of their own in ``keys`` (id, app_key); the others are left out."""
+    return instances.join(keys.select("id", "app_key"), "id")
+
+
 def active(instances: DataFrame, now: Column, within: int = ACTIVE_S) -> DataFrame:
     return instances.where(now - F.col("last_heartbeat") < within).orderBy(F.desc("last_heartbeat"), "id")
 

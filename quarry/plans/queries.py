@@ -533,9 +533,42 @@ def dead_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.dead(registry.latest(t.beats(spark, sf_dir)), F.col("id") % 3 != 0)
 
 
+_INSTANCES = "SELECT s_suppkey AS id, s_name AS name, CAST(s_suppkey * 10 AS BIGINT) AS last_heartbeat FROM supplier"
+
+
+@query(f"""
+WITH i AS ({_INSTANCES}), n AS (SELECT id, 'again' AS name, 5::BIGINT AS last_heartbeat FROM i WHERE id % 5 = 0 UNION ALL SELECT id + 1000000, 'new', 7::BIGINT FROM i WHERE id % 7 = 0),
+u AS (SELECT * FROM i WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n)
+SELECT id, name, CASE WHEN id % 3 = 0 THEN greatest(last_heartbeat, id * 4) ELSE last_heartbeat END AS last_heartbeat FROM u WHERE id % 11 <> 0""")
+def registry_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances put in, taken out and moved on by heartbeats."""
+    rows = t.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") * 10).alias("last_heartbeat"))
+    again = rows.where("id % 5 = 0").select("id", F.lit("again").alias("name"), F.lit(5).cast("long").alias("last_heartbeat"))
+    new = rows.where("id % 7 = 0").select((F.col("id") + 1000000).alias("id"), F.lit("new").alias("name"), F.lit(7).cast("long").alias("last_heartbeat"))
+    put = registry.registered(rows, again.union(new))
+    left = registry.unregistered(put, put.where("id % 11 = 0"))
+    beats = put.where("id % 3 = 0").select("id", F.explode(F.array(F.col("id") * 2, F.col("id") * 4)).alias("ts"))
+    return registry.beaten(left, beats)
+
+
+@query(f"SELECT id, name, CAST(last_heartbeat AS BIGINT) AS last_heartbeat, 'k' || id AS app_key FROM ({_INSTANCES}) WHERE id % 4 = 0")
+def instances_with_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") * 10).alias("last_heartbeat"))
+    keys = rows.where("id % 4 = 0").select("id", F.concat(F.lit("k"), F.col("id").cast("string")).alias("app_key"))
+    return registry.with_keys(rows, keys.union(keys.select(-1 - F.col("id"), "app_key")))
+
+
 # --- configuration
 
 
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing FROM events")
+def persistent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values kept under keys of JSON objects."""
+    m = registry.parse_params(F.col("props"), "map<string,string>")
+    rows = t.read(spark, sf_dir, "events").select("event_id", m.alias("m"))
+    return rows.select("event_id", config.persistent(F.col("m"), "k").alias("k"), config.persistent(F.col("m"), "missing", "none").alias("missing"))
+
+
 @query("SELECT c_nationkey, max(c_custkey) FILTER (c_mktsegment = 'BUILDING') AS provider FROM customer GROUP BY c_nationkey")
 def provider_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last endpoint of an id, customers of a nation being endpoints."""
