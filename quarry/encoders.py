@@ -53,19 +53,36 @@ def read_embeddings(body: str, n: int) -> list[list[float]]:
 
 
 def http_encoder(url: str, key: str = "", batch: int = 4, timeout_ms: int = 30_000, post: Callable = post_json) -> Callable[[Column], Column]:
-    """An endpoint that takes {content: [...]}; texts are sent in batches from the executors."""
+    """An endpoint that takes {content: [...]}; texts are sent in batches from the executors.
+
+    Where a batch fails its texts are sent one by one; a text that fails then has no vector (null).
+    """
+
+    def vectors(texts: list[str]) -> list[list[float] | None]:
+        try:
+            return read_embeddings(post(url, {"content": texts}, {"Authorization": f"Bearer {key}"} if key else {}, timeout_ms), len(texts))
+        except (OSError, ValueError):
+            return [None] if len(texts) == 1 else [v for t in texts for v in vectors([t])]
 
     @F.pandas_udf("array<float>")
     def encode(texts: pd.Series) -> pd.Series:
-        out: list[list[float]] = []
-        for i in range(0, len(texts), batch):
-            part = texts.iloc[i : i + batch].tolist()
-            out += read_embeddings(post(url, {"content": part}, {"Authorization": f"Bearer {key}"} if key else {}, timeout_ms), len(part))
-        return pd.Series(out)
+        parts = (texts.iloc[i : i + batch].tolist() for i in range(0, len(texts), batch))
+        return pd.Series([v for part in parts for v in vectors(part)], dtype="object")
 
     return encode
 
 
+def http_requester(url: str, key: str = "", timeout_ms: int = 30_000, post: Callable = post_json) -> Callable[[Column], Column]:
+    """A chat or fill-in endpoint: JSON of a request in, raw response body out (of a stream all its events)."""
+
+    @F.pandas_udf("string")
+    def ask(bodies: pd.Series) -> pd.Series:
+        headers = {"Authorization": f"Bearer {key}"} if key else {}
+        return bodies.map(lambda b: post(url, json.loads(b), headers, timeout_ms))
+
+    return ask
+
+
 def http_completer(url: str, key: str = "", model: str = "", timeout_ms: int = 30_000, post: Callable = post_json) -> Callable[[Column], Column]:
     """A chat endpoint: prompt in, raw response body out."""
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 from urllib.request import Request, urlopen
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,13 +75,18 @@ def read_urls(spark: SparkSession, specs: Sequence[Mapping[str, Any]], fetch: Fe
 
 
 def collect_sources(spark: SparkSession, specs: Sequence[Mapping[str, Any]], content: bool = True, max_mb: float = MAX_FILE_MB, fetch: Fetch = http_fetch) -> DataFrame:
-    """All sources of the specifications, appended as they come."""
+    """All sources of the specifications, appended as they come; a folder or file that can't be listed is told and left out."""
     parts = []
     for s in specs:
-        if s["type"] == "directory":
-            parts.append(read_folder(spark, s["path"], s.get("recursive", True), s.get("extensions", ()), s.get("exclude", ()), max_mb, content))
-        elif s["type"] == "file":
-            parts.append(read_folder(spark, s["path"], False, (), (), max_mb, content))
+        if s["type"] not in ("directory", "file"):
+            continue
+        how = (s.get("recursive", True), s.get("extensions", ()), s.get("exclude", ())) if s["type"] == "directory" else (False, (), ())
+        try:
+            parts.append(read_folder(spark, s["path"], *how, max_mb, content))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            logging.getLogger(__name__).warning("%s can't be listed and is left out", s["path"])
     urls = [s for s in specs if s["type"] == "url"]
     if urls:
         parts.append(read_urls(spark, urls, fetch))

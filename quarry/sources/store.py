@@ -2,14 +2,21 @@
 
 A commit writes the rows that it adds and the paths whose older rows go, then one line that names its
 folder; readers see all of it or nothing, rows and vectors alike. So a change costs what it changes.
-Reading takes the commits since the last compaction and leaves out what later commits removed.
+Reading takes the commits since the last compaction and leaves out what later commits removed. A row's
+commit is told by its folder. The line's file is named by the commit's number and never overwritten: of
+two writers that come to one number the second takes the next. Several commits can be published as one
+(``transaction``).
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +34,9 @@ TABLES = {"chunks": schemas.CHUNKS, "files": schemas.FILES, "vectors": schemas.V
 #: The column that a table's rows are removed by.
 KEYS = {"chunks": "source_id", "files": "path", "vectors": "source_id"}
 Encoder = Callable[[Column], Column]
+#: Failures in a row after which a source is left alone, as long as the store object lives.
+STRIKES = 3
+FAILURES = "path string, ts bigint, ok boolean"
 
 
 class Store:
@@ -34,24 +44,62 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, encoder: Encoder, dim: int, metric: str = "cosine", limits: Limits = Limits()):
         self.spark, self.path, self.encoder, self.dim, self.metric, self.limits = spark, path.rstrip("/"), encoder, dim, metric, limits
+        self.since = time.time_ns()
+        self._pending: list[tuple[str, bool]] | None = None
 
     def _commits(self) -> list[tuple[int, str]]:
-        """(number, folder) of the commits since the last compaction; only one-line files are read."""
+        """(number, folder) of the commits since the last compaction, with those of an open transaction; only files of a few lines are read."""
         try:
-            lines = self.spark.read.schema("number long, folder string, base boolean").json(f"{self.path}/commits").collect()
+            lines = [(r.number, r.folder, r.base) for r in self.spark.read.schema("number long, folder string, base boolean").json(f"{self.path}/commits").collect()]
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
-        start = max((r.number for r in lines if r.base), default=0)
-        return sorted((r.number, r.folder) for r in lines if r.number >= start)
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            lines = []
+        top = max((n for n, _, _ in lines), default=0)
+        lines += [(top + i, folder, base) for i, (folder, base) in enumerate(self._pending or [], 1)]
+        start = max((n for n, _, base in lines if base), default=0)
+        return sorted((n, folder) for n, folder, _ in lines if n >= start)
+
+    def _publish(self, made: list[tuple[str, bool]]) -> None:
+        """Write the lines of new commits in one file whose name holds the first number; taken numbers are passed over."""
+        jvm = self.spark.sparkContext._jvm
+        while True:
+            first = max((n for n, _ in self._commits()), default=0) + 1
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{first:012d}.json")
+            fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            try:
+                out = fs.create(at, False)
+            except Py4JJavaError:
+                if not fs.exists(at):
+                    raise
+                continue
+            lines = [json.dumps({"number": first + i, "folder": folder, "base": base}) for i, (folder, base) in enumerate(made)]
+            out.write(bytearray("\n".join(lines) + "\n", "utf-8"))
+            out.close()
+            return
+
+    @contextmanager
+    def transaction(self) -> Iterator[Store]:
+        """All commits inside count together, at the end; an error inside leaves the store as it was. Reads inside see them already."""
+        if self._pending is not None:
+            raise RuntimeError("a transaction is open")
+        self._pending = []
+        try:
+            yield self
+            made = self._pending
+        finally:
+            self._pending = None
+        if made:
+            self._publish(made)
 
     def table(self, name: str) -> DataFrame:
         """The live rows of a table."""
         commits = self._commits()
         if not commits:
             return self.spark.createDataFrame([], TABLES[name])
-        read = lambda n, s: self.spark.read.schema(f"{s}, commit long").parquet(*[f"{self.path}/{f}/{n}" for _, f in commits])
+        number = F.create_map(*[F.lit(x) for n, f in commits for x in (f, n)])
+        folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(data-[0-9a-f]{32})/[^/]+/[^/]+\z", 1)
+        read = lambda n, s: self.spark.read.schema(s).parquet(*[f"{self.path}/{f}/{n}" for _, f in commits]).withColumn("commit", F.element_at(number, folder))
         gone = read("gone", "path string").groupBy("path").agg(F.max("commit").alias("gone_at"))
         rows, key = read(name, TABLES[name]), KEYS[name]
         live = rows.join(gone, rows[key] == gone["path"], "left").where(F.col("gone_at").isNull() | (F.col("commit") >= F.col("gone_at")))
@@ -59,14 +107,16 @@ class Store:
 
     def commit(self, gone: DataFrame | None = None, base: bool = False, **tables: DataFrame) -> None:
         """Add rows and remove the older rows of the paths in ``gone``; with ``base`` nothing older counts."""
-        commits = self._commits()
-        number, folder = (commits[-1][0] + 1 if commits else 1), f"data-{uuid.uuid4().hex}"
+        folder = f"data-{uuid.uuid4().hex}"
         tables["gone"] = self.spark.createDataFrame([], "path string") if gone is None else gone.select("path").distinct()
         for name, schema in (TABLES | {"gone": "path string"}).items():
             df = tables.get(name)
             df = self.spark.createDataFrame([], schema) if df is None else df.select(*schemas.names(schema))
-            df.withColumn("commit", F.lit(number).cast("long")).write.parquet(f"{self.path}/{folder}/{name}")
-        self.spark.createDataFrame([(number, folder, base)], "number long, folder string, base boolean").coalesce(1).write.mode("append").json(f"{self.path}/commits")
+            df.write.parquet(f"{self.path}/{folder}/{name}")
+        if self._pending is not None:
+            self._pending.append((folder, base))
+        else:
+            self._publish([(folder, base)])
 
     def _embedded(self, sources: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
         place = F.regexp_extract("chunk_id", r"_(\d+)\z", 1).cast("int")
@@ -79,7 +129,7 @@ class Store:
             m["end"].alias("end_pos"), m["token_count"].alias("token_count"), F.current_timestamp().alias("created_at"),
         )
         vec = rows.select("id", self.encoder(labelled(F.col("content"), filename(F.col("source_id")))).alias("embedding"), "source_id")
-        return rows, vectors.checked(vec, self.dim)
+        return rows, vec
 
     def _top_id(self) -> int:
         return self.table("chunks").agg(F.max("id")).first()[0] or 0
@@ -89,10 +139,33 @@ class Store:
         files = self.table("files")
         fresh = changes.new_only(sources.dropDuplicates(["source"]), files.select(F.col("path").alias("source")), "source")
         rows, vec = self._embedded(fresh, self._top_id())
-        self.commit(chunks=rows, files=file_rows(fresh), vectors=vec)
+        self.commit(chunks=rows, files=file_rows(fresh), vectors=vectors.checked(vec, self.dim))
+
+    def failures(self) -> DataFrame:
+        """(path, ts, ok): the log of sources that failed in an update, and of their first success after."""
+        try:
+            return self.spark.read.schema(FAILURES).parquet(f"{self.path}/failures")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], FAILURES)
+
+    def _log(self, bad: DataFrame, good: DataFrame, log: DataFrame) -> None:
+        """Add failures, and the successes of sources whose last entry is a failure."""
+        last = log.groupBy("path").agg(F.max_by("ok", "ts").alias("ok")).where(~F.col("ok"))
+        ts = F.lit(time.time_ns())
+        rows = bad.select("path", ts.alias("ts"), F.lit(False).alias("ok")).union(good.join(last, "path", "left_semi").select("path", ts, F.lit(True)))
+        rows.write.mode("append").parquet(f"{self.path}/failures")
 
     def update(self, sources: DataFrame, ignored: DataFrame | None = None) -> dict[str, int]:
-        """Bring the store to the state of ``sources`` in one step; returns what changed."""
+        """Bring the store to the state of ``sources`` in one step; returns what changed, and how many sources failed.
+
+        A source fails if one of its chunks gets no vector (null) or one of another dimension; it stays as it was, the others go on. After
+        STRIKES failures without a success in between it is ignored, as are the paths in ``ignored``.
+        """
+        log = self.failures()
+        struck = changes.failures(log.where(F.col("ts") >= self.since), STRIKES).select("path")
+        ignored = struck if ignored is None else struck.union(ignored.select("path")).distinct()
         # read once: what is compared, cut and tracked is the same content
         path = scratch(self.spark, "sources")
         sources.dropDuplicates(["source"]).write.parquet(path)
@@ -103,7 +176,19 @@ class Store:
             gone = found.where("change_type in ('modified', 'deleted')").select("path")
             fresh = current.join(found.where("change_type in ('new', 'modified')").select(F.col("path").alias("source")), "source", "left_semi")
             rows, vec = self._embedded(fresh, self._top_id())
+            made = scratch(self.spark, "vectors")
+            vec.write.parquet(made)
+            vec = self.spark.read.schema(vec.schema).parquet(made)
+            bad = vec.where(F.coalesce(F.size("embedding"), F.lit(-1)) != self.dim).select(F.col("source_id").alias("path")).distinct().cache()
+            if n := bad.count():
+                summary["failed"] = n
+                rows, vec = (x.join(bad, x.source_id == bad.path, "left_anti") for x in (rows, vec))
+                gone = gone.join(bad, "path", "left_anti")
+                fresh = fresh.join(bad, fresh.source == bad.path, "left_anti")
             self.commit(gone, chunks=rows, vectors=vec, files=file_rows(fresh))
+            if n or log.take(1):
+                self._log(bad, fresh.select(F.col("source").alias("path")), log)
+            bad.unpersist()
         found.unpersist()
         return summary
 

@@ -180,3 +180,14 @@ def test_paired_and_shared_folders(spark):
 
     got = shared_folders_removed(spark.createDataFrame(rows, "g long, path string"), "g")
     assert sorted((r.g, r.short) for r in got.collect()) == [(1, "c"), (1, "d/e"), (2, "x"), (3, "p/q"), (3, "r/q"), (4, "n"), (4, "n/o")]
+
+
+def test_the_engines_own_stream(spark):
+    from quarry.operators import prompts
+
+    events = ['{"content": "[meta]looking"}', '{"content": "one "}', "{broken", '{"type": "context_sources", "sources": ["a/x", "a/y"]}', '{"content": "two"}', "[DONE]", '{"content": "late"}']
+    body = "".join(f"data: {e}\n\n" for e in events) + 'data: {"content": "cut'
+    rows = spark.createDataFrame([(1, body), (2, ""), (3, None)], "i long, body string")
+    got = {r.i: r for r in prompts.parse_ui_sse(rows, "i").collect()}
+    assert (got[1].content, got[1].meta, got[1].sources) == ("one two", ["looking"], ["a/x", "a/y"])
+    assert (got[2].content, got[2].meta, got[2].sources) == ("", [], [])

@@ -141,3 +141,66 @@ def test_settings_file(tmp_path):
     path = tmp_path / "s.json"
     config.save(document, str(path))
     assert config.load(str(path)) == document and config.load(str(tmp_path / "none.json")) == {}
+
+
+def test_a_failing_source_leaves_the_others_alone(spark, tmp_path):
+    """A source without vectors stays as it was; after three failures it is ignored."""
+    root, broken = tmp_path / "src", tmp_path / "broken"
+    root.mkdir()
+    broken.write_text("bad")
+    for n in ("a", "b"):
+        (root / f"{n}.md").write_text(f"text {n}")
+
+    def post(url, body, headers, timeout):
+        word = broken.read_text()
+        if word and any(word in t for t in body["content"]):
+            raise OSError("refused")
+        return json.dumps([{"embedding": [[1.0, float(len(t))]]} for t in body["content"]])
+
+    store = Store(spark, str(tmp_path / "store"), encoders.http_encoder("u", post=post), 2)
+    read = lambda: scan.read_folder(spark, str(root))
+    store.embed(read())
+    (root / "c.md").write_text("good")
+    (root / "b.md").write_text("bad now")
+    assert store.update(read()) == {"modified": 1, "new": 1, "unchanged": 1, "failed": 1}
+    assert sorted(r.content for r in store.table("chunks").collect()) == ["good", "text a", "text b"]
+    assert store.vector(store.chunk_ids(next(r.path for r in store.tracked().collect() if r.path.endswith("c.md"))).first().id)[0] == 1.0
+    broken.write_text("")
+    assert store.update(read()) == {"modified": 1, "unchanged": 2}  # a success ends the row of failures
+    broken.write_text("worse")
+    (root / "b.md").write_text("worse still")
+    for _ in range(3):
+        assert store.update(read()) == {"modified": 1, "unchanged": 2, "failed": 1}
+    assert store.update(read()) == {"unchanged": 2}
+    assert sorted(r.ok for r in store.failures().collect()) == [False] * 4 + [True]
+    # the next process tries again
+    broken.write_text("")
+    again = Store(spark, str(tmp_path / "store"), encoders.http_encoder("u", post=post), 2)
+    assert again.update(read()) == {"modified": 1, "unchanged": 2}
+    with pytest.raises(Exception, match="where 3 are due"):
+        Store(spark, str(tmp_path / "other"), encoders.http_encoder("u", post=post), 3).embed(read())
+
+
+def test_transactions_and_two_writers(spark, tmp_path):
+    make = lambda: Store(spark, str(tmp_path / "store"), encoders.hashing_encoder(4), 4)
+    rows = lambda *names: spark.createDataFrame([(False, n, n, len(n), 1) for n in names], "is_url boolean, content string, source string, file_size long, last_modified long")
+    store, other = make(), make()
+    store.embed(rows("one"))
+    with pytest.raises(ValueError), store.transaction():
+        store.embed(rows("two"))
+        assert store.tracked().count() == 2 and other.tracked().count() == 1
+        raise ValueError
+    assert store.tracked().count() == 1
+    with store.transaction():
+        store.delete_source("one")
+        store.embed(rows("two"))
+        store.embed(rows("three"))
+        assert other.tracked().count() == 1
+    assert sorted(r.path for r in other.tracked().collect()) == ["three", "two"]
+    # the second of two writers that saw the same last commit takes the next number
+    seen = other._commits()
+    other._commits, real = lambda: seen if not store.is_tracked("five") or len(calls) == 0 and not calls.append(1) else real(), other._commits
+    calls = []
+    store.embed(rows("five"))
+    other.commit(files=scan.file_rows(rows("six")))
+    assert sorted(r.path for r in make().tracked().collect()) == ["five", "six", "three", "two"]
