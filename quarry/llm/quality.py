@@ -17,14 +17,25 @@ MOST_LOST = 0.5
 #: Repetition: words in repeated windows of WINDOW words, as a percentage of all words.
 WINDOW, MOST_REPEATED, LEAST_WORDS = 5, 20, 10
 SYMBOLS = b"#*$%&|<>"
-#: Fixed phrases that mark boilerplate lines, lower case.
+#: Fixed phrases that mark boilerplate lines, lower case, in four languages. Only ASCII letters, which all readers lower alike.
 BOILERPLATE = (
     b"all rights reserved", b"accept cookies", b"cookie policy", b"privacy policy", b"terms of service",
     b"terms of use", b"enable javascript", b"subscribe to our newsletter", b"click here", b"sign up for",
     b"lorem ipsum", b"powered by wordpress", b"share on facebook", b"follow us on",
+    b"alle rechte vorbehalten", b"cookies akzeptieren", b"cookie-richtlinie", b"datenschutzhinweis", b"nutzungsbedingungen",
+    b"javascript aktivieren", b"newsletter abonnieren", b"hier klicken", b"jetzt registrieren", b"auf facebook teilen", b"folgen sie uns",
+    b"tous droits", b"accepter les cookies", b"politique de confidentialit", b"activer javascript",
+    b"abonnez-vous", b"cliquez ici", b"inscrivez-vous", b"partager sur facebook", b"suivez-nous",
+    b"todos los derechos reservados", b"aceptar cookies", b"aviso legal", b"aviso de privacidad", b"condiciones de uso",
+    b"active javascript", b"habilitar javascript", b"haga clic", b"haz clic", b"compartir en facebook",
 )
-#: Fixed words of navigation bars, lower case.
-NAVIGATION = frozenset(b"home about contact login logout menu search next previous back top sitemap faq help register".split())
+#: Fixed words of navigation bars, lower case, in four languages.
+NAVIGATION = frozenset(
+    b"home about contact login logout menu search next previous back top sitemap faq help register "
+    b"startseite kontakt impressum anmelden abmelden suche hilfe registrieren warenkorb "
+    b"accueil connexion recherche suivant retour aide inscription panier "
+    b"inicio contacto buscar siguiente anterior ayuda registro carrito".split()
+)
 _BOILER = re.compile(b"|".join(map(re.escape, BOILERPLATE)))
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True

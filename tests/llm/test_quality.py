@@ -17,7 +17,9 @@ def judge(text):
     [
         ("", None), (" \t", None), (PROSE, None), ("one## two** three$$ four", "symbols"), ("a | b | c | d", "navigation"),
         ("Home About Contact", "navigation"), ("© 2020 All rights reserved.", "boilerplate"), ("BUY!! NOW!! THIS!! day", "punctuation"),
-        ("What a day! He said so.", None),
+        ("What a day! He said so.", None), ("Startseite | Suche Kontakt", "navigation"), ("Accueil Connexion Aide", "navigation"), ("Inicio Buscar Ayuda", "navigation"),
+        ("© 2020 Alle Rechte vorbehalten", "boilerplate"), ("Cliquez ici pour lire la suite", "boilerplate"), ("Al navegar usted puede aceptar cookies", "boilerplate"),
+        ("Die Suche nach einem neuen Haus dauerte zwei lange Jahre.", None), ("Il est de retour avec une aide pour tous.", None), ("El año anterior fue el inicio de todo.", None),
     ],
 )
 def test_line_rules(line, rule):
@@ -47,3 +49,13 @@ def test_frame_and_sql(spark):
     assert kept.columns == docs.columns and kept.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
     assert sorted(r.text for r in kept.collect()) == sorted([PROSE, PROSE, "é | b | c\n" + PROSE if not quality.line_fails("é | b | c".encode()) else PROSE, PROSE])
     assert quality.quality(docs.limit(0)).count() == 0
+
+
+def test_other_languages_in_frame_and_sql(spark):
+    texts = [f"{line}\n{PROSE}" for line in ("Startseite Hilfe", "Todos los derechos reservados", "TOUS DROITS d'auteur", "Der Kontakt zu den Nachbarn war gut")]
+    got = quality.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(4), "text": texts}))
+    rows = con.execute(quality.SQL["op3_quality"]).fetchall()
+    assert sorted(map(tuple, got.drop("cleaned", "n_lines_removed").collect())) == sorted(rows)
+    assert [r.cleaned for r in got.orderBy("doc_id").collect()] == [PROSE] * 3 + [texts[3]]
