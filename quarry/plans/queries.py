@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import content_type as ct
 from quarry.functions import hashing, paths, text, tokens
-from quarry.operators import changes, chunking, config, packing, prompts, registry, stats, vectors
+from quarry.operators import changes, chunking, config, ivf, packing, prompts, registry, stats, vectors
 from quarry.plans import tables as t
+from quarry.scratch import scratch
 from quarry.sources.scan import distinct_sources, fetch_source, file_rows, last_entries, related_sources, shared_folders_removed
 
 QUERIES: dict = {}
@@ -93,6 +94,15 @@ def knn_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.knn_join(v, asked, 5).select("query_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def knn_index_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate, so without a twin; its recall is tested against the exact search."""
+    v = t.vectors(spark, sf_dir)
+    path = scratch(spark, "index")
+    ivf.build(v, path)
+    return ivf.knn(spark, path, [(0, vectors.vector_of(v, 0))], 10)
+
+
 @query(f"SELECT vec_id AS id, round(sqrt({_DOT.format(a='embedding', b='embedding')}), 6) AS norm FROM embeddings")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.vectors(spark, sf_dir).select("id", F.round(vectors.l2_norm(F.col("embedding")), 6).alias("norm"))

@@ -191,3 +191,35 @@ def test_the_engines_own_stream(spark):
     got = {r.i: r for r in prompts.parse_ui_sse(rows, "i").collect()}
     assert (got[1].content, got[1].meta, got[1].sources) == ("one two", ["looking"], ["a/x", "a/y"])
     assert (got[2].content, got[2].meta, got[2].sources) == ("", [], [])
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_index_recall(spark, tmp_path, metric):
+    """Each vector is in one list; of the true neighbours nine in ten are found, and what is found is scored exactly."""
+    from quarry.operators import ivf
+    from quarry.plans import tables
+
+    v = tables.vectors(spark, "/root/testdata/sf0.01").cache()
+    ivf.build(v, str(tmp_path / "index"))
+    held = spark.read.parquet(str(tmp_path / "index/vectors"))
+    assert held.count() == held.select("id").distinct().count() == v.count() and held.select("list").distinct().count() > 10
+    asked = [(r.id, r.embedding) for r in v.where("pmod(id, 20) = 0").collect()]
+    true = {(r.query_id, r.id): r.similarity for r in vectors.knn(v, asked, 10, metric).collect()}
+    hits = 0
+    for q in asked:  # one query at a time: others would lend their lists
+        got = {(r.query_id, r.id): r.similarity for r in ivf.knn(spark, str(tmp_path / "index"), [q], 10, metric).collect()}
+        assert len(got) == 10 and all(abs(true[x] - s) < 1e-9 for x, s in got.items() if x in true)
+        hits += sum(x in true for x in got)
+    assert hits >= 0.9 * 10 * len(asked)
+    v.unpersist()
+
+
+def test_index_of_copies_and_of_nothing(spark, tmp_path):
+    from quarry.operators import ivf
+
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)] + [(40, None)], "id long, embedding array<float>")
+    ivf.build(same, str(tmp_path / "index"))
+    got = ivf.knn(spark, str(tmp_path / "index"), [(7, [1.0, 2.0])], 3).orderBy("rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(7, 0), (7, 1), (7, 2)]
+    with pytest.raises(ValueError):
+        ivf.build(same.limit(0), str(tmp_path / "none"))
