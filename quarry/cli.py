@@ -24,6 +24,9 @@ def parser() -> argparse.ArgumentParser:
         s = sub.add_parser(name)
         s.add_argument("question")
         s.add_argument("--top", type=int, default=5)
+        if name == "chat":
+            s.add_argument("--temperature", type=float, default=None)
+            s.add_argument("--max-tokens", type=int, default=None)
     clear = sub.add_parser("clear")
     clear.add_argument("-y", "--yes", action="store_true")
     return p
@@ -41,6 +44,9 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
         rows = engine.search(args.question, args.top).collect()
         return "\n".join(f"[{i}] {r.similarity_score:.4f} {r.source_id} ({r.chunk_type})" for i, r in enumerate(rows, 1))
     if args.command == "chat":
+        if engine.requester:
+            api = next(iter(engine.settings.get("generation", {}).get("apis", [])), {})
+            return engine.complete([("user", args.question)], args.top, temperature=args.temperature, max_tokens=args.max_tokens, stream=api.get("stream", False), api=api)
         return engine.chat(args.question, args.top)
     if args.command == "stats":
         return str(engine.source_stats().first().asDict(recursive=True))
@@ -64,8 +70,8 @@ def main(argv: list[str] | None = None) -> None:
     api = next((a for a in apis if a["id"] == current), None)
     encoder = encoders.http_encoder(api["url"], api["key"], int(settings["embedding"].get("batch_size", 4))) if api else encoders.hashing_encoder(dim)
     chats = [config.api_settings(a) for a in settings.get("generation", {}).get("apis", [])]
-    completer = encoders.http_completer(chats[0]["url"], chats[0]["key"], chats[0]["model"]) if chats else None
-    print(run(args, Engine(session(master=args.master), settings, args.store, encoder, dim, completer)))
+    requester = encoders.http_requester(chats[0]["url"], chats[0]["key"]) if chats else None
+    print(run(args, Engine(session(master=args.master), settings, args.store, encoder, dim, requester=requester, settings_file=args.config)))
 
 
 if __name__ == "__main__":
