@@ -7,7 +7,7 @@ one of fewer than PLAIN tokens (a bare number, a name) says nothing amid a text,
 A Bloom filter, sized by the count of the benchmark's windows (BLOOM_MOST bits at most), keeps windows that no
 benchmark item has from being shuffled; the join decides. On each alignment of a document with an item
 a content of the item must map to one content (a name always to the same name, a number to the same
-number), windows that disagree being left out, so a re-parameterised question is caught and a chance likeness of form is not.
+number), windows that disagree being left out unless they are verbatim, so a re-parameterised question is caught and a chance likeness of form is not.
 """
 
 from __future__ import annotations
@@ -31,13 +31,37 @@ BLOOM_LEAST, BLOOM_MOST = 1 << 16, 1 << 27
 NUMBER = re.compile(rb"[+-]?[$]?\d[\d.,:/%-]*(st|nd|rd|th)?")
 QUANTITY = re.compile(rb"([+-]?\d[\d.,]*)([A-Za-z%]{1,3})")
 EDGE = b".,;:!?\"'()[]{}<>"
-#: Fixed lists: number words and units, lower case.
-NUMBER_WORDS = frozenset(b"zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion".split())
+#: Fixed lists in English, German, French and Spanish: number words and units, lower case. Words that are articles, too, are left out.
+NUMBER_WORDS = frozenset(
+    (
+        "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+        "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+        "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn "
+        "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen milliarde milliarden "
+        "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize dix-sept dix-huit dix-neuf "
+        "vingt trente quarante cinquante soixante soixante-dix quatre-vingts quatre-vingt-dix cent cents mille millions milliard milliards "
+        "cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve "
+        "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento doscientos trescientos quinientos mil millón millones"
+    ).encode().split()
+)
 UNITS = frozenset(
-    b"mm cm m km g kg mg t l ml s sec secs second seconds min mins minute minutes h hr hour hours day days week weeks month months year years "
-    b"metre metres meter meters kilometre kilometres kilometers mile miles foot feet inch inches gram grams kilogram kilograms litre litres liter liters "
-    b"percent % usd eur dollar dollars euro euros cent cents pound pounds watt watts volt volts degree degrees".split()
-)
+    (
+        "mm cm m km g kg mg t l ml s sec secs second seconds min mins minute minutes h hr hour hours day days week weeks month months year years "
+        "metre metres meter meters kilometre kilometres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms litre litres liter liters "
+        "percent % usd eur dollar dollars euro euros cent cents pound pounds watt watts volt volts degree degrees "
+        "sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren metern kilometern zentimeter "
+        "gramm kilogramm tonne tonnen litern prozent grad pfund "
+        "seconde secondes heure heures jour jours semaine semaines mois ans année années mètre mètres kilomètre kilomètres centimètre centimètres "
+        "gramme grammes kilogramme kilogrammes tonnes pour-cent centime centimes degré degrés "
+        "segundo segundos minuto minutos hora horas día días semana semanas meses año años metro metros kilómetro kilómetros centímetro centímetros "
+        "gramo gramos kilogramo kilogramos tonelada toneladas litro litros céntimo céntimos grado grados peso pesos dólar dólares"
+    ).encode().split()
+)
+#: Fixed list: German words after which a capital is a noun's, lower case.
+BEFORE_NOUNS = frozenset(
+    "der das den dem des ein eine einen einem einer eines kein keine keinen keinem keiner im am zum zur vom beim ins "
+    "dieser diese dieses diesen diesem jeder jede jedes jeden jedem sein seine seinen seinem seiner ihr ihre ihren ihrem ihrer viele wie alle".encode().split()
+)
 WORD_TYPE, NUM, UNIT, NAME = 0, 1, 2, 3
 #: Kinds of windows: of template tokens; a whole item amid a sentence, its first word plain; of exact words; of the exact words of a line.
 TEMPLATE, WHOLE, EXACT, LINE = 0, 1, 2, 3
@@ -45,7 +69,10 @@ _CODES = {NUM: 0x9E3779B97F4A7C15, UNIT: 0xC2B2AE3D27D4EB4F, NAME: 0x165667B19E3
 
 
 class Canon(dict):
-    """word -> number of its row in the arrays: template hash at a sentence's start and elsewhere, types there, ends a sentence, hash of the plain word."""
+    """word -> number of its row in the arrays: template hash at a sentence's start and elsewhere, types there, whether a capital after it says nothing, hash of the plain word.
+
+    A capital says nothing after a sentence's end, and nothing where a German noun is due: after a number or an article.
+    """
 
     def __init__(self) -> None:
         super().__init__()
@@ -61,10 +88,11 @@ class Canon(dict):
             start = other = NUM
         elif low in UNITS:
             start = other = UNIT
-        elif core[:1].isupper() and len(core) > 1 and not core.isupper():
+        elif len(core) > 1 and core[:2].decode(errors="ignore")[:1].isupper() and not core.isupper():
             other = NAME
         plain = xxhash.xxh64_intdigest(low, 5)
-        self.fresh.append((_CODES.get(start, plain), _CODES.get(other, plain), start, other, word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?"), plain))
+        ends = word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?")
+        self.fresh.append((_CODES.get(start, plain), _CODES.get(other, plain), start, other, ends or start == NUM or low in BEFORE_NOUNS, plain))
         self[word] = n = len(self)
         return n
 
@@ -257,8 +285,8 @@ def document_windows(docs: DataFrame, bloom: np.ndarray, widths: list[tuple[int,
 def agreeing(hits: list[tuple[int, int, list[str], list[str]]]) -> tuple[set[int], int, bool]:
     """(words of the item covered, windows, whether any content differs) on one alignment; hits are item_start, width, the item's slots, the document's.
 
-    A content of the item maps to the one that most windows give it. Windows that disagree are left out,
-    unless they are verbatim. An alignment that gives a content several others, never itself, is no copy.
+    A content of the item maps to the one that most windows give it. Windows that disagree with this are left out,
+    unless they are verbatim.
     """
     votes: dict[str, Counter[str]] = {}
     pairs = [set(zip(theirs, own, strict=False)) for *_, theirs, own in hits]
@@ -266,8 +294,6 @@ def agreeing(hits: list[tuple[int, int, list[str], list[str]]]) -> tuple[set[int
         votes.setdefault(a, Counter())[b] += 1
     covered: set[int] = set()
     used, differs = 0, False
-    if any(len(v) > 1 and a not in v for a, v in votes.items()):
-        return covered, used, differs
     chosen = {a: max(v, key=lambda b: (v[b], b == a, b)) for a, v in votes.items()}
     for (start, width, *_), own in zip(hits, pairs, strict=True):
         verbatim = all(a == b for a, b in own)
