@@ -4,6 +4,7 @@ import __spark_entry__ as entry_point
 from pyspark.sql import functions as F
 
 from quarry.operators.numbering import numbered
+from quarry.session import BOUNDS, prepare
 
 
 def test_contract(spark):
@@ -29,3 +30,15 @@ def test_ship(spark, monkeypatch, tmp_path):
     ship.ship(spark)
     ship.ship(spark)
     assert spark.sparkContext.applicationId in ship._done
+
+
+def test_building_a_query_leaves_settings_alone(spark):
+    entry_point.queries()  # registering builds nothing
+    before = dict(spark.conf.getAll)
+    prepare(spark)
+    added = {k: v for k, v in spark.conf.getAll.items() if before.get(k) != v}
+    assert added.keys() <= BOUNDS.keys()
+    key = next(iter(BOUNDS))
+    spark.conf.set(key, "1m")
+    assert prepare(spark).conf.get(key) == "1m"
+    spark.conf.unset(key)
