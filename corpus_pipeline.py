@@ -14,36 +14,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import copies, decontaminate, mixing, quality, queries, sharding
 from quarry.llm.common import documents, settle
-from quarry.ship import ship
+from quarry.session import prepare
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that fail the rules or lose too much text (so null and empty ones). Each row is judged by itself."""
-    ship(spark)
+    prepare(spark)
     return quality.clean_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the least doc_id, rows without one last; of equal rows one. Texts without words are one group."""
-    ship(spark)
+    prepare(spark)
     return copies.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go, with or without a doc_id; items without an id count. An empty benchmark holds nothing."""
-    ship(spark)
+    prepare(spark)
     return decontaminate.clean_of_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: no, one or two rows. Rows that share a doc_id, or have none, share a hash and so a verdict within their source."""
-    ship(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row of the mix; equal texts share a shard, each row has a slot of its own."""
-    ship(spark)
+    prepare(spark)
     return sharding.shard_documents(docs)
 
 

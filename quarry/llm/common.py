@@ -18,19 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Bytes of one Arrow batch. Texts differ in length a millionfold, so batches can't be bounded by rows.
-BATCH_BYTES = 4 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bounded(docs: DataFrame) -> DataFrame:
-    """``docs``, their session told to end Arrow batches at BATCH_BYTES, unless it has a lower bound."""
-    conf = docs.sparkSession.conf
-    if int(conf.get(_BATCH_SETTING).removesuffix("b")) > BATCH_BYTES:
-        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
-    return docs
-
-
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession

@@ -1,149 +1,20 @@
 """Near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more, or fingerprints within three bits.
 
-BANDS cells of ROWS min-hashes each propose candidates: a pair at similarity 0.8 shares no cell with
-probability (1 - 0.8**4)**24 = 3e-6, a more similar pair with less. Candidates are linked only if the
-similarity of the whole sets (64-bit hashes of the shingles) reaches SIMILARITY. Equal sets are
-collapsed before. Cells of up to LISTED members that have the same members are one task; a larger cell is cut into blocks of BLOCK, each pair of blocks
-being a task of its own. A task yields a spanning forest of its links. The fingerprints of ``simhash``
-also link some less similar texts; each fingerprint stands for the least of its sets.
+``minhash`` links the sets: an inverted join on the coordinates of their signatures, whole sets deciding. The fingerprints
+of ``simhash`` also link some less similar texts; each fingerprint stands for the least of its sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm import simhash
-from quarry.llm.common import LAST, Rolling, blocks, bounded, hashed_words, mixed, row_key, settle, slices, small, text_bytes
+from quarry.llm import minhash, simhash
+from quarry.llm.common import LAST, row_key, settle, small
 from quarry.llm.components import components
 
-SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, BLOCK, LISTED = 24, 4, 512, 64
-_FACTORS = np.random.default_rng(20260511).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct hashes of the shingles of each text; fewer words than SHINGLE are one shingle, no words none."""
-    out = []
-    for words in hashed_words([t.lower() for t in texts]):
-        width = min(SHINGLE, len(words))
-        out.append(np.unique(mixed(Rolling(words).windows(width) + np.uint64(width))) if width else np.zeros(0, np.uint64))
-    return out
-
-
-def _node(own: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(own.tobytes())
-
-
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS cells of each of the sets, none of which is empty."""
-    joined = np.concatenate(sets)
-    starts = np.cumsum([0, *map(len, sets[:-1])])
-    cells = np.zeros((len(sets), BANDS), np.uint64)
-    for k, (a, b) in enumerate(_FACTORS.T):
-        least = np.minimum.reduceat(joined * a + b, starts)
-        cells[:, k // ROWS] = mixed(cells[:, k // ROWS] + least + np.uint64(k))
-    return cells
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """doc, same and text of rows, in blocks of about a megabyte."""
-    for batch in slices(batches):
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True)
-        for part in blocks(rows, 1 << 20):
-            doc, same, texts = zip(*part, strict=True)
-            yield np.array(doc, np.int64), np.array(same, np.int64), list(texts)
-
-
-def _marked(rows: DataFrame) -> DataFrame:
-    """(doc, same, node, fp, cells): a hash of the whole shingle set, the text's fingerprint, and the set's cells."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, same, texts in _parts(batches):
-            sets = shingle_sets(texts)
-            full = [s for s in sets if len(s)]
-            found = bands(full).view(np.int64) if full else np.zeros((0, BANDS), np.int64)
-            ends = np.cumsum([0, *(BANDS * bool(len(s)) for s in sets)])
-            cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.ravel()))
-            nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
-            fp = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (doc, same, nodes, fp)), cells], ["doc", "same", "node", "fp", "cells"])
-
-    return rows.mapInArrow(run, "doc long, same long, node long, fp long, cells array<long>")
-
-
-def _sets(rows: DataFrame) -> DataFrame:
-    """(node, hashes): the shingle sets themselves, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in _parts(batches):
-            sets = shingle_sets(texts)
-            nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
-
-    return rows.mapInArrow(run, "node long, hashes binary")
-
-
-def forest(sets: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple[int, int]]:
-    """Breadth-first spanning forest of the links among the sets; with ``cross`` only of those between two sides."""
-    sizes = np.array([len(s) for s in sets])
-    starts = np.cumsum(sizes) - sizes
-    kinds, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(len(kinds), bool)
-    left, edges = np.arange(len(sets)), []
-    while len(left):
-        frontier, left = [left[0]], left[1:]
-        while frontier and len(left):
-            u = frontier.pop()
-            own = ids[starts[u] : starts[u] + sizes[u]]
-            mark[own] = True
-            common = np.add.reduceat(mark[ids], starts, dtype=np.int64)[left]
-            mark[own] = False
-            hit = common / (sizes[u] + sizes[left] - common) >= SIMILARITY
-            if cross:
-                hit &= side[left] != side[u]
-            edges += [(u, v) for v in left[hit]]
-            frontier += left[hit].tolist()
-            left = left[~hit]
-    return edges
-
-
-def _links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v) with u > v: enough links between distinct sets to connect all near copies that share a cell."""
-    grid = nodes.select("node", F.explode("cells").alias("cell"))
-    crowded = grid.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = settle(grid.join(crowded, "cell"), "copy-cells")
-    first = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first.doc", "first.same")
-    asked = small(settle(first, "copy-first"))
-    # of each set one document; only its key is joined, so texts don't move while these are few
-    texts = rows.join(asked.select("doc", "same"), ["doc", "same"], "left_semi")
-    sets = settle(_sets(texts).dropDuplicates(["node"]), "copy-sets")
-    listed = shared.where(F.col("members") <= LISTED).groupBy("cell").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
-    few = listed.select(F.xxhash64("nodes").alias("task"), F.lit(False).alias("cross"), F.lit(0).cast("long").alias("block"), F.explode("nodes").alias("node"))
-    n_blocks = F.ceil(F.col("members") / BLOCK)
-    block = F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("node", F.lit("block")), n_blocks)).otherwise(F.lit(0)).cast("long")
-    many = (
-        shared.where(F.col("members") > LISTED)
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (n_blocks - 1).cast("long"))))
-        .select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
-        .select(F.xxhash64("cell", "i", "j").alias("task"), (F.col("i") != F.col("j")).alias("cross"), "block", "node")
-    )
-    dealt = few.union(many)
-
-    def run(table: pa.Table) -> pa.Table:
-        nodes_ = table.column("node").to_numpy()
-        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        found = forest(sets_, table.column("block").to_numpy(), table.column("cross")[0].as_py())
-        u, v = (nodes_[list(x)] for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
-
-    return dealt.join(sets, "node").groupBy("task").applyInArrow(run, "u long, v long").distinct()
+SHINGLE, PERCENT = 5, 80
+LISTED, BLOCK_BYTES = minhash.LISTED, minhash.BLOCK_BYTES
 
 
 def _fingerprint_links(marked: DataFrame) -> DataFrame:
@@ -158,11 +29,11 @@ def _fingerprint_links(marked: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two written tables: (doc, same, node), one row per row of ``docs``, and (node, head), head being the first (doc, same) reachable over links."""
-    rows = bounded(docs).select(*row_key(docs), F.col("text").cast("string").alias("text"))
-    marked = settle(_marked(rows), "shingles")
-    first = F.min(F.struct("doc", "same")).alias("first")
-    nodes = settle(marked.groupBy("node").agg(first, F.any_value("cells").alias("cells")), "copy-nodes")
-    roots = components(_links(rows, nodes).union(_fingerprint_links(marked)).distinct()).withColumnRenamed("node", "linked")
+    rows = minhash.keyed_texts(docs)
+    marked = settle(minhash.marked(rows, SHINGLE, fp=simhash.fingerprint), "shingles")
+    nodes = minhash.nodes_of(marked)
+    links = minhash.links(rows, nodes, SHINGLE, PERCENT, LISTED, BLOCK_BYTES)
+    roots = components(links.union(_fingerprint_links(marked)).distinct()).withColumnRenamed("node", "linked")
     labelled = nodes.join(roots, nodes.node == roots.linked, "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     heads = labelled.groupBy("root").agg(F.min("first").alias("head"))
     return marked.select("doc", "same", "node"), settle(labelled.join(heads, "root").select("node", "head"), "copy-heads")

@@ -13,7 +13,7 @@ So all documents are connected that are linked by pairs which agree in enough co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from math import comb
 from operator import add
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LAST, Rolling, blocks, bounded, documents, hashed_words, mixed, row_key, settle, slices, small, text_bytes
+from quarry.llm.common import LAST, Rolling, blocks, documents, hashed_words, mixed, row_key, settle, slices, small, text_bytes
 from quarry.llm.components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -77,11 +77,14 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    return bounded(docs).select(*row_key(docs), F.col("text").cast("string").alias("text"))
+    return docs.select(*row_key(docs), F.col("text").cast("string").alias("text"))
 
 
-def marked(rows: DataFrame, shingle: int) -> DataFrame:
-    """(doc, same, node, n, tokens, s0 to s3) of ``keyed_texts``: a hash of the whole set, its size, its coordinate-value pairs and a byte of each."""
+def marked(rows: DataFrame, shingle: int, **more: Callable[[bytes], int]) -> DataFrame:
+    """(doc, same, node, n, tokens, s0 to s3) of ``keyed_texts``: a hash of the whole set, its size, its coordinate-value pairs and a byte of each.
+
+    ``more`` adds columns of 64 bits that are made of the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, same, texts in _parts(batches):
@@ -93,16 +96,17 @@ def marked(rows: DataFrame, shingle: int) -> DataFrame:
             tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(COORDINATES * (n > 0))], pa.int32()), pa.array(found[n > 0].view(np.int64).ravel()))
             packed = np.ascontiguousarray(found.astype(np.uint8)).view(np.int64)
             nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
-            columns = [*map(pa.array, (doc, same, nodes, n)), tokens, *map(pa.array, np.ascontiguousarray(packed.T))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "same", "node", "n", "tokens", *_PACKED])
+            others = [np.array([f(t) for t in texts], np.uint64).view(np.int64) for f in more.values()]
+            columns = [*map(pa.array, (doc, same, nodes, n)), tokens, *map(pa.array, [*np.ascontiguousarray(packed.T), *others])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "same", "node", "n", "tokens", *_PACKED, *more])
 
-    return rows.mapInArrow(run, "doc long, same long, node long, n long, tokens array<long>, " + ", ".join(f"{s} long" for s in _PACKED))
+    return rows.mapInArrow(run, "doc long, same long, node long, n long, tokens array<long>, " + ", ".join(f"{s} long" for s in [*_PACKED, *more]))
 
 
 def nodes_of(marks: DataFrame) -> DataFrame:
-    """Written distinct sets of ``marked``, without the empty one: node, first (doc, same), n, tokens, s0 to s3."""
+    """Written distinct sets of ``marked``: node, first (doc, same), n, tokens, s0 to s3."""
     first = F.min(F.struct("doc", "same")).alias("first")
-    return settle(marks.where("n > 0").groupBy("node").agg(first, *[F.any_value(c).alias(c) for c in ("n", "tokens", *_PACKED)]), "sets-found")
+    return settle(marks.groupBy("node").agg(first, *[F.any_value(c).alias(c) for c in ("n", "tokens", *_PACKED)]), "sets-found")
 
 
 def _matches(a: str, b: str) -> Column:

@@ -25,9 +25,9 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_of(doc_id: Column) -> Column:
-    """40 bits of MD5 of the id as text: the same in every run and engine."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """40 bits of MD5 of the id as text, a colon and the text, nulls being empty: the same in every run and engine."""
+    digest = F.md5(F.concat(*[F.coalesce(x, F.lit("")).cast("binary") for x in (doc_id.cast("string"), F.lit(":"), text.cast("string"))]))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, hash) of every row; a table without sources has the null source."""
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("hash"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("hash"))
 
 
 def thresholds(base: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -102,7 +102,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
     ``copies`` whole repeats of a document are taken: the source's whole repeats, plus one for hashes
-    below its threshold. ``taken`` is their words. Rows that share a doc_id share a hash, so ties fall together; rows without one do too. Null
+    below its threshold. ``taken`` is their words. Rows equal in doc_id and text share a hash, so these fall together; rows that only share a
+    doc_id, or have none, are told apart by their texts. Null
     and empty texts have size 0, long ones are counted whole; a null source is a source of its own, the last; an empty
     table gives no rows. Other columns are not read, whatever their names.
     """
@@ -124,7 +125,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     """
     limits = small(thresholds(settle(sized(docs), "sizes"), weights, share, most)).select(*[F.col(c).alias(f"__mix_{c}") for c in ("s", "whole", "limit")])
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    taken = F.col("__mix_whole") + F.when(hash_of(F.col("doc_id")) < F.col("__mix_limit"), 1).otherwise(0)
+    taken = F.col("__mix_whole") + F.when(hash_of(F.col("doc_id"), F.col("text")) < F.col("__mix_limit"), 1).otherwise(0)
     joined = docs.withColumn("__mix_source", source).join(limits, F.col("__mix_source").eqNullSafe(F.col("__mix_s"))).withColumn("__mix_copies", taken.cast("int"))
     repeated = joined.where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("__mix_copies"))))
     return repeated.select(*docs.columns)
@@ -135,7 +136,7 @@ SQL = {
     "op6_mixing": r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10) AS BIGINT) AS hash
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 10) AS BIGINT) AS hash
   FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weighed AS (

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Rolling, bounded, documents, hashed_words, slices, text_bytes
+from quarry.llm.common import Rolling, documents, hashed_words, slices, text_bytes
 
 #: Share of a document's word characters that its failing lines may hold.
 MOST_LOST = 0.5
@@ -128,7 +128,7 @@ def quality(docs: DataFrame, most_lost: float = MOST_LOST, cleaned: bool = True)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *[k for k, _ in fields]])
 
     schema = "doc_id long, " + ", ".join(" ".join(f) for f in fields)
-    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ def clean_documents(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
             out = batch.set_column(place, "text", texts).filter(pa.array([x["kept"] for x in found], pa.bool_()))
             yield out
 
-    cast = bounded(docs).withColumn("text", F.col("text").cast("string"))
+    cast = docs.withColumn("text", F.col("text").cast("string"))
     kept = cast.mapInArrow(run, cast.schema).withColumn("text", F.col("text").cast(body))
     if "n_chars" in names:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, documents, settle, slices, small, spread
+from quarry.llm.common import documents, settle, slices, small, spread
 
 #: Letters of a word at least, its occurrences at least, and how much more often its form occurs at least.
 LEAST, TWICE, OFTEN = 7, 2, 10
@@ -59,7 +59,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     counts = Counter()
         yield _counted(counts)
 
-    rows = bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "word string, n long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= TWICE)
 
 

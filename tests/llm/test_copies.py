@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from quarry.llm import common, copies, simhash
+from quarry.llm import common, copies, minhash, simhash
 
 
 def shingles(text):
@@ -50,7 +50,7 @@ def test_keep_one_against_all_pairs(spark, monkeypatch):
     assert sum(want[d] != d for d in want) > 30
     assert {r.doc_id: r.component_id for r in copies.near_copies(docs).collect()} == want
     assert sorted(r.doc_id for r in copies.keep_one(docs).collect()) == sorted(set(want.values()))
-    monkeypatch.setattr(copies, "BLOCK", 3)
+    monkeypatch.setattr(copies, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(copies, "LISTED", 2)
     assert {r.doc_id: r.component_id for r in copies.near_copies(docs).collect()} == want
     assert copies.near_copies(docs.limit(0)).count() == 0
@@ -67,8 +67,9 @@ def test_one_changed_word_beyond_three_bits(spark):
 
 def test_exact_threshold():
     a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
-    assert copies.forest([a, b], np.zeros(2), False) == [(0, 1)]  # 8 of 10
-    assert copies.forest([a[:8], b[:8]], np.zeros(2), False) == []  # 7 of 9
+    alone = np.arange(2)
+    assert minhash.forest([a, b], alone, alone, False, copies.PERCENT) == [(0, 1)]  # 8 of 10
+    assert minhash.forest([a[:8], b[:8]], alone, alone, False, copies.PERCENT) == []  # 7 of 9
 
 
 def test_rows_without_a_doc_id_and_repeated_rows(spark, monkeypatch):

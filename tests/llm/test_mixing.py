@@ -51,11 +51,22 @@ def test_targets_and_words_taken(spark):
 
 def test_threshold_is_nested_by_hash(spark):
     docs = spark.createDataFrame(rows(), SCHEMA)
-    for r in mixing.mix(docs).withColumn("h", mixing.hash_of(F.col("doc_id"))).groupBy("source").agg(F.max(F.struct(F.col("copies"), -F.col("h"))).alias("a"), F.collect_list(F.struct("h", "copies")).alias("all")).collect():
+    text = F.concat(F.repeat(F.lit("w "), F.col("size").cast("int")))
+    taken = mixing.mix(docs.where("doc_id < 400")).withColumn("h", mixing.hash_of(F.col("doc_id"), text))
+    for r in taken.groupBy("source").agg(F.collect_list(F.struct("h", "copies")).alias("all")).collect():
         ordered = [c for _, c in sorted((x.h, x.copies) for x in r["all"])]
         assert ordered == sorted(ordered, reverse=True)
 
 
+def test_rows_without_an_id_or_that_share_one_come_near_the_target(spark):
+    data = [(None, f"word{i} " * 10, "a", "", "") for i in range(40)] + [(5, f"other{i} " * (1 + i % 9), "b", "", "") for i in range(200)] + [(i, "w " * 30, "c", "", "") for i in range(200)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    by = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
+    assert len(by) == 3 and all(abs(r.taken - r.target) <= r.most for r in by)
+    words = mixing.mixed_documents(docs).groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("n")).collect()
+    assert {r.source: r.n for r in words} == {r.source: r.taken for r in by}
+
+
 def test_sql_agrees(spark, tmp_path):
     docs = spark.createDataFrame(rows(), SCHEMA).select("doc_id", "text", "source")
     documents = docs.toPandas().astype({"doc_id": "Int64"})

@@ -83,7 +83,7 @@ def by_hand(rows, items):
     for s in sizes:
         whole = int(target[s] // sizes[s])
         budget, got, last = target[s] - whole * sizes[s], 0, False
-        for h, d in sorted((hashlib.md5(str(d).encode()).hexdigest()[:10], d) for d, x in kept.items() if x[1] == s):
+        for h, d in sorted((hashlib.md5(f"{d}:{x[0]}".encode()).hexdigest()[:10], d) for d, x in kept.items() if x[1] == s):
             n = len(kept[d][0].split())
             extra = False
             if not last:
