@@ -27,10 +27,11 @@ class Engine:
     def __init__(
         self, spark: SparkSession, settings: Mapping[str, Any], path: str, encoder: Callable[[Column], Column], dim: int,
         completer: Callable[[Column], Column] | None = None, fetch: scan.Fetch = scan.http_fetch, requester: Callable[[Column], Column] | None = None, settings_file: str = "",
+        probe: scan.Fetch = scan.http_probe,
     ):
         """``completer`` takes prompts, ``requester`` JSON of whole requests; with ``settings_file`` each update reads the settings again."""
         self.spark, self.settings, self.encoder, self.completer, self.fetch = spark, settings, encoder, completer, fetch
-        self.requester, self.settings_file, self._stats = requester, settings_file, None
+        self.requester, self.settings_file, self.probe, self._stats = requester, settings_file, probe, None
         self.store = Store(spark, path, encoder, dim, *self._store_settings())
 
     def _store_settings(self) -> tuple[str, Limits]:
@@ -38,22 +39,35 @@ class Engine:
         limits = Limits(int(chunking.get("nof_min_tokens", 50)), int(chunking.get("nof_max_tokens", 450)), float(chunking.get("overlap_percentage", 0.1)))
         return self.settings.get("database", {}).get("distance_metric", "cosine"), limits
 
+    def _where(self) -> tuple[list[dict[str, Any]], float]:
+        return config.source_specs(self.settings), float(self.settings.get("source", {}).get("max_file_size_mb", scan.MAX_FILE_MB))
+
     def sources(self) -> DataFrame:
         """All configured sources with content; what can't be read is left out."""
-        max_mb = float(self.settings.get("source", {}).get("max_file_size_mb", scan.MAX_FILE_MB))
-        return scan.collect_sources(self.spark, config.source_specs(self.settings), max_mb=max_mb, fetch=self.fetch)
+        specs, max_mb = self._where()
+        return scan.collect_sources(self.spark, specs, max_mb=max_mb, fetch=self.fetch)
+
+    def listing(self) -> DataFrame:
+        """All configured sources without content."""
+        specs, max_mb = self._where()
+        return scan.list_sources(self.spark, specs, max_mb, self.probe)
+
+    def _read(self, wanted: DataFrame) -> DataFrame:
+        specs, max_mb = self._where()
+        return scan.read_sources(self.spark, specs, wanted, max_mb, self.fetch)
 
     def embed(self) -> DataFrame:
-        self.store.embed(self.sources())
+        """Add what isn't tracked yet; only that is read."""
+        self.store.embed(self.listing(), self._read)
         self._stats = None
         return self.stats()
 
     def update(self, ignored: DataFrame | None = None) -> dict[str, int]:
-        """Bring the store up to date; paths in ``ignored`` (path) are left as they are, as those that failed too often."""
+        """Bring the store up to date; only what has changed is read. Paths in ``ignored`` (path) are left as they are, as those that failed too often."""
         if self.settings_file:
             self.settings = config.load(self.settings_file) or self.settings
             self.store.metric, self.store.limits = self._store_settings()
-        changed = self.store.update(self.sources(), ignored)
+        changed = self.store.update(self.listing(), ignored, self._read)
         if set(changed) - {"unchanged"}:
             self._stats = None
         return changed
@@ -141,9 +155,9 @@ class Engine:
         return self._stats
 
     def _source_stats(self) -> DataFrame:
-        there = self.sources().select(F.col("source").alias("path"), F.lit(True).alias("exists"))
+        there = self.listing().select(F.col("source").alias("path"), F.lit(True).alias("exists")).distinct()
         files = self.store.tracked().join(there, "path", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
-        return stats.source_stats(files, self.store.table("chunks"))
+        return stats.source_stats(files, self.store.chunk_counts())
 
     def clear(self) -> None:
         self.store.clear()

@@ -20,9 +20,10 @@ def store_stats(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def file_details(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Tracked files that exist, with language, folder and number of chunks (0 without any)."""
+    """Tracked files that exist, with language, folder and number of chunks (0 without any). ``chunks`` are chunks, or their numbers by source."""
+    counts = chunks if "chunks" in chunks.columns else chunk_counts(chunks)
     return (
-        files.where("exists").join(chunk_counts(chunks), files.path == F.col("source_id"), "left")
+        files.where("exists").join(counts, files.path == F.col("source_id"), "left")
         .select("path", "nof_lines", "file_size", language(F.col("path")).alias("language"), parent(F.col("path")).alias("directory"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
     )
 

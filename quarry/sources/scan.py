@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from typing import Any
 from urllib.request import Request, urlopen
 
@@ -25,9 +27,9 @@ def plain_path(path: Column) -> Column:
 
 
 def read_folder(
-    spark: SparkSession, path: str, recursive: bool = True, extensions: Sequence[str] = (), exclude: Sequence[str] = (), max_mb: float = MAX_FILE_MB, content: bool = True
+    spark: SparkSession, path: str | list[str], recursive: bool = True, extensions: Sequence[str] = (), exclude: Sequence[str] = (), max_mb: float = MAX_FILE_MB, content: bool = True
 ) -> DataFrame:
-    """Files of a folder with length, time of change and (if asked) content.
+    """Files of a folder, or files of a list, with length, time of change and (if asked) content.
 
     Length, path and extension are filtered before contents are read. 0 for ``max_mb`` lets all sizes pass.
     """
@@ -74,8 +76,18 @@ def read_urls(spark: SparkSession, specs: Sequence[Mapping[str, Any]], fetch: Fe
     return got.select("*", F.octet_length("content").cast("long").alias("file_size"), F.lit(0).cast("long").alias("last_modified"))
 
 
-def collect_sources(spark: SparkSession, specs: Sequence[Mapping[str, Any]], content: bool = True, max_mb: float = MAX_FILE_MB, fetch: Fetch = http_fetch) -> DataFrame:
-    """All sources of the specifications, appended as they come; a folder or file that can't be listed is told and left out."""
+def http_probe(url: str, headers: Mapping[str, str], timeout_ms: int) -> str | None:
+    """What tells the state of a page without its body: its ETag, else its time of change; None if the server tells neither."""
+    if not url.startswith("https://"):
+        url = "https://" + url.split("://", 1)[-1]
+    try:
+        with urlopen(Request(url, headers=dict(headers), method="HEAD"), timeout=timeout_ms / 1000) as r:
+            return r.headers.get("ETag") or r.headers.get("Last-Modified")
+    except OSError:
+        return None
+
+
+def _folders(spark: SparkSession, specs: Sequence[Mapping[str, Any]], content: bool, max_mb: float) -> list[DataFrame]:
     parts = []
     for s in specs:
         if s["type"] not in ("directory", "file"):
@@ -87,15 +99,64 @@ def collect_sources(spark: SparkSession, specs: Sequence[Mapping[str, Any]], con
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             logging.getLogger(__name__).warning("%s can't be listed and is left out", s["path"])
+    return parts
+
+
+def collect_sources(spark: SparkSession, specs: Sequence[Mapping[str, Any]], content: bool = True, max_mb: float = MAX_FILE_MB, fetch: Fetch = http_fetch) -> DataFrame:
+    """All sources of the specifications, appended as they come; a folder or file that can't be listed is told and left out."""
+    parts = _folders(spark, specs, content, max_mb)
     urls = [s for s in specs if s["type"] == "url"]
     if urls:
         parts.append(read_urls(spark, urls, fetch))
     if not parts:
         return spark.createDataFrame([], schemas.SOURCE).withColumns({"file_size": F.lit(0).cast("long"), "last_modified": F.lit(0).cast("long")})
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+LISTING = "source string, last_modified bigint, file_size bigint, validator string"
+
+
+def list_sources(spark: SparkSession, specs: Sequence[Mapping[str, Any]], max_mb: float = MAX_FILE_MB, probe: Fetch = http_probe) -> DataFrame:
+    """All sources without contents, as ``LISTING``: files by time and size, URLs by validator (null where ``probe`` gets none), which has no size."""
+    nothing = F.lit(None)
+    parts = [p.select("source", "last_modified", "file_size", nothing.cast("string").alias("validator")) for p in _folders(spark, specs, False, max_mb)]
+    rows = [(s["url"], dict(s.get("headers", {})), int(s.get("url_timeout_ms", 10_000))) for s in specs if s["type"] == "url"]
+    if rows:
+
+        def run(batches):
+            for b in batches:
+                yield pd.DataFrame({"source": b.url, "validator": [probe(u, h or {}, t) for u, h, t in zip(b.url, b.headers, b.timeout, strict=True)]})
+
+        urls = spark.createDataFrame(rows, "url string, headers map<string,string>, timeout int").repartition(max(1, min(len(rows), 64)))
+        told = urls.mapInPandas(run, "source string, validator string")
+        parts.append(told.select("source", nothing.cast("long").alias("last_modified"), nothing.cast("long").alias("file_size"), "validator"))
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], LISTING)
+
+
+#: Files that are read by name; of more all are scanned, and those wanted kept.
+MOST_NAMED = 10_000
+
+
+def read_sources(spark: SparkSession, specs: Sequence[Mapping[str, Any]], wanted: DataFrame, max_mb: float = MAX_FILE_MB, fetch: Fetch = http_fetch) -> DataFrame:
+    """The ``wanted`` sources (source) with contents. Up to MOST_NAMED are read by name and no others are opened or fetched; what isn't there any more is left out."""
+    names = [r.source for r in wanted.select("source").distinct().limit(MOST_NAMED + 1).collect()]
+    if len(names) > MOST_NAMED:
+        return collect_sources(spark, specs, True, max_mb, fetch).join(wanted, "source", "left_semi")
+    parts, asked = [], set(names)
+    urls = [s for s in specs if s["type"] == "url" and s["url"] in asked]
+    if urls:
+        parts.append(read_urls(spark, urls, fetch))
+    if files := sorted(asked - {s["url"] for s in urls}):
+        literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in files]  # a name is no pattern
+        try:
+            parts.append(read_folder(spark, literal, False, max_mb=max_mb))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise  # a file has gone meanwhile
+            parts += [p.join(wanted, "source", "left_semi").select(*p.columns) for p in _folders(spark, specs, True, max_mb)]
+    if not parts:
+        return collect_sources(spark, [])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fetch_source(sources: DataFrame, uri: str) -> DataFrame:
@@ -107,9 +168,9 @@ def distinct_sources(sources: DataFrame) -> DataFrame:
     return sources.select("source").distinct()
 
 
-def file_rows(sources: DataFrame) -> DataFrame:
+def file_rows(sources: DataFrame, *more: str) -> DataFrame:
     """Rows of the table of tracked files."""
-    return sources.select(F.col("source").alias("path"), "last_modified", "file_size", count_lines(F.col("content")).alias("nof_lines"), F.current_timestamp().alias("indexed_at"))
+    return sources.select(F.col("source").alias("path"), "last_modified", "file_size", count_lines(F.col("content")).alias("nof_lines"), F.current_timestamp().alias("indexed_at"), *more)
 
 
 #: Characters of a stem by which related sources are joined.
