@@ -37,10 +37,22 @@ HINTS = {"assign": r"(?i)password|passwd|secret|token|api_?key", "access": "AKIA
 TRAINING_LINES, SEED = 3000, 7
 O, B, I = 0, 1, 2
 PROSE = re.compile(rb"[\"'(\xc2\xab]*([A-Za-z\x80-\xff]+)(?:[-'\x80-\xff][A-Za-z\x80-\xff]+)*([^A-Za-z0-9\x80-\xff]*)")
-KEYWORD = re.compile(rb"(?i)pass|pwd|secret|token|api|key|auth|bearer|cred|login|private")
+KEYWORD = re.compile(rb"(?i)pass|pwd|secret|token|api|key|auth|bearer|cred|login|private|kennwort|zugang|contrase|clave|clef")
+#: Words that announce something that only looks like a secret.
+LABEL = re.compile(
+    rb"(?i)\W*(commits?|revision|rev|sha-?\d*|md5|checksum|hash|digest|uuid|guid|id|order|invoice|ticket|version|release|build|model|serial|isbn|doi|tag|image|layer|etag"
+    rb"|trace|session|request|blob|file|path|fixes|merge|parcel|flight|plate|part|card|gpu|bestellung|rechnung|karte|commande|facture|pedido|factura)\W*"
+)
+UUID = re.compile(rb"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+PLACE = re.compile(rb"(^|[\w.~-])/[\w.@+-]+/|\.(so|py|js|ts|png|jpe?g|gif|svg|tar|gz|zip|pdf|dll|exe|jar|csv|json|ya?ml|xml|html?|md|txt|log|cpp|go|rs|whl|deb|iso|mp4)\b", re.IGNORECASE)
+TOLD = re.compile(rb"(?i)\W*(sha\d+|md5|data|urn|doi|isbn|uuid|commit|rev|https?|git)\W*[:=/-]")
+CODES = re.compile(rb"[A-Z0-9]{1,8}([-_./#][A-Z0-9]{1,10})+")
+MODEL = re.compile(rb"[A-Za-z]{1,8}-?\d{1,5}[A-Za-z]{0,4}")
 PREFIX = re.compile(rb"[\"'=:]*(AKIA|ghp_|gho_|sk-|sk_|xox[abp]-|eyJ|AIza|glpat-|ya29)")
 CORE = re.compile(rb"[A-Za-z0-9+/_=.@!$%^&*~:-]+")
-OWN, NEAR, FILE = 24, 7, 3
+OWN, NEAR, FILE, AROUND = 30, 8, 3, 3
+#: Words back to which a keyword, or a label, tells something about an odd word.
+KEYWORD_REACH, LABEL_REACH = 8, 4
 
 
 def base_spans(text: str, kinds: tuple[str, ...] = KINDS[:3]) -> list[tuple[int, str, int]]:
@@ -58,7 +70,7 @@ def base_spans(text: str, kinds: tuple[str, ...] = KINDS[:3]) -> list[tuple[int,
 def shape_class(word: bytes) -> bytes:
     """Words of one class have the same features. Plain prose falls into few classes, other words are their own."""
     m = PROSE.fullmatch(word)
-    if m and len(word) <= 24 and not KEYWORD.search(word) and not PREFIX.match(word):
+    if m and len(word) <= 24 and not KEYWORD.search(word) and not PREFIX.match(word) and not LABEL.fullmatch(word):
         letters = m[1]
         case = b"l" if letters.islower() else b"U" if letters.isupper() else b"T" if letters[1:].islower() or len(letters) == 1 else b"l" if not letters.isascii() else b"M"
         if case != b"M":
@@ -95,18 +107,46 @@ def own_features(word: bytes) -> np.ndarray:
     x[21] = any(c in core for c in b"@!$%^&*~") and digits > 0
     x[22] = bool(re.search(rb"(?i)(pass|pwd|secret|token|key)\w*[\"']?[:=]+[\"']?[^\s\"':=]{4,}", word))
     x[23] = bool(re.search(rb"://|@[A-Za-z0-9-]+\.[a-z]|^\W*\d+([.:/,-]\d+)+\W*$|\.(com|org|net|html?)\b", word))
+    x[24] = bool(re.fullmatch(rb"[0-9a-f]{7,128}", core)) and digits > 0
+    x[25] = bool(UUID.search(word))
+    x[26] = bool(PLACE.search(word))
+    x[27] = bool(TOLD.match(word))
+    x[28] = bool(CODES.fullmatch(core)) and digits > 0
+    x[29] = bool(MODEL.fullmatch(core)) and n < 14
     return x
 
 
+def _key(word: bytes) -> bool:
+    return bool(KEYWORD.search(word)) and len(word) < 24
+
+
+def around_flags(word: bytes) -> tuple[bool, bool, bool]:
+    """Whether a word of this class is a keyword, a label, or odd: of letters and digits or signs."""
+    if word[:1] == b"\x00":
+        return False, False, False
+    own = own_features(word)
+    return _key(word), bool(LABEL.fullmatch(word)), bool(own[12] or own[14] or own[21])
+
+
+def around_features(flags: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each word (rows of ``around_flags``; ``begin`` is where its text begins): an odd word after a keyword, without one, after a label."""
+    at = np.arange(len(flags))
+    key, label = (np.r_[-1 << 40, np.maximum.accumulate(np.where(flags[:, k], at, -1 << 40))][:-1] for k in (0, 1))
+    after_key = (at - key <= KEYWORD_REACH) & (key >= begin)
+    after_label = (at - label <= LABEL_REACH) & (label >= begin)
+    odd = flags[:, 2].astype(bool)
+    return np.stack([odd & after_key, odd & ~after_key, odd & after_label], 1).astype(float)
+
+
 def near_features(word: bytes | None) -> np.ndarray:
     """What a word tells about its neighbours; None is beyond the text."""
     if word is None:
-        return np.array([1, 0, 0, 0, 0, 0, 0], float)
+        return np.array([1, 0, 0, 0, 0, 0, 0, 0], float)
     if word[:1] == b"\x00":
-        return np.array([0, 1, 0, 0, 0, 0, 0], float)
-    key = bool(KEYWORD.search(word)) and len(word) < 24
+        return np.array([0, 1, 0, 0, 0, 0, 0, 0], float)
+    key = _key(word)
     sign = word[-1:] in b"=:"
-    return np.array([0, 0, key, sign, key and sign, word in (b"=", b":", b"is", b":=", b"=>"), any(48 <= c <= 57 for c in word)], float)
+    return np.array([0, 0, key, sign, key and sign, word in (b"=", b":", b"is", b":=", b"=>"), any(48 <= c <= 57 for c in word), bool(LABEL.fullmatch(word))], float)
 
 
 def file_features(text: bytes) -> np.ndarray:
@@ -144,9 +184,29 @@ def _training() -> list[tuple[list[bytes], list[int]]]:
             chars(num, int(rng.integers(1, 8))), ".".join(chars(num, int(rng.integers(1, 4))) for _ in range(4)), f"{chars(num, 4)}-{chars(num, 2)}-{chars(num, 2)}",
             f"{prose().strip('.,;!?#$*%&:')}{chars(num, 2)}@{chars(low, 5)}.com", f"https://{chars(low, 6)}.org/{chars(low, 4)}/{chars(num, 4)}", f"+{chars(num, 11)}", chars(num, 16),
             f"{chars(low, 4)}_{chars(low, 5)}", f"{chars(low, 3)}({chars(low, 2)})", "=", "|", f"v{chars(num, 1)}.{chars(num, 1)}", f"({chars(num, 3)})", f"{chars(num, 3)}-{chars(num, 3)}-{chars(num, 4)}",
-            f"{chars(low, 5)}{chars(num, 1)}", f"{chars(up, 2)}{chars(num, 4)}", "token", "key", "secret", "password", "tokens", "keys", "keyboard", f"{chars(up, 2)}{chars(num, 20)}", "is", "MIT", "CC", "BY-NC", "4.0.",
+            f"{chars(low, 5)}{chars(num, 1)}", f"{chars(up, 2)}{chars(num, 4)}", "commit", "version", "order", "image", "file", "token", "key", "secret", "password", "tokens", "keys", "keyboard", f"{chars(up, 2)}{chars(num, 20)}", "is", "MIT", "CC", "BY-NC", "4.0.",
         ])]
 
+    def harmless() -> list[str]:
+        """What looks like a secret and is none: hashes and names under their label, or bare, also after a keyword that isn't about them."""
+        hexed = lambda n: chars("0123456789abcdef", n)
+        label = pick(["commit", "Commit", "revision", "sha256", "SHA-1", "md5:", "checksum", "hash", "digest", "uuid", "ID", "id:", "order", "invoice", "ticket", "version", "release", "build", "model", "serial", "tag", "image", "layer", "ETag:", "trace", "request", "file", "path", "fixes", "merge", "card", "Bestellung", "Rechnung", "commande", "pedido"])
+        thing = pick([
+            lambda: hexed(int(pick([7, 8, 12, 32, 40, 64]))), lambda: "-".join(hexed(k) for k in (8, 4, 4, 4, 12)), lambda: f"{pick(['sha256', 'md5', 'sha1'])}{pick([':', '-', '='])}{hexed(int(pick([32, 40, 64])))}",
+            lambda: f"/{pick(['usr', 'opt', 'home', 'var'])}/{chars(low, 5)}/{chars(low, 4)}{chars(num, 2)}/{chars(low, 3)}{chars(low + num, 6)}.{pick(['so', 'so.6', 'py', 'log', 'tar.gz', 'h'])}",
+            lambda: f"{chars(low, 6)}-{chars(num, 1)}.{chars(num, 2)}.{chars(num, 1)}{pick(['', '-rc1', '-beta2', '.dev3'])}{pick(['', '.tar.gz', '.whl', '.zip'])}", lambda: f"{chars(up, int(rng.integers(1, 4)))}-{chars(num, 4)}-{chars(up + num, 5)}",
+            lambda: f"{chars(num, 8)}-{chars(num, 4)}", lambda: f"{pick([chars(up, 3), chars(low, 3).capitalize()])}{chars(num, 4)}{pick(['', 'Ti', 'X', 'XT', 'b'])}", lambda: "data:image/png;base64," + chars(low + up + num + "+/", int(rng.integers(20, 60))),
+            lambda: f"https://{chars(low, 6)}.org/{chars(low, 3)}/{hexed(12)}?{chars(low, 2)}={chars(num, 5)}", lambda: ":".join(hexed(2) for _ in range(6)), lambda: f"10.{chars(num, 4)}/{chars(low, 4)}.{chars(num, 4)}.{chars(num, 3)}",
+            lambda: f"{chars(low, 5)}_{chars(low, 4)}_{chars(num, 2)}", lambda: f"{chars(low, 4)}{chars(num, 2)}.{chars(low, 5)}({chars(low, 2)}{chars(num, 1)})", lambda: chars(up, 2) + chars(num, 20), lambda: f"{chars(low, 6)}/{chars(low, 5)}@{hexed(8)}",
+            lambda: f"{chars(num, 4)}-{chars(num, 2)}-{chars(num, 2)}T{chars(num, 2)}:{chars(num, 2)}:00Z", lambda: f"x{chars(num, 2)}_{chars(num, 2)}", lambda: f"{chars(low, 7).capitalize()}{chars(low, 5).capitalize()}{chars(num, 1)}", lambda: f"index_{chars(low, 3)}{chars(num, 3)}.{pick(['html', 'js', 'png'])}",
+        ])()
+        r, end = rng.random(), pick(["", "", ".", ",", ")"])
+        if r < 0.5:
+            return [label, *([pick(["=", ":", "is", "of"])] if rng.random() < 0.3 else []), thing + end]
+        if r < 0.6:
+            return [pick(["the", "our", "a"]), pick(["key", "token", "password", "author"]), pick(["of", "in", "from"]), label, thing + end]
+        return [thing + end]
+
     def value() -> str:
         return pick([
             lambda: "AKIA" + chars(up + num, 16), lambda: "ghp_" + chars(low + up + num, 36), lambda: "sk-" + chars(low + up + num, 32), lambda: "eyJ" + chars(low + up + num, 20) + "." + chars(low + up + num + "-_", 30),
@@ -166,6 +226,9 @@ def _training() -> list[tuple[list[bytes], list[int]]]:
             return [f"{key}{pick([':', '='])}", f"{q}{v}{q}{end}"], [O, B]
         if r < 0.7:
             return ["Authorization:", "Bearer", v], [O, O, B]
+        if r < 0.74:  # some words stand between
+            words = [pick(["the", "der", "le", "el", "our"]), pick(["password", "passphrase", "token", "key", "Passwort", "Kennwort", "passe", "clave", "contraseña", "secret"]), *(prose().strip(".,;!?#$*%&:") or "on" for _ in range(int(rng.integers(1, 5)))), pick(["is", "was", "ist", "lautet", "est", "es", ":"])]
+            return [*words, f"{q}{v}{q}{end}"], [O] * len(words) + [B]
         if r < 0.78:
             half = len(v) // 2
             return [f"{key}:", v[:half], v[half:]], [O, B, I]
@@ -177,10 +240,11 @@ def _training() -> list[tuple[list[bytes], list[int]]]:
     for _ in range(TRAINING_LINES):
         words, tags = [], []
         for _ in range(int(rng.integers(3, 14))):
-            if rng.random() < 0.08:
+            r = rng.random()
+            if r < 0.08:
                 w, t = secret()
             else:
-                w = plain()
+                w = harmless() if r < 0.2 else plain()
                 t = [O] * len(w)
             words += w
             tags += t
@@ -189,11 +253,12 @@ def _training() -> list[tuple[list[bytes], list[int]]]:
 
 
 def design(words: list[bytes], extra: np.ndarray) -> np.ndarray:
-    """Feature rows of one line: own, previous, next, file."""
+    """Feature rows of one line: own, previous, next, file, around."""
     classes = [shape_class(w) for w in words]
     own = np.array([own_features(c) for c in classes])
     near = np.array([near_features(c) for c in [None, *classes, None]])
-    return np.hstack([own, near[:-2], near[2:], np.tile(extra, (len(words), 1))])
+    around = around_features(np.array([around_flags(c) for c in classes]), np.zeros(len(words), int))
+    return np.hstack([own, near[:-2], near[2:], np.tile(extra, (len(words), 1)), around])
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -204,7 +269,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def fit(lines: list[tuple[list[bytes], list[int]]], rounds: int = 200, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, transitions) of greatest penalised likelihood, by Adam on all lines at once; forward-backward gradients."""
     longest = max(len(w) for w, _ in lines)
-    width = OWN + 2 * NEAR + FILE
+    width = OWN + 2 * NEAR + FILE + AROUND
     x, y, mask = np.zeros((len(lines), longest, width)), np.zeros((len(lines), longest), int), np.zeros((len(lines), longest), bool)
     for k, (words, tags) in enumerate(lines):
         x[k, : len(words)], y[k, : len(words)], mask[k, : len(words)] = design(words, file_features(b" ".join(words))), tags, True
@@ -275,6 +340,7 @@ class Tagger:
         self.words: dict[bytes, int] = {}
         self.classes: dict[bytes, int] = {}
         near = near_features(None)
+        self.flags = [(False, False, False)]
         self.rows = [np.zeros(3)], [near @ self.w[OWN : OWN + NEAR]], [near @ self.w[OWN + NEAR : OWN + 2 * NEAR]]
 
     def number(self, word: bytes) -> int:
@@ -283,6 +349,7 @@ class Tagger:
         if k is None:
             k = self.classes[c] = len(self.rows[0])
             near = near_features(c)
+            self.flags.append(around_flags(c))
             for rows, row in zip(self.rows, (own_features(c) @ self.w[:OWN], near @ self.w[OWN : OWN + NEAR], near @ self.w[OWN + NEAR : OWN + 2 * NEAR]), strict=True):
                 rows.append(row)
         self.words[word] = k
@@ -305,9 +372,11 @@ class Tagger:
         e = own[n]
         e[1:] += before[n[:-1]]
         e[:-1] += after[n[1:]]
-        extra = np.array(files).reshape(-1, FILE) @ self.w[OWN + 2 * NEAR :]
+        extra = np.array(files).reshape(-1, FILE) @ self.w[OWN + 2 * NEAR : -AROUND]
         doc = np.repeat(np.arange(len(texts)), sizes + 1)
         e[1:] += extra[doc]
+        begins = np.cumsum(np.r_[1, sizes + 1])[:-1]
+        e += around_features(np.array(self.flags)[n], np.r_[0, begins[doc]]) @ self.w[-AROUND:]
         open_ = (e[:, O] - e[:, 1:].max(axis=1)) <= self.sure
         ends = np.cumsum(np.r_[1, sizes + 1]) - 1  # the boundaries, whose number is 0
         open_[ends] = False
