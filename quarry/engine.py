@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.tokens import count_bytes
@@ -93,12 +93,14 @@ class Engine:
     def search(self, question: str, k: int = 5) -> DataFrame:
         return self.store.search(self.encode(question), k)
 
-    def context(self, question: str, k: int = 5, budget: int = 8192, comment_out: bool = False) -> DataFrame:
-        """One row: the packed context of the best chunks and its tokens."""
+    def context(self, question: str, k: int = 5, budget: int = 8192, comment_out: bool = False, attached: Sequence[tuple[str, str]] = ()) -> DataFrame:
+        """One row: the packed context and its tokens; what is ``attached`` (filename, content) comes before the best chunks."""
         found = self.search(question, k).withColumn("query_id", F.lit(0).cast("long"))
-        from pyspark.sql import Window
-
-        ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity_score"), "chunk_id")).cast("long"))
+        best = Window.orderBy(F.desc("similarity_score"), "chunk_id")  # of k rows
+        ranked = found.withColumn("rank", (F.row_number().over(best) + len(attached)).cast("long")).select("query_id", "rank", "source_id", "content")
+        if attached:
+            first = [(0, i, name, text) for i, (name, text) in enumerate(attached, 1)]
+            ranked = self.spark.createDataFrame(first, "query_id long, rank long, source_id string, content string").union(ranked)
         packed = packing.pack_context(ranked, budget, count_bytes(prompts.QUERY_TEMPLATE.encode()), comment_out=comment_out)
         return packing.context_text(packed)
 
@@ -118,9 +120,10 @@ class Engine:
 
     def complete(
         self, messages: Sequence[tuple[str, str]], k: int = 5, budget: int = 8192, temperature: float | None = None, max_tokens: int | None = None, stream: bool = False, api: Mapping[str, Any] | None = None,
+        attached: Sequence[tuple[str, str]] = (),
     ) -> str:
-        """The answer to the last of the (role, text) messages, asked in its context with those before as history."""
-        row, api = self.context(messages[-1][1], k, budget).first(), api or {}
+        """The answer to the last of the (role, text) messages, asked in its context, ``attached`` files (filename, content) first, with those before as history."""
+        row, api = self.context(messages[-1][1], k, budget, attached=attached).first(), api or {}
         prompt = prompts.query_prompt(F.lit(row.context if row else ""), F.lit(messages[-1][1]))
         turns = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(text).alias("content")) for role, text in messages])
         knows = api.get("temperature_support", True)

@@ -63,3 +63,13 @@ def dedupe_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key by ``order``."""
     by = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+
+
+IMPORTED = "already imported"
+
+
+def import_outcome(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``error``: IMPORTED where the key is in ``done`` or has come in an earlier row (by ``place``), else null."""
+    known = done.select(key).distinct().withColumn("_known", F.lit(True))
+    first = F.min("place").over(Window.partitionBy(key)) == F.col("place")
+    return rows.join(known, key, "left").withColumn("error", F.when(F.col("_known") | ~first, IMPORTED)).select(*rows.columns, "error")

@@ -29,6 +29,16 @@ def last_match(apis: Column, api_id: Column) -> Column:
     return F.try_element_at(F.filter(apis, lambda a: a["id"] == api_id), F.lit(-1))
 
 
+def last_of(api: Column, place: Column, matches: Column) -> Column:
+    """As ``last_match``, of endpoints that are rows of a group: an aggregate that keeps one of them."""
+    return F.max_by(F.when(matches, api), F.when(matches, place))
+
+
+def current_of(api: Column, place: Column, is_current: Column) -> Column:
+    """As ``current_api``, of endpoints that are rows of a group: the first that is current, else the first."""
+    return F.min_by(api, F.struct(F.coalesce(~is_current, F.lit(True)).alias("other"), place.alias("place")))
+
+
 def ranked_options(apis: DataFrame, by_price: bool = True, grouped: bool = True) -> DataFrame:
     """Endpoints in display order: providers (first word of the name) as first seen, inside by price, then place."""
     rows = apis.withColumn("provider", F.substring_index("name", " ", 1))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry import schemas
 from quarry.functions.paths import standardize
 from quarry.operators import changes
 
@@ -73,3 +77,64 @@ def orphans(instances: DataFrame, projects: DataFrame) -> DataFrame:
     """Instances of no listed project."""
     listed = projects.select(standardize(F.col("path")).alias("key")).distinct()
     return instances.withColumn("key", standardize(F.col("config_path"))).join(listed, "key", "left_anti").drop("key")
+
+
+class Registry:
+    """Instances kept under ``path``, on any file system that Spark reaches, by any number of processes.
+
+    Writers only append: registrations, removals and beats, each with the time at which it was made. What is registered is what these add up to:
+    of each id the last registration, unless a removal is later, with its latest beat since. So writers can't lose each other's rows, and
+    one that stops halfway leaves nothing half done.
+    """
+
+    EVENTS = schemas.INSTANCES + ", at bigint, kind string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _events(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.EVENTS).parquet(f"{self.path}/events")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], self.EVENTS)
+
+    def _append(self, rows: DataFrame, kind: str) -> None:
+        fields = self.spark.createDataFrame([], self.EVENTS).schema
+        whole = rows.withColumns({"at": F.lit(time.time_ns()), "kind": F.lit(kind)})
+        columns = [(F.col(f.name) if f.name in whole.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+        whole.select(*columns).write.mode("append").parquet(f"{self.path}/events")
+
+    def register(self, rows: DataFrame) -> None:
+        """Put instances in, each in place of an older one of its id."""
+        self._append(rows, "in")
+
+    def unregister(self, ids: DataFrame) -> None:
+        self._append(ids.select("id"), "out")
+
+    def beat(self, beats: DataFrame) -> None:
+        """Beats (id, ts); those of unknown instances count for nothing, and no instance's time goes back."""
+        self._append(latest(beats), "beat")
+
+    def instances(self) -> DataFrame:
+        names = schemas.names(schemas.INSTANCES)
+        events = self._events()
+        last = events.where("kind <> 'beat'").groupBy("id").agg(F.max_by(F.struct("kind", "at", *names), "at").alias("r")).where("r.kind = 'in'")
+        beats = events.where("kind = 'beat'").select("id", F.col("last_heartbeat").alias("beat"), F.col("at").alias("beat_at"))
+        since = last.join(beats, "id", "left").groupBy("id").agg(F.any_value("r").alias("r"), F.max(F.when(F.col("beat_at") > F.col("r.at"), F.col("beat"))).alias("beat"))
+        return since.select(*[(F.greatest(f"r.{c}", "beat") if c == "last_heartbeat" else F.col(f"r.{c}")).alias(c) for c in names])
+
+    def evict(self, now: int, own_id: str = "", after: int = STALE_S, event: str = "stale") -> DataFrame:
+        """Remove the other instances without a beat for too long; returns their audit rows, which are kept, too."""
+        _, audit = evict(self.instances(), stale(self.instances(), F.lit(now), own_id, after), F.lit(now), event)
+        rows = self.spark.createDataFrame(audit.collect(), audit.schema)  # of instances, not of beats
+        self.unregister(rows.select(F.col("instance_id").alias("id")))
+        rows.write.mode("append").parquet(f"{self.path}/audit")
+        return rows
+
+    def compact(self) -> None:
+        """Write what is registered as registrations of now, and drop the rest; only for times when nobody else writes."""
+        rows = self.spark.createDataFrame(self.instances().collect(), schemas.INSTANCES)
+        self._events().limit(0).write.mode("overwrite").parquet(f"{self.path}/events")
+        self.register(rows)

@@ -10,7 +10,8 @@ from quarry.functions import hashing, paths, text, tokens
 from quarry.operators import changes, chunking, config, ivf, packing, prompts, registry, stats, vectors
 from quarry.plans import tables as t
 from quarry.scratch import scratch
-from quarry.sources.scan import distinct_sources, fetch_source, file_rows, last_entries, related_sources, shared_folders_removed
+from quarry.streaming import completions
+from quarry.sources.scan import attachments, distinct_sources, fetch_source, file_rows, last_entries, related_sources, shared_folders_removed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -447,6 +448,15 @@ def new_sources_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.new_only(t.read(spark, sf_dir, "documents").select("doc_id", "source"), t.read(spark, sf_dir, "labels"), "doc_id")
 
 
+@query("""
+SELECT o_orderkey AS place, o_custkey, CASE WHEN s_suppkey IS NOT NULL OR row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 THEN 'already imported' END AS error
+FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey""")
+def import_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as imports of a customer, suppliers' numbers being imported already."""
+    orders = t.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("place"), "o_custkey")
+    return changes.import_outcome(orders, t.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("o_custkey")), "o_custkey")
+
+
 @query("SELECT doc_id, source FROM documents SEMI JOIN labels USING (doc_id)")
 def tracked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.exists_in(t.read(spark, sf_dir, "documents").select("doc_id", "source"), t.read(spark, sf_dir, "labels"), "doc_id")
@@ -568,6 +578,27 @@ def instances_with_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.with_keys(rows, keys.union(keys.select(-1 - F.col("id"), "app_key")))
 
 
+@query("""
+WITH b AS (SELECT user_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events), l AS (SELECT id, max(ts) AS last_heartbeat FROM b WHERE id % 3 <> 0 GROUP BY id), n AS (SELECT max(ts) AS now FROM b)
+SELECT CAST(id AS VARCHAR) AS id, last_heartbeat, CASE WHEN now - last_heartbeat < 30 THEN 'live' WHEN now - last_heartbeat > 120 THEN 'evicted' ELSE 'stale' END AS status FROM l, n""")
+def kept_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as instances of a registry on disk, but each third; their events are beats that come in two halves, read by another registry object each."""
+    beats = t.beats(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "ts", (F.pmod("id", F.lit(3)) == 0).alias("unknown"))
+    path = scratch(spark, "registry")
+    now, middle = beats.agg(F.max("ts"), F.avg("ts")).first()
+    known = beats.where("not unknown").groupBy("id").agg(F.min("ts").alias("started_at")).withColumn("last_heartbeat", F.lit(0).cast("long"))
+    registry.Registry(spark, path).register(known)
+    for half in (F.col("ts") < middle, F.col("ts") >= middle):
+        registry.Registry(spark, path).beat(beats.where(half))
+    kept = registry.Registry(spark, path)
+    gone = kept.evict(int(now)).select(F.col("instance_id").alias("id"), F.lit("evicted").alias("status"))
+    status = F.when(F.lit(now) - F.col("last_heartbeat") < registry.ACTIVE_S, "live").otherwise("stale")
+    live = kept.instances().select("id", "last_heartbeat", status.alias("status"))
+    # what was evicted is told by the audit, its last beat by the events
+    last = registry.latest(beats.select("id", "ts"))
+    return live.union(gone.join(last, "id").select("id", "last_heartbeat", "status"))
+
+
 # --- configuration
 
 
@@ -582,8 +613,8 @@ def persistent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_nationkey, max(c_custkey) FILTER (c_mktsegment = 'BUILDING') AS provider FROM customer GROUP BY c_nationkey")
 def provider_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last endpoint of an id, customers of a nation being endpoints."""
-    lists = t.read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.col("c_mktsegment").alias("id")))).alias("apis"))
-    return lists.select("c_nationkey", config.last_match(F.col("apis"), F.lit("BUILDING"))["c_custkey"].alias("provider"))
+    last = config.last_of(F.col("c_custkey"), F.col("c_custkey"), F.col("c_mktsegment") == "BUILDING")
+    return t.read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(last.alias("provider"))
 
 
 @query("""
@@ -600,9 +631,8 @@ def api_options_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_nationkey, first(c_custkey ORDER BY (CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END), c_custkey) AS chosen, count(*) FILTER (c_acctbal > 0) AS enabled FROM customer GROUP BY c_nationkey""")
 def current_api(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of a nation as endpoints; the current one is named BUILDING."""
-    api = F.struct("c_custkey", F.col("c_mktsegment").alias("id"), (F.col("c_acctbal") > 0).alias("enabled"))
-    lists = t.read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(api)).alias("apis"))
-    return lists.select("c_nationkey", config.current_api(F.col("apis"), F.lit("BUILDING"))["c_custkey"].alias("chosen"), F.size(config.enabled(F.col("apis"))).cast("long").alias("enabled"))
+    chosen = config.current_of(F.col("c_custkey"), F.col("c_custkey"), F.col("c_mktsegment") == "BUILDING")
+    return t.read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(chosen.alias("chosen"), F.count_if(F.col("c_acctbal") > 0).alias("enabled"))
 
 
 @query("""
@@ -667,6 +697,32 @@ def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.parse_sse(_streams(spark, sf_dir), "stream")
 
 
+@query("SELECT conv_id || ':' || turn AS stream, text || ' ' AS content FROM conversations")
+def sse_as_it_comes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams cut into three files of pieces, which a streaming query takes one by one; an event goes on from batch to batch."""
+    folder = scratch(spark, "pieces")
+    body = F.col("body").cast("binary")
+    third = F.greatest(F.floor(F.octet_length("body") / 3), F.lit(1)).cast("int")
+    for seq in range(3):
+        piece = F.substring(body, seq * third + 1, third if seq < 2 else F.octet_length("body"))
+        _streams(spark, sf_dir).select("stream", F.lit(seq).cast("long").alias("seq"), piece.alias("piece")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    pieces = spark.readStream.schema("stream string, seq long, piece binary").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+    def keep(df: DataFrame, epoch: int) -> None:
+        df.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{folder}/out")
+
+    run = completions.contents(pieces).writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    run.awaitTermination()
+    parts = F.array_sort(F.collect_list(F.struct("epoch", "content")))  # of three batches
+    return spark.read.parquet(f"{folder}/out").groupBy("stream").agg(F.array_join(F.transform(parts, lambda x: x.content), "").alias("content"))
+
+
+@query("SELECT doc_id || '.txt' AS filename, md5(coalesce(text, '')) AS content_md5 FROM documents")
+def attachment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a message carries them."""
+    return attachments(t.sources(spark, sf_dir)).select("filename", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 @query("""
 SELECT conv_id, string_agg(upper(role) || ':' || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn) AS export FROM conversations GROUP BY conv_id""")
 def chat_export(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import schemas
-from quarry.functions.paths import has_extension, is_excluded, stem
+from quarry.functions.paths import filename, has_extension, is_excluded, stem
 from quarry.functions.text import count_lines, sanitize_utf8
 
 MAX_FILE_MB = 10
@@ -173,24 +173,49 @@ def file_rows(sources: DataFrame, *more: str) -> DataFrame:
     return sources.select(F.col("source").alias("path"), "last_modified", "file_size", count_lines(F.col("content")).alias("nof_lines"), F.current_timestamp().alias("indexed_at"), *more)
 
 
-#: Characters of a stem by which related sources are joined.
+#: Characters of the pieces of a stem by which related sources are joined.
 GRAM = 4
 
 
+def _pieces(text: Column, sizes: Sequence[int]) -> Column:
+    """The different pieces of a text that have one of ``sizes``."""
+    starts = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.array(*[F.transform(starts(n), lambda i, n=n: F.substr(text, i, F.lit(n))) for n in sizes])))
+
+
 def related_sources(sources: DataFrame, base: DataFrame, most: int) -> DataFrame:
     """(base, source, place): for each base path up to ``most`` other sources, in input order (pos), whose stem holds the base's.
 
-    ``base`` is a stated list of paths (base), ``sources`` all paths (source, pos). The join's key is a piece of a stem: the
-    first GRAM characters of the base's (the whole, if shorter), any piece of that length of the other's; the whole base stem is compared then.
+    ``base`` is a stated list of paths (base), ``sources`` all paths (source, pos). Whoever holds a stem holds each piece of it: a base is joined
+    by the piece of its stem (GRAM characters, or the whole where it is shorter) that the fewest sources have, and the whole stem is compared then. An
+    empty stem is held by all, so its related sources are the first ones.
     """
-    own = stem(F.col("source"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(own), F.lit(1)))
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(starts, lambda i: F.substr(own, i, n))))
-    cut = sources.select("source", "pos", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), pieces))).alias("piece"))
-    asked = base.select("base", F.left(stem(F.col("base")), F.lit(GRAM)).alias("piece"))
-    found = cut.join(asked, "piece").where((F.col("base") != F.col("source")) & F.contains(stem(F.col("source")), stem(F.col("base"))))
+    asked = base.select("base", stem(F.col("base")).alias("wanted")).distinct()
+    size = F.least(F.length("wanted"), F.lit(GRAM))
+    sizes = [r.n for r in asked.select(size.alias("n")).distinct().collect() if r.n]
+    first = sources.select("pos", "source").orderBy("pos").limit(most + 1)
+    found = asked.where("wanted = ''").join(F.broadcast(first)).select("base", "source", "pos")
+    if sizes:
+        # of each length, only pieces that a base has are counted
+        keys = asked.where("wanted <> ''").withColumn("piece", F.explode(reduce(lambda c, n: F.when(size == n, _pieces(F.col("wanted"), [n])).otherwise(c), sizes, F.array().cast("array<string>"))))
+        cut = sources.select("source", "pos", stem(F.col("source")).alias("own")).withColumn("piece", F.explode(_pieces(F.col("own"), sizes)))
+        held = cut.join(keys.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+        rarest = keys.join(held, "piece", "left").groupBy("base", "wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("key"))
+        found = found.union(cut.join(rarest.select("base", "wanted", "key.piece"), "piece").where(F.contains("own", F.col("wanted"))).select("base", "source", "pos"))
     by = Window.partitionBy("base").orderBy("pos")
-    return found.withColumn("place", F.row_number().over(by).cast("long")).where(F.col("place") <= most).select("base", "source", "place")
+    placed = found.where(F.col("base") != F.col("source")).withColumn("place", F.row_number().over(by).cast("long"))
+    return placed.where(F.col("place") <= most).select("base", "source", "place")
+
+
+def attachments(sources: DataFrame) -> DataFrame:
+    """(filename, content) of sources as a message carries them: the name without folders, the whole text."""
+    return sources.select(filename(F.col("source")).alias("filename"), F.coalesce("content", F.lit("")).alias("content"))
+
+
+def read_attachments(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """(filename, content) of a few files, in the order given; one that can't be read fails all."""
+    rows = reduce(DataFrame.union, [read_folder(spark, f, False, max_mb=0).select(F.lit(i).alias("place"), "source", "content") for i, f in enumerate(files)])
+    return attachments(rows.orderBy("place"))
 
 
 def project_list(spark: SparkSession, folder: str, refs: Sequence[str] = ()) -> DataFrame:
