@@ -16,7 +16,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--store", default="store")
     p.add_argument("--master", default=None)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("embed", "update", "stats", "compact", "providers"):
+    for name in ("embed", "update", "stats", "compact", "index", "providers"):
         sub.add_parser(name)
     watch = sub.add_parser("watch")
     watch.add_argument("--interval", type=int, default=60)
@@ -56,6 +56,8 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
         engine.clear()
     elif args.command == "compact":
         engine.compact()
+    elif args.command == "index":
+        engine.index()
     elif args.command == "providers":
         return "\n".join(f"{a['id']}: {a['model']}" for a in engine.providers())
     return "done"

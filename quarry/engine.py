@@ -169,5 +169,9 @@ class Engine:
     def compact(self) -> None:
         self.store.compact()
 
+    def index(self) -> None:
+        """Make an index of what is there; what comes later is added to it."""
+        self.store.index()
+
     def providers(self) -> list[dict[str, Any]]:
         return [config.api_settings(a) for a in self.settings.get("generation", {}).get("apis", [])]

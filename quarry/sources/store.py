@@ -10,6 +10,10 @@ what came in since the commits that it has read: where a path was touched by bot
 goes behind them. A row's id is the commit's first id, which the line states, plus a number of its own, so writers never
 share ids. A compaction stands where the commits stood that it was made of, whatever came in meanwhile. With each commit goes what
 it adds to the statistics of each path.
+
+An index (``index``) is a codebook, fitted on a sample of the vectors, and the codes of all of them (``pq``). The compaction that makes it names
+the codebook; later commits code their vectors by it. A search looks through the codes and reads the vectors of the best candidates, and those
+of commits without codes.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from typing import Any
 
+import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarry import schemas
 from quarry.scratch import scratch
-from quarry.operators import changes, stats, vectors
+from quarry.operators import changes, pq, stats, vectors
 from quarry.operators.chunking import Limits, chunk_documents
 from quarry.operators.numbering import numbered
 from quarry.operators.prompts import labelled
@@ -38,11 +43,13 @@ from quarry.sources.scan import file_rows
 
 TABLES = {
     "chunks": schemas.CHUNKS, "files": schemas.FILES + ", validator string", "vectors": schemas.VECTORS + ", source_id string",
-    "counts": "path string, chunks bigint, tokens bigint, vectors bigint",
+    "counts": "path string, chunks bigint, tokens bigint, vectors bigint", "codes": "id bigint, code binary, source_id string",
 }
 #: The column that a table's rows are removed by.
-KEYS = {"chunks": "source_id", "files": "path", "vectors": "source_id", "counts": "path"}
-LINE = "number long, folder string, base boolean, after long, first long, top long"
+KEYS = {"chunks": "source_id", "files": "path", "vectors": "source_id", "counts": "path", "codes": "source_id"}
+#: Tables that a commit makes of its others.
+DERIVED = ("counts", "codes")
+LINE = "number long, folder string, base boolean, after long, first long, top long, book string"
 Encoder = Callable[[Column], Column]
 Reader = Callable[[DataFrame], DataFrame]
 #: Failures in a row after which a source is left alone, as long as the store object lives.
@@ -71,6 +78,8 @@ class Commit:
     after: int = 0
     first: int = 0
     top: int | None = 0
+    #: The codebook of its codes.
+    book: str | None = None
 
 
 class Store:
@@ -81,6 +90,7 @@ class Store:
         self.since = time.time_ns()
         self._pending: list[Commit] | None = None
         self._opened = 0
+        self._books: dict[str, np.ndarray] = {}
 
     def _log(self) -> list[Commit]:
         """All published commits in order; only files of a few lines are read. Lines that an older version wrote have no ids of their own."""
@@ -90,7 +100,7 @@ class Store:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return []
-        made = [Commit(r.folder, bool(r.base), number=r.number, after=r.number - 1 if r.after is None else r.after, first=r.first or 0, top=r.top) for r in lines]
+        made = [Commit(r.folder, bool(r.base), number=r.number, after=r.number - 1 if r.after is None else r.after, first=r.first or 0, top=r.top, book=r.book) for r in lines]
         return sorted(made, key=lambda c: c.number)
 
     def _numbered(self, made: list[Commit], log: list[Commit], snapshot: int) -> list[Commit]:
@@ -178,37 +188,43 @@ class Store:
         """The live rows of a table."""
         return self._live(name, self._commits())
 
-    def _live(self, name: str, commits: list[Commit]) -> DataFrame:
-        if not commits:
+    def _live(self, name: str, commits: list[Commit], among: list[Commit] | None = None) -> DataFrame:
+        """The rows of a table that ``commits`` leave, of all of them or only of those that ``among`` them made."""
+        among = commits if among is None else among
+        if not among:
             return self.spark.createDataFrame([], TABLES[name])
         about = F.create_map(*[F.lit(x) for c in commits for x in (c.folder, F.struct(F.lit(c.after if c.base else c.number).alias("number"), F.lit(c.first).alias("first")))])
         folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(data-[0-9a-f]{32})/[^/]+/[^/]+\z", 1)
-        read = lambda n, s: self.spark.read.schema(s).parquet(*[f"{self.path}/{c.folder}/{n}" for c in commits]).withColumn("commit", F.element_at(about, folder))
-        gone = read("gone", "path string").groupBy("path").agg(F.max("commit.number").alias("gone_at"))
-        rows, key = read(name, TABLES[name]), KEYS[name]
+        read = lambda n, s, own: self.spark.read.schema(s).parquet(*[f"{self.path}/{c.folder}/{n}" for c in own]).withColumn("commit", F.element_at(about, folder))
+        gone = read("gone", "path string", commits).groupBy("path").agg(F.max("commit.number").alias("gone_at"))
+        rows, key = read(name, TABLES[name], among), KEYS[name]
         if "id" in rows.columns:
             rows = rows.withColumn("id", F.col("id") + F.col("commit.first"))
         live = rows.join(gone, rows[key] == gone["path"], "left").where(F.col("gone_at").isNull() | (F.col("commit.number") >= F.col("gone_at")))
         return live.select(*[rows[c] for c in schemas.names(TABLES[name])])
 
-    def commit(self, gone: DataFrame | None = None, base: bool = False, snapshot: int | None = None, relative: bool = False, **tables: DataFrame) -> bool:
+    def commit(self, gone: DataFrame | None = None, base: bool = False, snapshot: int | None = None, relative: bool = False, book: str | None = None, **tables: DataFrame) -> bool:
         """Add rows and remove the older rows of the paths in ``gone``; with ``base`` nothing older counts. False if a compaction comes too late.
 
         ``snapshot`` is the number of the last commit that the rows were made from (by default what is there now); with tables a ``base`` replaces
-        what was there then. Ids that are ``relative`` count from the highest id given out.
+        what was there then. Ids that are ``relative`` count from the highest id given out. Vectors are coded by ``book``, by default the store's.
         """
         snapshot = self._snapshot() if snapshot is None else snapshot
         folder = f"data-{uuid.uuid4().hex}"
         compacts = base and bool(tables)
         tables["gone"] = self.spark.createDataFrame([], "path string") if gone is None else gone.select("path").distinct()
         for name, schema in (TABLES | {"gone": "path string"}).items():
-            if name == "counts":
+            if name in DERIVED:
                 continue
             df = tables.get(name)
             df = self.spark.createDataFrame([], schema) if df is None else df.select(*[c if c in df.columns else F.lit(None).cast("string").alias(c) for c in schemas.names(schema)])
             df.write.parquet(f"{self.path}/{folder}/{name}")
         most = self._count(folder)
-        made = Commit(folder, base, compacts, relative, most)
+        book = (book or _book(self._commits())) if "vectors" in tables else None
+        if book:
+            written = self.spark.read.schema(TABLES["vectors"]).parquet(f"{self.path}/{folder}/vectors")
+            pq.coded(written, self._codebook(book), "source_id").write.parquet(f"{self.path}/{folder}/codes")
+        made = Commit(folder, base, compacts, relative, most, book=book)
         if self._pending is None:
             return self._publish([made], snapshot)
         self._pending.append(made)
@@ -366,17 +382,45 @@ class Store:
     def clear(self) -> None:
         self.commit(base=True)
 
-    def compact(self) -> bool:
-        """Rewrite the live rows, chunks and vectors ordered by source; older commits don't count any more. False if another compaction was faster."""
+    def compact(self, book: str | None = None) -> bool:
+        """Rewrite the live rows, chunks and vectors ordered by source, and code the vectors anew; older commits don't count any more. False if another compaction was faster."""
         if self._pending is not None:
             raise RuntimeError("a transaction is open")
         snapshot = self._snapshot()
         chunks, vecs = (self.table(n).repartitionByRange("source_id") for n in ("chunks", "vectors"))
-        return self.commit(base=True, snapshot=snapshot, chunks=chunks, vectors=vecs, files=self.table("files"))
+        return self.commit(base=True, snapshot=snapshot, book=book, chunks=chunks, vectors=vecs.sortWithinPartitions("id"), files=self.table("files"))
+
+    def index(self, sample: int = pq.SAMPLE) -> bool:
+        """Fit a codebook on a sample of the vectors and code all of them, in a compaction. False if another compaction was faster."""
+        name = f"book-{uuid.uuid4().hex}"
+        pq.save(self.spark, pq.fit(self.table("vectors"), sample), f"{self.path}/{name}")
+        return self.compact(name)
+
+    def _codebook(self, name: str) -> np.ndarray:
+        if name not in self._books:
+            self._books = {name: pq.load(self.spark, f"{self.path}/{name}")}
+        return self._books[name]
 
-    def search(self, query: Sequence[float], k: int = 10) -> DataFrame:
-        """The k best chunks, best first; hits whose chunk is gone are dropped."""
-        top = vectors.knn(self.table("vectors"), [(0, list(query))], k, self.metric)
+    def _near(self, query: Sequence[float], k: int, metric: str) -> DataFrame:
+        """(id, embedding) of the best candidates by their codes, and of all vectors without codes."""
+        commits = self._commits()
+        book = _book(commits)
+        codes = self._live("codes", commits, [c for c in commits if c.book == book])
+        best = pq.candidates(codes, self._codebook(book), [(0, list(query))], pq.CANDIDATES * k, metric)
+        ids = [r.id for r in best.select("id").collect()]
+        rows = self._live("vectors", commits, [c for c in commits if c.book != book]).select("id", "embedding")
+        for c in commits:
+            own = [i - c.first for i in ids if c.base or c.first < i <= (c.top or 0)] if c.book == book else []
+            if own:  # the ids as they are written, so that the filter reaches the scan
+                part = self.spark.read.schema(TABLES["vectors"]).parquet(f"{self.path}/{c.folder}/vectors").where(F.col("id").isin(own))
+                rows = rows.union(part.select((F.col("id") + c.first).alias("id"), "embedding"))
+        return rows
+
+    def search(self, query: Sequence[float], k: int = 10, exact: bool = False) -> DataFrame:
+        """The k best chunks, best first; hits whose chunk is gone are dropped. With an index only candidates are scored, unless ``exact``."""
+        indexed = not exact and _book(self._commits())
+        rows = self._near(query, k, self.metric) if indexed else self.table("vectors")
+        top = vectors.knn(rows, [(0, list(query))], k, self.metric)
         c = F.col
         return vectors.with_chunks(top, self.table("chunks")).orderBy(F.desc("similarity"), "id").select(
             "content", "source_id", c("unit").alias("chunk_unit"), c("type").alias("chunk_type"), c("id").alias("chunk_id"), c("start_pos").alias("start"), c("end_pos").alias("end"),
@@ -426,3 +470,8 @@ def _visible(log: list[Commit]) -> list[Commit]:
     """What counts of a log: the last base, and what it was not made of."""
     base = next((c for c in reversed(log) if c.base), None)
     return log if base is None else [base, *(c for c in log if not c.base and c.number > base.after)]
+
+
+def _book(commits: list[Commit]) -> str | None:
+    """The codebook of the last compaction."""
+    return commits[0].book if commits and commits[0].base else None
