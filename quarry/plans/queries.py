@@ -355,12 +355,60 @@ def tracked_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- chunks and store
 
 
-@query()
+_LIMITS = chunking.Limits()
+
+
+def _greedy(name: str, cum: str, most: int, back: str) -> str:
+    """CTEs of greedy windows over ``cum`` (doc, i, t: tokens of the first i units): name_walk has (doc, k, s, e), the windows by number. ``back`` is the next start, from j, the
+    last place whose sum stays within the overlap (-1: none)."""
+    return f"""
+{name}_tops AS (SELECT doc, t, max(i) AS j FROM {cum} GROUP BY ALL), {name}_all AS (SELECT doc, max(i) AS n FROM {cum} GROUP BY ALL),
+{name}_ends AS (SELECT x.doc, x.i, greatest(p.j, x.i + 1) AS e FROM (SELECT doc, i, t + {most} AS lim FROM {cum}) x ASOF JOIN {name}_tops p ON x.doc = p.doc AND p.t <= x.lim),
+{name}_next AS (SELECT x.doc, x.i, x.e, greatest(x.i + 1, least({back}, x.e)) AS nx FROM
+  (SELECT e.doc, e.i, e.e, c.t - {_LIMITS.shared} AS lim FROM {name}_ends e JOIN {cum} c ON c.doc = e.doc AND c.i = e.e) x ASOF LEFT JOIN {name}_tops p ON x.doc = p.doc AND p.t <= x.lim),
+{name}_walk AS (SELECT doc, 0 AS k, i AS s, e FROM {name}_next WHERE i = 0
+  UNION ALL SELECT w.doc, w.k + 1, n.i, n.e FROM {name}_walk w JOIN {name}_next o ON o.doc = w.doc AND o.i = w.s JOIN {name}_next n ON n.doc = w.doc AND n.i = o.nx JOIN {name}_all a ON a.doc = w.doc WHERE w.e < a.n)"""
+
+
+_MERGED = f"""
+step AS (SELECT a.*, b.text AS more, b."end" AS more_end, a.tokens < {_LIMITS.least} AND b.doc IS NOT NULL AND {_est('a.text || b.text')} <= {_LIMITS.most} AS joins
+  FROM piece a LEFT JOIN piece b ON b.doc = a.doc AND b.k = a.k + 1),
+taken AS (SELECT doc, 0 AS k FROM step WHERE k = 0 UNION ALL SELECT t.doc, CASE WHEN s.joins THEN t.k + 2 ELSE t.k + 1 END FROM taken t JOIN step s ON s.doc = t.doc AND s.k = t.k),
+chunks AS (SELECT doc AS doc_uri, doc || '_' || k AS chunk_id, CASE WHEN joins THEN text || more ELSE text END AS text, CASE WHEN joins THEN {_est('text || more')} ELSE tokens END AS token_count,
+  start, CASE WHEN joins THEN more_end ELSE "end" END AS "end" FROM step JOIN taken USING (doc, k))"""
+_UNITS_OF = f"unnest(regexp_extract_all(<x>, '{tokens.UNITS}')) AS u, unnest(range(1, len(regexp_extract_all(<x>, '{tokens.UNITS}')) + 1)) AS i"
+_SUMS = "coalesce(sum({0}) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)::BIGINT"
+#: Chunks of prose over words, marks and blanks: documents as .txt files.
+_TEXT_CHUNKS = f"""WITH RECURSIVE body AS (SELECT source AS doc, {_NORM.replace('html', 'content')} AS b FROM ({_SRC}) @WHERE),
+flat AS (SELECT doc, {_UNITS_OF.replace('<x>', 'b')} FROM body),
+cum AS (SELECT doc, i, {_SUMS.format(_est('u'))} AS t, {_SUMS.format('strlen(u)')} AS at FROM flat UNION ALL SELECT DISTINCT doc, 0, 0, 0 FROM flat),
+{_greedy('w', 'cum', _LIMITS.most, 'coalesce(p.j, -1)')},
+piece AS (SELECT w.doc, w.k, array_to_string(list_slice(regexp_extract_all(b, '{tokens.UNITS}'), w.s + 1, w.e), '') AS text, z.t - a.t AS tokens, a.at AS start, z.at AS "end"
+  FROM w_walk w JOIN body USING (doc) JOIN cum a ON a.doc = w.doc AND a.i = w.s JOIN cum z ON z.doc = w.doc AND z.i = w.e),{_MERGED}"""
+#: Chunks of code over lines, those of too many tokens broken: pages as .html files.
+_CODE_CHUNKS = f"""WITH RECURSIVE split AS (SELECT 'p' || page_id || '.html' AS page, string_split(html, chr(10)) AS ls FROM pages),
+rows AS (SELECT page, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS r FROM (SELECT page, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM split)),
+long AS (SELECT page, r, page || chr(10) || r AS doc, l FROM rows WHERE {_est('l')} > {_LIMITS.most}),
+flat AS (SELECT doc, {_UNITS_OF.replace('<x>', 'l')} FROM long),
+ucum AS (SELECT doc, i, {_SUMS.format(_est('u'))} AS t FROM flat UNION ALL SELECT DISTINCT doc, 0, 0 FROM flat),
+{_greedy('b', 'ucum', _LIMITS.most, 'x.e')},
+broken AS (SELECT page, r, k, array_to_string(list_slice(regexp_extract_all(l, '{tokens.UNITS}'), s + 1, e), '') AS l FROM b_walk JOIN long USING (doc)
+  UNION ALL SELECT page, r, 0, l FROM rows ANTI JOIN long USING (page, r)),
+line AS (SELECT page AS doc, row_number() OVER (PARTITION BY page ORDER BY r, k) AS i, l || chr(10) AS l FROM broken),
+cum AS (SELECT doc, i, {_SUMS.format(_est('l'))} AS t FROM line UNION ALL SELECT DISTINCT doc, 0, 0 FROM line),
+{_greedy('w', 'cum', _LIMITS.most, 'coalesce(p.j, -1) + 1')},
+whole AS (SELECT doc, list(l ORDER BY i) AS ls FROM line GROUP BY doc),
+piece AS (SELECT w.doc, w.k, array_to_string(list_slice(ls, w.s + 1, w.e), '') AS text, z.t - a.t AS tokens, w.s AS start, w.e AS "end"
+  FROM w_walk w JOIN whole USING (doc) JOIN cum a ON a.doc = w.doc AND a.i = w.s JOIN cum z ON z.doc = w.doc AND z.i = w.e),{_MERGED}"""
+_CHUNK_ROWS = "SELECT doc_uri, chunk_id, md5(text) AS text_md5, token_count, start::BIGINT AS start, \"end\"::BIGINT AS \"end\", '{0}' AS unit, '{1}' AS type FROM chunks"
+
+
+@query(_TEXT_CHUNKS.replace("@WHERE", "") + _CHUNK_ROWS.format("char", "text"))
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(t.sources(spark, sf_dir)).select("doc_uri", "chunk_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "metadata.*")
 
 
-@query()
+@query(_CODE_CHUNKS + _CHUNK_ROWS.format("line", "code"))
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = t.read(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("source"), F.col("html").alias("content"))
     return chunking.chunk_documents(pages).select("doc_uri", "chunk_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "metadata.*")
@@ -420,7 +468,8 @@ def embed_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.inventory(docs.select(F.lit(False).alias("is_url"), F.col("text").alias("content"), path.alias("source")).unionByName(pages))
 
 
-@query()
+@query(_TEXT_CHUNKS.replace("@WHERE", "WHERE doc_id % 10 <> 0") + """SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM documents WHERE doc_id % 10 = 0) AS skipped,
+  count(*) AS chunks, coalesce(sum(token_count), 0)::BIGINT AS tokens FROM chunks""")
 def embed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = t.sources(spark, sf_dir)
     done = src.where("pmod(doc_id, 10) = 0").select(F.col("source").alias("path"))
