@@ -136,6 +136,29 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(spark, sf_dir, "documents").select("doc_id", tokens.estimate_tokens(F.col("text")).alias("tokens"))
 
 
+_PIECES = """SELECT p FROM (SELECT left(w, 3) AS p FROM w UNION ALL SELECT '##' || substr(w, 4, 2) FROM w WHERE length(w) > 4) GROUP BY p ORDER BY count(*) DESC, p LIMIT 400"""
+
+
+@query(rf"""
+WITH RECURSIVE w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents), v AS ({_PIECES}),
+voc AS (SELECT list(hex(encode(p))) FILTER (NOT starts_with(p, '##')) AS first, list(hex(encode(p[3:]))) FILTER (starts_with(p, '##')) AS later FROM v),
+own AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([{_CJK}])', ' \1 ', 'g'), '{tokens.WORDS}')) AS u FROM documents),
+kinds AS (SELECT DISTINCT u, hex(encode(u)) AS h FROM own),
+steps AS (SELECT u, h, 0 AS pos, 0 AS n FROM kinds WHERE strlen(u) <= 100 UNION ALL
+  SELECT u, h, coalesce(list_max(list_filter(range(pos + 1, least(len(h) // 2, pos + 12) + 1), lambda e: list_contains(CASE WHEN pos = 0 THEN first ELSE later END, substr(h, 2 * pos + 1, 2 * (e - pos)::INT)))), pos + 1), n + 1
+  FROM steps, voc WHERE pos < len(h) // 2),
+made AS (SELECT u, max(n) AS n FROM steps GROUP BY u)
+SELECT doc_id, coalesce(sum(n), 0)::BIGINT AS tokens FROM documents LEFT JOIN (own LEFT JOIN made USING (u)) USING (doc_id) GROUP BY doc_id""")
+def wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of documents over a vocabulary of the 400 most frequent beginnings and middles of their words."""
+    docs = t.read(spark, sf_dir, "documents")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z\u00C0-\u00FF]+"), F.lit(0))).alias("w"))
+    pieces = words.select(F.left("w", F.lit(3)).alias("p")).union(words.where(F.length("w") > 4).select(F.concat(F.lit("##"), F.substring("w", 4, 2))))
+    top = pieces.groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").limit(400)
+    vocabulary = tokens.WordPiece([r.p for r in top.collect()])
+    return docs.select("doc_id", F.coalesce(vocabulary.udf()(F.col("text")), F.lit(0).cast("long")).alias("tokens"))
+
+
 _NORM = rf"regexp_replace(regexp_replace(regexp_replace(html, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '[ \t\x0B\f\r]+', ' ', 'g'), '\n[{_S}]*\n', E'\n', 'g')"
 
 
@@ -758,6 +781,46 @@ def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.parse_sse(_streams(spark, sf_dir), "stream")
 
 
+@query("""
+SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN '' ELSE text END AS content FROM conversations""")
+def response_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as responses in one piece: the content of a message, a text, or neither."""
+    kind, message = F.pmod("turn", F.lit(3)), F.struct(F.struct(F.col("text").alias("content")).alias("message"))
+    body = F.when(kind == 0, F.to_json(F.struct(F.array(message).alias("choices")))).when(kind == 1, F.to_json(F.struct(F.array(F.struct("text")).alias("choices")))).otherwise(F.lit('{"error": 1}'))
+    return t.read(spark, sf_dir, "conversations").select("conv_id", "turn", prompts.response_content(body).alias("content"))
+
+
+@query("""
+SELECT conv_id, turn, text || role AS content, ['working on ' || role] AS meta, [role || '/a.py', role || '/b.md'] AS sources FROM conversations""")
+def ui_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as the engine's own streams: text, a note about the work, the paths of the context, text, an event that can't be read."""
+    event = lambda *fields: F.concat(F.lit("data: "), F.to_json(F.struct(*fields)), F.lit("\n\n"))
+    said = lambda c: event(c.alias("content"))
+    paths_ = F.array(F.concat("role", F.lit("/a.py")), F.concat("role", F.lit("/b.md")))
+    listing = event(F.lit("context_sources").alias("type"), paths_.alias("sources"))
+    body = F.concat(said(F.col("text")), said(F.concat(F.lit(f"{prompts.META}working on "), "role")), listing, F.lit("data: {bad\n\n"), said(F.col("role")), F.lit("data: [DONE]\n\n"))
+    rows = t.read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), body.alias("body"))
+    return prompts.parse_ui_sse(rows, "key").select("key.*", "content", "meta", "sources")
+
+
+@query("""
+SELECT o_custkey, count(*) AS orders, left(sha256(string_agg(o_orderkey::VARCHAR, '/' ORDER BY o_orderkey)), 8) AS project_id FROM orders GROUP BY o_custkey""")
+def project_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of projects, a customer's orders being the folders of a path."""
+    keys = F.array_sort(F.collect_list("o_orderkey"))  # of one customer
+    path = F.array_join(F.transform(keys, lambda k: k.cast("string")), "/")
+    return t.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), hashing.short_hash(path).alias("project_id"))
+
+
+@query("""
+WITH s AS (SELECT n_regionkey, list(n_name ORDER BY n_nationkey) AS names FROM nation GROUP BY 1)
+SELECT n_regionkey, list_reduce(names, lambda a, x: CASE WHEN strlen(a) > 12 THEN a ELSE a || '/' || x END) AS title FROM s""")
+def project_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of projects, a region's nations being its sources."""
+    stems = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x.n_name)
+    return t.read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(config.project_title(stems).alias("title"))
+
+
 @query("SELECT conv_id || ':' || turn AS stream, text || ' ' AS content FROM conversations")
 def sse_as_it_comes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streams cut into three files of pieces, which a streaming query takes one by one; an event goes on from batch to batch."""

@@ -1,6 +1,7 @@
 """Column functions against plain Python, on rows that the driver's tables don't have."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -60,6 +61,28 @@ def test_wordpiece(spark, tmp_path):
     assert column(spark, ["unaffable un", None], wp.udf()(F.col("a"))) == [4, None]
 
 
+def slow_wordpiece(vocabulary, word):
+    """Longest pieces first, a byte where none fits."""
+    at = n = 0
+    while at < len(word):
+        mark = b"##" if at else b""
+        at = next((e for e in range(len(word), at, -1) if mark + word[at:e] in vocabulary), at + 1)
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_wordpiece_automaton(seed):
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("abé") for _ in range(rng.randrange(1, n)))
+    vocabulary = [rng.choice(["", "##"]) + word(5) for _ in range(rng.randrange(1, 40))]
+    words = [word(14).encode() for _ in range(200)] + [b"", b"z", b"a" * 100, b"a" * 101]
+    wp, known = tokens.WordPiece(vocabulary), {v.encode() for v in vocabulary}
+    assert wp.words(words).tolist() == [slow_wordpiece(known, w) if len(w) <= 100 else 0 for w in words]
+    texts = [b" ".join(words[i : i + 7]) for i in range(0, 200, 7)] + [b"", b" "]
+    assert wp.counts(texts).tolist() == [sum(slow_wordpiece(known, w) for w in x.split()) for x in texts]
+
+
 QUERY = "SELECT a\n  FROM t"
 
 
