@@ -62,6 +62,18 @@ def is_excluded(path: Column, patterns: Sequence[str]) -> Column:
     return out
 
 
+def excluded(path: str, patterns: Sequence[str]) -> bool:
+    """As ``is_excluded``, of one path, for folders that are not even to be listed."""
+    for p in (p.replace("\\", "/") for p in patterns):
+        begins, ends = p.startswith("*"), p.endswith("*")
+        core = p[begins : len(p) - ends]
+        if p == "*" or begins and ends and core and core in path or begins and not ends and path.endswith(core) or ends and not begins and path.startswith(core):
+            return True
+        if p and not begins and not ends and p in (path, path.rsplit("/", 1)[-1]):
+            return True
+    return False
+
+
 def has_extension(path: Column, extensions: Sequence[str]) -> Column:
     """Whether the path ends in one of ``extensions``, case-sensitive."""
     out = F.lit(False)

@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries and vectors scored together.
-MOST_QUERIES, MOST_VECTORS = 4096, 1 << 16
+from quarry.operators.numbering import numbered
+from quarry.scratch import scratch
+
+#: Queries of one round.
+MOST_QUERIES = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,6 +76,15 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
+def _bound(lengths: np.ndarray, block: np.ndarray, kind: str) -> np.ndarray:
+    """No vector of the block scores higher for queries of these lengths; a little is added for rounding."""
+    norms = np.sqrt((block**2).sum(1))
+    if kind == "dot":
+        return lengths * norms.max(initial=0) * (1 + 1e-9)
+    apart = np.maximum(0, np.maximum(lengths - norms.max(initial=0), norms.min(initial=np.inf) - lengths))
+    return -(apart**2) * (1 - 1e-9)
+
+
 def _ranked(near: DataFrame, k: int, kind: str) -> DataFrame:
     """(query_id, rank, id, similarity, distance) of the k best (query_id, id, score) of each query."""
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -87,13 +99,14 @@ def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, metr
 
     ``vectors`` has id and embedding. Queries are a bounded list (MOST_QUERIES), sent with the task. One
     task sends at most k rows a query to the merge, so the shuffle doesn't grow with the vectors' number
-    but with the tasks'.
+    but with the tasks'. Vectors whose norms show that they can't be among the k best so far of a query (Cauchy-Schwarz) are not scored for it.
     """
     if not queries or len(queries) > MOST_QUERIES:
         raise ValueError(f"between 1 and {MOST_QUERIES} queries")
     kind = distance_of(metric)
     ids = np.array([i for i, _ in queries], np.int64)
     matrix = np.array([v for _, v in queries], np.float32).astype(np.float64)
+    lengths = np.sqrt((matrix**2).sum(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
@@ -101,8 +114,17 @@ def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, metr
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
                 block = _values(part.column(1), matrix.shape[1])
-                own = np.broadcast_to(part.column(0).to_numpy(), (len(ids), len(block)))
-                best_id, best = _best(np.hstack([best_id, own]), np.hstack([best, _scores(matrix, block, kind)]), k)
+                asked = np.arange(len(ids))
+                if best.shape[1] == k:
+                    asked = np.flatnonzero(_bound(lengths, block, kind) >= best[:, -1])
+                    if not len(asked):
+                        continue
+                own = np.broadcast_to(part.column(0).to_numpy(), (len(asked), len(block)))
+                now_id, now = _best(np.hstack([best_id[asked], own]), np.hstack([best[asked], _scores(matrix[asked], block, kind)]), k)
+                if len(asked) == len(ids):
+                    best_id, best = now_id, now
+                else:
+                    best_id[asked], best[asked] = now_id, now
         if best.shape[1]:
             arrays = [np.repeat(ids, best.shape[1]), best_id.ravel(), best.ravel()]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["query_id", "id", "score"])
@@ -148,36 +170,24 @@ def with_chunks(top: DataFrame, chunks: DataFrame) -> DataFrame:
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(query_id, rank, id, similarity, distance) for every row of ``queries`` (query_id, embedding).
 
-    Up to MOST_QUERIES queries are sent with the tasks, and the vectors stay where they are. More are cut into blocks by id, as
-    are the vectors; each pair of blocks is one task, which sends k rows a query to the merge. No query passes the driver then.
+    Queries are sent with the tasks, MOST_QUERIES in a round, and the vectors stay where they are: neither side is copied or shuffled. For
+    several rounds the vectors are written once, those of great norm first in each task, so that a query soon has neighbours that
+    rule the others out. The queries of a round pass the driver, and no more.
     """
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where("embedding is not null")
-    n = asked.count()
-    if n <= MOST_QUERIES:
-        rows = [(r.query_id, r.embedding) for r in asked.collect()]
+    first = asked.limit(MOST_QUERIES + 1).collect()
+    if len(first) <= MOST_QUERIES:
+        rows = [(r.query_id, r.embedding) for r in first]
         return knn(vectors, rows, k, metric) if rows else knn(vectors.limit(0), [(0, [0.0])], k, metric)
-    kind, n_queries = distance_of(metric), -(-n // MOST_QUERIES)
-    rows = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding")
-    n_blocks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // MOST_VECTORS))
-
-    def dealt(df: DataFrame, key: str, own: int, other: int, names: tuple[str, str]) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-        return df.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias(names[0]), every.alias(names[1]))
-
-    def scored(q: pa.Table, v: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not q.num_rows or not v.num_rows:
-            return empty
-        dim = len(q.column("embedding")[0])
-        matrix, ids = _values(q.column("embedding").combine_chunks(), dim), q.column("query_id").to_numpy()
-        best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-        for i in range(0, v.num_rows, 2048):
-            part = v.slice(i, 2048)
-            block = _values(part.column("embedding").combine_chunks(), dim)
-            own = np.broadcast_to(part.column("id").to_numpy(), (len(ids), len(block)))
-            best_id, best = _best(np.hstack([best_id, own]), np.hstack([best, _scores(matrix, block, kind)]), k)
-        return pa.table({"query_id": np.repeat(ids, best.shape[1]), "id": best_id.ravel(), "score": best.ravel()})
-
-    left = dealt(asked, "query_id", n_queries, n_blocks, ("q", "v")).groupBy("q", "v")
-    right = dealt(rows, "id", n_blocks, n_queries, ("v", "q")).groupBy("q", "v")
-    return _ranked(left.cogroup(right).applyInArrow(scored, "query_id long, id long, score double"), k, kind)
+    spark = vectors.sparkSession
+    ordered = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding").sortWithinPartitions(l2_norm(F.col("embedding")).desc())
+    folder = scratch(spark, "knn")
+    ordered.write.parquet(f"{folder}/vectors")
+    kept = spark.read.schema(ordered.schema).parquet(f"{folder}/vectors")
+    placed = numbered(asked.withColumn("twin", F.monotonically_increasing_id()), "query_id", "twin").withColumn("round", F.floor(F.col("row") / MOST_QUERIES))
+    placed.select("round", "query_id", "embedding").write.partitionBy("round").parquet(f"{folder}/queries")
+    placed = spark.read.parquet(f"{folder}/queries")
+    for r in range(-(-placed.count() // MOST_QUERIES)):
+        rows = [(q.query_id, q.embedding) for q in placed.where(F.col("round") == r).collect()]
+        knn(kept, rows, k, metric).write.parquet(f"{folder}/found/round={r}")
+    return spark.read.parquet(f"{folder}/found").drop("round")

@@ -95,6 +95,21 @@ def knn_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.knn_join(v, asked, 5).select("query_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""
+WITH q AS (SELECT vec_id * 10 + j AS query_id, list_concat(embedding[j + 1:], embedding[:j]) AS v FROM embeddings, range(10) t(j)),
+e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7)) AS v FROM embeddings),
+s AS (SELECT query_id, id, {_DOT.format(a='e.v', b='q.v')} AS s FROM e, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s)
+SELECT query_id, rank, id, round(s, 5) AS similarity FROM r WHERE rank <= 3""")
+def knn_many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector in ten rotations, asked of all vectors in seven lengths: more queries than one round takes."""
+    v, e = t.vectors(spark, sf_dir), F.col("embedding")
+    turns = v.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
+    asked = turns.select((F.col("id") * 10 + F.col("j")).alias("query_id"), F.concat(F.slice(e, F.col("j") + 1, F.size(e)), F.slice(e, F.lit(1), F.col("j"))).alias("embedding"))
+    long = v.select("id", F.transform(e, lambda x: x.cast("double") * (1 + F.pmod("id", F.lit(7)))).alias("embedding"))
+    return vectors.knn_join(long, asked, 3).select("query_id", "rank", "id", F.round("similarity", 5).alias("similarity"))
+
+
 @query(f"""
 WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_DOT.format(a='e.embedding', b='q.embedding')} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import logging
+import os
 import re
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 from urllib.request import Request, urlopen
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from quarry import schemas
 from quarry.functions.paths import filename, has_extension, is_excluded, stem
 from quarry.functions.text import count_lines, sanitize_utf8
+from quarry.sources.folders import FolderSource, is_local
 
 MAX_FILE_MB = 10
 Fetch = Callable[[str, Mapping[str, str], int], "str | None"]
@@ -87,14 +90,14 @@ def http_probe(url: str, headers: Mapping[str, str], timeout_ms: int) -> str | N
         return None
 
 
-def _folders(spark: SparkSession, specs: Sequence[Mapping[str, Any]], content: bool, max_mb: float) -> list[DataFrame]:
+def _folders(spark: SparkSession, specs: Sequence[Mapping[str, Any]], read: Callable[..., DataFrame], max_mb: float) -> list[DataFrame]:
     parts = []
     for s in specs:
         if s["type"] not in ("directory", "file"):
             continue
         how = (s.get("recursive", True), s.get("extensions", ()), s.get("exclude", ())) if s["type"] == "directory" else (False, (), ())
         try:
-            parts.append(read_folder(spark, s["path"], *how, max_mb, content))
+            parts.append(read(spark, s["path"], *how, max_mb))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -104,7 +107,7 @@ def _folders(spark: SparkSession, specs: Sequence[Mapping[str, Any]], content: b
 
 def collect_sources(spark: SparkSession, specs: Sequence[Mapping[str, Any]], content: bool = True, max_mb: float = MAX_FILE_MB, fetch: Fetch = http_fetch) -> DataFrame:
     """All sources of the specifications, appended as they come; a folder or file that can't be listed is told and left out."""
-    parts = _folders(spark, specs, content, max_mb)
+    parts = _folders(spark, specs, partial(read_folder, content=content), max_mb)
     urls = [s for s in specs if s["type"] == "url"]
     if urls:
         parts.append(read_urls(spark, urls, fetch))
@@ -116,10 +119,20 @@ def collect_sources(spark: SparkSession, specs: Sequence[Mapping[str, Any]], con
 LISTING = "source string, last_modified bigint, file_size bigint, validator string"
 
 
+def list_folder(spark: SparkSession, path: str, recursive: bool = True, extensions: Sequence[str] = (), exclude: Sequence[str] = (), max_mb: float = MAX_FILE_MB) -> DataFrame:
+    """(source, file_size, last_modified) of the files of a folder. Local folders are walked one by one, and excluded ones aren't opened; others are listed by Spark."""
+    if not is_local(spark, path) or not os.path.isdir(plain := re.sub(r"\Afile:/+", "/", path)):
+        return read_folder(spark, path, recursive, extensions, exclude, max_mb, False).select("source", "file_size", "last_modified")
+    spark.dataSource.register(FolderSource)
+    options = {"recursive": str(recursive).lower(), "extensions": json.dumps(list(extensions)), "exclude": json.dumps(list(exclude)), "most_bytes": str(int(max_mb * 1048576))}
+    found = spark.read.format("quarry_folders").options(**options).load(plain)
+    return found.select(F.col("path").alias("source"), F.col("length").alias("file_size"), F.col("modified").alias("last_modified"))
+
+
 def list_sources(spark: SparkSession, specs: Sequence[Mapping[str, Any]], max_mb: float = MAX_FILE_MB, probe: Fetch = http_probe) -> DataFrame:
     """All sources without contents, as ``LISTING``: files by time and size, URLs by validator (null where ``probe`` gets none), which has no size."""
     nothing = F.lit(None)
-    parts = [p.select("source", "last_modified", "file_size", nothing.cast("string").alias("validator")) for p in _folders(spark, specs, False, max_mb)]
+    parts = [p.select("source", "last_modified", "file_size", nothing.cast("string").alias("validator")) for p in _folders(spark, specs, list_folder, max_mb)]
     rows = [(s["url"], dict(s.get("headers", {})), int(s.get("url_timeout_ms", 10_000))) for s in specs if s["type"] == "url"]
     if rows:
 
@@ -153,7 +166,7 @@ def read_sources(spark: SparkSession, specs: Sequence[Mapping[str, Any]], wanted
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise  # a file has gone meanwhile
-            parts += [p.join(wanted, "source", "left_semi").select(*p.columns) for p in _folders(spark, specs, True, max_mb)]
+            parts += [p.join(wanted, "source", "left_semi").select(*p.columns) for p in _folders(spark, specs, read_folder, max_mb)]
     if not parts:
         return collect_sources(spark, [])
     return reduce(DataFrame.unionByName, parts)
