@@ -48,12 +48,13 @@ def content_type(text: Column, uri: Column) -> Column:
         flags, zero,
         lambda a, x: F.struct(*[(a[k] + x[k]).alias(k) for k in ("indent", "code", "brace", "semi")], a["code"].alias("before")),
     )
-    # computed once per row, then named
+    # computed once per row, then named; where the extension decides, not at all
     facts = F.struct(F.size(worded).alias("n"), sums.alias("s"))
-    return F.element_at(F.transform(F.array(facts), lambda f: _decide(text, ext, f)), 1)
+    by_lines = F.element_at(F.transform(F.array(facts), lambda f: _decide(text, f)), 1)
+    return F.when(is_binary(text), "binary").when(ext.isin(CODE_EXTENSIONS), "code").when(ext.isin(TEXT_EXTENSIONS), "text").otherwise(by_lines)
 
 
-def _decide(text: Column, ext: Column, f: Column) -> Column:
+def _decide(text: Column, f: Column) -> Column:
     n, s = f["n"], f["s"]
     fences = F.size(F.filter(F.slice(F.split(text, "\n"), 1, FENCED), lambda x: F.startswith(x, F.lit("```")))) >= 2
     short = F.contains(text, F.lit("{")) | F.contains(text, F.lit("function")) | F.contains(text, F.lit("class "))
@@ -64,7 +65,6 @@ def _decide(text: Column, ext: Column, f: Column) -> Column:
     weak = (ratio["code"] > 0.1) & (ratio["indent"] > 0.6) & ((ratio["brace"] > 0.05) | (ratio["semi"] > 0.1))
     code, prose = F.lit("code"), F.lit("text")
     return (
-        F.when(is_binary(text), "binary").when(ext.isin(CODE_EXTENSIONS), code).when(ext.isin(TEXT_EXTENSIONS), prose)
-        .when((n >= 10) & (s["before"] >= 5), code).when(n < 3, F.when(short, code).otherwise(prose))
+        F.when((n >= 10) & (s["before"] >= 5), code).when(n < 3, F.when(short, code).otherwise(prose))
         .when(fences, prose).when(strong | weak, code).otherwise(prose)
     )
