@@ -129,13 +129,14 @@ def _alike(a: str, b: str, percent: int) -> Column:
 def postings(nodes: DataFrame, percent: int) -> DataFrame:
     """Written lists with two members at least: (token, node, score, members, n, s0 to s3). ``score``: how often a set shares its coordinates."""
     tokens = nodes.select("node", F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    # counts are written before they are joined, so that the join can be broadcast or its large partitions split
+    often = small(settle(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1"), "tokens-often"))
     shared = tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("seen", "token"))).alias("all"), F.sum(F.log2("seen")).alias("score"))
     # tokens that nobody shares come first in each order
     prefix = F.slice("all", 1, F.greatest(F.size("all") - least_matches(percent) + 1, F.lit(0)))
     held = shared.select("node", "score", prefix.alias("prefix")).where(F.size("prefix") > 0).join(nodes.drop("tokens", "first"), "node")
     lists = settle(held.select(F.explode("prefix.token").alias("token"), "node", "score", "n", *_PACKED), "postings")
-    crowded = lists.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    crowded = small(settle(lists.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "crowded"))
     return settle(lists.join(crowded, "token"), "postings")
 
 
@@ -228,7 +229,7 @@ def _blocks(lists: DataFrame, sets: DataFrame, percent: int, block_bytes: int) -
 def links(rows: DataFrame, nodes: DataFrame, shingle: int, percent: int, listed: int = LISTED, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(u, v) with u > v, written: enough links between distinct sets to connect all that are alike to ``percent``."""
     lists = postings(nodes, percent)
-    centre = lists.groupBy("token").agg(F.max(F.struct("score", "node", "n", *_PACKED)).alias("centre"))
+    centre = settle(lists.groupBy("token").agg(F.max(F.struct("score", "node", "n", *_PACKED)).alias("centre")), "centres")
     met = lists.alias("a").join(centre, "token").where(F.col("a.node") != F.col("centre.node"))
     stars = settle(_pairs(met.where(_alike("a", "centre", percent)), "a", "centre"), "stars")
     ends = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
