@@ -750,13 +750,17 @@ s AS (SELECT query_id, e.vec_id AS id, row_number() OVER (PARTITION BY query_id
 r AS (SELECT query_id, rank, d.source AS source_id, d.content, '[Source: ' || d.doc_id || '.txt]' || chr(10) AS label FROM s JOIN ({_SRC}) d ON d.doc_id = s.id WHERE rank <= 8),
 c AS (SELECT *, {_est('content')} AS ct, CASE WHEN starts_with(content, label) THEN 0 ELSE {_est('label')} END AS lt FROM r),
 u AS (SELECT *, 40 + sum(ct + lt) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM c),
-f AS (SELECT *, min(rank) FILTER (upto > 3000) OVER (PARTITION BY query_id) AS over_at, greatest(3000 - (upto - ct - lt), 0) AS room FROM u)
-SELECT query_id, rank, source_id, coalesce(rank = over_at, false) AS is_excerpt FROM f WHERE over_at IS NULL OR rank < over_at OR (rank = over_at AND room > lt)""")
+f AS (SELECT *, min(rank) FILTER (upto > 3000) OVER (PARTITION BY query_id) AS over_at, greatest(3000 - (upto - ct - lt), 0) AS room FROM u),
+g AS (SELECT *, coalesce(rank = over_at, false) AS is_excerpt, CASE WHEN lt = 0 THEN '' ELSE label END AS l, encode(content) AS b, CASE WHEN ct > 0 THEN strlen(content) * (room - lt) // ct ELSE strlen(content) END::BIGINT AS nb
+  FROM f WHERE over_at IS NULL OR rank < over_at OR (rank = over_at AND room > lt)),
+h AS (SELECT *, CASE WHEN is_excerpt THEN l || coalesce(try(decode(b[:nb])), try(decode(b[:nb - 1])), try(decode(b[:nb - 2])), decode(b[:nb - 3])) ELSE l || content END AS piece FROM g)
+SELECT query_id, rank, source_id, is_excerpt, md5(piece || chr(10) || chr(10)) AS piece_md5, CASE WHEN is_excerpt THEN {_est('piece')} ELSE ct + lt END::BIGINT AS tokens FROM h""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, docs = t.vectors(spark, sf_dir), t.sources(spark, sf_dir)
     top = vectors.knn_join(v, v.where("pmod(id, 20) = 0").select(F.col("id").alias("query_id"), "embedding"), 8)
     results = top.join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), "content"), "id")
-    return packing.pack_context(results, 3000, 40).select("query_id", "rank", "source_id", "is_excerpt")
+    packed = packing.pack_context(results, 3000, 40)
+    return packed.select("query_id", "rank", "source_id", "is_excerpt", F.md5(F.col("piece").cast("binary")).alias("piece_md5"), "tokens")
 
 
 _Q1 = prompts.QUERY_TEMPLATE.replace("'", "''")
