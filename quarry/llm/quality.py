@@ -117,7 +117,8 @@ def quality(docs: DataFrame, most_lost: float = MOST_LOST, cleaned: bool = True)
     """One row per document: doc_id, base figures, verdict and the text without its failing lines.
 
     A null text has no words and fails the base rules; its cleaned text is empty. Each row is judged by
-    itself, so repeated rows and null ids need no rule. Other columns are not read.
+    itself, whole however long, so repeated rows and null ids need no rule; an empty table gives no rows. Other columns are
+    not read, whatever their names.
     """
     fields = [f.split() for f in FIELDS.split(", ") if cleaned or not f.startswith("cleaned")]
 
