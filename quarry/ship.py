@@ -31,7 +31,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(root):
             for name in names:
-                if name.endswith(".py"):
+                if name.endswith((".py", ".json")):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("quarry", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(path)
