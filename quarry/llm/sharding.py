@@ -17,11 +17,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, settle, spread
+from quarry.llm.common import documents, settle
 
 SHARDS = 16
-#: Ends sampled at once; rows numbered by one window.
-POINTS, NUMBERED = 1 << 16, 256
+#: Ends sampled at once; equal rows made from one array.
+POINTS, NUMBERED = 1 << 16, 4096
 
 
 def ordered_groups(base: DataFrame) -> DataFrame:
@@ -116,11 +116,33 @@ def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """The rows, each with its rank by doc_id among those of its text_key (no id: last; rows equal in both, in any order).
+
+    Rows equal in both are counted first and made again at the end, and ranges of (text_key, doc_id) are numbered
+    apart, so a group of any size, with ids or without, is ranked by many tasks.
+    """
+    same = rows.groupBy("text_key", "doc_id").agg(*[F.first(c).alias(c) for c in rows.columns if c not in ("text_key", "doc_id")], F.count(F.lit(1)).alias("times"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("doc_id").asc_nulls_last()
+    ranged = settle(same.repartitionByRange(n, "text_key", order).withColumn("part", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy("text_key", "part").agg(F.sum("times").alias("own"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("text_key", "part", F.coalesce(F.sum("own").over(earlier(Window.partitionBy("text_key").orderBy("part"))), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(F.sum("times").over(earlier(Window.partitionBy("text_key", "part").orderBy(order))), F.lit(0))
+    numbered = ranged.withColumn("inside", inside).join(parts, ["text_key", "part"])
+    last = F.col("times") - 1
+    blocks = numbered.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / NUMBERED))))
+    each = F.sequence(F.lit(0).cast("long"), F.least(last - F.col("block") * NUMBERED, F.lit(NUMBERED - 1)))
+    made = blocks.withColumn("nth", F.explode(each)).withColumn("rank", F.col("ahead") + F.col("inside") + F.col("block") * NUMBERED + F.col("nth"))
+    return made.select(*rows.columns, "rank")
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot.
 
     Size is the text's UTF-8 bytes plus 1, however long; a null text counts as an empty one. Equal texts share a shard; a group larger than a
-    fair share sets the capacity. Slots run from 0 in each shard without gaps; repeated rows have slots of their own. Groups without
+    fair share sets the capacity. A group's rows lie side by side, by doc_id. Slots run from 0 in each shard without gaps; repeated rows have slots of their own. Groups without
     a doc_id come last, by their hash. Texts are held equal by SHA-256. An empty table gives no rows. Other columns are not read, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -135,16 +157,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = prefix.select("text_key", "members", "before", shard.alias("shard"))
     starts = {r.shard: r.start for r in placed.groupBy("shard").agg(F.min("before").alias("start")).collect()}
     start = F.coalesce(*[F.when(F.col("shard") == s, F.lit(b)) for s, b in starts.items()], F.lit(0))
-    salt = F.when(F.col("members") > NUMBERED, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / NUMBERED))).otherwise(F.lit(0)).cast("long")
-    rows = base.join(placed, "text_key").withColumn("salt", salt)
+    rows = base.join(placed, "text_key")
     single = rows.where("members = 1").withColumn("rank", F.lit(0).cast("long"))
-    # a hot group's rows are dealt out by salt before they are counted and numbered
-    several = spread(rows.where("members > 1"), "text_key", "salt")
-    salts = several.groupBy("text_key", "salt").agg(F.count(F.lit(1)).alias("own"))
-    earlier = Window.partitionBy("text_key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    salts = salts.select("text_key", "salt", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("ahead"))
-    number = F.row_number().over(Window.partitionBy("text_key", "salt").orderBy("doc_id")) - 1
-    several = several.withColumn("number", number).join(salts, ["text_key", "salt"]).withColumn("rank", F.col("number") + F.col("ahead"))
+    several = ranked(rows.where("members > 1"))
     columns = ["doc_id", "size", "text_crc32", "shard", (F.col("before") - start + F.col("rank")).cast("long").alias("slot")]
     return single.select(*columns).union(several.select(*columns))
 

@@ -64,6 +64,17 @@ def test_empty_and_one_giant(spark):
     assert {r.shard for r in got} == {0} and sorted(r.slot for r in got) == list(range(50))
 
 
+def test_group_without_ids_is_numbered_by_ranges(spark, monkeypatch):
+    """Rows with one id, without an id and with ids of their own, all of one text: ranks follow the ids, and equal rows take several arrays."""
+    monkeypatch.setattr(sharding, "NUMBERED", 16)
+    data = [(None, "same")] * 300 + [(7, "same")] * 250 + [(i, "same") for i in range(100, 400)] + [(5, "other")]
+    got = sharding.shard_documents(spark.createDataFrame([(d, t, "", "") for d, t in data], SCHEMA)).collect()
+    ranks = sorted((r.slot, r.doc_id) for r in got if r.size == 5)
+    want = sorted((d for d, t in data if t == "same"), key=lambda d: (d is None, d))
+    assert [d for _, d in ranks] == want and len({s for s, _ in ranks}) == 850
+    assert [s for s, _ in ranks] == list(range(ranks[0][0], ranks[0][0] + 850))
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_capacity_from_samples(spark, monkeypatch, seed):
     """Sizes of many kinds, a few ends known at a time."""
