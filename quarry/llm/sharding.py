@@ -170,4 +170,39 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_sharding": op5_sharding}
-SQL: dict[str, str] = {}
+# CRC-32 byte by byte, with a table that is made first; the capacity by halving, each greedy pass a fold over the groups' sizes
+SQL = {
+    "op5_sharding": f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::UBIGINT, list_transform(range(8), lambda k: k::UBIGINT)),
+    lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END)) AS step),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) + 1 AS size, sha256(coalesce(text, '')) AS text_key,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT) AS bytes
+  FROM documents),
+summed AS (
+  SELECT r, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda a, b: xor(a >> 8, step[((xor(a, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) AS text_crc32
+  FROM d, crc),
+g AS (SELECT text_key, min(doc_id) AS first, sum(size)::BIGINT AS bytes FROM d GROUP BY text_key),
+placed AS (SELECT *, sum(bytes) OVER (ORDER BY first NULLS LAST, text_key)::BIGINT AS upto FROM g),
+sizes AS (
+  SELECT sum(bytes)::BIGINT AS total, max(bytes) AS largest, list({{used: 1::BIGINT, held: bytes}} ORDER BY upto) AS parts FROM placed),
+halves AS (
+  SELECT greatest((total + {SHARDS - 1}) // {SHARDS}, largest) AS low, (total + {SHARDS - 1}) // {SHARDS} + largest AS high FROM sizes WHERE total IS NOT NULL
+  UNION ALL
+  SELECT CASE WHEN fits THEN low ELSE middle + 1 END, CASE WHEN fits THEN middle ELSE high END FROM (
+    SELECT low, high, middle, list_reduce(parts, lambda a, x: CASE WHEN a.held + x.held > middle
+      THEN {{used: a.used + 1, held: x.held}} ELSE {{used: a.used, held: a.held + x.held}} END).used <= {SHARDS} AS fits
+    FROM (SELECT low, high, (low + high) // 2 AS middle, parts FROM halves, sizes WHERE low < high))),
+capacity AS (SELECT min(high) AS most FROM halves),
+cuts AS (
+  SELECT 0 AS k, 0::BIGINT AS upto
+  UNION ALL
+  SELECT k + 1, greatest(c.upto, (SELECT max(p.upto) FROM placed p, capacity WHERE p.upto <= c.upto + most)) FROM cuts c WHERE k < {SHARDS - 1}),
+sharded AS (
+  SELECT text_key, first, (SELECT count(*) FROM cuts WHERE k > 0 AND cuts.upto < placed.upto)::INTEGER AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY first NULLS LAST, text_key, doc_id NULLS LAST) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM d JOIN summed USING (r) JOIN sharded USING (text_key)
+"""
+}

@@ -2,6 +2,8 @@ import itertools
 import random
 import zlib
 
+import duckdb
+import pandas as pd
 import pytest
 
 from quarry.llm import sharding
@@ -58,6 +60,18 @@ def test_smallest_capacity_and_slots(spark, monkeypatch, numbered):
     assert len({(text[r.doc_id] or "", r.shard) for r in got}) == len({text[r.doc_id] or "" for r in got})
 
 
+@pytest.mark.parametrize("data", [rows(200, 4), rows(60, 5), [(i, "same") for i in range(40)], [(None, None), (None, ""), (1, "a"), (1, "a"), (1, "b")], []])
+def test_equals_sql(spark, tmp_path, data):
+    spark.createDataFrame(data, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op5_sharding(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(data, columns=["doc_id", "text"]).astype({"doc_id": "Int64", "text": "string"}))
+    want = con.execute(sharding.SQL["op5_sharding"])
+    assert [c[0] for c in want.description] == got.columns
+    by = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(map(tuple, got.collect()), key=by) == sorted(want.fetchall(), key=by)
+
+
 def test_empty_and_one_giant(spark):
     assert sharding.shard_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     got = sharding.shard_documents(spark.createDataFrame([(i, "same", "", "") for i in range(50)], SCHEMA)).collect()
