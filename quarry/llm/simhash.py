@@ -199,4 +199,66 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_simhash": op7_simhash}
-SQL: dict[str, str] = {}
+
+#: Fixed values of XXH64.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+SEED = 42
+_P1, _P2, _P3, _P4, _P5 = (f"{p}::UHUGEINT" for p in PRIMES)
+_MOD = f"{1 << 64}::UHUGEINT"
+
+
+def _turned(x: str, bits: int) -> str:
+    """SQL for 64 bits turned left: a product modulo 2**64 - 1."""
+    return f"(({x}) * {1 << bits}::UHUGEINT % {(1 << 64) - 1}::UHUGEINT)"
+
+
+def _number(at: str, n: int) -> str:
+    """SQL for the ``n`` bytes at an offset of the hexadecimal digits, lowest first."""
+    digits = " || ".join(f"substr(digits, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n)))
+    return f"(('0x' || {digits})::UBIGINT::UHUGEINT)"
+
+
+def _round(lane: str, k: str) -> str:
+    return f"({_turned(f'({lane} + {k} * {_P2}) % {_MOD}', 31)} * {_P1} % {_MOD})"
+
+
+def _fold(first: str, rest: str, step: str) -> str:
+    return f"list_reduce(list_prepend(({first})::UHUGEINT, {rest}), lambda h, k: {step})"
+
+
+_STARTS = [(SEED + PRIMES[0] + PRIMES[1]) % (1 << 64), (SEED + PRIMES[1]) % (1 << 64), SEED, (SEED - PRIMES[0]) % (1 << 64)]
+_LANES = ", ".join(_fold(str(start), f"list_transform(range(bytes // 32), lambda i: {_number(f'32 * i + {8 * j}', 8)})", _round("h", "k")) + f" AS lane{j}" for j, start in enumerate(_STARTS))
+_JOINED = "(" + " + ".join(_turned(f"lane{j}", bits) for j, bits in enumerate((1, 7, 12, 18))) + f") % {_MOD}"
+_MERGED = _fold(_JOINED, "[lane0, lane1, lane2, lane3]", f"(xor(h, {_round('0::UHUGEINT', 'k')}) * {_P1} + {_P4}) % {_MOD}")
+_EIGHTS = _fold("h", f"list_transform(range(bytes % 32 // 8), lambda i: {_number('bytes // 32 * 32 + 8 * i', 8)})", f"({_turned(f'xor(h, {_round("0::UHUGEINT", "k")})', 27)} * {_P1} + {_P4}) % {_MOD}")
+_FOURS = _fold("h", f"list_transform(range(bytes % 8 // 4), lambda i: {_number('bytes // 8 * 8', 4)})", f"({_turned(f'xor(h, k * {_P1} % {_MOD})', 23)} * {_P2} + {_P3}) % {_MOD}")
+_ONES = _fold("h", f"list_transform(range(bytes % 4), lambda i: {_number('bytes // 4 * 4 + i', 1)})", f"{_turned(f'xor(h, k * {_P5} % {_MOD})', 11)} * {_P1} % {_MOD}")
+_BITS = " + ".join(f"CASE WHEN 2 * sum(n * (h >> {b} & 1)) > sum(n) THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END" for b in range(64))
+SQL = {
+    "op7_simhash": rf"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws
+  FROM documents),
+every AS (
+  SELECT r, unnest(CASE WHEN len(ws) <= 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS s
+  FROM t WHERE len(ws) > 0),
+counted AS (SELECT r, s, count(*) AS n FROM every GROUP BY r, s),
+digits AS (SELECT s, strlen(s) AS bytes, hex(encode(s)) AS digits FROM (SELECT DISTINCT s FROM counted)),
+lanes AS (SELECT *, {_LANES} FROM digits),
+started AS (SELECT s, bytes, digits, ((CASE WHEN bytes < 32 THEN {(SEED + PRIMES[4]) % (1 << 64)}::UHUGEINT ELSE {_MERGED} END) + bytes::UHUGEINT) % {_MOD} AS h FROM lanes),
+eights AS (SELECT s, bytes, digits, {_EIGHTS} AS h FROM started),
+fours AS (SELECT s, bytes, digits, {_FOURS} AS h FROM eights),
+ones AS (SELECT s, {_ONES} AS h FROM fours),
+mixed1 AS (SELECT s, xor(h, h // {1 << 33}::UHUGEINT) * {_P2} % {_MOD} AS h FROM ones),
+mixed2 AS (SELECT s, xor(h, h // {1 << 29}::UHUGEINT) * {_P3} % {_MOD} AS h FROM mixed1),
+hashed AS (SELECT s, xor(h, h // {1 << 32}::UHUGEINT)::UBIGINT AS h FROM mixed2),
+majority AS (SELECT r, {_BITS} AS fp FROM counted JOIN hashed USING (s) GROUP BY r),
+marked AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM t LEFT JOIN majority USING (r)),
+nodes AS (SELECT fp, min(doc_id) AS first FROM marked GROUP BY fp),
+links AS (SELECT a.fp AS u, b.fp AS v FROM nodes a JOIN nodes b ON bit_count(xor(a.fp, b.fp)::HUGEINT) <= 3),
+reached AS (SELECT fp AS u, fp AS v FROM nodes UNION SELECT reached.u, links.v FROM reached JOIN links ON reached.v = links.u),
+classes AS (SELECT u AS fp, min(first) AS component_id FROM reached JOIN nodes ON reached.v = nodes.fp GROUP BY u)
+SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, component_id FROM marked JOIN classes USING (fp)
+"""
+}

@@ -1,5 +1,7 @@
 import random
 
+import duckdb
+import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
@@ -83,3 +85,22 @@ def test_empty_and_null_ids(spark):
     assert simhash.near_duplicates(empty).count() == 0
     docs = spark.createDataFrame([(None, "a b c d", "x"), (7, "a b c d", "x"), (9, "a b c d", "x"), (9, "a b c d", "x")], SCHEMA)
     assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {7}
+
+
+def test_equals_sql(spark, tmp_path):
+    """Shingles of 1 to 200 bytes, so that every step of the hash is taken; near copies, equal rows, null ids and texts."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdé") for _ in range(n)) for n in [*range(1, 24), 40, 41, 66, 67]]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    texts += [t + " end" for t in texts[:20]] + texts[:5] + [None, "", " \t", "A b", "a B", "X" * 31, "X" * 32, "X" * 33]
+    data = [(None if i % 11 == 0 else i % 70, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = simhash.op7_simhash(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(data, columns=["doc_id", "text"]).astype({"doc_id": "Int64", "text": "string"}))
+    want = con.execute(simhash.SQL["op7_simhash"])
+    assert [c[0] for c in want.description] == got.columns
+    by = lambda x: tuple((v is None, v) for v in x)
+    rows = sorted(map(tuple, got.collect()), key=by)
+    assert rows == sorted(want.fetchall(), key=by)
+    assert [int(r[1], 16) for r in rows] != [0] * len(rows)
