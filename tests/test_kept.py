@@ -86,3 +86,13 @@ def test_related_by_the_rarest_piece(spark):
         got.setdefault(r.base, []).append(r.source)
     want = {b: [n for n in names if n != b and stem(b) in stem(n)][:4] for b in asked}
     assert got == {b: v for b, v in want.items() if v}
+
+
+def test_related_wherever_the_stem_lies(spark):
+    pieces = scan._pieces(F.lit("112320"), [4, 1]).alias("p")
+    assert set(spark.range(1).select(pieces).first().p) == {"1123", "1232", "2320", "1", "2", "3", "0"}
+    names = [f"src{i % 3}/{i}.txt" for i in (12320, 112320, 123205, 232012, 1232, 12321, 912320, 7)]
+    rows = spark.createDataFrame(list(enumerate(names)), "pos long, source string")
+    for base, held in ((0, (1, 2, 6)), (4, (0, 1, 2))):
+        got = scan.related_sources(rows, spark.createDataFrame([(names[base],)], "base string"), 3).orderBy("place").collect()
+        assert [(r.base, r.source, r.place) for r in got] == [(names[base], names[i], n + 1) for n, i in enumerate(held)]
