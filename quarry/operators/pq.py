@@ -40,6 +40,11 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     return np.array([np.resize(b, (max(map(len, books)), WIDTH)) for b in books])
 
 
+def codes_of(rows: np.ndarray, books: np.ndarray) -> np.ndarray:
+    cut = _parts(rows)
+    return np.stack([ivf._nearest(cut[:, p], b) for p, b in enumerate(books)], 1).astype(np.uint8)
+
+
 def coded(vectors: DataFrame, books: np.ndarray, *more: str) -> DataFrame:
     """(id, code, more): a byte for each part. Null vectors are left out."""
 
@@ -48,8 +53,7 @@ def coded(vectors: DataFrame, books: np.ndarray, *more: str) -> DataFrame:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
                 values = part.column(1)
-                cut = _parts(exact._values(values, len(values[0]))) if len(values) else np.zeros((0, len(books), WIDTH))
-                codes = np.stack([ivf._nearest(cut[:, p], b) for p, b in enumerate(books)], 1).astype(np.uint8)
+                codes = codes_of(exact._values(values, len(values[0])) if len(values) else np.zeros((0, books.shape[0] * WIDTH)), books)
                 code = pa.array([c.tobytes() for c in codes], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), code, *part.columns[2:]], ["id", "code", *more])
 
@@ -58,27 +62,24 @@ def coded(vectors: DataFrame, books: np.ndarray, *more: str) -> DataFrame:
     return rows.mapInArrow(run, f"id long, code binary{kinds}")
 
 
+def told(code: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Vectors as their codes tell them."""
+    return books[np.arange(len(books)), code].reshape(len(code), -1)
+
+
 def candidates(codes: DataFrame, books: np.ndarray, queries: list[tuple[int, list[float]]], most: int, metric: str = "cosine") -> DataFrame:
     """(query_id, rank, id, similarity, distance): the ``most`` best codes of each query, by what the tables tell."""
     kind, ids = exact.distance_of(metric), np.array([i for i, _ in queries], np.int64)
-    asked = _parts(np.array([v for _, v in queries], np.float64))
-    if kind == "dot":
-        tables = np.einsum("qpw,pcw->qpc", asked, books)
-    else:
-        tables = -((asked[:, :, None, :] - books[None]) ** 2).sum(-1)
+    asked = _parts(np.array([v for _, v in queries], np.float64)).reshape(len(ids), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        best = exact.Nearest(asked, most, kind)
         for batch in batches:
-            for i in range(0, batch.num_rows, 8192):
-                part = batch.slice(i, 8192)
+            for i in range(0, batch.num_rows, exact.BLOCK):
+                part = batch.slice(i, exact.BLOCK)
                 code = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, len(books))
-                scores = sum(tables[:, p][:, code[:, p]] for p in range(len(books)))
-                own = np.broadcast_to(part.column(0).to_numpy(), scores.shape)
-                best_id, best = exact._best(np.hstack([best_id, own]), np.hstack([best, scores]), most)
-        if best.shape[1]:
-            arrays = [np.repeat(ids, best.shape[1]), best_id.ravel(), best.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["query_id", "id", "score"])
+                best.add(part.column(0).to_numpy(), told(code, books))
+        yield best.batch(ids)
 
     return exact._ranked(codes.select("id", "code").mapInArrow(run, "query_id long, id long, score double"), most, kind)
 
@@ -102,3 +103,9 @@ def knn(vectors: DataFrame, codes: DataFrame, books: np.ndarray, queries: list[t
     near = vectors.select(F.col("id").cast("long").alias("id"), "embedding").join(found, "id").join(F.broadcast(asked), "query_id")
     score = exact.dot(F.col("embedding"), F.col("asked")) if kind == "dot" else -exact.squared_l2(F.col("embedding"), F.col("asked"))
     return exact._ranked(near.select("query_id", "id", score.alias("score")), k, kind)
+
+
+def knn_exact(vectors: DataFrame, books: np.ndarray, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """As ``vectors.knn_join``: a code and its distance from the vector bound the score, and all vectors that they don't rule out are scored."""
+    coder = exact.Coder(lambda rows: codes_of(rows, books), lambda code: told(code, books))
+    return exact.knn_blocks(vectors, queries, k, metric, coder)

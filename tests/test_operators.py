@@ -78,6 +78,27 @@ def test_knn_join_in_blocks(spark, monkeypatch):
     assert got.groupBy("query_id").count().where("count = 2").count() == 10
 
 
+def test_knn_join_of_many_queries(spark, monkeypatch):
+    """More queries are more blocks of one job, no more jobs; copies of a vector tie wherever they lie."""
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(50, 6)).astype(np.float32).astype(float)
+    rows = [(i, values[i % 50].tolist()) for i in range(400)] + [(400, None)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 4)
+    monkeypatch.setattr(vectors, "HELD", 6 * 2048)
+    for metric, score in (("cosine", lambda a, b: float(sum(x * y for x, y in zip(a, b, strict=True)))), ("l2", lambda a, b: -float(sum((x - y) ** 2 for x, y in zip(a, b, strict=True))))):
+        spark.sparkContext.setJobGroup(f"many {metric}", "")
+        got = {}
+        for r in vectors.knn_join(frame, frame.where("id < 80").withColumnRenamed("id", "query_id"), 11, metric).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"many {metric}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(jobs) < 30
+        for q in range(80):
+            scores = [score(values[q % 50], v) for v in values]
+            assert got[q] == sorted(range(400), key=lambda i: (-scores[i % 50], i))[:11]
+
+
 def test_filter_after_or_before(spark):
     rows = [(i, [1.0 - i / 100, 0.0], f"s{i % 2}", "t") for i in range(40)]
     frame = spark.createDataFrame(rows, "id long, embedding array<float>, source_id string, type string")
