@@ -24,6 +24,15 @@ def test_recall_and_bytes(spark):
         assert all(abs(got[k] - want[k]) < 1e-6 for k in want.keys() & got.keys())
 
 
+def test_codes_lose_no_neighbour(spark):
+    for metric in ("cosine", "l2"):
+        v = t.vectors(spark, "/root/testdata/sf0.1").select("id", "embedding")
+        asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+        want = {(r.query_id, r["rank"]): (r.id, r.similarity) for r in vectors.knn_join(v, asked, 10, metric).collect()}
+        got = {(r.query_id, r["rank"]): (r.id, r.similarity) for r in pq.knn_exact(v, pq.fit(v), asked, 10, metric).collect()}
+        assert got == want
+
+
 def test_few_rows_and_odd_dimensions(spark):
     rows = [(1, [1.0, 0.0, 0.0, 0.0, 2.0]), (2, [0.0, 1.0, 0.0, 0.0, 1.0]), (3, None)]
     v = spark.createDataFrame(rows, "id long, embedding array<float>")
