@@ -1,6 +1,7 @@
 """Operators on rows of our own; the driver's tables are held against DuckDB by test_queries."""
 
 import json
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -99,6 +100,17 @@ def test_knn_join_of_many_queries(spark, monkeypatch):
             assert got[q] == sorted(range(400), key=lambda i: (-scores[i % 50], i))[:11]
 
 
+def test_scoring_takes_bounded_memory():
+    rng = np.random.default_rng(4)
+    best = vectors.Nearest(rng.normal(size=(4096, 16)), 8, "dot")
+    tracemalloc.start()
+    for i in range(3):
+        best.add(np.arange(i * 2048, (i + 1) * 2048), rng.normal(size=(2048, 16)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # all scores of a block at once are 64 MB, and were held six times
+
+
 def test_filter_after_or_before(spark):
     rows = [(i, [1.0 - i / 100, 0.0], f"s{i % 2}", "t") for i in range(40)]
     frame = spark.createDataFrame(rows, "id long, embedding array<float>, source_id string, type string")
