@@ -34,8 +34,9 @@ def contents(pieces: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rest, done = state.get if state.exists else (b"", False)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        *events, rest = (bytes(rest) + b"".join(map(bytes, rows.piece))).split(b"\n\n")
+        pieces = [p for f in frames for p in zip(f["seq"].to_numpy(), f["piece"].to_numpy(), strict=True)]
+        pieces.sort(key=lambda p: p[0])
+        *events, rest = (bytes(rest) + b"".join(bytes(p) for _, p in pieces)).split(b"\n\n")
         said = []
         for event in () if done else events:
             text = event_text(event)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quarry import encoders
 from quarry.engine import Engine
 from quarry.operators import changes, config, prompts, registry
+from quarry.plans import queries
 from quarry.sources import scan
 from quarry.streaming import completions
 
@@ -51,6 +52,15 @@ def test_a_stream_cut_at_every_byte(spark, tmp_path):
     assert len({r.content for r in batches[0]}) == 4  # text has come in with the first pieces
 
 
+def test_pieces_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "scratch", lambda *_: f"{tmp_path}/pieces")
+    got = {r.stream: r.content for r in queries.sse_as_it_comes(spark, "/root/testdata/sf0.001").collect()}
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    assert got == {f"{r.conv_id}:{r.turn}": f"{r.text} " for r in turns}
+    assert len(list((tmp_path / "pieces/in").glob("*.parquet"))) > 3
+    assert spark.read.parquet(f"{tmp_path}/pieces/out").select("epoch").distinct().count() == 3
+
+
 def test_attachments(spark, tmp_path):
     for n, body in {"b.txt": "second file", "a.txt": "first é"}.items():
         (tmp_path / n).write_text(body)
