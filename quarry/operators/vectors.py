@@ -22,6 +22,8 @@ MOST_QUERIES = 4096
 BLOCK, ASKED, AT_ONCE = 2048, 4096, 512
 #: Values (rows by dimensions) of vectors that a task holds at once: 32 MB.
 HELD = 1 << 22
+#: Terms that are summed up at once: 4 MB.
+SUMMED = 1 << 19
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -162,7 +164,7 @@ class Nearest:
         row, column = np.divmod(np.flatnonzero(may), may.shape[1])
         if not len(row):
             return
-        step = max(1, (1 << 21) // max(1, block.shape[1]))
+        step = max(1, SUMMED // max(1, block.shape[1]))
         exact = np.concatenate([_summed(queries[row[i : i + step]], block[column[i : i + step]], self.kind) for i in range(0, len(row), step)])
         touched = np.unique(row)
         rows = np.concatenate([np.repeat(touched, self.n), row])
@@ -279,8 +281,8 @@ def _packed(rows: DataFrame, tasks: int, size: int, coder: Coder | None = None)
 def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", coder: Coder | None = None) -> DataFrame:
     """(query_id, rank, id, similarity, distance) for every row of ``queries`` (query_id, embedding), of which there may be any number.
 
-    Both sides are packed into blocks; a task takes a block of queries and up to HELD values of vectors, and the k best of a query from each such part are merged. So a
-    task needs as much memory for few rows as for many, and neither side passes the driver. Blocks of great norm come first, so that a query
+    Both sides are packed into blocks; a task takes blocks of queries one by one and up to HELD values of vectors, and the k best of a query from each such part are merged.
+    So a task needs one Python worker, with as much memory for few rows as for many, and neither side passes the driver. Blocks of great norm come first, so that a query
     soon has neighbours that rule the others out (Cauchy-Schwarz); with a ``coder``, so do the codes.
     """
     spark, kind = vectors.sparkSession, distance_of(metric)
@@ -289,13 +291,16 @@ def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "co
     first, n_known, n_asked = known.select(F.size("embedding")).first(), known.count(), asked.count()
     if not first or not n_asked:
         return knn(vectors.limit(0), [(0, [0.0])], k, metric)
-    held = max(BLOCK, HELD // max(1, first[0]))
-    size = min(ASKED, max(256, -(-n_asked // int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    held, tasks = max(BLOCK, HELD // max(1, first[0])), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = min(ASKED, max(256, -(-n_asked // tasks)))
     folder = scratch(spark, "knn")
     _packed(known, -(-4 * n_known // held), BLOCK, coder).write.parquet(folder)
-    blocks = spark.read.parquet(folder).coalesce(-(-n_known // held)).sortWithinPartitions(F.desc("longest"))
-    packed = _packed(asked, -(-n_asked // size), size).select(F.col("ids").alias("query_ids"), F.col("vectors").alias("asked"), F.col("dim").alias("asked_dim"))
-    pairs = packed.join(blocks.hint("shuffle_replicate_nl"))
+    parts = -(-n_known // held)
+    blocks = spark.read.parquet(folder).coalesce(parts).sortWithinPartitions(F.desc("longest"))
+    n = -(-n_asked // size)
+    packed = _packed(asked, n, size).select(F.col("ids").alias("query_ids"), F.col("vectors").alias("asked"), F.col("dim").alias("asked_dim"))
+    # shuffled, so that they aren't packed again for each part of the vectors, beside its scoring; a task takes several, so that vectors aren't read again for each
+    pairs = packed.repartition(min(n, -(-tasks // parts))).join(blocks.hint("shuffle_replicate_nl"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ids, best = None, np.zeros(0, np.int64), None

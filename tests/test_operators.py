@@ -100,6 +100,13 @@ def test_knn_join_of_many_queries(spark, monkeypatch):
             assert got[q] == sorted(range(400), key=lambda i: (-scores[i % 50], i))[:11]
 
 
+def test_a_task_of_blocks_has_one_python_worker(spark):
+    frame = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, embedding array<float>")
+    plan = vectors.knn_blocks(frame, frame.withColumnRenamed("id", "query_id"), 2)._jdf.queryExecution().optimizedPlan().toString()
+    _, between, _ = plan.split("MapInArrow")  # scoring and, below it, the packing of queries
+    assert "Repartition" in between
+
+
 def test_scoring_takes_bounded_memory():
     rng = np.random.default_rng(4)
     best = vectors.Nearest(rng.normal(size=(4096, 16)), 8, "dot")
