@@ -27,6 +27,7 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
+from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -148,10 +149,13 @@ class Store:
         """False if the number is taken. A number whose writer has died before its line was written is freed after WAIT_S."""
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{lines[0].number:012d}.json")
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(at.getParent())
+        keys = [f.split()[0] for f in LINE.split(", ")]
+        text = "".join(json.dumps({k: getattr(c, k) for k in keys}) + "\n" for c in lines).encode()
         try:
-            out = fs.create(at, False)
-        except Py4JJavaError:
-            if not fs.exists(at):
+            _write_new(fs, at, text)
+        except (FileExistsError, Py4JJavaError) as e:
+            if isinstance(e, Py4JJavaError) and not fs.exists(at):
                 raise
             until = time.time() + WAIT_S
             while fs.exists(at) and not fs.getFileStatus(at).getLen():
@@ -159,10 +163,8 @@ class Store:
                     fs.delete(at, False)
                 time.sleep(0.05)
             return False
-        keys = [f.split()[0] for f in LINE.split(", ")]
-        out.write(bytearray("".join(json.dumps({k: getattr(c, k) for k in keys}) + "\n" for c in lines), "utf-8"))
-        out.close()
-        return bool(fs.exists(at) and fs.getFileStatus(at).getLen())
+        # a writer that was taken for dead may find another's line
+        return any(c.folder == lines[0].folder for c in self._log())
 
     @contextmanager
     def transaction(self) -> Iterator[Store]:
@@ -466,6 +468,18 @@ class Store:
         return counts.agg(total("chunks"), F.count_if(F.col("chunks") > 0).alias("sources"), total("tokens"), total("vectors")).select("*", deleted, F.col("vectors").alias("active"))
 
 
+def _write_new(fs: JavaObject, at: JavaObject, text: bytes) -> None:
+    """Write a file that isn't there; an error if it is. Hadoop's local file system only looks before it overwrites, so the system itself is asked there."""
+    folder = fs.resolvePath(at.getParent()).toUri()
+    if folder.getScheme() == "file":
+        with open(f"{folder.getPath()}/{at.getName()}", "xb") as out:
+            out.write(text)
+        return
+    out = fs.create(at, False)
+    out.write(bytearray(text))
+    out.close()
+
+
 def _visible(log: list[Commit]) -> list[Commit]:
     """What counts of a log: the last base, and what it was not made of."""
     base = next((c for c in reversed(log) if c.base), None)

@@ -3,6 +3,7 @@
 import os
 import random
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from quarry import encoders
 from quarry.engine import Engine
 from quarry.operators import stats
 from quarry.sources import scan
-from quarry.sources.store import Conflict, Store
+from quarry.sources.store import Commit, Conflict, Store
 
 ROW = "is_url boolean, content string, source string, file_size long, last_modified long"
 
@@ -96,6 +97,20 @@ def test_writers_at_the_same_time(make, rows):
     assert state(make()) == (["own0", "own1", "own2", "shared"], {n: f"text of {n}" for n in ("own0", "own1", "own2", "shared")})
 
 
+def test_a_number_is_given_to_one_writer(make):
+    stores, gate = [make() for _ in range(4)], threading.Barrier(4)
+
+    def work(i, number):
+        gate.wait()
+        return stores[i]._write_lines([Commit(f"data-{number}-{i}", number=number)])
+
+    with ThreadPoolExecutor(4) as pool:
+        for number in range(1, 21):
+            won = list(pool.map(work, range(4), [number] * 4))
+            assert won.count(True) == 1
+            assert stores[0]._log()[-1].folder == f"data-{number}-{won.index(True)}"
+
+
 def test_compaction_while_others_write(make, rows):
     a, b = make(), make()
     a.update(rows(x="x one", y="y one"))
